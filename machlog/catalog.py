@@ -33,18 +33,51 @@ T1, T2 = 2, 3
 PIVOT_BUCKET_S = 3600
 
 
+NUDGE = 1e-12
+
+
 def finish(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double column (float sums differ in the last bits between
-    engines)."""
+    """Round every double column to ``digits`` places.  Float sums differ in
+    the last bits between engines, and sums of short decimal fractions often
+    sit exactly on a rounding tie; a relative nudge of 1e-12 (applied the
+    same way in the oracle SQL) keeps such ties from flipping."""
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f.name), digits).alias(f.name))
+            cols.append(F.round(F.col(f.name) * F.lit(1.0 + NUDGE), digits).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
 
 
+def nudge_rounds(sql: str, digits: int = 6) -> str:
+    """Rewrite every ``round(expr, 6)`` of an oracle statement into
+    ``round((expr) * (1 + 1e-12), 6)``, the SQL twin of ``finish``."""
+    out, i, key = [], 0, "round("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        k, depth, last_comma = j + len(key), 1, None
+        while depth:
+            ch = sql[k]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+            elif ch == "," and depth == 1:
+                last_comma = k
+            k += 1
+        inner = sql[j + len(key):k - 1]
+        if last_comma is not None and sql[last_comma + 1:k - 1].strip() == str(digits):
+            expr = sql[j + len(key):last_comma]
+            out.append(sql[i:j] + f"round(({nudge_rounds(expr, digits)}) * (1 + {NUDGE}), {digits})")
+        else:
+            out.append(sql[i:j] + key + nudge_rounds(inner, digits) + ")")
+        i = k
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +86,7 @@ def register(name: str, sql: str | None = None):
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
         if sql is not None:
-            ORACLE[name] = with_views(sql)
+            ORACLE[name] = with_views(nudge_rounds(sql))
         return fn
     return deco
 

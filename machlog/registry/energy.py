@@ -1 +1,211 @@
-"""Registered queries."""
+"""Registered energy queries (E1-E14) and their DuckDB oracles.
+
+Load signal: the ``loadlog`` adapter (630 = ``view`` events, 260 = ``click``
+events, other variables besides).  Listed days = A6's representative days.
+E7/E8 use an on-threshold of 30 % so runs actually start and stop on this
+data (every reading is above the original 0 %); E9 keeps the original 0.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from machlog import config as C
+from machlog.catalog import Tables, register
+from machlog.functions.timefn import parse_period
+from machlog.operators import activity as A
+from machlog.operators import energy as E
+from machlog.oracle import ms_ts, sec_ts
+from machlog.registry.activity import REP_DAYS
+from machlog.sources import adapters as ad
+
+NAME = C.ENERGY_VAR_NAME
+RUN_ON = 30.0
+PERIOD = ("2024-01-01", "2024-01-30")
+MS0, MS1 = parse_period(*PERIOD)
+
+
+def _rep(t):
+    return A.representative_days(t.fl, t.sl)
+
+
+SMP = f"""smp AS (SELECT l.date, l.seq, {ms_ts('l.date')} AS ts, greatest(least(l.value, 100), 0) AS pct
+  FROM loadlog l JOIN vars v ON v.id = l.id_var WHERE v.name = '{NAME}' AND l.value = l.value)"""
+
+
+def iv_sql(src: str = "smp") -> str:
+    return f"""iv AS (SELECT * FROM (SELECT *, LEAD(ts) OVER (ORDER BY ts, date, seq) AS ts_next FROM {src})
+  WHERE ts_next IS NOT NULL AND ts_next > ts)"""
+
+
+def split_sql(src: str = "iv") -> str:
+    return f"""split AS (SELECT *, unnest(generate_series(date_trunc('day', ts), date_trunc('day', ts_next),
+    INTERVAL 1 DAY)) AS gs FROM {src}),
+seg AS (SELECT *, CAST(gs AS DATE) AS day,
+    (epoch_us(least(ts_next, gs + INTERVAL 1 DAY)) - epoch_us(greatest(ts, gs))) / 3600000000.0 AS hours FROM split)"""
+
+
+RUNS = f"""{SMP}, {iv_sql()},
+ivo AS (SELECT *, pct > {RUN_ON} AS is_on FROM iv),
+mark AS (SELECT *, CASE WHEN is_on AND (LAG(is_on) OVER (ORDER BY ts, date, seq) IS DISTINCT FROM TRUE)
+  THEN 1 ELSE 0 END AS start_flag FROM ivo),
+runs AS (SELECT *, SUM(start_flag) OVER (ORDER BY ts, date, seq ROWS BETWEEN UNBOUNDED PRECEDING
+  AND CURRENT ROW) AS run_id FROM mark)"""
+
+E9_SQL = f"""e9s AS (SELECT date, seq, {ms_ts('date')} AS ts, greatest(least(value, 100), 0) AS pct FROM loadlog
+  WHERE id_var = 260 AND date >= {MS0} AND date <= {MS1} AND value = value),
+{iv_sql('e9s')}, ivon AS (SELECT * FROM iv WHERE pct > 0), {split_sql('ivon')},
+e9 AS (SELECT day, SUM(pct / 100.0 * 15.0 * hours) AS total_energy_kwh FROM seg GROUP BY day)"""
+
+
+# ------------------------------------------------------------------ E1 - E4
+
+@register("E1_energy_variables", """
+SELECT id, name, datatype FROM vars WHERE lower(name) LIKE '%energy%' OR lower(name) LIKE '%power%'
+  OR lower(name) LIKE '%consum%' OR lower(name) LIKE '%electric%' OR lower(name) LIKE '%kw%'
+  OR lower(name) LIKE '%kwh%' OR lower(name) LIKE '%watt%'""")
+def e1(spark, sf):
+    return E.energy_variables(Tables(spark, sf).vars)
+
+
+@register("E2_unit_rows", """
+SELECT * FROM units WHERE name ILIKE '%MANDRINO%' OR name ILIKE '%POWER%' OR name ILIKE '%ENERGY%'
+  OR name ILIKE '%CONSUM%'""")
+def e2(spark, sf):
+    return E.unit_rows(Tables(spark, sf).units)
+
+
+@register("E3_resolve_units", """
+SELECT v.name AS variable_name, coalesce(a.units, b.units) AS unit, coalesce(a.prettyname, b.prettyname) AS unit_label
+FROM vars v LEFT JOIN units a ON lower(a.name) = lower(v.name)
+LEFT JOIN units b ON lower(b.prettyname) = lower(v.name)""")
+def e3(spark, sf):
+    t = Tables(spark, sf)
+    return E.resolve_units(t.vars, t.units)
+
+
+@register("E4_daily_load_stats", f"""
+WITH {REP_DAYS}
+SELECT v.name AS variable_name, CAST({ms_ts('l.date')} AS DATE) AS day, COUNT(*) AS measure_count,
+  round(SUM(l.value), 6) AS total_consumption, round(AVG(l.value), 6) AS average_consumption
+FROM loadlog l JOIN vars v ON v.id = l.id_var
+WHERE v.name = '{NAME}' AND l.value = l.value AND CAST({ms_ts('l.date')} AS DATE) IN (SELECT day FROM rep)
+GROUP BY 1, 2""")
+def e4(spark, sf):
+    t = Tables(spark, sf)
+    return E.daily_load_stats(t.load, t.vars, _rep(t))
+
+
+# ------------------------------------------------------------------ E5 - E12
+
+@register("E5_energy_unsplit", f"""
+WITH {REP_DAYS}, {SMP},
+s5 AS (SELECT * FROM smp WHERE CAST(ts AS DATE) IN (SELECT day FROM rep)),
+o AS (SELECT *, LEAD(ts) OVER (ORDER BY ts, date, seq) AS ts_next FROM s5)
+SELECT CAST(ts AS DATE) AS day,
+  round(SUM(pct / 100.0 * 15.0 * (epoch_us(coalesce(ts_next, ts)) - epoch_us(ts)) / 3600000000.0), 6) AS energy_kwh
+FROM o GROUP BY 1""")
+def e5(spark, sf):
+    t = Tables(spark, sf)
+    return E.energy_unsplit(t.load, t.vars, _rep(t))
+
+
+@register("E6_energy_per_day", f"""
+WITH {SMP}, {iv_sql()}, {split_sql()}
+SELECT day, round(SUM(hours), 6) AS total_duration_h, round(SUM(pct / 100.0 * 15.0 * hours), 6) AS total_energy_kwh
+FROM seg GROUP BY day""")
+def e6(spark, sf):
+    t = Tables(spark, sf)
+    return E.energy_per_day(t.load, t.vars)
+
+
+@register("E7_load_runs", f"""
+WITH {REP_DAYS}, {RUNS}
+SELECT MIN(ts) AS run_start, MAX(ts_next) AS run_end,
+  round(SUM((epoch_us(ts_next) - epoch_us(ts)) / 3600000000.0), 6) AS total_duration_h,
+  round(SUM(pct / 100.0 * 15.0 * (epoch_us(ts_next) - epoch_us(ts)) / 3600000000.0), 6) AS total_energy_kwh,
+  COUNT(*) AS samples_in_run
+FROM runs WHERE is_on AND CAST(ts AS DATE) IN (SELECT day FROM rep) GROUP BY run_id""")
+def e7(spark, sf):
+    t = Tables(spark, sf)
+    return E.load_runs(t.load, t.vars, _rep(t), on_threshold=RUN_ON)
+
+
+@register("E8_energy_runs_per_day", f"""
+WITH {REP_DAYS}, {RUNS}, onr AS (SELECT * FROM runs WHERE is_on), {split_sql('onr')}
+SELECT day, round(SUM(hours), 6) AS total_duration_h, round(SUM(pct / 100.0 * 15.0 * hours), 6) AS total_energy_kwh,
+  COUNT(DISTINCT run_id) AS run_count
+FROM seg WHERE day IN (SELECT day FROM rep) GROUP BY day""")
+def e8(spark, sf):
+    t = Tables(spark, sf)
+    return E.energy_runs_per_day(t.load, t.vars, _rep(t), on_threshold=RUN_ON)
+
+
+@register("E9_daily_energy", f"""
+WITH {E9_SQL} SELECT day, round(total_energy_kwh, 6) AS total_energy_kwh FROM e9""")
+def e9(spark, sf):
+    return E.daily_energy(Tables(spark, sf).load, *PERIOD)
+
+
+@register("E10_daily_energy_gap_cap", f"""
+WITH e10s AS (SELECT date, seq, {ms_ts('date')} AS ts, greatest(least(value, 100), 0) AS pct FROM loadlog
+  WHERE id_var = 630 AND date >= {MS0} AND date <= {MS1}),
+{iv_sql('e10s')}, ivc AS (SELECT * FROM iv WHERE epoch_us(ts_next) - epoch_us(ts) < 3600000000), {split_sql('ivc')}
+SELECT day AS date, round(SUM(pct / 100.0 * 15.0 * hours), 6) AS total_energy_kwh FROM seg GROUP BY day""")
+def e10(spark, sf):
+    return E.daily_energy_gap_cap(Tables(spark, sf).load, *PERIOD)
+
+
+@register("E11_energy_log_daily", """
+SELECT CAST(energy_timestamp AS DATE) AS date, round(SUM(kwh_value), 6) AS total_energy_kwh FROM elog GROUP BY 1""")
+def e11(spark, sf):
+    return E.energy_log_daily(Tables(spark, sf).elog)
+
+
+@register("E12_load_buckets", f"""
+WITH {REP_DAYS},
+b AS (SELECT {sec_ts('date // 1000')} AS ts, value FROM loadlog WHERE id_var = 630 AND value > 0)
+SELECT date_trunc('hour', ts) + to_minutes(CAST(floor(minute(ts) / 10) * 10 AS BIGINT)) AS bucket_10min,
+  COUNT(*) AS n_samples, round(AVG(value), 6) AS avg_load, round(MAX(value), 6) AS peak_load
+FROM b WHERE CAST(ts AS DATE) IN (SELECT day FROM rep) GROUP BY 1""")
+def e12(spark, sf):
+    t = Tables(spark, sf)
+    return E.load_buckets(t.load, _rep(t))
+
+
+# ------------------------------------------------------------------ E13 - E14
+
+@register("E13_energy_kpis", f"""
+WITH {E9_SQL}
+SELECT round(SUM(total_energy_kwh), 6) AS total_kwh, round(AVG(total_energy_kwh), 6) AS daily_mean_kwh,
+  (SELECT day FROM e9 ORDER BY total_energy_kwh DESC, day LIMIT 1) AS record_day,
+  round((SELECT total_energy_kwh FROM e9 ORDER BY total_energy_kwh DESC, day LIMIT 1), 6) AS record_kwh,
+  round(SUM(total_energy_kwh) * 0.15, 6) AS cost
+FROM e9""")
+def e13(spark, sf):
+    return E.energy_kpis(E.daily_energy(Tables(spark, sf).load, *PERIOD))
+
+
+@register("E14_energy_per_operating_hour", f"""
+WITH {E9_SQL},
+tot AS (SELECT coalesce(SUM(total_energy_kwh), 0.0) AS t FROM e9),
+hrs AS (SELECT coalesce(SUM("Operating"), 0.0) AS h FROM operating),
+n AS (SELECT COUNT(*) AS n FROM prog_runs)
+SELECT round(t, 6) AS total_energy_kwh, round(h, 6) AS operating_hours, n AS program_runs,
+  round(CASE WHEN h > 0 THEN t / h ELSE 0.0 END, 6) AS energy_per_operating_h,
+  round(CASE WHEN n > 0 THEN t / n ELSE 0.0 END, 6) AS energy_per_program
+FROM tot, hrs, n""")
+def e14(spark, sf):
+    t = Tables(spark, sf)
+    runs = t.prog_runs
+    return E.energy_per_operating_hour(E.daily_energy(t.load, *PERIOD), ad.operating_time(runs), runs)
+
+
+@register("E14_energy_by_program", f"""
+WITH {E9_SQL},
+tot AS (SELECT coalesce(SUM(total_energy_kwh), 0.0) AS t FROM e9),
+c AS (SELECT program, COUNT(*) AS count FROM prog_runs GROUP BY program)
+SELECT program, count, round(CAST(count AS DOUBLE) / (SELECT SUM(count) FROM c) * t, 6) AS energy_kwh FROM c, tot""")
+def e14b(spark, sf):
+    t = Tables(spark, sf)
+    return E.energy_by_program(E.daily_energy(t.load, *PERIOD), t.prog_runs)

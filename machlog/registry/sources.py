@@ -1 +1,101 @@
-"""Registered queries."""
+"""Registered source / sink queries (I1-I9) and their DuckDB oracles.
+
+Round trips (I1, I2, I9) write data derived from the driver tables into the
+shared checkpoint folder and read it back through the library's readers, so
+the reader's output is compared with the rows that went in.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from machlog.catalog import BUCKET_S, LOW, MID, T1, T2, Tables, register
+from machlog.functions.timefn import period_filter, with_day, with_ms, with_second
+from machlog.operators import activity as A
+from machlog.operators import alarms as B
+from machlog.oracle import bucket_ts, ms_ts, sec_ts
+from machlog.registry.alarms import CATALOGUE
+from machlog.sources import logs as L
+
+PERIOD = ("2024-01-01", "2024-01-30")
+SECS = sec_ts("date // 1000")
+
+
+@register("I1_load_logs", f"""
+SELECT date, id_var, value, CAST({SECS} AS DATE) AS day FROM fl""")
+def i1(spark, sf):
+    t = Tables(spark, sf)
+    path = L.scratch_path(spark, "variable_log_float")
+    L.write_log(t.fl.select("date", "id_var", "value"), path)
+    return L.read_log(spark, path)
+
+
+@register("I2_string_export_roundtrip", f"""
+SELECT {SECS} AS ts, id_var, coalesce(value, '') AS value FROM sl""")
+def i2(spark, sf):
+    t = Tables(spark, sf)
+    path = L.scratch_path(spark, "string-export")
+    L.write_string_export(t.sl, path)
+    return L.read_string_export(spark, path)
+
+
+@register("I3_period_filter", f"""
+SELECT date, id_var, value, seq FROM fl
+WHERE date >= epoch(TIMESTAMP '{PERIOD[0]} 00:00:00') * 1000 AND date <= epoch(TIMESTAMP '{PERIOD[1]} 23:59:59') * 1000""")
+def i3(spark, sf):
+    return period_filter(Tables(spark, sf).fl, *PERIOD)
+
+
+@register("I4_epoch_normalisation", f"""
+SELECT date, {SECS} AS ts_s, {ms_ts('date')} AS ts_ms, CAST({SECS} AS DATE) AS day FROM fl""")
+def i4(spark, sf):
+    d = with_ms(with_second(Tables(spark, sf).fl.select("date"), name="ts_s"), name="ts_ms")
+    return with_day(d, "ts_s")
+
+
+@register("I5_extract_day", f"""
+SELECT strftime({SECS}, '%Y-%m-%d %H:%M:%S') AS timestamp, id_var, value FROM sl""")
+def i5(spark, sf):
+    return L.extract_day(Tables(spark, sf).sl)
+
+
+@register("I6_json_envelope")
+def i6(spark, sf):
+    states = A.four_state_totals(Tables(spark, sf).fl, bucket_s=BUCKET_S, low=LOW, mid=MID)
+    return L.to_envelope(states, *PERIOD)
+
+
+@register("I7_totals_envelope", f"""
+WITH rollup AS (SELECT {bucket_ts('date', BUCKET_S)} AS ts, COUNT(DISTINCT id_var) AS c FROM fl GROUP BY 1),
+st AS (SELECT ts, CASE WHEN c <= {T1} THEN 0 WHEN c <= {T2} THEN 1 ELSE 2 END AS state_num,
+       CASE WHEN c <= {T1} THEN 'Idle' WHEN c <= {T2} THEN 'Intermediate' ELSE 'Active' END AS state FROM rollup),
+ch AS (SELECT ts, state_num, state FROM (SELECT *, LAG(state_num, 1, -1) OVER (ORDER BY ts) AS prev FROM st)
+       WHERE state_num <> prev),
+segs AS (SELECT state, epoch(LEAD(ts, 1, (SELECT max(ts) + INTERVAL {BUCKET_S} SECOND FROM rollup))
+  OVER (ORDER BY ts)) - epoch(ts) AS d FROM ch),
+tot AS (SELECT state, SUM(d) / 3600.0 AS h FROM segs GROUP BY state)
+SELECT 'success' AS status, '{PERIOD[0]}' AS period_from, '{PERIOD[1]}' AS period_until,
+  round(coalesce((SELECT h FROM tot WHERE state = 'Active'), 0), 2) AS active,
+  round(coalesce((SELECT h FROM tot WHERE state = 'Intermediate'), 0), 2) AS intermediate,
+  round(coalesce((SELECT h FROM tot WHERE state = 'Idle'), 0), 2) AS idle""")
+def i7(spark, sf):
+    states = A.three_state_totals(Tables(spark, sf).fl, t1=T1, t2=T2, bucket_s=BUCKET_S)
+    return L.totals_envelope(states, *PERIOD)
+
+
+@register("I8_standardise_columns", f"""
+WITH rollup AS (SELECT {bucket_ts('date', BUCKET_S)} AS ts, COUNT(DISTINCT id_var) AS distinct_vars_count FROM fl GROUP BY 1)
+SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS date, distinct_vars_count AS state, ts AS start FROM rollup""")
+def i8(spark, sf):
+    # An export with other column names: ' Jour ', 'ETAT', 'Start' (jour -> date, etat -> state).
+    r = A.distinct_vars_per_second(Tables(spark, sf).fl, BUCKET_S)
+    raw = r.select(F.date_format(F.to_date("ts"), "yyyy-MM-dd").alias(" Jour "),
+                   F.col("distinct_vars_count").alias("ETAT"), F.col("ts").alias("Start"))
+    return L.standardise_columns(raw)
+
+
+@register("I9_catalogue_csv", f"WITH {CATALOGUE} SELECT alarm_code, description FROM cat")
+def i9(spark, sf):
+    path = L.scratch_path(spark, "catalogue-csv")
+    L.write_catalogue_csv(B.alarm_catalogue(Tables(spark, sf).sl), path)
+    return L.read_catalogue_csv(spark, path)

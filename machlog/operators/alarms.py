@@ -39,8 +39,15 @@ def valid_values(sl: DataFrame) -> DataFrame:
     return sl.filter(F.col("value").isNotNull() & (F.col("value") != "[]"))
 
 
-def _minutes(gap_s: Column) -> Column:
-    return F.round(gap_s / F.lit(60.0), 2)
+def _cents(gap_col: str = "gap_s") -> Column:
+    """Minutes since the previous log, rounded half-up to 2 decimals, as
+    integer hundredths: sums and means of them stay exact, as with the
+    decimal arithmetic of the original."""
+    return F.expr(f"(200 * {gap_col} + 60) div 120")
+
+
+def _minutes(gap_col: str = "gap_s") -> Column:
+    return _cents(gap_col) / F.lit(100.0)
 
 
 # ------------------------------------------------------------------ B1 - B9
@@ -95,8 +102,8 @@ def time_since_previous(sl: DataFrame, var: int = C.ALARM_VAR, limit: int | None
 def significant_stops(sl: DataFrame, var: int = C.ALARM_VAR,
                       min_minutes: float = C.STOP_GAP_MINUTES) -> DataFrame:
     """Gaps (minutes rounded to 2) above ``min_minutes``."""
-    g = log_gaps(sl, [var]).withColumn("minutes_since_last_log", _minutes(F.col("gap_s")))
-    return g.filter(F.col("minutes_since_last_log") > min_minutes).select(
+    g = log_gaps(sl, [var]).withColumn("minutes_since_last_log", _minutes())
+    return g.filter(_cents() > F.lit(int(round(min_minutes * 100)))).select(
         "id_var", "log_time", F.col("value").alias("message"), "previous_log_time",
         "minutes_since_last_log")
 
@@ -107,7 +114,7 @@ def stop_previews(sl: DataFrame, var: int = C.ALARM_VAR, preview: int = C.PREVIE
     since the previous log (no gap filter)."""
     g = log_gaps(sl, [var])
     out = g.select("log_time", F.left(F.col("value"), F.lit(preview)).alias("message_preview"),
-                   _minutes(F.col("gap_s")).alias("minutes_since_last_log"), *_order(g))
+                   _minutes().alias("minutes_since_last_log"), *_order(g))
     if limit:
         out = out.orderBy(*_order(g)).limit(limit)
     return out.select("log_time", "message_preview", "minutes_since_last_log")
@@ -123,7 +130,7 @@ def _days_frame(days: DataFrame | Sequence[str], spark) -> DataFrame:
 def stops_on_days(sl: DataFrame, days: DataFrame | Sequence[str],
                   ids: Sequence[int] = (C.ALARM_VAR, C.FILE_STATUS_VAR),
                   min_minutes: float = C.STOP_GAP_MINUTES, preview: int = C.PREVIEW_LEN_B5,
-                  message_len: int | None = None) -> DataFrame:
+                  message_len: int | None = None, keep_cents: bool = False) -> DataFrame:
     """Gaps over the whole log first, then the logs of the selected days
     (``log_time`` in ``[day, day + 1)`` = equi-join on the log's date; the day
     list has one row per selected day, so it is broadcast), gap strictly
@@ -134,10 +141,11 @@ def stops_on_days(sl: DataFrame, days: DataFrame | Sequence[str],
     g = g.filter(F.col("gap_s") > F.lit(min_minutes * 60))
     cols = ["day", "id_var", "log_time",
             F.left(F.col("value"), F.lit(preview)).alias("message_preview"),
-            _minutes(F.col("gap_s")).alias("minutes_since_last_log")]
+            _minutes().alias("minutes_since_last_log"), _cents().alias("_cents")]
     if message_len:
         cols.append(F.left(F.col("value"), F.lit(message_len)).alias("message"))
-    return g.select(*cols)
+    out = g.select(*cols)
+    return out if keep_cents else out.drop("_cents")
 
 
 def _typical_reason(message: str = "message") -> Column:
@@ -147,21 +155,23 @@ def _typical_reason(message: str = "message") -> Column:
 def stops_per_day(sl: DataFrame, days: DataFrame | Sequence[str], **kw) -> DataFrame:
     """Per day: number of stops, total minutes (sum of the rounded gaps,
     rounded), most frequent 150-char message up to its first comma."""
-    s = stops_on_days(sl, days, message_len=C.PREVIEW_LEN_B4, **kw)
+    s = stops_on_days(sl, days, message_len=C.PREVIEW_LEN_B4, keep_cents=True, **kw)
     return s.groupBy("day").agg(
         F.count("*").alias("nb_arrets"),
-        F.round(F.sum("minutes_since_last_log"), 2).alias("total_minutes_arret"),
+        (F.sum("_cents") / F.lit(100.0)).alias("total_minutes_arret"),
         _typical_reason().alias("raison_typique"))
 
 
 def stops_per_day_variable(sl: DataFrame, days: DataFrame | Sequence[str], **kw) -> DataFrame:
     """B6 per (day, id_var) with the mean stop length."""
-    s = stops_on_days(sl, days, message_len=C.PREVIEW_LEN_B4, **kw)
-    return s.groupBy("day", "id_var").agg(
-        F.count("*").alias("nb_arrets"),
-        F.round(F.sum("minutes_since_last_log"), 2).alias("total_minutes_arret"),
-        F.round(F.avg("minutes_since_last_log"), 2).alias("duree_moyenne_arret"),
+    s = stops_on_days(sl, days, message_len=C.PREVIEW_LEN_B4, keep_cents=True, **kw)
+    g = s.groupBy("day", "id_var").agg(
+        F.count("*").alias("nb_arrets"), F.sum("_cents").alias("_cs"),
         _typical_reason().alias("raison_typique"))
+    return g.select("day", "id_var", "nb_arrets",
+                    (F.col("_cs") / F.lit(100.0)).alias("total_minutes_arret"),
+                    (F.expr("(2 * _cs + nb_arrets) div (2 * nb_arrets)") / F.lit(100.0))
+                    .alias("duree_moyenne_arret"), "raison_typique")
 
 
 def extract_pairs(value: Column, pattern: str) -> Column:

@@ -52,12 +52,13 @@ def token_sql(texts, patterns) -> str:
 LOGS = f"""logs AS (SELECT id_var, date, seq, value, {SECS} AS log_time FROM sl
   WHERE id_var IN (447, 557) AND value IS NOT NULL AND value <> '[]'),
 gaps AS (SELECT *, LAG(log_time) OVER (PARTITION BY id_var ORDER BY date, seq) AS previous_log_time FROM logs),
-g2 AS (SELECT *, epoch(log_time) - epoch(previous_log_time) AS gap_s FROM gaps)"""
+g2 AS (SELECT *, (epoch_us(log_time) - epoch_us(previous_log_time)) // 1000000 AS gap_s FROM gaps),
+g3 AS (SELECT *, (200 * gap_s + 60) // 120 AS cents FROM g2)"""
 
 STOPS = f"""{REP_DAYS}, {LOGS},
-stops AS (SELECT CAST(g2.log_time AS DATE) AS day, id_var, log_time, left(value, 180) AS message_preview,
-  left(value, 150) AS message, round(gap_s / 60.0, 2) AS minutes_since_last_log
-  FROM g2 JOIN rep ON CAST(g2.log_time AS DATE) = rep.day WHERE gap_s > 300)"""
+stops AS (SELECT CAST(g3.log_time AS DATE) AS day, id_var, log_time, left(value, 180) AS message_preview,
+  left(value, 150) AS message, cents / 100.0 AS minutes_since_last_log, cents
+  FROM g3 JOIN rep ON CAST(g3.log_time AS DATE) = rep.day WHERE gap_s > 300)"""
 
 B10P = C.B10_PATTERN
 RAW = f"""raw AS (SELECT date, seq, {SECS} AS ts, value,
@@ -121,23 +122,24 @@ def b2(spark, sf):
 
 @register("B3_time_since_previous", f"""
 WITH {LOGS}
-SELECT id_var, log_time, value, previous_log_time, gap_s AS seconds_since_last_log FROM g2 WHERE id_var = 447""")
+SELECT id_var, log_time, value, previous_log_time, CAST(gap_s AS DOUBLE) AS seconds_since_last_log
+FROM g2 WHERE id_var = 447""")
 def b3(spark, sf):
     return B.time_since_previous(Tables(spark, sf).sl)
 
 
 @register("B4_significant_stops", f"""
 WITH {LOGS}
-SELECT id_var, log_time, value AS message, previous_log_time, round(gap_s / 60.0, 2) AS minutes_since_last_log
-FROM g2 WHERE id_var = 447 AND round(gap_s / 60.0, 2) > 5""")
+SELECT id_var, log_time, value AS message, previous_log_time, cents / 100.0 AS minutes_since_last_log
+FROM g3 WHERE id_var = 447 AND cents > 500""")
 def b4(spark, sf):
     return B.significant_stops(Tables(spark, sf).sl)
 
 
 @register("B4_stop_previews", f"""
 WITH {LOGS}
-SELECT log_time, left(value, 150) AS message_preview, round(gap_s / 60.0, 2) AS minutes_since_last_log
-FROM g2 WHERE id_var = 447""")
+SELECT log_time, left(value, 150) AS message_preview, cents / 100.0 AS minutes_since_last_log
+FROM g3 WHERE id_var = 447""")
 def b4b(spark, sf):
     return B.stop_previews(Tables(spark, sf).sl)
 
@@ -152,7 +154,7 @@ def b5(spark, sf):
 
 @register("B6_stops_per_day", f"""
 WITH {STOPS}
-SELECT day, COUNT(*) AS nb_arrets, round(SUM(minutes_since_last_log), 2) AS total_minutes_arret,
+SELECT day, COUNT(*) AS nb_arrets, SUM(cents) / 100.0 AS total_minutes_arret,
   split_part(mode() WITHIN GROUP (ORDER BY message), ',', 1) AS raison_typique
 FROM stops GROUP BY day""")
 def b6(spark, sf):
@@ -162,8 +164,8 @@ def b6(spark, sf):
 
 @register("B7_stops_per_day_variable", f"""
 WITH {STOPS}
-SELECT day, id_var, COUNT(*) AS nb_arrets, round(SUM(minutes_since_last_log), 2) AS total_minutes_arret,
-  round(AVG(minutes_since_last_log), 2) AS duree_moyenne_arret,
+SELECT day, id_var, COUNT(*) AS nb_arrets, SUM(cents) / 100.0 AS total_minutes_arret,
+  ((2 * SUM(cents) + COUNT(*)) // (2 * COUNT(*))) / 100.0 AS duree_moyenne_arret,
   split_part(mode() WITHIN GROUP (ORDER BY message), ',', 1) AS raison_typique
 FROM stops GROUP BY day, id_var""")
 def b7(spark, sf):

@@ -66,3 +66,27 @@ def location(var_name: Column, msg: Column | None = None) -> Column:
         tok = F.coalesce(first_token([msg], C.B24_MSG_PATTERNS),
                          first_token([var_name], C.B24_MSG_PATTERNS))
     return F.coalesce(tok, F.lit("UNK"))
+
+
+def literal_set_pattern(words: Sequence[str]) -> str:
+    """A regex matching any of ``words`` as a substring, with shared
+    prefixes factored out (a trie): the same language as ``(w1|w2|...)``
+    but far fewer attempts per input position."""
+    import re
+
+    trie: dict = {}
+    for w in words:
+        node = trie
+        for ch in w:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def emit(node: dict) -> str:
+        alts = ["" if ch == "" else re.escape(ch) + emit(sub) for ch, sub in sorted(node.items())]
+        if len(alts) == 1:
+            return alts[0]
+        opt = "" in alts
+        body = "(?:" + "|".join(a for a in alts if a) + ")"
+        return body + "?" if opt else body
+
+    return emit(trie)

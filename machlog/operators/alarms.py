@@ -208,24 +208,26 @@ def alarm_catalogue(sl: DataFrame, var: int = C.ALARM_VAR, pattern: str = C.B9_P
 
 # ------------------------------------------------------------------ B10 - B13
 
-def explode_alarms(df: DataFrame, value: str = "value", pattern: str = C.B10_PATTERN) -> DataFrame:
+def explode_alarms(df: DataFrame, value: str = "value", pattern: str = C.B10_PATTERN,
+                   numbers: bool = True) -> DataFrame:
     """One row per ``["code","text",n1,n2,n3]`` entry (strict 5-field
-    form); ``'[]'``/NULL rows yield none."""
+    form); ``'[]'``/NULL rows yield none.  ``numbers=False`` extracts only
+    code and text (two regex passes instead of five)."""
     v = F.col(value)
-    groups = [F.regexp_extract_all(v, F.lit(pattern), i) for i in range(1, 6)]
-    z = F.arrays_zip(*[g.alias(n) for g, n in zip(groups, ["c", "t", "n1", "n2", "n3"])])
-    return df.withColumn("_m", F.explode(z)).select(
-        *[c for c in df.columns],
-        F.col("_m.c").alias("alarm_code"), F.col("_m.t").alias("alarm_text"),
-        F.col("_m.n1").cast("int").alias("n1"), F.col("_m.n2").cast("int").alias("n2"),
-        F.col("_m.n3").cast("bigint").alias("n3"))
+    n = 5 if numbers else 2
+    groups = [F.regexp_extract_all(v, F.lit(pattern), i) for i in range(1, n + 1)]
+    z = F.arrays_zip(*[g.alias(nm) for g, nm in zip(groups, ["c", "t", "n1", "n2", "n3"])])
+    cols = [F.col("_m.c").alias("alarm_code"), F.col("_m.t").alias("alarm_text")]
+    if numbers:
+        cols += [F.col("_m.n1").cast("int").alias("n1"), F.col("_m.n2").cast("int").alias("n2"),
+                 F.col("_m.n3").cast("bigint").alias("n3")]
+    return df.withColumn("_m", F.explode(z)).select(*[c for c in df.columns], *cols)
 
 
 def noise_filter(sl: DataFrame, codes: Sequence[str] = C.NOISE_CODES) -> DataFrame:
     """Drop every row whose value mentions a noise code (the whole row,
     also when real alarms share it); NULL values drop as well."""
-    pattern = "(" + "|".join(codes) + ")"
-    return sl.filter(~F.col("value").rlike(pattern))
+    return sl.filter(~F.col("value").rlike(CL.literal_set_pattern(codes)))
 
 
 def alarm_rows(sl: DataFrame, from_date: str | None = None, until_date: str | None = None,
@@ -246,7 +248,7 @@ def alarm_incidents(sl: DataFrame, from_date: str | None = None, until_date: str
     incident starts where the previous entry's end is NULL or before ``ts``.
     Output: one row per incident with its start."""
     raw = alarm_rows(sl, from_date, until_date, var, noise)
-    flat = explode_alarms(raw.filter(F.col("next_ts").isNotNull()))
+    flat = explode_alarms(raw.filter(F.col("next_ts").isNotNull()), numbers=False)
     order = ["ts"] + [c for c in ("date", "seq") if c in flat.columns]
     seg = ordered_window(flat, order=order, keys=["alarm_code", "alarm_text"],
                          bucket=time_bucket("ts", DAY_S), lags={"prev_end": ("next_ts", None)})

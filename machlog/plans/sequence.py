@@ -8,8 +8,10 @@ work partitioned:
 1. every row gets a bucket (a time bucket that is monotone in the order, e.g.
    hour of ``ts``) and the window runs per ``keys + bucket``;
 2. a small ``edges`` frame holds, per non-empty bucket, the first and last
-   row values and the bucket total of each running-sum column.  It is built
-   by a partial (map-side combined) aggregate, so its shuffle is tiny;
+   row values and the bucket total of each running-sum column.  It is read
+   off the windowed rows (row 1 and the last row of each bucket), which are
+   already partitioned by ``keys + bucket``: no extra shuffle, and the input
+   is computed once (both branches share the window's exchange);
 3. ``lag``/``lead``/prefix sums over ``edges`` (one row per bucket; the
    number of buckets is bounded by time span / bucket width) connect the
    buckets;
@@ -87,20 +89,23 @@ def ordered_window(
             F.sum(src).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
         )
 
-    # Edges: first / last row values and totals per bucket (partial agg).
-    order_key = F.struct(*order_cols)
-    aggs = []
+    # Edges: first / last row values and totals per bucket, taken from the
+    # windowed rows themselves.  They are already hash-partitioned by
+    # (keys, bucket), so this aggregate adds no shuffle, and the window's
+    # exchange is shared by both branches: the input is computed once.
     lag_src = sorted({src for src, _ in lags.values()})
     lead_src = sorted({src for src, _ in leads.values()})
+    first, last = F.col(_RN) == 1, F.col(_LAST)
+    aggs = []
     if lag_src:
-        aggs.append(F.max_by(F.struct(*[F.col(c).alias(c) for c in lag_src]), order_key).alias("_sq_lastv"))
+        aggs.append(F.max(F.when(last, F.struct(*[F.col(c).alias(c) for c in lag_src]))).alias("_sq_lastv"))
     if lead_src:
-        aggs.append(F.min_by(F.struct(*[F.col(c).alias(c) for c in lead_src]), order_key).alias("_sq_firstv"))
-    for out, src in running_sums.items():
-        aggs.append(F.sum(src).alias(f"_sq_tot_{out}"))
+        aggs.append(F.max(F.when(first, F.struct(*[F.col(c).alias(c) for c in lead_src]))).alias("_sq_firstv"))
+    for out in running_sums:
+        aggs.append(F.max(F.when(last, F.col(f"_sq_in_{out}"))).alias(f"_sq_tot_{out}"))
     if not aggs:
         return d.drop(_B, _RN, _LAST)
-    edges = df.withColumn(_B, bucket).groupBy(*keys, _B).agg(*aggs)
+    edges = d.filter(first | last).groupBy(*keys, _B).agg(*aggs)
     we = Window.partitionBy(*keys).orderBy(_B)
     sel = [*keys, _B]
     if lag_src:

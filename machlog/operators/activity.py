@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from machlog import config as C
 from machlog.functions.timefn import day_of, day_text, ms_ts, period_filter, second_ts
 from machlog.plans.sequence import ordered_window, time_bucket
+from machlog.session import ensure_checkpoint_dir
 
 DAY_S = 86400
 
@@ -253,9 +254,15 @@ def multiotsu_thresholds(signal: DataFrame, value: str = "smoothed_count",
     an equi-join on the bin index: ``nbins**2 / 2`` rows, independent of the
     data size."""
     spark = signal.sparkSession
+    # The signal feeds several scalar subqueries (range, totals) and the
+    # histogram: materialise it once in the shared checkpoint folder
+    # (reliable checkpoint, survives executor loss) instead of recomputing
+    # its lineage for each of them.
+    ensure_checkpoint_dir(spark)
+    signal = signal.select(F.col(value).alias(value)).checkpoint(eager=True)
     v = F.col(value)
-    lo = signal.select(F.min(v)).scalar()
-    hi = signal.select(F.max(v)).scalar()
+    mm = signal.select(F.struct(F.min(v).alias("lo"), F.max(v).alias("hi"))).scalar()
+    lo, hi = mm["lo"], mm["hi"]
     width = (hi - lo) / F.lit(float(nbins))
     idx = F.when(hi == lo, F.lit(0)).otherwise(
         F.least(F.floor((v - lo) / width), F.lit(nbins - 1))).cast("int")
@@ -265,13 +272,15 @@ def multiotsu_thresholds(signal: DataFrame, value: str = "smoothed_count",
     cum = (bins.join(hist, "i", "left").fillna(0, ["n"])
            .select("i", F.sum("n").over(cum_w).cast("double").alias("p"),
                    F.sum(F.col("n") * F.col("i")).over(cum_w).cast("double").alias("s")))
-    tot = cum.filter(F.col("i") == nbins - 1).select(F.col("p").alias("pt"), F.col("s").alias("st"))
+    tot = cum.filter(F.col("i") == nbins - 1).select(F.struct("p", "s")).scalar()
+    pt, st = tot["p"], tot["s"]
     c1 = cum.select(F.col("i").alias("t1"), F.col("p").alias("p1"), F.col("s").alias("s1"))
     c2 = cum.select(F.col("i").alias("t2"), F.col("p").alias("p2"), F.col("s").alias("s2"))
+    # nbins rows per side: the candidate pairs are bounded by nbins^2 / 2
     pairs = (c1.filter(F.col("t1") <= nbins - 3)
              .withColumn("t2", F.explode(F.sequence(F.col("t1") + 1, F.lit(nbins - 2))))
              .join(F.broadcast(c2), "t2")
-             .join(F.broadcast(tot)))
+             .withColumn("pt", pt).withColumn("st", st))
 
     def term(p, s):
         return F.when(p > 0, s * s / p).otherwise(F.lit(0.0))

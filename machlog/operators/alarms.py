@@ -148,26 +148,33 @@ def stops_on_days(sl: DataFrame, days: DataFrame | Sequence[str],
     return out if keep_cents else out.drop("_cents")
 
 
-def _typical_reason(message: str = "message") -> Column:
-    return F.split_part(F.mode(F.col(message), True), F.lit(","), F.lit(1))
+def _stop_summary(stops: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per ``keys``: stops, Σ hundredths of minutes and the most frequent
+    message (``MODE() WITHIN GROUP``: ties -> smaller message), cut at its
+    first comma.  Two aggregation levels instead of ``mode``: counts per
+    (keys, message) combine map-side, then ``min_by`` keeps one candidate per
+    group, so no group's distinct messages are buffered in one task."""
+    per_msg = stops.groupBy(*keys, "message").agg(
+        F.count("*").alias("_n"), F.sum("_cents").alias("_c"))
+    top = F.min_by(F.col("message"), F.struct(F.negative("_n"), F.col("message")))
+    g = per_msg.groupBy(*keys).agg(
+        F.sum("_n").alias("nb_arrets"), F.sum("_c").alias("_cs"), top.alias("_mode"))
+    return g.withColumn("raison_typique", F.split_part(F.col("_mode"), F.lit(","), F.lit(1)))
 
 
 def stops_per_day(sl: DataFrame, days: DataFrame | Sequence[str], **kw) -> DataFrame:
-    """Per day: number of stops, total minutes (sum of the rounded gaps,
-    rounded), most frequent 150-char message up to its first comma."""
+    """Per day: number of stops, total minutes (sum of the rounded gaps),
+    most frequent 150-char message up to its first comma."""
     s = stops_on_days(sl, days, message_len=C.PREVIEW_LEN_B4, keep_cents=True, **kw)
-    return s.groupBy("day").agg(
-        F.count("*").alias("nb_arrets"),
-        (F.sum("_cents") / F.lit(100.0)).alias("total_minutes_arret"),
-        _typical_reason().alias("raison_typique"))
+    g = _stop_summary(s, ["day"])
+    return g.select("day", "nb_arrets", (F.col("_cs") / F.lit(100.0)).alias("total_minutes_arret"),
+                    "raison_typique")
 
 
 def stops_per_day_variable(sl: DataFrame, days: DataFrame | Sequence[str], **kw) -> DataFrame:
-    """B6 per (day, id_var) with the mean stop length."""
+    """B6 per (day, id_var) with the mean stop length (rounded half-up)."""
     s = stops_on_days(sl, days, message_len=C.PREVIEW_LEN_B4, keep_cents=True, **kw)
-    g = s.groupBy("day", "id_var").agg(
-        F.count("*").alias("nb_arrets"), F.sum("_cents").alias("_cs"),
-        _typical_reason().alias("raison_typique"))
+    g = _stop_summary(s, ["day", "id_var"])
     return g.select("day", "id_var", "nb_arrets",
                     (F.col("_cs") / F.lit(100.0)).alias("total_minutes_arret"),
                     (F.expr("(2 * _cs + nb_arrets) div (2 * nb_arrets)") / F.lit(100.0))

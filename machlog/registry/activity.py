@@ -21,7 +21,7 @@ ROLLUP = (f"SELECT {bucket_ts('date', B)} AS ts, COUNT(DISTINCT id_var) AS disti
 SMOOTH = ("SELECT CAST(ts AS DATE) AS day, ts, distinct_vars_count, "
           "AVG(distinct_vars_count) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts "
           "ROWS BETWEEN 14 PRECEDING AND CURRENT ROW) AS smoothed_count, "
-          "ROW_NUMBER() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts) AS row_num_per_day "
+          "CAST(ROW_NUMBER() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts) AS INTEGER) AS row_num_per_day "
           "FROM rollup")
 PIVOT = (f"SELECT {bucket_ts('date', PB)} AS ts, "
          + ", ".join(f"MAX(CASE WHEN id_var = {s} THEN value END) AS {n}"
@@ -51,7 +51,7 @@ FROM segs GROUP BY state"""
 
 DAILY = f"""daily AS (SELECT CAST({ms_ts('date')} AS DATE) AS day, COUNT(*) AS total_count
   FROM (SELECT date FROM fl UNION ALL SELECT date FROM sl) u GROUP BY 1),
-ranked AS (SELECT day, total_count, ntile(10) OVER (ORDER BY total_count, day) AS decile FROM daily)"""
+ranked AS (SELECT day, total_count, CAST(ntile(10) OVER (ORDER BY total_count, day) AS INTEGER) AS decile FROM daily)"""
 
 REP_DAYS = DAILY + """,
 stats AS (SELECT decile, percentile_cont(0.5) WITHIN GROUP (ORDER BY total_count) AS median_in_bin

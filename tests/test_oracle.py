@@ -48,6 +48,10 @@ def test_every_query_is_registered():
     assert set(QUERIES) - set(ORACLE) == {"A17_kmeans_thresholds", "I6_json_envelope"}
 
 
+SQL_TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+             "date": "DATE", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN"}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, duck, name):
     df = QUERIES[name](spark, SF)
@@ -55,6 +59,9 @@ def test_query_matches_oracle(spark, duck, name):
     got = sorted("|".join(_norm(r[c]) for c in cols) for r in df.collect())
     rel = duck.sql(ORACLE[name])
     assert sorted(rel.columns) == cols
+    spark_types = {f.name: SQL_TYPES.get(f.dataType.simpleString(), f.dataType.simpleString())
+                   for f in df.schema.fields}
+    assert spark_types == dict(zip(rel.columns, [str(t) for t in rel.types]))
     idx = [rel.columns.index(c) for c in cols]
     want = sorted("|".join(_norm(r[i]) for i in idx) for r in rel.fetchall())
     assert got == want

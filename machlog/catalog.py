@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from machlog.oracle import bucket_ts, with_views
+from machlog.oracle import with_views
 from machlog.sources import adapters as ad
 
 Query = Callable[[SparkSession, str], DataFrame]

@@ -30,14 +30,6 @@ SENSOR_NAMES = ["spindle_load", "spindle_consumption", "axis_x_util", "axis_y_ut
                 "axis_z_in_position"]
 
 
-def _tiebreak(df: DataFrame, first: Sequence[str]) -> list[str]:
-    cols = list(first)
-    for c in ("date", "seq"):
-        if c in df.columns and c not in cols:
-            cols.append(c)
-    return cols
-
-
 def _secs_between(start: Column | str, end: Column | str) -> Column:
     start = F.col(start) if isinstance(start, str) else start
     end = F.col(end) if isinstance(end, str) else end

@@ -21,9 +21,8 @@ from pyspark.sql import functions as F
 from machlog import config as C
 from machlog.functions import classify as CL
 from machlog.functions.timefn import day_of, ms_ts, period_filter, second_ts
-from machlog.plans.sequence import ms_bucket, ordered_window, time_bucket
+from machlog.plans.sequence import KEYED_SPAN_S, RAW_SPAN_S, ms_bucket, ordered_window, time_bucket
 
-DAY_S = 86400
 
 
 def _order(df: DataFrame, first: Sequence[str] = ("date",)) -> list[str]:
@@ -83,7 +82,7 @@ def log_gaps(sl: DataFrame, ids: Sequence[int]) -> DataFrame:
     logs = valid_values(sl.filter(F.col("id_var").isin(list(ids)))).withColumn(
         "log_time", second_ts("date"))
     logs = ordered_window(logs, order=_order(logs), keys=["id_var"],
-                          bucket=ms_bucket("date", DAY_S),
+                          bucket=ms_bucket("date", RAW_SPAN_S),
                           lags={"previous_log_time": ("log_time", None)})
     return logs.withColumn(
         "gap_s", F.unix_seconds("log_time") - F.unix_seconds("previous_log_time"))
@@ -244,7 +243,7 @@ def alarm_rows(sl: DataFrame, from_date: str | None = None, until_date: str | No
     ``'[]'`` rows stay: they end alarms."""
     raw = noise_filter(period_filter(sl.filter(F.col("id_var") == var), from_date, until_date), noise)
     raw = raw.withColumn("ts", second_ts("date"))
-    return ordered_window(raw, order=_order(raw), bucket=ms_bucket("date", DAY_S),
+    return ordered_window(raw, order=_order(raw), bucket=ms_bucket("date", RAW_SPAN_S),
                           leads={"next_ts": ("ts", None)})
 
 
@@ -258,7 +257,7 @@ def alarm_incidents(sl: DataFrame, from_date: str | None = None, until_date: str
     flat = explode_alarms(raw.filter(F.col("next_ts").isNotNull()), numbers=False)
     order = ["ts"] + [c for c in ("date", "seq") if c in flat.columns]
     seg = ordered_window(flat, order=order, keys=["alarm_code", "alarm_text"],
-                         bucket=time_bucket("ts", DAY_S), lags={"prev_end": ("next_ts", None)})
+                         bucket=time_bucket("ts", KEYED_SPAN_S), lags={"prev_end": ("next_ts", None)})
     starts = seg.filter(F.col("prev_end").isNull() | (F.col("prev_end") < F.col("ts")))
     return starts.select("alarm_code", "alarm_text", F.col("ts").alias("start_time"))
 
@@ -374,7 +373,7 @@ def program_pieces(state: DataFrame, days: DataFrame) -> DataFrame:
     sample (over the selected days, global order), cut at the end of its
     day.  Consecutive 1-samples are separate pieces."""
     s = state.join(F.broadcast(days.select("day")), "day", "inner")
-    s = ordered_window(s, order=["ts_utc"], bucket=time_bucket("ts_utc", DAY_S),
+    s = ordered_window(s, order=["ts_utc"], bucket=time_bucket("ts_utc", RAW_SPAN_S),
                        leads={"next_ts": ("ts_utc", None)})
     end = F.least(F.col("next_ts"), F.date_trunc("day", "ts_utc") + F.expr("INTERVAL 1 DAY"))
     return s.filter((F.col("state") == 1) & F.col("next_ts").isNotNull()).select(

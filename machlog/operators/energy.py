@@ -17,9 +17,8 @@ from pyspark.sql import functions as F
 
 from machlog import config as C
 from machlog.functions.timefn import day_of, ms_ts, period_filter, second_ts
-from machlog.plans.sequence import ms_bucket, ordered_window
+from machlog.plans.sequence import RAW_SPAN_S, ms_bucket, ordered_window
 
-DAY_S = 86400
 
 
 def _order(df: DataFrame) -> list[str]:
@@ -123,7 +122,7 @@ def load_samples(log: DataFrame, var_id: int | None = None, vars_df: DataFrame |
 
 def with_next(samples: DataFrame) -> DataFrame:
     """``ts_next``: the next sample's time in global order (NULL for the last)."""
-    return ordered_window(samples, order=_order(samples), bucket=ms_bucket("date", DAY_S),
+    return ordered_window(samples, order=_order(samples), bucket=ms_bucket("date", RAW_SPAN_S),
                           leads={"ts_next": ("ts", None)})
 
 
@@ -172,11 +171,11 @@ def _runs(s: DataFrame, on_threshold: float) -> DataFrame:
     s = with_next(s)
     iv = s.filter(F.col("ts_next").isNotNull() & (F.col("ts_next") > F.col("ts")))
     iv = iv.withColumn("is_on", F.col("pct") > F.lit(on_threshold))
-    iv = ordered_window(iv, order=_order(iv), bucket=ms_bucket("date", DAY_S),
+    iv = ordered_window(iv, order=_order(iv), bucket=ms_bucket("date", RAW_SPAN_S),
                         lags={"prev_on": ("is_on", None)})
     iv = iv.withColumn("start_flag", F.when(
         F.col("is_on") & ~F.col("prev_on").eqNullSafe(F.lit(True)), F.lit(1)).otherwise(F.lit(0)))
-    return ordered_window(iv, order=_order(iv), bucket=ms_bucket("date", DAY_S),
+    return ordered_window(iv, order=_order(iv), bucket=ms_bucket("date", RAW_SPAN_S),
                           running_sums={"run_id": "start_flag"})
 
 

@@ -32,6 +32,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Default bucket widths.  Windows over raw log rows without a key (or with a
+# handful of keys) use hours: a busy day is split 24 ways and the edge table
+# stays at most 24 rows per key and day.  Windows keyed by many values (one
+# sequence per alarm) use days so the edge table stays far below the row
+# count; windows over per-second rollups are bounded by 86400 rows a day.
+RAW_SPAN_S = 3600
+KEYED_SPAN_S = 86400
+
 _B = "_sq_bucket"
 _RN = "_sq_rn"
 _LAST = "_sq_last"

@@ -6,7 +6,8 @@ task.  Here a group holding a third of all rows is still spread out:
 1. ``groupBy(keys, value).count()``: distinct values with their counts
    (partial aggregation);
 2. the cumulative count per group, in value order, with ``ordered_window``
-   over value buckets (a hot group is split over its buckets);
+   over value buckets (2^16 equal-width buckets over the value range by
+   default), so a hot group is split over its buckets;
 3. per group and quantile the two ranks ``floor(p(n-1))`` and
    ``ceil(p(n-1))`` (a few rows per group), joined to the value whose
    cumulative range holds the rank (equi-join on the group keys with a
@@ -33,7 +34,12 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     v = df.filter(F.col(value).isNotNull())
     distinct = v.groupBy(*keys, value).agg(F.count("*").alias("_cnt"))
     if bucket is None:
-        bucket = F.floor(F.col(value))
+        # 2^16 equal-width buckets over the global value range (monotone in
+        # the value): a group's distinct values spread over up to 65536
+        # window partitions whatever their scale.
+        mm = distinct.select(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar()
+        width = (mm["hi"] - mm["lo"]) / F.lit(float(1 << 16))
+        bucket = F.when(width > 0, F.floor((F.col(value) - mm["lo"]) / width)).otherwise(F.lit(0))
     cum = ordered_window(distinct, order=[value], keys=keys, bucket=bucket,
                          running_sums={"_cum": "_cnt"})
     cum = cum.withColumn("_lo_rank", F.col("_cum") - F.col("_cnt"))  # ranks [_lo_rank, _cum)

@@ -40,8 +40,10 @@ def _secs_between(start: Column | str, end: Column | str) -> Column:
 
 def variables_with_float_logs(vars_df: DataFrame, fl: DataFrame) -> DataFrame:
     """A1: variables that have at least one float log row (semi join)."""
-    return (vars_df.join(fl.select(F.col("id_var").alias("id")), on="id", how="left_semi")
-            .select("id", "name").orderBy("name"))
+    # distinct ids first (partial aggregation): the semi join's build side is
+    # then as small as the variable dictionary, not the log
+    ids = fl.select(F.col("id_var").alias("id")).distinct()
+    return vars_df.join(ids, on="id", how="left_semi").select("id", "name").orderBy("name")
 
 
 def daily_variable_stats(fl: DataFrame, day: str | None = None) -> DataFrame:

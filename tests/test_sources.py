@@ -36,6 +36,16 @@ def test_rollup_refresh_rewrites_only_touched_days(spark, tmp_path):
     assert got == {(1, 1), (2, 2)}
 
 
+def test_ensure_rollup_builds_once(spark, tmp_path):
+    base = float_log(spark, [("2024-01-01 10:00:00", 1, 1), ("2024-01-01 10:00:00", 2, 1)])
+    path = str(tmp_path / "rollup")
+    first = R.ensure_rollup(base, path)
+    assert [r["distinct_vars_count"] for r in first.collect()] == [2]
+    other = float_log(spark, [("2024-01-01 10:00:00", 1, 1)])
+    again = R.ensure_rollup(other, path)  # exists: not rebuilt
+    assert [r["distinct_vars_count"] for r in again.collect()] == [2]
+
+
 def test_rollup_refresh_stream(spark, tmp_path):
     base = float_log(spark, [("2024-01-01 10:00:00", 1, 1), ("2024-01-02 10:00:00", 1, 1)])
     path, src, ckpt = str(tmp_path / "rollup"), str(tmp_path / "incoming"), str(tmp_path / "ckpt")

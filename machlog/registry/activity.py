@@ -201,7 +201,7 @@ def a17(spark, sf):
     return A.kmeans_thresholds(A.count_distribution(A.distinct_vars_per_second(Tables(spark, sf).fl, B)))
 
 
-@register("A18_multiotsu_thresholds", f"""
+OTSU_SQL = f"""
 WITH rollup AS ({ROLLUP}), sm AS ({SMOOTH}),
 sig AS (SELECT smoothed_count AS v FROM sm WHERE row_num_per_day > 14),
 mm AS (SELECT min(v) AS lo, max(v) AS hi FROM sig),
@@ -223,7 +223,10 @@ SELECT CAST(t1 AS INTEGER) AS t1_idx, CAST(t2 AS INTEGER) AS t2_idx,
   round(lo + (t2 + 0.5) * (hi - lo) / 256.0, 6) AS threshold_2,
   CAST(floor(lo + (t1 + 0.5) * (hi - lo) / 256.0) AS INTEGER) AS t1_int,
   CAST(floor(lo + (t2 + 0.5) * (hi - lo) / 256.0) AS INTEGER) AS t2_int
-FROM best, mm""")
+FROM best, mm"""
+
+
+@register("A18_multiotsu_thresholds", OTSU_SQL)
 def a18(spark, sf):
     rollup = A.distinct_vars_per_second(Tables(spark, sf).fl, B)
     return A.multiotsu_thresholds(A.smoothed_signal(rollup))
@@ -290,3 +293,15 @@ def a24(spark, sf):
 SELECT ts, CAST(ts AS DATE) AS day, distinct_vars_count FROM ({ROLLUP})""")
 def a25(spark, sf):
     return R.build_rollup(Tables(spark, sf).fl, bucket_s=B)
+
+
+@register("A24_with_otsu_thresholds", f"""
+WITH otsu AS ({OTSU_SQL.strip()}), {FOUR_STATE_SQL.replace(f"<= {LOW}", "<= (SELECT t1_int FROM otsu)").replace(f"<= {MID}", "<= (SELECT t2_int FROM otsu)")}
+SELECT state, round(total_hours, 6) AS total_hours FROM states""")
+def a24_chain(spark, sf):
+    """A22 -> A18 -> A24: the floored multi-Otsu thresholds of the smoothed
+    signal classify it, passed on as scalar subqueries (no driver step)."""
+    fl = Tables(spark, sf).fl
+    th = A.multiotsu_thresholds(A.smoothed_signal(A.distinct_vars_per_second(fl, B)))
+    return A.four_state_totals(fl, bucket_s=B, low=th.select("t1_int").scalar(),
+                               mid=th.select("t2_int").scalar())

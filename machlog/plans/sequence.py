@@ -22,7 +22,9 @@ work partitioned:
 
 A hot key (one alarm code holding a third of all rows) is therefore split
 over its buckets as well.  The order must be total (add a unique tiebreak
-column), exactly as a deterministic global window requires.
+column), exactly as a deterministic global window requires; key columns must
+not be NULL (callers filter or derive them non-NULL), NULL order values are
+kept and sort first.
 """
 
 from __future__ import annotations
@@ -41,6 +43,7 @@ RAW_SPAN_S = 3600
 KEYED_SPAN_S = 86400
 
 _B = "_sq_bucket"
+_NULL_BUCKET = -(2 ** 63)
 _RN = "_sq_rn"
 _LAST = "_sq_last"
 
@@ -83,7 +86,9 @@ def ordered_window(
     keys = list(keys)
     order_cols = [F.col(c) for c in order]
 
-    d = df.withColumn(_B, bucket)
+    # A NULL order value gets the smallest bucket: such rows sort first, as
+    # NULLs do in an ascending window, and are not lost by the equi-join.
+    d = df.withColumn(_B, F.coalesce(bucket.cast("bigint"), F.lit(_NULL_BUCKET)))
     w = Window.partitionBy(*keys, _B).orderBy(*order_cols)
     d = d.withColumn(_RN, F.row_number().over(w))
     d = d.withColumn(_LAST, F.lead(F.lit(1)).over(w).isNull())

@@ -33,6 +33,17 @@ def test_ordered_window_equals_global_window(spark):
         assert want.select(cols).exceptAll(got.select(cols)).count() == 0
 
 
+def test_null_order_values_are_kept(spark):
+    df = spark.createDataFrame([(None, 1), (1_700_000_000_000, 2), (None, 3), (1_700_000_100_000, 4)],
+                               "date bigint, seq int")
+    got = ordered_window(df, order=["date", "seq"], bucket=ms_bucket("date", 3600),
+                         lags={"prev": ("seq", 0)}, leads={"nxt": ("seq", 9)})
+    w = Window.orderBy("date", "seq")
+    want = df.select("*", F.lag("seq", 1, 0).over(w).alias("prev"), F.lead("seq", 1, 9).over(w).alias("nxt"))
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == sorted(map(tuple, want.collect()), key=lambda r: r[1])
+    assert got.count() == 4
+
+
 def test_keyed_ordered_window(spark):
     fl = ad.float_log(ad.events(spark, SF)).withColumn("k", F.col("id_var") % 3)
     got = ordered_window(fl, order=["date", "seq"], keys=["k"], bucket=time_bucket(F.timestamp_millis("date"), 7200),

@@ -85,6 +85,12 @@ def a3(spark, sf):
     return A.log_count_per_day(Tables(spark, sf).fl)
 
 
+@register("A3_log_count_per_day_string", f"""
+SELECT strftime({bucket_ts('date')}, '%Y-%m-%d') AS day, COUNT(*) AS log_count FROM sl GROUP BY 1""")
+def a3s(spark, sf):
+    return A.log_count_per_day(Tables(spark, sf).sl)
+
+
 @register("A4_day_relevance", f"""
 WITH f AS (SELECT CAST({bucket_ts('date')} AS DATE) AS day, COUNT(*) AS float_count FROM fl GROUP BY 1),
 s AS (SELECT CAST({bucket_ts('date')} AS DATE) AS day, COUNT(*) AS string_count FROM sl GROUP BY 1)

@@ -219,3 +219,52 @@ def test_zero_hours_give_zero_availability(spark):
     r = K.state_kpis(st).collect()[0]
     assert r["availability_pct"] == 0.0 and r["idle_hours"] == 0.0
     assert {x["percent"] for x in K.state_share(st).collect()} == {0.0}
+
+
+def test_energy_log_bounds_inclusive(spark):
+    e = spark.createDataFrame([("2024-01-01 00:00:00", 1.0), ("2024-01-01 12:00:00", 2.0),
+                               ("2024-01-02 00:00:00", 4.0)], "t string, kwh_value double") \
+        .select(F.to_timestamp("t").alias("energy_timestamp"), "kwh_value")
+    out = {r["date"].day: r["total_energy_kwh"] for r in
+           E.energy_log_daily(e, "2024-01-01 00:00:00", "2024-01-02 00:00:00").collect()}
+    assert out == {1: 3.0, 2: 4.0}
+
+
+def test_program_kpis_filters(spark):
+    runs = spark.createDataFrame([("2024-01-01", "M0", "p", 10.0), ("2024-01-02", "M0", "p", 20.0),
+                                  ("2024-01-02", "M1", "q", 30.0)], "d string, machine string, program string, duration_min double") \
+        .select(F.to_date("d").alias("date"), "machine", "program", "duration_min")
+    r = K.program_kpis(runs, machine="M0", start="2024-01-02").collect()[0]
+    assert (r["program_runs"], r["avg_duration_min"]) == (1, 20.0)
+    r = K.program_kpis(runs, machine="M9").collect()[0]
+    assert (r["program_runs"], r["avg_duration_min"]) == (0, 0.0)
+    per_day = {x["date"].day: x["program_count"] for x in K.runs_per_day(runs, "All").collect()}
+    assert per_day == {1: 1, 2: 2}
+
+
+def test_boxplot_against_brute_force(spark):
+    import random
+    import statistics
+
+    rnd = random.Random(3)
+    rows = [(f"M{rnd.randint(0, 1)}", float(rnd.choice([1, 2, 3, 5, 8, 13, 40, 200]) + rnd.random()))
+            for _ in range(300)]
+    runs = spark.createDataFrame(rows, "machine string, duration_min double")
+    got = {r["machine"]: r for r in K.duration_boxplot(runs).collect()}
+    for m in ("M0", "M1"):
+        v = sorted(x for k, x in rows if k == m)
+        q1, med, q3 = statistics.quantiles(v, n=4, method="inclusive")
+        lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+        r = got[m]
+        assert math.isclose(r["q1"], q1) and math.isclose(r["median"], med) and math.isclose(r["q3"], q3)
+        assert r["whisker_low"] == min(x for x in v if x >= lo)
+        assert r["whisker_high"] == max(x for x in v if x <= hi)
+        assert r["outliers"] == sum(1 for x in v if x < lo or x > hi)
+
+
+def test_energy_record_day_first_on_ties(spark):
+    d = spark.createDataFrame([("2024-01-03", 5.0), ("2024-01-01", 7.0), ("2024-01-02", 7.0)],
+                              "d string, total_energy_kwh double").select(F.to_date("d").alias("day"), "total_energy_kwh")
+    r = E.energy_kpis(d).collect()[0]
+    assert r["record_day"].day == 1 and r["record_kwh"] == 7.0
+    assert math.isclose(r["cost"], 19.0 * 0.15)

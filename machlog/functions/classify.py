@@ -90,3 +90,19 @@ def literal_set_pattern(words: Sequence[str]) -> str:
         return body + "?" if opt else body
 
     return emit(trie)
+
+
+def like_any(text: Column, patterns: Sequence[str], lower: bool = False) -> Column:
+    """``text LIKE ANY (patterns)`` (``ILIKE`` when ``lower``).  When every
+    pattern is ``%literal%`` this is one prefix-factored regex over the text
+    (the text is read once), otherwise an OR of LIKEs."""
+    t = F.lower(text) if lower else text
+    lits = [p[1:-1] for p in patterns]
+    if all(p.startswith("%") and p.endswith("%") and len(p) > 2 for p in patterns) and \
+            not any(("%" in x or "_" in x) for x in lits):
+        return t.rlike(literal_set_pattern([x.lower() if lower else x for x in lits]))
+    cond = None
+    for p in patterns:
+        c = t.like(p.lower() if lower else p)
+        cond = c if cond is None else cond | c
+    return cond

@@ -34,8 +34,9 @@ def _order(df: DataFrame, first: Sequence[str] = ("date",)) -> list[str]:
 
 
 def valid_values(sl: DataFrame) -> DataFrame:
-    """Rows that carry a message: not NULL and not ``'[]'``."""
-    return sl.filter(F.col("value").isNotNull() & (F.col("value") != "[]"))
+    """Rows that carry a message: not NULL and not ``'[]'`` (a NULL value
+    already fails the comparison)."""
+    return sl.filter(F.col("value") != "[]")
 
 
 def _cents(gap_col: str = "gap_s") -> Column:
@@ -56,10 +57,9 @@ def keyword_values(sl: DataFrame, keywords: Sequence[str] = C.B1_KEYWORDS,
     """B1: distinct (id_var, value) whose value contains any keyword
     (case-insensitive).  ``limit`` keeps the first rows in (id_var, value)
     order; by default the whole result is returned."""
-    cond = None
-    for k in keywords:
-        c = F.col("value").ilike(f"%{k}%")
-        cond = c if cond is None else cond | c
+    # ILIKE '%k%' for any k == the lower-cased value contains a lower-cased
+    # keyword: one lower(), one prefix-factored regex, the value read once.
+    cond = F.lower(F.col("value")).rlike(CL.literal_set_pattern([k.lower() for k in keywords]))
     out = sl.filter(cond).select("id_var", "value").distinct()
     return out.orderBy("id_var", "value").limit(limit) if limit else out
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from machlog import config as C
+from machlog.functions.classify import like_any
 from machlog.functions.timefn import day_of, ms_ts, period_filter, second_ts
 from machlog.plans.sequence import RAW_SPAN_S, ms_bucket, ordered_window
 
@@ -59,20 +60,12 @@ def _var_by_name(log: DataFrame, vars_df: DataFrame, name: str) -> DataFrame:
 
 def energy_variables(vars_df: DataFrame, patterns: Sequence[str] = C.E1_PATTERNS) -> DataFrame:
     """Variables whose lower-cased name is LIKE any pattern."""
-    cond = None
-    for p in patterns:
-        c = F.lower("name").like(p)
-        cond = c if cond is None else cond | c
-    return vars_df.filter(cond).select("id", "name", "datatype")
+    return vars_df.filter(like_any(F.lower(F.col("name")), patterns)).select("id", "name", "datatype")
 
 
 def unit_rows(units: DataFrame, patterns: Sequence[str] = C.E2_PATTERNS) -> DataFrame:
     """Unit rows whose name matches any pattern (case-insensitive)."""
-    cond = None
-    for p in patterns:
-        c = F.col("name").ilike(p)
-        cond = c if cond is None else cond | c
-    return units.filter(cond)
+    return units.filter(like_any(F.col("name"), patterns, lower=True))
 
 
 def resolve_units(vars_df: DataFrame, units: DataFrame, name: str | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ import re
 from machlog.config import A7_SENSORS
 from machlog.sources.adapters import MSG_VAR_OFFSET, LOAD_VAR_OFFSET, SPECIAL_VARS
 
-K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER)"
+K = "CAST(split_part(split_part(props, ': ', 2), '}', 1) AS INTEGER)"
 MS = "(epoch_us(ts) // 1000)"
 TICK = "((epoch_us(ts) // 600000000) * 600000)"
 

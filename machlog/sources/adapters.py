@@ -54,7 +54,9 @@ def _tick_ms(ts: str = "ts", seconds: int = 600):
 
 
 def _k():
-    return F.regexp_extract("props", r"([0-9]+)", 1).cast("int")
+    # props is '{"k": <n>}': the number between ': ' and '}' (plain string
+    # cuts, no regex).
+    return F.substring_index(F.substring_index("props", ": ", -1), "}", 1).cast("int")
 
 
 def float_log(ev: DataFrame) -> DataFrame:
@@ -124,9 +126,10 @@ def program_log(ev: DataFrame) -> DataFrame:
 
 def message_log(ev: DataFrame) -> DataFrame:
     """``msgs``: alert messages on ten-minute ticks (same ticks as ``prog``)."""
-    k = _k()
+    ev = ev.withColumn("_k", _k())
+    k = F.col("_k")
     msg = (F.when(k % 6 == 0, F.concat(F.lit("Spindle overheat detected ZONE_"), (k % 5).cast("string")))
-           .when(k % 6 == 1, F.concat(F.lit("Puerta abierta - seguridad EJE "), F.expr("chr(88 + int(regexp_extract(props, '([0-9]+)', 1)) % 3)")))
+           .when(k % 6 == 1, F.concat(F.lit("Puerta abierta - seguridad EJE "), F.expr("chr(88 + _k % 3)")))
            .when(k % 6 == 2, F.concat(F.lit("Power supply voltage low CONVEYOR "), (k % 4).cast("string")))
            .when(k % 6 == 3, F.concat(F.lit("Parada de emergencia MANDRINO "), (k % 2).cast("string")))
            .when(k % 6 == 4, F.concat(F.lit("Axis encoder fault AXIS_"), (k % 3).cast("string")))

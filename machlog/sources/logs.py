@@ -125,7 +125,9 @@ def extract_day(sl: DataFrame, day: str | None = None) -> DataFrame:
     d = sl
     if day is not None:
         d = d.filter(F.date_format(second_ts("date"), "yyyy-MM-dd") == day)
-    return d.select(ts.alias("timestamp"), "id_var", "value").orderBy("timestamp")
+    # chronological order on the numeric epoch (the text sorts the same way)
+    order = ["date"] + (["seq"] if "seq" in d.columns else [])
+    return d.orderBy(*order).select(ts.alias("timestamp"), "id_var", "value")
 
 
 def to_envelope(df: DataFrame, from_date: str, until_date: str, status: str = "success",

@@ -333,6 +333,14 @@ def latest_alarms(stats: DataFrame, n: int = 10) -> DataFrame:
     return stats.orderBy(F.desc("occurrence_count"), "alarm_code", "alarm_text").limit(n)
 
 
+def alarms_by_severity(alarms: DataFrame, severity: str | None = None) -> DataFrame:
+    """The detail table of one severity (all when None), newest first
+    (by ``last_seen``; by ``occurrence_count`` when there is no date)."""
+    d = alarms if severity is None else alarms.filter(F.col("severity") == severity)
+    key = "last_seen" if "last_seen" in alarms.columns else "occurrence_count"
+    return d.orderBy("severity", F.desc(key), "alarm_code", "alarm_text")
+
+
 # ------------------------------------------------------------------ B20 - B28
 
 def interesting_days(scores: DataFrame, n: int = C.TOP_N_DAYS,

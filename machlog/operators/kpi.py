@@ -189,7 +189,8 @@ def oee(operating: DataFrame, performance: float | Column, quality: float | Colu
         shift_hours: float = C.SHIFT_HOURS) -> DataFrame:
     """planned = shift x machines x days, availability = run / planned,
     OEE = availability x performance x quality (performance and quality are
-    inputs, fractions), downtime = planned - run, and a status band per KPI."""
+    inputs, fractions), downtime = planned - run, utilisation = run / planned
+    (the summary panel's figure), and a status band per KPI."""
     agg = operating.agg(F.coalesce(F.sum("Operating"), F.lit(0.0)).alias("run_h"),
                         F.count_distinct("machine").alias("machines"),
                         F.count_distinct("date").alias("days"))
@@ -199,7 +200,8 @@ def oee(operating: DataFrame, performance: float | Column, quality: float | Colu
     a = agg.select("run_h", planned.alias("planned_h"))
     avail = F.when(F.col("planned_h") > 0, F.col("run_h") / F.col("planned_h")).otherwise(F.lit(0.0))
     b = a.select("planned_h", "run_h", (F.col("planned_h") - F.col("run_h")).alias("downtime_h"),
-                 (avail * 100).alias("availability_pct"), (perf * 100).alias("performance_pct"),
+                 (avail * 100).alias("availability_pct"), (avail * 100).alias("utilization_pct"),
+                 (perf * 100).alias("performance_pct"),
                  (qual * 100).alias("quality_pct"), (avail * perf * qual * 100).alias("oee_pct"))
     bands = C.BANDS
     return b.select("*",

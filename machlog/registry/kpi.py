@@ -228,7 +228,8 @@ b AS (SELECT planned_h, run_h, planned_h - run_h AS downtime_h,
   {PERF} * 100 AS performance_pct, {QUAL} * 100 AS quality_pct,
   CASE WHEN planned_h > 0 THEN run_h / planned_h ELSE 0 END * {PERF} * {QUAL} * 100 AS oee_pct FROM a)
 SELECT round(planned_h, 6) AS planned_h, round(run_h, 6) AS run_h, round(downtime_h, 6) AS downtime_h,
-  round(availability_pct, 6) AS availability_pct, round(performance_pct, 6) AS performance_pct,
+  round(availability_pct, 6) AS availability_pct, round(availability_pct, 6) AS utilization_pct,
+  round(performance_pct, 6) AS performance_pct,
   round(quality_pct, 6) AS quality_pct, round(oee_pct, 6) AS oee_pct,
   {_band_sql('oee_pct', *C.BANDS['oee'])} AS oee_status,
   {_band_sql('availability_pct', *C.BANDS['availability'])} AS availability_status,

@@ -76,13 +76,13 @@ def shutdown_log(sl: DataFrame, ids: Sequence[int] = (C.ALARM_VAR, C.FILE_STATUS
     return out.select("id_var", "log_time", "value")
 
 
-def log_gaps(sl: DataFrame, ids: Sequence[int]) -> DataFrame:
-    """Previous log time per variable over the non-empty messages
-    (``lag`` per ``id_var``, day-bucketed so one busy variable is split)."""
+def log_gaps(sl: DataFrame, ids: Sequence[int], span_s: int = RAW_SPAN_S) -> DataFrame:
+    """Previous log time per variable over the non-empty messages (``lag``
+    per ``id_var``, bucketed by ``span_s`` so one busy variable is split)."""
     logs = valid_values(sl.filter(F.col("id_var").isin(list(ids)))).withColumn(
         "log_time", second_ts("date"))
     logs = ordered_window(logs, order=_order(logs), keys=["id_var"],
-                          bucket=ms_bucket("date", RAW_SPAN_S),
+                          bucket=ms_bucket("date", span_s),
                           lags={"previous_log_time": ("log_time", None)})
     return logs.withColumn(
         "gap_s", F.unix_seconds("log_time") - F.unix_seconds("previous_log_time"))
@@ -237,27 +237,29 @@ def noise_filter(sl: DataFrame, codes: Sequence[str] = C.NOISE_CODES) -> DataFra
 
 
 def alarm_rows(sl: DataFrame, from_date: str | None = None, until_date: str | None = None,
-               var: int = C.ALARM_VAR, noise: Sequence[str] = C.NOISE_CODES) -> DataFrame:
+               var: int = C.ALARM_VAR, noise: Sequence[str] = C.NOISE_CODES,
+               span_s: int = RAW_SPAN_S) -> DataFrame:
     """Rows of the alarm variable after the period and noise filters, each
     with ``next_ts``: the next surviving row's second (global order).
     ``'[]'`` rows stay: they end alarms."""
     raw = noise_filter(period_filter(sl.filter(F.col("id_var") == var), from_date, until_date), noise)
     raw = raw.withColumn("ts", second_ts("date"))
-    return ordered_window(raw, order=_order(raw), bucket=ms_bucket("date", RAW_SPAN_S),
+    return ordered_window(raw, order=_order(raw), bucket=ms_bucket("date", span_s),
                           leads={"next_ts": ("ts", None)})
 
 
 def alarm_incidents(sl: DataFrame, from_date: str | None = None, until_date: str | None = None,
-                    var: int = C.ALARM_VAR, noise: Sequence[str] = C.NOISE_CODES) -> DataFrame:
+                    var: int = C.ALARM_VAR, noise: Sequence[str] = C.NOISE_CODES,
+                    span_s: int = RAW_SPAN_S, keyed_span_s: int = KEYED_SPAN_S) -> DataFrame:
     """Incidents (gaps and islands).  Each row is valid on
     ``[ts, next_ts)``; the last row is dropped.  Per (code, text), a new
     incident starts where the previous entry's end is NULL or before ``ts``.
     Output: one row per incident with its start."""
-    raw = alarm_rows(sl, from_date, until_date, var, noise)
+    raw = alarm_rows(sl, from_date, until_date, var, noise, span_s)
     flat = explode_alarms(raw.filter(F.col("next_ts").isNotNull()), numbers=False)
     order = ["ts"] + [c for c in ("date", "seq") if c in flat.columns]
     seg = ordered_window(flat, order=order, keys=["alarm_code", "alarm_text"],
-                         bucket=time_bucket("ts", KEYED_SPAN_S), lags={"prev_end": ("next_ts", None)})
+                         bucket=time_bucket("ts", keyed_span_s), lags={"prev_end": ("next_ts", None)})
     starts = seg.filter(F.col("prev_end").isNull() | (F.col("prev_end") < F.col("ts")))
     return starts.select("alarm_code", "alarm_text", F.col("ts").alias("start_time"))
 
@@ -362,9 +364,13 @@ def alerts_per_day(msgs: DataFrame, vars_df: DataFrame, days: DataFrame) -> Data
     a = (msgs.withColumn("ts_utc", ms_ts("date")).withColumn("day", day_of("ts_utc"))
          .join(F.broadcast(av), F.col("id_var") == F.col("id"), "inner")
          .join(F.broadcast(days.select("day")), "day", "inner"))
-    c = a.select("day", CL.classify(F.col("value"), C.B22_CLASSES).alias("alert_type"),
-                 CL.location(F.col("name")).alias("location"))
-    return c.groupBy("day", "alert_type", "location").agg(F.count("*").alias("events"))
+    # Class and location depend only on (message, variable name): count the
+    # rows per (day, message, name) first (combined map-side; alert messages
+    # repeat), run the regexes once per distinct triple, then add up.
+    per_msg = a.groupBy("day", "value", "name").agg(F.count("*").alias("_n"))
+    c = per_msg.select("day", CL.classify(F.col("value"), C.B22_CLASSES).alias("alert_type"),
+                       CL.location(F.col("name")).alias("location"), "_n")
+    return c.groupBy("day", "alert_type", "location").agg(F.sum("_n").alias("events"))
 
 
 def program_state(prog: DataFrame, ids: Sequence[int] = C.PROGRAM_VARS) -> DataFrame:

@@ -113,9 +113,10 @@ def load_samples(log: DataFrame, var_id: int | None = None, vars_df: DataFrame |
     return s.select(*keep, ms_ts("date").alias("ts"), clamp_pct(F.col("value")).alias("pct"))
 
 
-def with_next(samples: DataFrame) -> DataFrame:
-    """``ts_next``: the next sample's time in global order (NULL for the last)."""
-    return ordered_window(samples, order=_order(samples), bucket=ms_bucket("date", RAW_SPAN_S),
+def with_next(samples: DataFrame, span_s: int = RAW_SPAN_S) -> DataFrame:
+    """``ts_next``: the next sample's time in global order (NULL for the
+    last); the window runs per ``span_s`` bucket of the sample time."""
+    return ordered_window(samples, order=_order(samples), bucket=ms_bucket("date", span_s),
                           leads={"ts_next": ("ts", None)})
 
 
@@ -158,17 +159,17 @@ def energy_per_day(log: DataFrame, vars_df: DataFrame, name: str = C.ENERGY_VAR_
         F.sum(_kwh(F.col("pct"), F.col("hours"), power_kw)).alias("total_energy_kwh"))
 
 
-def _runs(s: DataFrame, on_threshold: float) -> DataFrame:
+def _runs(s: DataFrame, on_threshold: float, span_s: int = RAW_SPAN_S) -> DataFrame:
     """Valid intervals with ``is_on`` and a global ``run_id`` (running count
     of off -> on starts, ``IS DISTINCT FROM TRUE`` on the previous flag)."""
-    s = with_next(s)
+    s = with_next(s, span_s)
     iv = s.filter(F.col("ts_next").isNotNull() & (F.col("ts_next") > F.col("ts")))
     iv = iv.withColumn("is_on", F.col("pct") > F.lit(on_threshold))
-    iv = ordered_window(iv, order=_order(iv), bucket=ms_bucket("date", RAW_SPAN_S),
+    iv = ordered_window(iv, order=_order(iv), bucket=ms_bucket("date", span_s),
                         lags={"prev_on": ("is_on", None)})
     iv = iv.withColumn("start_flag", F.when(
         F.col("is_on") & ~F.col("prev_on").eqNullSafe(F.lit(True)), F.lit(1)).otherwise(F.lit(0)))
-    return ordered_window(iv, order=_order(iv), bucket=ms_bucket("date", RAW_SPAN_S),
+    return ordered_window(iv, order=_order(iv), bucket=ms_bucket("date", span_s),
                           running_sums={"run_id": "start_flag"})
 
 
@@ -202,12 +203,12 @@ def energy_runs_per_day(log: DataFrame, vars_df: DataFrame, days: DataFrame | Se
 
 def daily_energy(log: DataFrame, from_date: str | None = None, until_date: str | None = None,
                  var_id: int = C.ENERGY_VAR_FINAL, power_kw: float = C.RATED_POWER_KW,
-                 on_threshold: float = C.ON_THRESHOLD) -> DataFrame:
+                 on_threshold: float = C.ON_THRESHOLD, span_s: int = RAW_SPAN_S) -> DataFrame:
     """E9 (final): kWh per day for a period; the period filter applies
     before ``lead`` (the last sample of the period has no interval).  Only
     the on-filter matters for kWh, so no run ids are built."""
     s = load_samples(period_filter(log, from_date, until_date), var_id=var_id)
-    s = with_next(s)
+    s = with_next(s, span_s)
     iv = s.filter(F.col("ts_next").isNotNull() & (F.col("ts_next") > F.col("ts"))
                   & (F.col("pct") > F.lit(on_threshold)))
     p = split_days(iv)

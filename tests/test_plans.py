@@ -85,3 +85,17 @@ def test_read_string_export(spark, tmp_path):
     assert rows[1]["value"] == "[]" and rows[2]["value"] == ""
     assert rows[3]["value"] == "TNC:\\nc_prog\\$mdi.h"
     assert rows[0]["ts"].strftime("%H:%M:%S") == "03:27:10"
+
+
+def test_bucket_width_does_not_change_results(spark):
+    from machlog.operators import alarms as B
+    from machlog.operators import energy as E
+
+    ev = ad.events(spark, "/root/testdata/sf0.001")
+    sl, load = ad.alarm_log(ev), ad.load_log(ev)
+    a = B.alarm_statistics(B.alarm_incidents(sl))
+    b = B.alarm_statistics(B.alarm_incidents(sl, span_s=600, keyed_span_s=7 * 86400))
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    e1 = E.daily_energy(load).select("day", F.round("total_energy_kwh", 9).alias("k"))
+    e2 = E.daily_energy(load, span_s=7 * 86400).select("day", F.round("total_energy_kwh", 9).alias("k"))
+    assert e1.exceptAll(e2).count() == 0 and e2.exceptAll(e1).count() == 0

@@ -111,8 +111,10 @@ def read_string_export(spark: SparkSession, path: str) -> DataFrame:
              .option("lineSep", "\r\n").csv(path))
     inner = F.from_csv(F.col("_c0"), _EXPORT_INNER, {"quote": '"', "escape": '"'}).alias("r")
     rows = outer.select(inner).select("r.*").filter(F.col("timestamp") != "timestamp")
-    return rows.select(F.to_timestamp("timestamp", "yyyy-MM-dd HH:mm:ss").alias("ts"),
-                       F.col("id_var").cast("int").alias("id_var"),
+    # external text: malformed fields become NULL instead of failing the job
+    # (ANSI casts raise)
+    return rows.select(F.try_to_timestamp("timestamp", F.lit("yyyy-MM-dd HH:mm:ss")).alias("ts"),
+                       F.col("id_var").try_cast("int").alias("id_var"),
                        F.coalesce(F.col("value"), F.lit("")).alias("value"))
 
 

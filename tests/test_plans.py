@@ -76,6 +76,15 @@ EXPORT = (
 )
 
 
+def test_read_string_export_tolerates_bad_lines(spark, tmp_path):
+    p = tmp_path / "bad.csv"
+    p.write_bytes((EXPORT + '"not a time,""x"",""v""";;;\r\n').encode())
+    rows = L.read_string_export(spark, str(p)).collect()
+    assert len(rows) == 5
+    bad = [r for r in rows if r["value"] == "v"][0]
+    assert bad["ts"] is None and bad["id_var"] is None
+
+
 def test_read_string_export(spark, tmp_path):
     p = tmp_path / "export.csv"
     p.write_bytes(EXPORT.encode())

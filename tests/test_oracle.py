@@ -52,11 +52,21 @@ SQL_TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string":
              "date": "DATE", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN"}
 
 
+FORBIDDEN_NODES = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython",
+                   "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas")
+
+
+def _assert_plan_clean(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not [n for n in FORBIDDEN_NODES if n in plan], plan
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, duck, name):
     df = QUERIES[name](spark, SF)
     cols = sorted(df.columns)
     got = sorted("|".join(_norm(r[c]) for c in cols) for r in df.collect())
+    _assert_plan_clean(df)  # final AQE plan: no cross / nested-loop joins, no Python
     rel = duck.sql(ORACLE[name])
     assert sorted(rel.columns) == cols
     spark_types = {f.name: SQL_TYPES.get(f.dataType.simpleString(), f.dataType.simpleString())
@@ -69,8 +79,10 @@ def test_query_matches_oracle(spark, duck, name):
 
 @pytest.mark.parametrize("name", ["A17_kmeans_thresholds", "I6_json_envelope"])
 def test_rows_only_queries(spark, name):
-    rows = QUERIES[name](spark, SF).collect()
+    df = QUERIES[name](spark, SF)
+    rows = df.collect()
     assert len(rows) == 1
+    _assert_plan_clean(df)
 
 
 def test_entry_smoke(spark):

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from machlog.llm.common import ASCII_SPACE, ascii_lower, fields, hash128, quoted, whole_row
+from machlog.llm.common import ASCII_SPACE, ascii_lower, cut, fields, hash128, quoted, whole_row
 
 
 def line_key(line: Column) -> Column:
@@ -55,8 +55,9 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
         .filter(long_enough)
     )
     in_document = base.select(F.explode(F.array_distinct(F.transform("lines", _key_hash(min_chars)))).alias("key"))
-    common = (in_document.filter("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-              .filter(F.col("n") >= min_docs).select("key"))
+    # Written, so that both sides of the next join are plain exchanges: only then can a hot key be split.
+    common = cut(in_document.filter("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+                 .filter(F.col("n") >= min_docs).select("key"), "common-lines")
     dropped = (marks.join(common, "key", "left_semi").groupBy("id", "version")
                .agg(F.sort_array(F.collect_set("pos")).alias("cuts")))
     d = dropped.select(F.col("id").alias("d_id"), F.col("version").alias("d_version"), "cuts")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from machlog.llm import line_dedup, url_filter
-from machlog.llm.common import table
+from machlog.llm import byte_bpe, exact_dedup, language_id, line_dedup, quality, url_filter
+from machlog.llm.common import id_crc, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -83,3 +84,62 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.drop_common_lines(docs, min_docs=10, min_chars=1)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+_EXACT_SQL = r"""
+WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       doc_id = min(doc_id) OVER w AS kept, text_sha256
+FROM d WINDOW w AS (PARTITION BY text_sha256)
+"""
+
+
+@query("op7_exact_dedup", _EXACT_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The later half of the documents against the snapshot of the earlier half."""
+    snapshot, incoming = exact_dedup.halves(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = exact_dedup.dedup(incoming, snapshot)
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
+
+
+QUALITY_CUT = 0.3
+
+
+def quality_held_out(doc_id: Column) -> Column:
+    return F.pmod(id_crc(doc_id), F.lit(5)) == 0
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.BradleyTerry:
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return quality.learn(docs, labels, lambda i: ~quality_held_out(i))
+
+
+@query("op1_quality_classifier")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score, learned from the labels of four fifths of the ids."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality_model(spark, docs, sf_dir), QUALITY_CUT)
+    return scored.select("doc_id", quality_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+BYTE_BPE = "byte_bpe_50k.tiktoken"
+
+
+@query("op3_byte_bpe")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token count with digests of its ids and of what they decode to."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return byte_bpe.encode(docs, public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN, keep_ids=False)
+
+
+def language_held_out(doc_id: Column) -> Column:
+    return F.pmod(id_crc(doc_id), F.lit(4)) == 2
+
+
+@query("op5_language_id")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from three quarters of the ids."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.learn(docs.select("doc_id", "text", "lang"), lambda i: ~language_held_out(i))
+    said = language_id.predict(docs.select("doc_id", "text"), model)
+    return said.select("doc_id", language_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from machlog.llm import byte_bpe, exact_dedup, language_id, line_dedup, quality, url_filter
+from machlog.llm import byte_bpe, exact_dedup, language_id, lattice_lm, line_dedup, quality, url_filter
 from machlog.llm.common import id_crc, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,3 +143,20 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.learn(docs.select("doc_id", "text", "lang"), lambda i: ~language_held_out(i))
     said = language_id.predict(docs.select("doc_id", "text"), model)
     return said.select("doc_id", language_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def lm_held_out(doc_id: Column) -> Column:
+    return F.pmod(id_crc(doc_id), F.lit(7)) == 2
+
+
+PIECES = "piece_bpe_32k.model"
+
+
+@query("op6_lm_scoring")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability, learned from six sevenths of the ids."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = lattice_lm.Pieces.of_model(public_tokenizers.path(PIECES))
+    scored = lattice_lm.score(docs, pieces, ~lm_held_out(F.col("doc_id")))
+    return scored.select("doc_id", lm_held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                         "base_score", "score")

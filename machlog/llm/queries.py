@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from machlog.llm import byte_bpe, exact_dedup, language_id, lattice_lm, line_dedup, quality, url_filter
+from machlog.llm import byte_bpe, decontaminate, exact_dedup, language_id, lattice_lm, line_dedup, quality, url_filter
 from machlog.llm.common import id_crc, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +160,35 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lattice_lm.score(docs, pieces, ~lm_held_out(F.col("doc_id")))
     return scored.select("doc_id", lm_held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
                          "base_score", "score")
+
+
+_WORDS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+_BENCHMARK_SQL = f"""
+WITH doc AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+item AS (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark),
+item_window AS (
+  SELECT item_id, n, array_to_string(w[s:s + n - 1], ' ') AS phrase
+  FROM (SELECT item_id, w, least(len(w), 13) AS n, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS s FROM item WHERE len(w) > 0)),
+size AS (SELECT DISTINCT n FROM item_window),
+doc_window AS (
+  SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS phrase
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM doc, size)),
+hit AS (SELECT DISTINCT doc_id, n, s, item_id FROM doc_window JOIN item_window USING (n, phrase)),
+word AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hit) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+
+@query("op4_decontamination", _BENCHMARK_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against every window of the benchmark."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"), keep_text=False)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from machlog.llm import byte_bpe, decontaminate, exact_dedup, language_id, lattice_lm, line_dedup, quality, url_filter
+from machlog.llm import byte_bpe, decontaminate, exact_dedup, html_extract, language_id, lattice_lm, line_dedup, quality, url_filter
 from machlog.llm.common import id_crc, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,3 +192,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"), keep_text=False)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op9_html_extraction")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages).select("page_id", "url", "text", "n_chars")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from machlog.llm import byte_bpe, decontaminate, exact_dedup, html_extract, language_id, lattice_lm, line_dedup, quality, url_filter
+from machlog.llm import byte_bpe, decontaminate, exact_dedup, html_extract, jaccard_join, language_id, lattice_lm, line_dedup, quality, url_filter
 from machlog.llm.common import id_crc, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -199,3 +199,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's main text."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_extract.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
+@query("op8_jaccard_join")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of near duplicates."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.join(docs).select("doc_id", "n_shingles", "component_id")

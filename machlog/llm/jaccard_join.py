@@ -178,13 +178,13 @@ def _joined(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     classes = cut(rows.filter("n > 0").groupBy("digest", "head", "n")
                   .agg(F.min("key").alias("key"), F.min("id").alias("first_id")), "shingle-classes")
     members = cut(_members(classes), "shingle-groups")
-    index = cut(_index(rows.filter("n > 0"), classes), "shingle-index")
+    index = cut(_index(rows.filter("n > 0")), "shingle-index")
 
-    pairs = cut(_star_pairs(index, members), "star-pairs")
+    pairs = cut(_plausible(_star_pairs(index, members), rows), "star-pairs")
     links = cut(_verified(pairs, classes, docs, doc_id, text), "star-links")
     known = cut(components(links), "star-components")
 
-    pairs = cut(_cross_pairs(index, members, known).join(pairs, ["a", "b"], "left_anti"), "cross-pairs")
+    pairs = cut(_plausible(_cross_pairs(index, members, known).join(pairs, ["a", "b"], "left_anti"), rows), "cross-pairs")
     more = _verified(pairs, classes, docs, doc_id, text)
     final = components(known.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more))
 
@@ -200,17 +200,19 @@ def _joined(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _members(classes: DataFrame) -> DataFrame:
-    """lead, digest: the classes of groups that have several, with the group's least class."""
-    lead = classes.groupBy("head").agg(F.min("digest").alias("lead"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
-    return classes.select("head", "digest").join(lead, "head").select("lead", "digest")
+    """lead, digest: every class with the number of its group, a hash of size and prefix.
+    Groups that share a number would only add pairs to verify."""
+    return classes.select(_lead().alias("lead"), "digest")
 
 
-def _index(rows: DataFrame, classes: DataFrame) -> DataFrame:
+def _lead() -> Column:
+    return F.xxhash64("head")
+
+
+def _index(rows: DataFrame) -> DataFrame:
     """token, salt, lead, n, pos and the pivot of the token (and salt): prefix
     shingles of groups, those that occur once left out."""
-    lead = classes.groupBy("head").agg(F.min("digest").alias("lead"))
-    groups = (rows.groupBy("head", "n").agg(F.first("prefix").alias("prefix"), F.first("salts").alias("salts"))
-              .join(lead, "head"))
+    groups = rows.groupBy("head", "n").agg(F.first("prefix").alias("prefix"), F.first("salts").alias("salts")).withColumn("lead", _lead())
     each = groups.select("lead", "n", F.posexplode(F.arrays_zip("prefix", "salts")).alias("pos", "x")).select(
         F.col("x.prefix").alias("token"), F.col("x.salts").alias("salt"), "lead", F.col("n").cast("int").alias("n"), "pos")
     one = Window.partitionBy("token", "salt")
@@ -224,7 +226,7 @@ def _pair(a: Column, b: Column) -> list[Column]:
 
 
 def _star_pairs(index: DataFrame, members: DataFrame) -> DataFrame:
-    """Groups with their pivots, pivots of the parts of one token, classes with their group."""
+    """Groups with their pivots, pivots of the parts of one token, classes with the least of their group."""
     flat = index.select("lead", F.col("pivot.lead").alias("other"), F.col("n").alias("l_n"), F.col("pos").alias("l_pos"),
                         F.col("pivot.n").alias("p_n"), F.col("pivot.pos").alias("p_pos"))
     near = flat.filter("lead <> other").filter(_could_link("l_", "p_")).select(*_pair(F.col("lead"), F.col("other")))
@@ -232,17 +234,21 @@ def _star_pairs(index: DataFrame, members: DataFrame) -> DataFrame:
     centre = parts.groupBy("token").agg(F.min("pivot").alias("centre"))
     between = (parts.join(centre, "token").filter("pivot.lead <> centre.lead")
                .select(*_pair(F.col("pivot.lead"), F.col("centre.lead"))))
-    inside = members.filter("lead <> digest").select(*_pair(F.col("lead"), F.col("digest")))
-    return near.unionByName(between).unionByName(inside).distinct()
+    least = members.groupBy("lead").agg(F.min("digest").alias("least"), F.count(F.lit(1)).alias("classes"))
+    one_a, one_b = (least.select(F.col("lead").alias(c), F.col("least").alias(f"{c}_least")) for c in ("a", "b"))
+    groups = near.unionByName(between).distinct().join(one_a, "a").join(one_b, "b").select(*_pair(F.col("a_least"), F.col("b_least")))
+    several = least.filter("classes > 1").select(F.col("lead").alias("of"), "least")
+    inside = (members.join(several, F.col("lead") == F.col("of")).filter("least <> digest")
+              .select(*_pair(F.col("least"), F.col("digest"))))
+    return groups.unionByName(inside)
 
 
 def _cross_pairs(index: DataFrame, members: DataFrame, known: DataFrame) -> DataFrame:
     """Classes that share a prefix shingle and lie in different components."""
     m = members.select(F.col("lead").alias("m_lead"), F.col("digest").alias("m_digest"))
-    expanded = index.select("token", "lead", "n", "pos").join(m, F.col("lead") == F.col("m_lead"), "left").select(
-        "token", F.coalesce("m_digest", "lead").alias("digest"), "n", "pos")
-    placed = cut(expanded.join(known, F.col("digest") == F.col("node"), "left").select(
-        "token", "digest", "n", "pos", F.coalesce("comp", "digest").alias("comp")), "shingle-components")
+    own = m.join(known, F.col("m_digest") == F.col("node"), "left").select("m_lead", "m_digest", F.coalesce("comp", "m_digest").alias("comp"))
+    expanded = index.select("token", "lead", "n", "pos").join(own, F.col("lead") == F.col("m_lead"))
+    placed = cut(expanded.select("token", F.col("m_digest").alias("digest"), "n", "pos", "comp"), "shingle-components")
     most = (placed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("rows"))
             .groupBy("token").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("rows", "comp")).alias("most"))
             .filter("comps > 1").select("token", F.col("most.comp").alias("main")))
@@ -254,13 +260,45 @@ def _cross_pairs(index: DataFrame, members: DataFrame, known: DataFrame) -> Data
     return met.filter(_could_link("o_", "a_")).select(*_pair(F.col("o_digest"), F.col("digest"))).distinct()
 
 
+def _bits(keys: DataFrame, spark):
+    """A broadcast filter of fixed size over the longs in column ``key``: no false negatives."""
+    places = keys.select(F.pmod("key", F.lit(FILTER_BITS)).alias("bit")).distinct().toPandas()["bit"].to_numpy(np.int64)
+    bits = np.zeros(FILTER_BITS, np.bool_)
+    bits[places] = True
+    return spark.sparkContext.broadcast(np.packbits(bits))
+
+
+def _plausible(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs whose whole prefixes allow the similarity.
+
+    Shared shingles up to the earlier end of the two prefixes lie in both; beyond
+    it one set has needed(n) - 1 left.  So the overlap is at most the shared part
+    of the prefixes and the larger of those rests.
+    """
+    pairs = cut(pairs, "pairs")
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct(), "wanted")
+    shipped = _bits(wanted.select(F.xxhash64("digest").alias("key")), pairs.sparkSession)
+
+    def let_through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = np.unpackbits(shipped.value).astype(bool)
+        for batch in batches:
+            yield batch.select([1, 2, 3]).filter(pa.array(passes[batch.column(0).to_numpy()]))
+
+    kept = (rows.filter("n > 0").select(F.pmod(F.xxhash64("digest"), F.lit(FILTER_BITS)).alias("bit"), "digest", "n", "prefix")
+            .mapInArrow(let_through, "digest binary, n bigint, prefix array<bigint>"))
+    prefixes = cut(kept.join(wanted, "digest", "left_semi").groupBy("digest", "n").agg(F.first("prefix").alias("prefix")), "prefixes")
+    a, b = (prefixes.select(F.col("digest").alias(c), F.col("n").alias(f"{c}_n"), F.col("prefix").alias(f"{c}_prefix")) for c in "ab")
+    shared = F.size(F.array_intersect("a_prefix", "b_prefix"))
+    rest = F.ceil(F.greatest("a_n", "b_n") * PERCENT / 100) - 1
+    fits = (shared + rest) * (100 + PERCENT) >= (F.col("a_n") + F.col("b_n")) * PERCENT
+    close = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * PERCENT
+    return pairs.join(a, "a").join(b, "b").filter(close & fits).select("a", "b")
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets reach the similarity."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct().join(classes.select("digest", "key"), "digest")
-    places = wanted.select(F.pmod("key.a", F.lit(FILTER_BITS)).alias("bit")).distinct().toPandas()["bit"].to_numpy(np.int64)
-    bits = np.zeros(FILTER_BITS, np.bool_)
-    bits[places] = True
-    shipped = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    shipped = _bits(wanted.select(F.col("key.a").alias("key")), docs.sparkSession)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passes = np.unpackbits(shipped.value).astype(bool)

@@ -18,6 +18,7 @@ corpus-wide counts and probabilities by a join and go back to their block.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from machlog.llm.common import arrow_rows, cut, fields, quoted, whole_row
+from machlog.llm.common import cut, fields, quoted, whole_row
 
 #: Bytes of text a block gathers before it is closed.
 BLOCK_BYTES = 8_000_000
@@ -41,6 +42,12 @@ PRIOR = 1000.0
 MILLION = 1_000_000
 
 
+_BYTE = re.compile(r"<0x[0-9A-F]{2}>")
+#: Longer words, and words with a character that is no piece, are worked out one by one.
+SIDE_BY_SIDE = 48
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
 @dataclass
 class Pieces:
     """A subword vocabulary: pieces and their probabilities (natural log)."""
@@ -48,10 +55,21 @@ class Pieces:
     log_p: dict[str, float]
 
     def __post_init__(self):
+        # The end and the spelt bytes are no pieces of a text that contains their names.
+        self.plain = {p: w for p, w in self.log_p.items() if p and p != END and not _BYTE.fullmatch(p)}
         self.reach: dict[str, int] = {}
-        for p in self.log_p:
-            if p[:1]:
-                self.reach[p[0]] = max(self.reach.get(p[0], 1), len(p))
+        for p in self.plain:
+            self.reach[p[0]] = max(self.reach.get(p[0], 1), len(p))
+        self.longest = max(self.reach.values(), default=1)
+        self.single = frozenset(p for p in self.plain if len(p) == 1)
+        self.names = list(self.plain)
+        hashes = np.array([_hash_of(p) for p in self.names], np.uint64)
+        self.order = np.argsort(hashes)
+        self.hashes = hashes[self.order]
+        assert len(np.unique(hashes)) == len(hashes)
+        self.weights = np.append(np.fromiter(self.plain.values(), np.float64, len(self.plain)), -np.inf)
+        self.maybe = np.zeros(1 << 20, np.bool_)
+        self.maybe[(hashes >> np.uint64(44)).astype(np.int64)] = True
 
     @classmethod
     def of_model(cls, path: str) -> Pieces:
@@ -74,13 +92,13 @@ class Pieces:
         """For each place of the marked word the pieces that start there: (end, piece, log p).
         A character that is no piece is spelt in bytes."""
         s = START + word
-        found, get = [], self.log_p.get
+        found, get = [], self.plain.get
         for i in range(len(s)):
             here = []
             for j in range(i + 1, min(len(s), i + self.reach.get(s[i], 1)) + 1):
                 p = s[i:j]
                 w = get(p)
-                if w is not None and p != END:
+                if w is not None:
                     here.append((j, p, w))
             if not here or here[0][0] != i + 1:
                 spelt = tuple(f"<0x{b:02X}>" for b in s[i].encode("utf-8", "surrogatepass"))
@@ -98,6 +116,71 @@ class Pieces:
                 out[j] = _log_add(out[j], a + w)
         return out
 
+    def _lookup(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces with these hashes; the last number where there is none."""
+        found = np.full(h.shape, len(self.names), np.int64)
+        on = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
+        wanted = h.ravel()[on]
+        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+        same = self.hashes[at] == wanted
+        found.ravel()[on[same]] = self.order[at[same]]
+        return found
+
+    def _by_length(self, words: list[str]) -> dict[int, list[int]]:
+        groups: dict[int, list[int]] = {}
+        for k, w in enumerate(words):
+            size = len(w) + 1
+            groups.setdefault(size if size <= SIDE_BY_SIDE and START in self.single and self.single.issuperset(w) else 0, []).append(k)
+        return groups
+
+    def many(self, words: list[str], times: list[int] | None = None, into: dict[str, int] | None = None) -> np.ndarray:
+        """Log probabilities of the words; with ``times`` also their expected pieces, in millionths.
+
+        Words of one length are columns of the same recursions.
+        """
+        out = np.empty(len(words))
+        sums = np.zeros(len(self.names) + 1, np.int64)
+        for size, members in self._by_length(words).items():
+            if not size:
+                for k in members:
+                    if times is None:
+                        out[k] = self.word(words[k])
+                    else:
+                        self.expected(words[k], times[k], into)
+                continue
+            for at in range(0, len(members), 4096):
+                chosen = members[at:at + 4096]
+                text = "".join(START + words[k] for k in chosen)
+                codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, size).astype(np.uint64) + np.uint64(1)
+                out[chosen] = self._side_by_side(codes, None if times is None else np.array([times[k] for k in chosen], np.float64), sums)
+        if into is not None:
+            for k in np.flatnonzero(sums[:-1]).tolist():
+                into[self.names[k]] = into.get(self.names[k], 0) + int(sums[k])
+        return out
+
+    def _side_by_side(self, codes: np.ndarray, times: np.ndarray | None, sums: np.ndarray) -> np.ndarray:
+        size = codes.shape[1]
+        spans = range(1, min(size, self.longest) + 1)
+        h, pieces, weight = np.zeros_like(codes), {}, {}
+        for n in spans:  # pieces of n characters from every place
+            h = (h[:, :size - n + 1] * _STEP) + codes[:, n - 1:]
+            pieces[n] = self._lookup(h)
+            weight[n] = self.weights[pieces[n]]
+        ahead = np.full((len(codes), size + 1), -np.inf)
+        ahead[:, 0] = 0.0
+        for j in range(1, size + 1):
+            ahead[:, j] = np.logaddexp.reduce([ahead[:, j - n] + weight[n][:, j - n] for n in spans if n <= j])
+        if times is not None:
+            back = np.full((len(codes), size + 1), -np.inf)
+            back[:, size] = 0.0
+            for i in range(size - 1, -1, -1):
+                back[:, i] = np.logaddexp.reduce([weight[n][:, i] + back[:, i + n] for n in spans if i + n <= size])
+            scale = times[:, None] * MILLION
+            for n in spans:
+                share = ahead[:, :size - n + 1] + weight[n] + back[:, n:] - ahead[:, size:]
+                np.add.at(sums, pieces[n].ravel(), np.rint(np.exp(np.minimum(share, 0.0)) * scale).astype(np.int64).ravel())
+        return ahead[:, size]
+
     def word(self, word: str) -> float:
         return self.forward(self.edges(word))[-1]
 
@@ -124,6 +207,13 @@ class Pieces:
         return Pieces({p: math.log((counts.get(p, 0) / MILLION + PRIOR * math.exp(w)) / total) for p, w in self.log_p.items()})
 
 
+def _hash_of(piece: str) -> int:
+    h = 0
+    for c in piece:
+        h = (h * int(_STEP) + ord(c) + 1) % 2**64
+    return h
+
+
 def _log_add(a: float, b: float) -> float:
     if a < b:
         a, b = b, a
@@ -233,8 +323,9 @@ def score(docs: DataFrame, vocabulary: Pieces, learn: Column, text: str = "text"
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use, into = first.value, {}
-        for w, c in arrow_rows(batches):
-            use.expected(w.decode("utf-8", "surrogatepass"), c, into)
+        for batch in batches:
+            found = [w.decode("utf-8", "surrogatepass") for w in batch.column(0).to_pylist()]
+            use.many(found, batch.column(1).to_pylist(), into)
         yield pa.RecordBatch.from_arrays([pa.array(list(into), pa.string()), pa.array(list(into.values()), pa.int64())], ["piece", "n"])
 
     parts = counts.filter("c > 0").mapInArrow(expect, "piece string, n bigint")
@@ -245,7 +336,7 @@ def score(docs: DataFrame, vocabulary: Pieces, learn: Column, text: str = "text"
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = shipped.value
         for batch in batches:
-            p = [use.word(w.decode("utf-8", "surrogatepass")) for w in batch.column(0).to_pylist()]
+            p = use.many([w.decode("utf-8", "surrogatepass") for w in batch.column(0).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p, pa.float64())], ["word", "c", "log_p"])
 
     weighed = counts.mapInArrow(weigh, "word binary, c bigint, log_p double")

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from machlog.llm.common import cut, fields, quoted, whole_row
 
 #: Bytes of text a block gathers before it is closed.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 24_000_000
 START = "▁"
 END = "</s>"
 #: Weight of the first probabilities, in pieces, against the expected counts.
@@ -233,7 +233,7 @@ class _Block:
         self.places: dict[bytes, int] = {}
         self.learned: list[int] = []
         self.rows: list[pa.Array] = []
-        self.docs: list[tuple[list[int], list[int]]] = []
+        self.docs: list[tuple[np.ndarray, np.ndarray]] = []
 
     def add(self, text: str | None, learn: bool) -> None:
         found = Counter(words(text))
@@ -243,7 +243,7 @@ class _Block:
         if learn:
             for place, n in zip(at, times):
                 self.learned[place] += n
-        self.docs.append((at, times))
+        self.docs.append((np.array(at, np.int32), np.array(times, np.int32)))
         self.bytes += len(text or "") + 100
 
     def tables(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -316,8 +316,8 @@ def score(docs: DataFrame, vocabulary: Pieces, learn: Column, text: str = "text"
     place = dealt.filter("word is not null").select("block", "place", "word", "learned")
     counts = cut(place.groupBy("word").agg(F.sum("learned").alias("c")), "lm-counts")
     known = counts.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
-    ends = docs.filter(F.coalesce(learn, F.lit(False))).count()
-    total, distinct = (known["n"] or 0) + ends, known["v"] + (ends > 0)
+    ends_known = docs.filter(F.coalesce(learn, F.lit(False))).count()
+    total, distinct = (known["n"] or 0) + ends_known, known["v"] + (ends_known > 0)
 
     first = spark.sparkContext.broadcast(vocabulary)
 
@@ -330,7 +330,7 @@ def score(docs: DataFrame, vocabulary: Pieces, learn: Column, text: str = "text"
 
     parts = counts.filter("c > 0").mapInArrow(expect, "piece string, n bigint")
     found = {r["piece"]: int(r["n"]) for r in parts.groupBy("piece").agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("n")).collect()}
-    model = vocabulary.trained(found | {END: ends * MILLION}) if ends else vocabulary
+    model = vocabulary.trained(found | {END: ends_known * MILLION}) if ends_known else vocabulary
     shipped = spark.sparkContext.broadcast(model)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,26 +347,36 @@ def score(docs: DataFrame, vocabulary: Pieces, learn: Column, text: str = "text"
     schema = T.StructType([T.StructField("row", dealt.schema["row"].dataType),
                            *(T.StructField(c, doubles if "score" in c else longs) for c in out)])
     below = math.log10(total + distinct + 1)
-    end_p, end_base = model.log_p[END], math.log10(ends + 1) - below
+    end_p, end_base = model.log_p[END], math.log10(ends_known + 1) - below
 
     def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
         order = np.argsort(right.column("place").to_numpy())
         c = right.column("c").to_numpy()[order]
         log_p = right.column("log_p").to_numpy()[order]
         base = np.log10(c + 1.0) - below
-        got = []
-        for at, times in zip(left.column("at").to_pylist(), left.column("times").to_pylist()):
-            at, times = np.asarray(at, np.int64), np.asarray(times, np.float64)
-            got.append((int(times.sum()) + 1, int(times[c[at] > 0].sum()) + (ends > 0), total,
-                        float(times @ base[at]) + end_base, (float(times @ log_p[at]) + end_p) / math.log(10)))
-        cols = [pa.array(x, pa.float64() if "score" in n else pa.int64()) for x, n in zip(zip(*got), out)]
+        # All documents of the block as one run of places, added up between their offsets.
+        at, times = (left.column(x).combine_chunks() for x in ("at", "times"))
+        ends = at.offsets.to_numpy()
+        here = at.values.to_numpy()[ends[0]:ends[-1]]
+        n = times.values.to_numpy()[times.offsets.to_numpy()[0]:times.offsets.to_numpy()[-1]].astype(np.float64)
+
+        def per_document(x: np.ndarray) -> np.ndarray:
+            # Documents without words are left out: reduceat gives no 0 for an empty run.
+            sums, full = np.zeros(len(ends) - 1), np.flatnonzero(np.diff(ends))
+            if len(full):
+                sums[full] = np.add.reduceat(x, ends[:-1][full] - ends[0])
+            return sums
+
+        got = (per_document(n) + 1, per_document(n * (c[here] > 0)) + (ends_known > 0), np.full(left.num_rows, total),
+               per_document(n * base[here]) + end_base, (per_document(n * log_p[here]) + end_p) / math.log(10))
+        cols = [pa.array(x if "score" in name else x.astype(np.int64)) for x, name in zip(got, out)]
         return pa.Table.from_arrays([left.column("row"), *cols], names=["row", *out])
 
     def together(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return pa.Table.from_arrays([left.column("row"), *(pa.array([], pa.float64() if "score" in n else pa.int64()) for n in out)],
-                                        names=["row", *out])
-        return add_up(left, right)
+        if left.num_rows:
+            return add_up(left, right)
+        empty = [pa.array([], pa.float64() if "score" in name else pa.int64()) for name in out]
+        return pa.Table.from_arrays([left.column("row"), *empty], names=["row", *out])
 
     scored = bodies.groupBy("block").cogroup(back.groupBy("of_block")).applyInArrow(together, schema)
     rest = docs.drop(text, *out)

@@ -66,13 +66,12 @@ def keyword_values(sl: DataFrame, keywords: Sequence[str] = C.B1_KEYWORDS,
 
 def shutdown_log(sl: DataFrame, ids: Sequence[int] = (C.ALARM_VAR, C.FILE_STATUS_VAR),
                  limit: int | None = None) -> DataFrame:
-    """B2: non-empty messages of the alarm / file-status variables in time
-    order (``limit`` = first rows, optional)."""
+    """B2: non-empty messages of the alarm / file-status variables; with
+    ``limit`` the first ones in time order."""
     out = valid_values(sl.filter(F.col("id_var").isin(list(ids)))).select(
         "id_var", second_ts("date").alias("log_time"), "value", *(["date", "seq"] if "seq" in sl.columns else ["date"]))
-    out = out.orderBy(*_order(out))
     if limit:
-        out = out.limit(limit)
+        out = out.orderBy(*_order(out)).limit(limit)
     return out.select("id_var", "log_time", "value")
 
 
@@ -107,16 +106,22 @@ def significant_stops(sl: DataFrame, var: int = C.ALARM_VAR,
         "minutes_since_last_log")
 
 
-def stop_previews(sl: DataFrame, var: int = C.ALARM_VAR, preview: int = C.PREVIEW_LEN_B4,
+def stop_previews(sl: DataFrame, var: int = C.ALARM_VAR, preview: int | None = None,
                   limit: int | None = None) -> DataFrame:
-    """B4, second form: every log with a message preview and the minutes
-    since the previous log (no gap filter)."""
+    """B4, second form: every log with its whole message and the minutes
+    since the previous log (no gap filter); ``preview`` adds a column with
+    the first characters."""
     g = log_gaps(sl, [var])
-    out = g.select("log_time", F.left(F.col("value"), F.lit(preview)).alias("message_preview"),
+    shown = _preview(preview)
+    out = g.select("log_time", F.col("value").alias("message"), *shown,
                    _minutes().alias("minutes_since_last_log"), *_order(g))
     if limit:
         out = out.orderBy(*_order(g)).limit(limit)
-    return out.select("log_time", "message_preview", "minutes_since_last_log")
+    return out.drop(*(c for c in out.columns if c not in ("log_time", "message", "message_preview", "minutes_since_last_log")))
+
+
+def _preview(length: int | None) -> list[Column]:
+    return [F.left(F.col("value"), F.lit(length)).alias("message_preview")] if length else []
 
 
 def _days_frame(days: DataFrame | Sequence[str], spark) -> DataFrame:
@@ -128,21 +133,19 @@ def _days_frame(days: DataFrame | Sequence[str], spark) -> DataFrame:
 
 def stops_on_days(sl: DataFrame, days: DataFrame | Sequence[str],
                   ids: Sequence[int] = (C.ALARM_VAR, C.FILE_STATUS_VAR),
-                  min_minutes: float = C.STOP_GAP_MINUTES, preview: int = C.PREVIEW_LEN_B5,
-                  message_len: int | None = None, keep_cents: bool = False) -> DataFrame:
+                  min_minutes: float = C.STOP_GAP_MINUTES, preview: int | None = None,
+                  keep_cents: bool = False) -> DataFrame:
     """Gaps over the whole log first, then the logs of the selected days
     (``log_time`` in ``[day, day + 1)`` = equi-join on the log's date; the day
     list has one row per selected day, so it is broadcast), gap strictly
-    above ``min_minutes``."""
+    above ``min_minutes``; whole messages, a preview column on request."""
     g = log_gaps(sl, ids).withColumn("day", day_of("log_time"))
     d = _days_frame(days, sl.sparkSession)
     g = g.join(F.broadcast(d), "day", "inner")
     g = g.filter(F.col("gap_s") > F.lit(min_minutes * 60))
     cols = ["day", "id_var", "log_time",
-            F.left(F.col("value"), F.lit(preview)).alias("message_preview"),
+            F.col("value").alias("message"), *_preview(preview),
             _minutes().alias("minutes_since_last_log"), _cents().alias("_cents")]
-    if message_len:
-        cols.append(F.left(F.col("value"), F.lit(message_len)).alias("message"))
     out = g.select(*cols)
     return out if keep_cents else out.drop("_cents")
 
@@ -163,8 +166,8 @@ def _stop_summary(stops: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def stops_per_day(sl: DataFrame, days: DataFrame | Sequence[str], **kw) -> DataFrame:
     """Per day: number of stops, total minutes (sum of the rounded gaps),
-    most frequent 150-char message up to its first comma."""
-    s = stops_on_days(sl, days, message_len=C.PREVIEW_LEN_B4, keep_cents=True, **kw)
+    most frequent whole message, shown up to its first comma."""
+    s = stops_on_days(sl, days, keep_cents=True, **kw)
     g = _stop_summary(s, ["day"])
     return g.select("day", "nb_arrets", (F.col("_cs") / F.lit(100.0)).alias("total_minutes_arret"),
                     "raison_typique")
@@ -172,7 +175,7 @@ def stops_per_day(sl: DataFrame, days: DataFrame | Sequence[str], **kw) -> DataF
 
 def stops_per_day_variable(sl: DataFrame, days: DataFrame | Sequence[str], **kw) -> DataFrame:
     """B6 per (day, id_var) with the mean stop length (rounded half-up)."""
-    s = stops_on_days(sl, days, message_len=C.PREVIEW_LEN_B4, keep_cents=True, **kw)
+    s = stops_on_days(sl, days, keep_cents=True, **kw)
     g = _stop_summary(s, ["day", "id_var"])
     return g.select("day", "id_var", "nb_arrets",
                     (F.col("_cs") / F.lit(100.0)).alias("total_minutes_arret"),
@@ -362,7 +365,7 @@ def alerts_per_day(msgs: DataFrame, vars_df: DataFrame, days: DataFrame) -> Data
     (B22) and located from the variable name (B24), counted."""
     av = alert_variables(vars_df)
     a = (msgs.withColumn("ts_utc", ms_ts("date")).withColumn("day", day_of("ts_utc"))
-         .join(F.broadcast(av), F.col("id_var") == F.col("id"), "inner")
+         .join(av, F.col("id_var") == F.col("id"), "inner")
          .join(F.broadcast(days.select("day")), "day", "inner"))
     # Class and location depend only on (message, variable name): count the
     # rows per (day, message, name) first (combined map-side; alert messages

@@ -70,14 +70,15 @@ def unit_rows(units: DataFrame, patterns: Sequence[str] = C.E2_PATTERNS) -> Data
 
 def resolve_units(vars_df: DataFrame, units: DataFrame, name: str | None = None) -> DataFrame:
     """Unit and label of variables, by unit name first, then by pretty
-    name (both case-insensitive); the units table is a small dimension."""
+    name (both case-insensitive).  The units table grows with the variables, so
+    the join strategy is left to the planner."""
     v = vars_df if name is None else vars_df.filter(F.col("name") == name)
     by_name = units.select(F.lower("name").alias("k1"), F.col("units").alias("u1"),
                            F.col("prettyname").alias("p1"))
     by_pretty = units.select(F.lower("prettyname").alias("k2"), F.col("units").alias("u2"),
                              F.col("prettyname").alias("p2"))
-    j = (v.join(F.broadcast(by_name), F.lower(v["name"]) == F.col("k1"), "left")
-         .join(F.broadcast(by_pretty), F.lower(v["name"]) == F.col("k2"), "left"))
+    j = (v.join(by_name, F.lower(v["name"]) == F.col("k1"), "left")
+         .join(by_pretty, F.lower(v["name"]) == F.col("k2"), "left"))
     return j.select(F.col("name").alias("variable_name"), F.coalesce("u1", "u2").alias("unit"),
                     F.coalesce("p1", "p2").alias("unit_label"))
 

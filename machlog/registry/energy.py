@@ -21,7 +21,8 @@ from machlog.sources import adapters as ad
 
 NAME = C.ENERGY_VAR_NAME
 RUN_ON = 30.0
-PERIOD = ("2024-01-01", "2024-01-30")
+#: E9 and E10 take a period; this one cuts rows off at both ends of the test log.
+PERIOD = ("2024-01-03", "2024-01-27")
 MS0, MS1 = parse_period(*PERIOD)
 
 
@@ -29,33 +30,43 @@ def _rep(t):
     return A.representative_days(t.fl, t.sl)
 
 
-SMP = f"""smp AS (SELECT l.date, l.seq, {ms_ts('l.date')} AS ts, greatest(least(l.value, 100), 0) AS pct
-  FROM loadlog l JOIN vars v ON v.id = l.id_var WHERE v.name = '{NAME}' AND l.value = l.value)"""
+def samples(name: str, where: str) -> str:
+    """Readings of one load signal with their places in time order."""
+    return f"""{name} AS (SELECT row_number() OVER (ORDER BY l.date, l.seq) AS place, {ms_ts('l.date')} AS ts,
+    greatest(least(l.value, 100), 0) AS pct FROM loadlog l WHERE {where})"""
 
 
-def iv_sql(src: str = "smp") -> str:
-    return f"""iv AS (SELECT * FROM (SELECT *, LEAD(ts) OVER (ORDER BY ts, date, seq) AS ts_next FROM {src})
-  WHERE ts_next IS NOT NULL AND ts_next > ts)"""
+def spells(source: str, where: str = "TRUE") -> str:
+    """Each reading holds until the next one."""
+    return f"""spell AS (SELECT a.place, a.ts, b.ts AS until, a.pct, (epoch_us(b.ts) - epoch_us(a.ts)) / 3600000000.0 AS lasts
+  FROM {source} a JOIN {source} b ON b.place = a.place + 1 WHERE b.ts > a.ts AND ({where}))"""
 
 
-def split_sql(src: str = "iv") -> str:
-    return f"""split AS (SELECT *, unnest(generate_series(date_trunc('day', ts), date_trunc('day', ts_next),
-    INTERVAL 1 DAY)) AS gs FROM {src}),
-seg AS (SELECT *, CAST(gs AS DATE) AS day,
-    (epoch_us(least(ts_next, gs + INTERVAL 1 DAY)) - epoch_us(greatest(ts, gs))) / 3600000000.0 AS hours FROM split)"""
+def by_day(source: str = "spell") -> str:
+    """Spells against a calendar of days."""
+    return f"""calendar AS (SELECT unnest(generate_series(date_trunc('day', (SELECT min(ts) FROM {source})),
+    (SELECT max(until) FROM {source}), INTERVAL 1 DAY)) AS midnight),
+part AS (SELECT s.*, CAST(midnight AS DATE) AS day,
+    (epoch_us(least(until, midnight + INTERVAL 1 DAY)) - epoch_us(greatest(ts, midnight))) / 3600000000.0 AS hours
+  FROM {source} s JOIN calendar ON ts < midnight + INTERVAL 1 DAY AND until >= midnight)"""
 
 
-RUNS = f"""{SMP}, {iv_sql()},
-ivo AS (SELECT *, pct > {RUN_ON} AS is_on FROM iv),
-mark AS (SELECT *, CASE WHEN is_on AND (LAG(is_on) OVER (ORDER BY ts, date, seq) IS DISTINCT FROM TRUE)
-  THEN 1 ELSE 0 END AS start_flag FROM ivo),
-runs AS (SELECT *, SUM(start_flag) OVER (ORDER BY ts, date, seq ROWS BETWEEN UNBOUNDED PRECEDING
-  AND CURRENT ROW) AS run_id FROM mark)"""
+MAIN_LOAD = f"l.value = l.value AND l.id_var IN (SELECT id FROM vars WHERE name = '{NAME}')"
 
-E9_SQL = f"""e9s AS (SELECT date, seq, {ms_ts('date')} AS ts, greatest(least(value, 100), 0) AS pct FROM loadlog
-  WHERE id_var = 260 AND date >= {MS0} AND date <= {MS1} AND value = value),
-{iv_sql('e9s')}, ivon AS (SELECT * FROM iv WHERE pct > 0), {split_sql('ivon')},
-e9 AS (SELECT day, SUM(pct / 100.0 * 15.0 * hours) AS total_energy_kwh FROM seg GROUP BY day)"""
+# A run is known by how many off-spells lie before it.
+RUNS = f"""{samples('reading', MAIN_LOAD)}, {spells('reading')},
+off AS (SELECT place FROM spell WHERE NOT pct > {RUN_ON}),
+running AS (SELECT s.*, (SELECT COUNT(*) FROM off WHERE off.place < s.place) AS run FROM spell s WHERE pct > {RUN_ON})"""
+
+
+def day_energy(within: str = "TRUE") -> str:
+    """E9's kWh per day; ``within`` bounds the readings."""
+    return f"""{samples('reading', f"l.id_var = 260 AND l.value = l.value AND {within}")}, {spells('reading', 'a.pct > 0')}, {by_day()},
+e9 AS (SELECT day, SUM(pct / 100.0 * 15.0 * hours) AS total_energy_kwh FROM part GROUP BY day)"""
+
+
+E9_SQL = day_energy()
+IN_PERIOD = f"l.date BETWEEN {MS0} AND {MS1}"
 
 
 # ------------------------------------------------------------------ E1 - E4
@@ -99,21 +110,19 @@ def e4(spark, sf):
 # ------------------------------------------------------------------ E5 - E12
 
 @register("E5_energy_unsplit", f"""
-WITH {REP_DAYS}, {SMP},
-s5 AS (SELECT * FROM smp WHERE CAST(ts AS DATE) IN (SELECT day FROM rep)),
-o AS (SELECT *, LEAD(ts) OVER (ORDER BY ts, date, seq) AS ts_next FROM s5)
-SELECT CAST(ts AS DATE) AS day,
-  round(SUM(pct / 100.0 * 15.0 * (epoch_us(coalesce(ts_next, ts)) - epoch_us(ts)) / 3600000000.0), 6) AS energy_kwh
-FROM o GROUP BY 1""")
+WITH {REP_DAYS}, {samples('reading', MAIN_LOAD + f" AND CAST({ms_ts('l.date')} AS DATE) IN (SELECT day FROM rep)")}
+SELECT CAST(a.ts AS DATE) AS day,
+  round(SUM(a.pct / 100.0 * 15.0 * coalesce(epoch_us(b.ts) - epoch_us(a.ts), 0) / 3600000000.0), 6) AS energy_kwh
+FROM reading a LEFT JOIN reading b ON b.place = a.place + 1 GROUP BY 1""")
 def e5(spark, sf):
     t = Tables(spark, sf)
     return E.energy_unsplit(t.load, t.vars, _rep(t))
 
 
 @register("E6_energy_per_day", f"""
-WITH {SMP}, {iv_sql()}, {split_sql()}
+WITH {samples('reading', MAIN_LOAD)}, {spells('reading')}, {by_day()}
 SELECT day, round(SUM(hours), 6) AS total_duration_h, round(SUM(pct / 100.0 * 15.0 * hours), 6) AS total_energy_kwh
-FROM seg GROUP BY day""")
+FROM part GROUP BY day""")
 def e6(spark, sf):
     t = Tables(spark, sf)
     return E.energy_per_day(t.load, t.vars)
@@ -121,37 +130,33 @@ def e6(spark, sf):
 
 @register("E7_load_runs", f"""
 WITH {REP_DAYS}, {RUNS}
-SELECT MIN(ts) AS run_start, MAX(ts_next) AS run_end,
-  round(SUM((epoch_us(ts_next) - epoch_us(ts)) / 3600000000.0), 6) AS total_duration_h,
-  round(SUM(pct / 100.0 * 15.0 * (epoch_us(ts_next) - epoch_us(ts)) / 3600000000.0), 6) AS total_energy_kwh,
-  COUNT(*) AS samples_in_run
-FROM runs WHERE is_on AND CAST(ts AS DATE) IN (SELECT day FROM rep) GROUP BY run_id""")
+SELECT MIN(ts) AS run_start, MAX(until) AS run_end, round(SUM(lasts), 6) AS total_duration_h,
+  round(SUM(pct / 100.0 * 15.0 * lasts), 6) AS total_energy_kwh, COUNT(*) AS samples_in_run
+FROM running WHERE CAST(ts AS DATE) IN (SELECT day FROM rep) GROUP BY run""")
 def e7(spark, sf):
     t = Tables(spark, sf)
     return E.load_runs(t.load, t.vars, _rep(t), on_threshold=RUN_ON)
 
 
 @register("E8_energy_runs_per_day", f"""
-WITH {REP_DAYS}, {RUNS}, onr AS (SELECT * FROM runs WHERE is_on), {split_sql('onr')}
+WITH {REP_DAYS}, {RUNS}, {by_day('running')}
 SELECT day, round(SUM(hours), 6) AS total_duration_h, round(SUM(pct / 100.0 * 15.0 * hours), 6) AS total_energy_kwh,
-  COUNT(DISTINCT run_id) AS run_count
-FROM seg WHERE day IN (SELECT day FROM rep) GROUP BY day""")
+  COUNT(DISTINCT run) AS run_count
+FROM part WHERE day IN (SELECT day FROM rep) GROUP BY day""")
 def e8(spark, sf):
     t = Tables(spark, sf)
     return E.energy_runs_per_day(t.load, t.vars, _rep(t), on_threshold=RUN_ON)
 
 
 @register("E9_daily_energy", f"""
-WITH {E9_SQL} SELECT day, round(total_energy_kwh, 6) AS total_energy_kwh FROM e9""")
+WITH {day_energy(IN_PERIOD)} SELECT day, round(total_energy_kwh, 6) AS total_energy_kwh FROM e9""")
 def e9(spark, sf):
     return E.daily_energy(Tables(spark, sf).load, *PERIOD)
 
 
 @register("E10_daily_energy_gap_cap", f"""
-WITH e10s AS (SELECT date, seq, {ms_ts('date')} AS ts, greatest(least(value, 100), 0) AS pct FROM loadlog
-  WHERE id_var = 630 AND date >= {MS0} AND date <= {MS1}),
-{iv_sql('e10s')}, ivc AS (SELECT * FROM iv WHERE epoch_us(ts_next) - epoch_us(ts) < 3600000000), {split_sql('ivc')}
-SELECT day AS date, round(SUM(pct / 100.0 * 15.0 * hours), 6) AS total_energy_kwh FROM seg GROUP BY day""")
+WITH {samples('reading', f"l.id_var = 630 AND {IN_PERIOD}")}, {spells('reading', "epoch_us(b.ts) - epoch_us(a.ts) < 3600000000")}, {by_day()}
+SELECT day AS date, round(SUM(pct / 100.0 * 15.0 * hours), 6) AS total_energy_kwh FROM part GROUP BY day""")
 def e10(spark, sf):
     return E.daily_energy_gap_cap(Tables(spark, sf).load, *PERIOD)
 
@@ -178,12 +183,11 @@ def e12(spark, sf):
 @register("E13_energy_kpis", f"""
 WITH {E9_SQL}
 SELECT round(SUM(total_energy_kwh), 6) AS total_kwh, round(AVG(total_energy_kwh), 6) AS daily_mean_kwh,
-  (SELECT day FROM e9 ORDER BY total_energy_kwh DESC, day LIMIT 1) AS record_day,
-  round((SELECT total_energy_kwh FROM e9 ORDER BY total_energy_kwh DESC, day LIMIT 1), 6) AS record_kwh,
+  arg_min(day, (-total_energy_kwh, day)) AS record_day, round(max(total_energy_kwh), 6) AS record_kwh,
   round(SUM(total_energy_kwh) * 0.15, 6) AS cost
 FROM e9""")
 def e13(spark, sf):
-    return E.energy_kpis(E.daily_energy(Tables(spark, sf).load, *PERIOD))
+    return E.energy_kpis(E.daily_energy(Tables(spark, sf).load))
 
 
 @register("E14_energy_per_operating_hour", f"""
@@ -198,7 +202,7 @@ FROM tot, hrs, n""")
 def e14(spark, sf):
     t = Tables(spark, sf)
     runs = t.prog_runs
-    return E.energy_per_operating_hour(E.daily_energy(t.load, *PERIOD), ad.operating_time(runs), runs)
+    return E.energy_per_operating_hour(E.daily_energy(t.load), ad.operating_time(runs), runs)
 
 
 @register("E14_energy_by_program", f"""
@@ -208,4 +212,4 @@ c AS (SELECT program, COUNT(*) AS count FROM prog_runs GROUP BY program)
 SELECT program, count, round(CAST(count AS DOUBLE) / (SELECT SUM(count) FROM c) * t, 6) AS energy_kwh FROM c, tot""")
 def e14b(spark, sf):
     t = Tables(spark, sf)
-    return E.energy_by_program(E.daily_energy(t.load, *PERIOD), t.prog_runs)
+    return E.energy_by_program(E.daily_energy(t.load), t.prog_runs)

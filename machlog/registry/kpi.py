@@ -15,9 +15,9 @@ from machlog.operators import alarms as B
 from machlog.operators import energy as E
 from machlog.operators import kpi as K
 from machlog.oracle import bucket_ts
-from machlog.registry.activity import FOUR_STATE_SQL, IDLE_SQL, ROLLUP, SMOOTH
+from machlog.registry.activity import FOUR_STATE_SQL, LEVEL_ROWS, ROLLUP, SMOOTH, spans
 from machlog.registry.alarms import RAW
-from machlog.registry.energy import E9_SQL, PERIOD, REP_DAYS, RUN_ON, RUNS
+from machlog.registry.energy import E9_SQL, REP_DAYS, RUN_ON, RUNS
 from machlog.sources import adapters as ad
 
 PERF, QUAL = 0.9, 0.95
@@ -65,7 +65,7 @@ SELECT round(total_h, 6) AS total_h, round(active_h, 6) AS active_h, round(total
 FROM k2""")
 def k2(spark, sf):
     t = Tables(spark, sf)
-    return K.core_state_kpis(_states(t), E.daily_energy(t.load, *PERIOD),
+    return K.core_state_kpis(_states(t), E.daily_energy(t.load),
                              B.alarm_statistics(B.alarm_incidents(t.sl)))
 
 
@@ -89,7 +89,7 @@ SELECT round((total_h - active_h) * {C.HOURLY_RATE}, 6) AS opportunity_cost,
   round(active_h * {C.HOURLY_RATE}, 6) AS active_value FROM k2""")
 def k4(spark, sf):
     t = Tables(spark, sf)
-    kp = K.core_state_kpis(_states(t), E.daily_energy(t.load, *PERIOD),
+    kp = K.core_state_kpis(_states(t), E.daily_energy(t.load),
                            B.alarm_statistics(B.alarm_incidents(t.sl)))
     return K.economic_impact(kp)
 
@@ -122,15 +122,13 @@ def k5b(spark, sf):
     return K.high_activity_ratio(_states(Tables(spark, sf)))
 
 
-DAILY_STATES = f"""rollup AS ({ROLLUP}),
-gaps AS (SELECT ts, epoch(ts) - epoch(LAG(ts) OVER (ORDER BY ts)) - {BUCKET_S} AS gap_s FROM rollup),
-idle_d AS (SELECT CAST(ts AS DATE) AS date, 'True Idle (Off)' AS state, SUM(gap_s) / 3600.0 AS total_hours
-  FROM gaps WHERE gap_s > 0 GROUP BY 1),
-sm AS ({SMOOTH}),
-act_d AS (SELECT day AS date, CASE WHEN smoothed_count <= {LOW} THEN 'Low Activity'
-    WHEN smoothed_count <= {MID} THEN 'Intermediate Activity' ELSE 'High Activity' END AS state,
-  COUNT(*) * {BUCKET_S} / 3600.0 AS total_hours FROM sm WHERE row_num_per_day > 14 GROUP BY 1, 2),
-dstates AS (SELECT * FROM idle_d UNION ALL SELECT * FROM act_d)"""
+DAILY_STATES = f"""rollup AS ({ROLLUP}), seen AS (SELECT ts, row_number() OVER (ORDER BY ts) AS place FROM rollup), sm AS ({SMOOTH}),
+dstates AS (
+  SELECT CAST(b.ts AS DATE) AS date, 'True Idle (Off)' AS state, SUM(epoch(b.ts) - epoch(a.ts) - {BUCKET_S}) / 3600.0 AS total_hours
+  FROM seen a JOIN seen b ON b.place = a.place + 1 WHERE epoch(b.ts) - epoch(a.ts) > {BUCKET_S} GROUP BY 1
+  UNION ALL
+  SELECT day, CASE WHEN smoothed_count > {MID} THEN 'High Activity' WHEN smoothed_count > {LOW} THEN 'Intermediate Activity'
+    ELSE 'Low Activity' END, COUNT(*) * {BUCKET_S} / 3600.0 FROM sm WHERE row_num_per_day > 14 GROUP BY 1, 2)"""
 
 _piv_cols = ", ".join(
     f"round(coalesce(SUM(CASE WHEN state = '{s}' THEN total_hours END), 0), 6) AS "
@@ -145,14 +143,10 @@ def k6(spark, sf):
     return K.day_state_pivot(A.daily_four_states(t.fl, BUCKET_S, LOW, MID))
 
 
-SEGS3 = f"""rollup AS (SELECT {bucket_ts('date', BUCKET_S)} AS ts, COUNT(DISTINCT id_var) AS c FROM fl GROUP BY 1),
-st AS (SELECT ts, CASE WHEN c <= {T1} THEN 0 WHEN c <= {T2} THEN 1 ELSE 2 END AS state_num,
-       CASE WHEN c <= {T1} THEN 'Idle' WHEN c <= {T2} THEN 'Intermediate' ELSE 'Active' END AS state FROM rollup),
-ch AS (SELECT ts, state_num, state FROM (SELECT *, LAG(state_num, 1, -1) OVER (ORDER BY ts) AS prev FROM st)
-       WHERE state_num <> prev),
-segs AS (SELECT ts AS date, state, (epoch(LEAD(ts, 1, (SELECT max(ts) + INTERVAL {BUCKET_S} SECOND FROM rollup))
-  OVER (ORDER BY ts)) - epoch(ts)) / 3600.0 AS total_hours FROM ch),
-zoom AS (SELECT * FROM segs WHERE CAST(date AS DATE) = (SELECT max(CAST(date AS DATE)) FROM segs))"""
+SEGS3 = spans("level_span", LEVEL_ROWS.format(where=""),
+              f"(SELECT max(ts) + INTERVAL {BUCKET_S} SECOND FROM level_span_row)") + """,
+zoom AS (SELECT period_start AS date, state, (epoch(period_end) - epoch(period_start)) / 3600.0 AS total_hours FROM level_span
+  WHERE CAST(period_start AS DATE) = (SELECT max(CAST(period_start AS DATE)) FROM level_span))"""
 
 
 @register("K7_day_zoom", f"""
@@ -172,9 +166,8 @@ def k7b(spark, sf):
 
 @register("K8_energy_by_date", f"""
 WITH {REP_DAYS}, {RUNS},
-r7 AS (SELECT MIN(ts) AS run_start,
-  SUM(pct / 100.0 * 15.0 * (epoch_us(ts_next) - epoch_us(ts)) / 3600000000.0) AS total_energy_kwh
-  FROM runs WHERE is_on AND CAST(ts AS DATE) IN (SELECT day FROM rep) GROUP BY run_id)
+r7 AS (SELECT MIN(ts) AS run_start, SUM(pct / 100.0 * 15.0 * lasts) AS total_energy_kwh
+  FROM running WHERE CAST(ts AS DATE) IN (SELECT day FROM rep) GROUP BY run)
 SELECT CAST(run_start AS DATE) AS jour, round(SUM(total_energy_kwh), 6) AS total_energy_kwh FROM r7 GROUP BY 1""")
 def k8(spark, sf):
     t = Tables(spark, sf)

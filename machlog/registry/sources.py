@@ -14,10 +14,14 @@ from machlog.functions.timefn import period_filter, with_day, with_ms, with_seco
 from machlog.operators import activity as A
 from machlog.operators import alarms as B
 from machlog.oracle import bucket_ts, ms_ts, sec_ts
+from machlog.registry.activity import FOUR_STATE_SQL, LEVEL_ROWS, numbered
 from machlog.registry.alarms import CATALOGUE
 from machlog.sources import logs as L
 
-PERIOD = ("2024-01-01", "2024-01-30")
+#: I3's period; it cuts rows off at both ends of the test log.
+PERIOD = ("2024-01-03", "2024-01-27")
+#: The period that I6 and I7 print: their states come from the whole log.
+WHOLE = ("", "")
 SECS = sec_ts("date // 1000")
 
 
@@ -59,28 +63,32 @@ def i5(spark, sf):
     return L.extract_day(Tables(spark, sf).sl)
 
 
-@register("I6_json_envelope")
+@register("I6_json_envelope", f"""
+WITH {FOUR_STATE_SQL}
+SELECT 'success' AS status, '{WHOLE[0]}' AS period_from, '{WHOLE[1]}' AS period_until, COUNT(*) AS count, NULL AS state,
+  CAST(NULL AS DOUBLE) AS total_hours FROM states
+UNION ALL SELECT NULL, NULL, NULL, NULL, state, round(total_hours, 4) FROM states""")
 def i6(spark, sf):
+    # Written as JSON lines and read back into typed fields.
     states = A.four_state_totals(Tables(spark, sf).fl, bucket_s=BUCKET_S, low=LOW, mid=MID)
-    return L.to_envelope(states, *PERIOD)
+    shape = ("status string, period struct<from: string, until: string>, count bigint, state string, total_hours double")
+    line = F.from_json("json", shape)
+    return L.to_json_lines(states, *WHOLE).select(line.alias("j")).select(
+        "j.status", F.col("j.period.from").alias("period_from"), F.col("j.period.until").alias("period_until"), "j.count",
+        "j.state", "j.total_hours")
 
 
 @register("I7_totals_envelope", f"""
-WITH rollup AS (SELECT {bucket_ts('date', BUCKET_S)} AS ts, COUNT(DISTINCT id_var) AS c FROM fl GROUP BY 1),
-st AS (SELECT ts, CASE WHEN c <= {T1} THEN 0 WHEN c <= {T2} THEN 1 ELSE 2 END AS state_num,
-       CASE WHEN c <= {T1} THEN 'Idle' WHEN c <= {T2} THEN 'Intermediate' ELSE 'Active' END AS state FROM rollup),
-ch AS (SELECT ts, state_num, state FROM (SELECT *, LAG(state_num, 1, -1) OVER (ORDER BY ts) AS prev FROM st)
-       WHERE state_num <> prev),
-segs AS (SELECT state, epoch(LEAD(ts, 1, (SELECT max(ts) + INTERVAL {BUCKET_S} SECOND FROM rollup))
-  OVER (ORDER BY ts)) - epoch(ts) AS d FROM ch),
-tot AS (SELECT state, SUM(d) / 3600.0 AS h FROM segs GROUP BY state)
-SELECT 'success' AS status, '{PERIOD[0]}' AS period_from, '{PERIOD[1]}' AS period_until,
+WITH {numbered("level", LEVEL_ROWS.format(where=""))},
+tot AS (SELECT label AS state, SUM(epoch(coalesce(next_ts, (SELECT max(ts) + INTERVAL {BUCKET_S} SECOND FROM level_at))) - epoch(ts)) / 3600.0 AS h
+  FROM level GROUP BY label)
+SELECT 'success' AS status, '{WHOLE[0]}' AS period_from, '{WHOLE[1]}' AS period_until,
   round(coalesce((SELECT h FROM tot WHERE state = 'Active'), 0), 2) AS active,
   round(coalesce((SELECT h FROM tot WHERE state = 'Intermediate'), 0), 2) AS intermediate,
   round(coalesce((SELECT h FROM tot WHERE state = 'Idle'), 0), 2) AS idle""")
 def i7(spark, sf):
     states = A.three_state_totals(Tables(spark, sf).fl, t1=T1, t2=T2, bucket_s=BUCKET_S)
-    return L.totals_envelope(states, *PERIOD)
+    return L.totals_envelope(states, *WHOLE)
 
 
 @register("I8_standardise_columns", f"""

@@ -129,20 +129,15 @@ def extract_day(sl: DataFrame, day: str | None = None) -> DataFrame:
         d = d.filter(F.date_format(second_ts("date"), "yyyy-MM-dd") == day)
     # chronological order on the numeric epoch (the text sorts the same way)
     order = ["date"] + (["seq"] if "seq" in d.columns else [])
-    return d.orderBy(*order).select(ts.alias("timestamp"), "id_var", "value")
-
-
-def to_envelope(df: DataFrame, from_date: str, until_date: str, status: str = "success",
-                max_rows: int = 100_000) -> DataFrame:
-    """One-row JSON response (status, machine_context, period, count,
-    data).  Hours are rounded to 4, durations to 2, timestamps become text,
-    machine identifiers are dropped; an empty result gives ``no_data``.
-    The envelope holds the whole result in one row, so it is meant for
-    small results (totals, KPIs) and refuses more than ``max_rows``; large
-    results go to ``df.write.json``."""
-    d = df.drop(*[c for c in C.I6_DROP if c in df.columns])
+    if day is not None:  # the whole log is not sorted globally
+        d = d.orderBy(*order)
+    return d.select(ts.alias("timestamp"), "id_var", "value")
+
+
+def _typed_for_json(df: DataFrame) -> DataFrame:
+    """Hours rounded to 4, durations to 2, timestamps as text, machine identifiers dropped."""
     cols = []
-    for f in d.schema.fields:
+    for f in df.drop(*[c for c in C.I6_DROP if c in df.columns]).schema.fields:
         c = F.col(f.name)
         if f.name == "total_hours":
             c = F.round(c, 4)
@@ -151,15 +146,33 @@ def to_envelope(df: DataFrame, from_date: str, until_date: str, status: str = "s
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
             c = c.cast("string")
         cols.append(c.alias(f.name))
-    d = d.select(*cols)
-    n = d.count()
-    if n > max_rows:
-        raise ValueError(f"{n} rows are too many for an envelope; write them with df.write.json")
-    agg = d.agg(F.count("*").alias("count"), F.collect_list(F.struct(*d.columns)).alias("data"))
+    return df.select(*cols)
+
+
+def _header(d: DataFrame, from_date: str, until_date: str, status: str, *more) -> DataFrame:
+    """One row: status (``no_data`` for an empty result), context, period, count and ``more`` aggregates."""
+    agg = d.agg(F.count("*").alias("count"), *more)
     st = F.when(F.col("count") == 0, F.lit("no_data" if status == "success" else status)).otherwise(F.lit(status))
-    env = agg.select(st.alias("status"), F.lit("single_machine").alias("machine_context"),
-                     F.struct(F.lit(from_date).alias("from"), F.lit(until_date).alias("until")).alias("period"),
-                     "count", "data")
+    return agg.select(st.alias("status"), F.lit("single_machine").alias("machine_context"),
+                      F.struct(F.lit(from_date).alias("from"), F.lit(until_date).alias("until")).alias("period"), *agg.columns)
+
+
+def to_json_lines(df: DataFrame, from_date: str, until_date: str, status: str = "success") -> DataFrame:
+    """I6 for results of any size: column ``json`` with one header line (status,
+    machine_context, period, count) and one line per row.  Nothing is collected
+    into one row or counted while the plan is built."""
+    d = _typed_for_json(df)
+    head = _header(d, from_date, until_date, status)
+    line = lambda x: x.select(F.to_json(F.struct(*x.columns)).alias("json"))
+    return line(head).unionByName(line(d))
+
+
+def to_envelope(df: DataFrame, from_date: str, until_date: str, status: str = "success") -> DataFrame:
+    """I6 as one JSON response (status, machine_context, period, count, data) in
+    one row, for results that are small by construction: state totals, KPIs,
+    severity counts.  Other results take ``to_json_lines``."""
+    d = _typed_for_json(df)
+    env = _header(d, from_date, until_date, status, F.collect_list(F.struct(*d.columns)).alias("data"))
     return env.select("status", "count", F.to_json(F.struct(*env.columns)).alias("json"))
 
 

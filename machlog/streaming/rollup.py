@@ -12,6 +12,7 @@ source with ``foreachBatch`` (each micro-batch = a set of new raw rows).
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -30,54 +31,61 @@ def rollup_path(spark: SparkSession, name: str | None = None) -> str:
 def _rollup_with_day(fl: DataFrame, bucket_s: int) -> DataFrame:
     return (distinct_vars_per_second(fl, bucket_s)
             .withColumn("day", day_of("ts"))
-            .select("ts", "day", "distinct_vars_count"))
+            .select("ts", "day", "distinct_vars_count", F.lit(bucket_s).alias("bucket_s")))
+
+
+def _scan(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).select("ts", "day", "distinct_vars_count")
 
 
 def build_rollup(fl: DataFrame, bucket_s: int = 1, path: str | None = None) -> DataFrame:
     """Create the rollup table (replacing it) and return a scan of it.
     Each day partition holds at most ``86400 / bucket_s`` rows, so grouping
-    the write by day cannot produce an oversized task."""
-    spark = fl.sparkSession
-    path = path or rollup_path(spark)
+    the write by day cannot produce an oversized task.  The bucket width is
+    stored with the rows."""
+    path = path or rollup_path(fl.sparkSession)
     (_rollup_with_day(fl, bucket_s).repartition("day")
      .write.mode("overwrite").partitionBy("day").parquet(path))
-    return spark.read.parquet(path).select("ts", "day", "distinct_vars_count")
+    return _scan(fl.sparkSession, path)
 
 
 def ensure_rollup(fl: DataFrame, path: str, bucket_s: int = 1) -> DataFrame:
-    """A25 setup: reuse the rollup table at ``path`` when it exists, build
-    it otherwise."""
+    """A25 setup: reuse the rollup table at ``path`` when it exists with this
+    bucket width, build it otherwise."""
     spark = fl.sparkSession
     try:
-        existing = spark.read.parquet(path)
-        existing.schema  # noqa: B018  (resolves the path)
-        return existing.select("ts", "day", "distinct_vars_count")
+        stored = spark.read.parquet(path).select("bucket_s").first()
     except AnalysisException:
+        stored = None
+    if stored is None or stored["bucket_s"] != bucket_s:
         return build_rollup(fl, bucket_s, path)
+    return _scan(spark, path)
 
 
 def refresh_rollup(fl_all: DataFrame, new_rows: DataFrame, path: str,
                    bucket_s: int = 1) -> DataFrame:
-    """Recompute the days touched by ``new_rows`` from ``fl_all`` and
-    overwrite only those day partitions."""
+    """Recompute the days touched by ``new_rows`` from ``fl_all``, which holds
+    them already, and overwrite only those day partitions."""
     spark = fl_all.sparkSession
     touched = new_rows.select(day_of(second_ts("date")).alias("day")).distinct()
     log = (fl_all.withColumn("day", day_of(second_ts("date")))
-           .join(F.broadcast(touched), "day", "left_semi").drop("day"))
+           .join(touched, "day", "left_semi").drop("day"))
     (_rollup_with_day(log, bucket_s).repartition("day")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("day").parquet(path))
-    return spark.read.parquet(path).select("ts", "day", "distinct_vars_count")
+    return _scan(spark, path)
 
 
-def refresh_stream(stream: DataFrame, fl_all: DataFrame, path: str, checkpoint: str,
+def refresh_stream(stream: DataFrame, read_log: Callable[[], DataFrame], path: str, checkpoint: str,
                    bucket_s: int = 1, trigger_once: bool = True):
-    """Refresh the rollup for every micro-batch of new raw rows.  The
+    """Refresh the rollup for every micro-batch of new raw rows.  ``read_log``
+    opens the raw log anew for each batch: a DataFrame keeps the file list of
+    the moment it was made and would miss rows that arrive later.  The
     checkpoint folder makes the stream restartable after executor or driver
     loss; each batch's refresh is idempotent (partition overwrite)."""
     def per_batch(batch: DataFrame, _batch_id: int) -> None:
-        if batch.limit(1).count():
-            refresh_rollup(fl_all, batch, path, bucket_s)
+        if not batch.isEmpty():
+            refresh_rollup(read_log(), batch, path, bucket_s)
 
     writer = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     if trigger_once:

@@ -105,7 +105,7 @@ def test_stop_gap_across_midnight_kept_and_5_min_dropped(spark):
     sl = string_log(spark, [("2024-01-01 23:50:00", 447, "m1"), ("2024-01-02 00:10:00", 447, "m2"),
                             ("2024-01-02 00:15:00", 447, "m3")])
     out = B.stops_on_days(sl, ["2024-01-02"]).collect()
-    assert [(r["message_preview"], r["minutes_since_last_log"]) for r in out] == [("m2", 20.0)]
+    assert [(r["message"], r["minutes_since_last_log"]) for r in out] == [("m2", 20.0)]
     assert B.significant_stops(sl).count() == 1  # 5.00 minutes is not > 5
 
 
@@ -268,3 +268,28 @@ def test_energy_record_day_first_on_ties(spark):
     r = E.energy_kpis(d).collect()[0]
     assert r["record_day"].day == 1 and r["record_kwh"] == 7.0
     assert math.isclose(r["cost"], 19.0 * 0.15)
+
+
+def test_stop_reasons_count_whole_messages(spark):
+    """Messages that only differ after their first 150 characters are not one message."""
+    long = "x" * 200
+    rows, texts = [], [f"b{long}1", f"b{long}2", "a,one", "a,one"]
+    for k, text in enumerate(["first", *texts]):
+        rows.append((f"2024-01-02 {10 + k}:00:00", 447, text))
+    sl = string_log(spark, rows)
+    assert [r["raison_typique"] for r in B.stops_per_day(sl, ["2024-01-02"]).collect()] == ["a"]
+    assert {r["message"] for r in B.stops_on_days(sl, ["2024-01-02"]).collect()} == set(texts)
+
+
+def test_energy_of_a_longer_log_is_not_cut(spark, tmp_path):
+    """E13 and E14 on a log that goes on after the test data's 30 days."""
+    import __spark_entry__ as entry
+    src = "/root/testdata/sf0.001"
+    ev = spark.read.parquet(f"{src}/events.parquet")
+    later = ev.withColumn("ts", F.col("ts") + F.make_dt_interval(days=F.lit(30))).withColumn("event_id", F.col("event_id") + 10**9)
+    ev.unionByName(later).write.parquet(str(tmp_path / "events.parquet"))
+    q = entry.queries()
+    one, two = (q["E13_energy_kpis"](spark, d).first()["total_kwh"] for d in (src, str(tmp_path)))
+    assert 1.9 < two / one < 2.1
+    one, two = (q["E14_energy_per_operating_hour"](spark, d).first()["energy_per_operating_h"] for d in (src, str(tmp_path)))
+    assert 0.9 < two / one < 1.1

@@ -50,14 +50,38 @@ def test_rollup_refresh_stream(spark, tmp_path):
     base = float_log(spark, [("2024-01-01 10:00:00", 1, 1), ("2024-01-02 10:00:00", 1, 1)])
     path, src, ckpt = str(tmp_path / "rollup"), str(tmp_path / "incoming"), str(tmp_path / "ckpt")
     R.build_rollup(base, path=path)
-    new = float_log(spark, [("2024-01-02 10:00:00", 3, 1)])
-    new.write.parquet(src)
-    everything = base.unionByName(new)
-    stream = spark.readStream.schema(new.schema).parquet(src)
-    q = R.refresh_stream(stream, everything, path, ckpt)
-    q.awaitTermination(120)
-    got = {(r["day"].day, r["distinct_vars_count"]) for r in spark.read.parquet(path).collect()}
-    assert got == {(1, 1), (2, 2)}
+    log = str(tmp_path / "log")
+    base.write.parquet(log)
+    read_log = lambda: spark.read.schema(base.schema).parquet(log)
+
+    def refreshed():
+        R.refresh_stream(stream, read_log, path, ckpt).awaitTermination(120)
+        return {(r["day"].day, r["distinct_vars_count"]) for r in spark.read.parquet(path).collect()}
+
+    for variable, want in ((3, {(1, 1), (2, 2)}), (4, {(1, 1), (2, 3)})):
+        new = float_log(spark, [("2024-01-02 10:00:00", variable, 1)])
+        if variable == 3:
+            new.write.parquet(src)
+            stream = spark.readStream.schema(new.schema).parquet(src)
+        else:  # written after the stream and the log reader were made
+            new.write.mode("append").parquet(src)
+        new.write.mode("append").parquet(log)
+        assert refreshed() == want
+
+
+def test_rollup_of_another_width_is_rebuilt(spark, tmp_path):
+    base = float_log(spark, [("2024-01-01 10:00:00", 1, 1), ("2024-01-01 10:00:01", 2, 1)])
+    path = str(tmp_path / "rollup")
+    assert R.ensure_rollup(base, path).count() == 2
+    assert [r["distinct_vars_count"] for r in R.ensure_rollup(base, path, bucket_s=60).collect()] == [2]
+
+
+def test_json_lines(spark):
+    st = spark.createDataFrame([("High Activity", 1.234567)], "state string, total_hours double")
+    lines = [json.loads(r["json"]) for r in L.to_json_lines(st, "a", "b").collect()]
+    assert lines[0]["count"] == 1 and lines[0]["status"] == "success" and lines[1] == {"state": "High Activity", "total_hours": 1.2346}
+    empty = [json.loads(r["json"]) for r in L.to_json_lines(st.limit(0), "a", "b").collect()]
+    assert [x["status"] for x in empty] == ["no_data"]
 
 
 def test_envelopes(spark):

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from machlog.llm.common import cut, fields, quoted, whole_row
 
 #: Bytes of text a block gathers before it is closed.
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 14_000_000
 START = "▁"
 END = "</s>"
 #: Weight of the first probabilities, in pieces, against the expected counts.

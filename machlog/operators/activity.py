@@ -163,25 +163,29 @@ def score_state(scores: DataFrame, threshold: int = C.SCORE_THRESHOLD_FINAL) ->
 
 def segments(states: DataFrame, end: Column | str | None = None, ts: str = "ts",
              state: str = "state_num", label: Column | None = None,
-             span_s: int = DAY_S) -> DataFrame:
+             span_s: int = DAY_S, tail_s: int = 1) -> DataFrame:
     """Change-point segmentation.
 
     Keeps rows whose state differs from the previous one (``lag`` default
     -1), each period ends at the next kept row or at ``end``.  ``end`` may be
-    a timestamp literal/Column; by default it is the last timestamp + 1 s.
+    a timestamp literal/Column; by default it is the last timestamp +
+    ``tail_s`` seconds, which the last row itself carries: the input is not
+    read again for it.
     """
-    if end is None:
-        end = states.select(F.max(ts) + F.expr("INTERVAL 1 SECOND")).scalar()
-    elif isinstance(end, str):
-        end = F.lit(end).cast("timestamp")
     if label is None:
         label = F.when(F.col(state) == 1, F.lit("WORKING")).otherwise(F.lit("STOPPED"))
-    s = states.withColumn("state", label)
-    bucket = time_bucket(ts, span_s)
-    s = ordered_window(s, order=[ts], bucket=bucket, lags={"_prev": (state, -1)})
-    kept = s.filter(F.col(state) != F.col("_prev")).drop("_prev")
-    kept = ordered_window(kept, order=[ts], bucket=time_bucket(ts, span_s),
-                          leads={"period_end": (ts, end)})
+    if isinstance(end, str):
+        end = F.lit(end).cast("timestamp")
+    s = ordered_window(states.withColumn("state", label), order=[ts], bucket=time_bucket(ts, span_s),
+                       lags={"_prev": (state, -1)}, leads={"_next": (ts, None)})
+    s = s.withColumn("_change", F.col(state) != F.col("_prev")).withColumn("_at", F.col(ts))
+    keep = F.col("_change")
+    if end is None:
+        end = F.col(ts) + F.make_interval(secs=F.lit(tail_s))
+        s = s.withColumn("_at", F.when(F.col("_change"), F.col(ts)).otherwise(end))
+        keep = keep | F.col("_next").isNull()
+    kept = ordered_window(s.filter(keep).drop("_prev", "_next"), order=[ts], bucket=time_bucket(ts, span_s),
+                          leads={"period_end": ("_at", end)}).filter("_change")
     return kept.select("state", F.col(ts).alias("period_start"), "period_end",
                        _secs_between(ts, "period_end").alias("duration_s"))
 
@@ -208,31 +212,36 @@ def count_distribution(rollup: DataFrame) -> DataFrame:
             .orderBy(F.desc("distinct_vars_count")))
 
 
-def kmeans_thresholds(hist: DataFrame, k: int = 3, seed: int = 42,
-                      value: str = "distinct_vars_count",
+def kmeans_thresholds(hist: DataFrame, rounds: int = 100, value: str = "distinct_vars_count",
                       weight: str = "number_of_seconds") -> DataFrame:
     """1-D k-means (k=3) on the weighted histogram; thresholds are the
     midpoints of the sorted centroids, integer thresholds their floors.
-    Fitting on the histogram (one row per distinct value) equals fitting on
-    every second with the counts as weights."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
-    data = VectorAssembler(inputCols=[value], outputCol="features").transform(
-        hist.select(F.col(value).cast("double").alias(value), F.col(weight).cast("double").alias(weight)))
-    best = None
-    for s in (seed, seed + 1, seed + 2):
-        model = KMeans(k=k, seed=s, weightCol=weight, initMode="k-means||", maxIter=100).fit(data)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, model)
-    centers = sorted(float(c[0]) for c in best[1].clusterCenters())
-    spark = hist.sparkSession
-    t1 = (centers[0] + centers[1]) / 2 if len(centers) > 1 else centers[0]
-    t2 = (centers[1] + centers[2]) / 2 if len(centers) > 2 else t1
-    row = [(centers[0], centers[min(1, len(centers) - 1)], centers[-1], t1, t2)]
-    out = spark.createDataFrame(row, "centroid_1 double, centroid_2 double, centroid_3 double, "
-                                     "threshold_1 double, threshold_2 double")
+
+    Fitting on the histogram (one row per distinct value, so at most one per
+    variable) equals fitting on every second with the counts as weights.  The
+    start is fixed (least value, weighted mean, greatest value) and ``rounds``
+    of assignment and mean follow; a fixed point stays as it is.  A value
+    equally near two centroids goes to the lower one, a centroid without values
+    stays.  An empty histogram gives one row of NULLs."""
+    v, n = F.col(value).cast("double"), F.col(weight).cast("double")
+    one = hist.filter(v.isNotNull() & (n > 0)).agg(
+        F.sort_array(F.collect_list(F.struct(v.alias("v"), n.alias("n")))).alias("h"),
+        F.array(F.min(v), F.sum(v * n) / F.sum(n), F.max(v)).alias("c"))
+
+    def mean(rows, old):
+        total = F.aggregate(rows, F.lit(0.0), lambda a, r: a + r["n"])
+        return F.when(total > 0, F.aggregate(rows, F.lit(0.0), lambda a, r: a + r["v"] * r["n"]) / total).otherwise(old)
+
+    def step(c, _):
+        low, high = (c[0] + c[1]) / 2, (c[1] + c[2]) / 2
+        h = F.col("h")
+        return F.array(mean(F.filter(h, lambda r: r["v"] <= low), c[0]),
+                       mean(F.filter(h, lambda r: (r["v"] > low) & (r["v"] <= high)), c[1]),
+                       mean(F.filter(h, lambda r: r["v"] > high), c[2]))
+
+    c = one.select(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.col("c"), step).alias("c"))
+    out = c.select(*[F.col("c")[i].alias(f"centroid_{i + 1}") for i in range(3)],
+                   *[((F.col("c")[i] + F.col("c")[i + 1]) / 2).alias(f"threshold_{i + 1}") for i in range(2)])
     return out.select("*", F.floor("threshold_1").cast("int").alias("t1_int"),
                       F.floor("threshold_2").cast("int").alias("t2_int"))
 
@@ -324,8 +333,7 @@ def three_state_totals(fl: DataFrame, from_date: str | None = None, until_date:
     rollup = distinct_vars_per_second(log, bucket_s)
     label, num = _three_state(F.col("distinct_vars_count"), t1, t2)
     states = rollup.select("ts", num.alias("state_num"), label.alias("state_label"))
-    end = rollup.select(F.max("ts") + F.make_interval(secs=F.lit(bucket_s))).scalar()
-    segs = segments(states, end=end, label=F.col("state_label"))
+    segs = segments(states, label=F.col("state_label"), tail_s=bucket_s)
     return state_totals(segs)
 
 
@@ -335,8 +343,7 @@ def three_state_segments(fl: DataFrame, t1: float = C.THREE_STATE_T1,
     rollup = distinct_vars_per_second(fl, bucket_s)
     label, num = _three_state(F.col("distinct_vars_count"), t1, t2)
     states = rollup.select("ts", num.alias("state_num"), label.alias("state_label"))
-    end = rollup.select(F.max("ts") + F.make_interval(secs=F.lit(bucket_s))).scalar()
-    return segments(states, end=end, label=F.col("state_label"))
+    return segments(states, label=F.col("state_label"), tail_s=bucket_s)
 
 
 def sample_days(log: DataFrame, days: DataFrame | Sequence[str]) -> DataFrame:
@@ -363,12 +370,19 @@ def smoothed_signal(rollup: DataFrame, rows: int = C.SMOOTH_ROWS) -> DataFrame:
     return r.filter(F.col("row_num_per_day") > rows - 1)
 
 
+def _with_previous(rollup: DataFrame, span_s: int = DAY_S) -> DataFrame:
+    """``prev_ts``, the rollup's previous second.  The filter keeps every row:
+    it only holds on to the count column, so that this branch and the smoothed
+    signal have one aggregate in common and the raw log is read once."""
+    seconds = rollup.filter(F.col("distinct_vars_count") >= 0).select("ts")
+    return ordered_window(seconds, order=["ts"], bucket=time_bucket("ts", span_s), lags={"prev_ts": ("ts", None)})
+
+
 def idle_gaps(rollup: DataFrame, bucket_s: int = 1, span_s: int = DAY_S) -> DataFrame:
     """One row ``True Idle (Off)`` with the hours of all gaps between
     consecutive seconds (``ts - (prev + bucket)`` where positive); NULL
     when there is no gap."""
-    s = ordered_window(rollup.select("ts"), order=["ts"], bucket=time_bucket("ts", span_s),
-                       lags={"prev_ts": ("ts", None)})
+    s = _with_previous(rollup, span_s)
     gap = F.unix_seconds("ts") - F.unix_seconds("prev_ts") - F.lit(bucket_s)
     g = s.select(gap.alias("gap_s")).filter(F.col("gap_s") > 0)
     return g.agg((F.sum("gap_s") / F.lit(3600.0)).alias("total_hours")).select(
@@ -402,8 +416,7 @@ def daily_four_states(fl: DataFrame, bucket_s: int = 1, low: float = C.FOUR_STAT
     """Per-day form of A24 (date, state, total_hours): gaps are attributed
     to the day in which they end.  Feeds the day x state reports (K6, K7)."""
     rollup = distinct_vars_per_second(fl, bucket_s)
-    s = ordered_window(rollup.select("ts"), order=["ts"], bucket=time_bucket("ts", DAY_S),
-                       lags={"prev_ts": ("ts", None)})
+    s = _with_previous(rollup)
     gap = F.unix_seconds("ts") - F.unix_seconds("prev_ts") - F.lit(bucket_s)
     idle = (s.select(day_of("ts").alias("date"), gap.alias("gap_s")).filter(F.col("gap_s") > 0)
             .groupBy("date").agg((F.sum("gap_s") / F.lit(3600.0)).alias("total_hours"))

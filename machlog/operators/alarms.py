@@ -399,14 +399,17 @@ def program_pieces(state: DataFrame, days: DataFrame) -> DataFrame:
 
 def classified_messages(msgs: DataFrame, vars_df: DataFrame, days: DataFrame,
                         names: Sequence[str] = C.MESSAGE_VARS) -> DataFrame:
-    """B23 + B24 on the message variables of the selected days."""
+    """B23 + B24 on the message variables of the selected days: one row per
+    (time, variable, message) with ``n``, the number of its log rows."""
     mv = vars_df.filter(F.col("name").isin(list(names))).select("id", F.col("name").alias("var_name"))
     a = (msgs.withColumn("ts_utc", ms_ts("date")).withColumn("day", day_of("ts_utc"))
          .join(F.broadcast(mv), F.col("id_var") == F.col("id"), "inner")
          .join(F.broadcast(days.select("day")), "day", "inner"))
-    return a.select("day", "ts_utc", "var_name", F.col("value").alias("msg"),
-                    CL.classify(F.col("value"), C.B23_CLASSES).alias("alert_type"),
-                    CL.location(F.col("var_name"), F.col("value")).alias("location"))
+    # Alerts of one tick repeat: count them map-side, then classify each once.
+    a = a.groupBy("day", "ts_utc", "var_name", F.col("value").alias("msg")).agg(F.count("*").alias("n"))
+    return a.select("day", "ts_utc", "var_name", "msg", "n",
+                    CL.classify(F.col("msg"), C.B23_CLASSES).alias("alert_type"),
+                    CL.location(F.col("var_name"), F.col("msg")).alias("location"))
 
 
 def alerts_during_runs(classified: DataFrame, pieces: DataFrame, bucket_s: int = 60) -> DataFrame:
@@ -419,15 +422,18 @@ def alerts_during_runs(classified: DataFrame, pieces: DataFrame, bucket_s: int =
     exploded to the ``bucket_s`` buckets it covers (pieces never exceed one
     day), each alert falls into one bucket, and the range is checked as a
     residual.  A day with very many pieces therefore does not produce a
-    day-sized nested loop."""
+    day-sized nested loop.  Alerts are summed per (time, type, location)
+    before the join, so a busy tick reaches it as a few rows."""
     pb = F.floor(F.unix_seconds("start_ts") / bucket_s)
     pe = F.floor(F.unix_seconds("end_ts") / bucket_s)
     p = pieces.select(F.col("day").alias("p_day"), "start_ts", "end_ts",
                       F.explode(F.sequence(pb, pe)).alias("p_bucket"))
-    a = classified.withColumn("a_bucket", F.floor(F.unix_seconds("ts_utc") / bucket_s))
+    n = F.sum("n") if "n" in classified.columns else F.count("*")  # counted rows or single ones
+    a = classified.groupBy("day", "ts_utc", "alert_type", "location").agg(n.alias("n"))
+    a = a.withColumn("a_bucket", F.floor(F.unix_seconds("ts_utc") / bucket_s))
     cond = ((F.col("day") == F.col("p_day")) & (F.col("a_bucket") == F.col("p_bucket"))
             & (F.col("ts_utc") >= F.col("start_ts")) & (F.col("ts_utc") <= F.col("end_ts")))
     j = a.join(p, cond, "left")
     return j.groupBy("day", "alert_type", "location").agg(
-        F.count("*").alias("events_total"),
-        F.count(F.when(F.col("start_ts").isNotNull(), F.lit(1))).alias("events_during_program"))
+        F.sum("n").alias("events_total"),
+        F.coalesce(F.sum(F.when(F.col("start_ts").isNotNull(), F.col("n"))), F.lit(0)).alias("events_during_program"))

@@ -161,17 +161,20 @@ def energy_per_day(log: DataFrame, vars_df: DataFrame, name: str = C.ENERGY_VAR_
 
 
 def _runs(s: DataFrame, on_threshold: float, span_s: int = RAW_SPAN_S) -> DataFrame:
-    """Valid intervals with ``is_on`` and a global ``run_id`` (running count
-    of off -> on starts, ``IS DISTINCT FROM TRUE`` on the previous flag)."""
-    s = with_next(s, span_s)
-    iv = s.filter(F.col("ts_next").isNotNull() & (F.col("ts_next") > F.col("ts")))
-    iv = iv.withColumn("is_on", F.col("pct") > F.lit(on_threshold))
-    iv = ordered_window(iv, order=_order(iv), bucket=ms_bucket("date", span_s),
-                        lags={"prev_on": ("is_on", None)})
-    iv = iv.withColumn("start_flag", F.when(
-        F.col("is_on") & ~F.col("prev_on").eqNullSafe(F.lit(True)), F.lit(1)).otherwise(F.lit(0)))
-    return ordered_window(iv, order=_order(iv), bucket=ms_bucket("date", span_s),
-                          running_sums={"run_id": "start_flag"})
+    """Valid intervals with ``is_on`` and ``run_id``: the number of off
+    intervals before them, equal for consecutive on-intervals and different
+    across any off interval.
+
+    Of samples at the same millisecond only the last one has a length, so the
+    others are dropped first and one ordered window gives both the interval's
+    end and the count."""
+    pct = F.max_by("pct", "seq") if "seq" in s.columns else F.max("pct")
+    s = s.filter(F.col("date").isNotNull()).groupBy("date").agg(pct.alias("pct"))
+    s = s.select("date", ms_ts("date").alias("ts"), "pct", (F.col("pct") > F.lit(on_threshold)).alias("is_on"))
+    s = s.withColumn("off", F.when(F.col("is_on"), F.lit(0)).otherwise(F.lit(1)))
+    s = ordered_window(s, order=["date"], bucket=ms_bucket("date", span_s),
+                       leads={"ts_next": ("ts", None)}, running_sums={"run_id": "off"})
+    return s.filter(F.col("ts_next").isNotNull())
 
 
 def load_runs(log: DataFrame, vars_df: DataFrame, days: DataFrame | Sequence[str],

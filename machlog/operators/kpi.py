@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from machlog import config as C
-from machlog.plans.quantiles import exact_quantiles
+from machlog.plans.quantiles import exact_quantiles, salted_join
 
 
 def _hours_where(cond: Column, hours: str = "total_hours") -> Column:
@@ -164,7 +164,8 @@ def duration_boxplot(runs: DataFrame, value: str = "duration_min", group: str =
     buffering a group in one task."""
     q = exact_quantiles(runs, [group], value, [0.25, 0.5, 0.75], names=["q1", "median", "q3"])
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
-    j = runs.select(group, value).join(q, group, "inner")  # one stats row per group
+    counted = runs.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"))
+    j = salted_join(counted, q, [group], value)  # one stats row per group
     lo = F.col("q1") - F.lit(1.5) * F.col("iqr")
     hi = F.col("q3") + F.lit(1.5) * F.col("iqr")
     v = F.col(value)
@@ -172,7 +173,7 @@ def duration_boxplot(runs: DataFrame, value: str = "duration_min", group: str =
         F.min(v).alias("min"), F.max(v).alias("max"),
         F.min(F.when(v >= lo, v)).alias("whisker_low"),
         F.max(F.when(v <= hi, v)).alias("whisker_high"),
-        F.count(F.when((v < lo) | (v > hi), F.lit(1))).alias("outliers"))
+        F.coalesce(F.sum(F.when((v < lo) | (v > hi), F.col("n"))), F.lit(0)).alias("outliers"))
 
 
 def operating_long(operating: DataFrame) -> DataFrame:

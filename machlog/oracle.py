@@ -129,6 +129,8 @@ def with_views(body: str, extra: list[tuple[str, str]] | None = None) -> str:
     if not ctes:
         return body
     stripped = body.lstrip()
+    if stripped[:15].upper() == "WITH RECURSIVE ":
+        return "WITH RECURSIVE " + ",\n".join(ctes) + ",\n" + stripped[15:]
     if stripped[:5].upper() == "WITH ":
         return "WITH " + ",\n".join(ctes) + ",\n" + stripped[5:]
     return "WITH " + ",\n".join(ctes) + "\n" + body

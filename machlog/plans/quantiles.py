@@ -6,11 +6,11 @@ task.  Here a group holding a third of all rows is still spread out:
 1. ``groupBy(keys, value).count()``: distinct values with their counts
    (partial aggregation);
 2. the cumulative count per group, in value order, with ``ordered_window``
-   over value buckets (2^16 equal-width buckets over the value range by
-   default), so a hot group is split over its buckets;
+   over value buckets cut at quantiles of the distinct values, so neither a hot
+   group nor a few extreme values leave one bucket with all rows;
 3. per group and quantile the two ranks ``floor(p(n-1))`` and
    ``ceil(p(n-1))`` (a few rows per group), joined to the value whose
-   cumulative range holds the rank (equi-join on the group keys with a
+   cumulative range holds the rank (``salted_join`` on the group keys with a
    range residual), then interpolated linearly.
 """
 
@@ -23,6 +23,18 @@ from pyspark.sql import functions as F
 
 from machlog.plans.sequence import ordered_window
 
+SALTS = 64
+CUTS = 256
+
+
+def salted_join(rows: DataFrame, few: DataFrame, keys: Sequence[str], spread: str, salts: int = SALTS) -> DataFrame:
+    """Inner join of ``rows`` with a frame of a few rows per key: each of those
+    is repeated per salt, and the rows of a hot key go to ``salts`` tasks by the
+    hash of ``spread``."""
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
+    right = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
+    return left.join(right, [*keys, "_salt"], "inner").drop("_salt")
+
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
                     probs: Sequence[float], bucket: Column | None = None,
@@ -34,12 +46,10 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     v = df.filter(F.col(value).isNotNull())
     distinct = v.groupBy(*keys, value).agg(F.count("*").alias("_cnt"))
     if bucket is None:
-        # 2^16 equal-width buckets over the global value range (monotone in
-        # the value): a group's distinct values spread over up to 65536
-        # window partitions whatever their scale.
-        mm = distinct.select(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar()
-        width = (mm["hi"] - mm["lo"]) / F.lit(float(1 << 16))
-        bucket = F.when(width > 0, F.floor((F.col(value) - mm["lo"]) / width)).otherwise(F.lit(0))
+        # Equal-depth cuts: how many of them lie below the value (monotone).
+        cuts = distinct.agg(F.percentile_approx(value, [i / CUTS for i in range(1, CUTS)]).alias("c")).scalar()
+        distinct = distinct.withColumn("_cuts", cuts)
+        bucket = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
     cum = ordered_window(distinct, order=[value], keys=keys, bucket=bucket,
                          running_sums={"_cum": "_cnt"})
     cum = cum.withColumn("_lo_rank", F.col("_cum") - F.col("_cnt"))  # ranks [_lo_rank, _cum)
@@ -49,17 +59,13 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
         x = F.lit(float(p)) * (F.col("_n") - 1)
         pos.append(F.struct(F.lit(name).alias("q"), F.floor(x).alias("r0"), F.ceil(x).alias("r1"),
                             (x - F.floor(x)).alias("frac")))
-    rk = [f"_rk{i}" for i in range(len(keys))]
-    ranks = n.select(*[F.col(k).alias(r) for k, r in zip(keys, rk)],
-                     F.explode(F.array(*pos)).alias("p")).select(
-        *rk, "p.q", "p.frac", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("p.r0").alias("r")),
-                                                F.struct(F.lit(1).alias("side"), F.col("p.r1").alias("r"))))
-        .alias("s")).select(*rk, "q", "frac", "s.side", "s.r")
+    ranks = n.select(*keys, F.explode(F.array(*pos)).alias("p")).select(
+        *keys, "p.q", "p.frac", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("p.r0").alias("r")),
+                                                  F.struct(F.lit(1).alias("side"), F.col("p.r1").alias("r"))))
+        .alias("s")).select(*keys, "q", "frac", "s.side", "s.r")
     # A few rank rows per group: equi-join on the group keys, range residual.
-    cond = [F.col(k) == F.col(r) for k, r in zip(keys, rk)] + [
-        F.col("r") >= F.col("_lo_rank"), F.col("r") < F.col("_cum")]
-    hit = cum.select(*keys, value, "_lo_rank", "_cum").join(ranks, cond, "inner").select(
-        *keys, "q", "frac", "side", F.col(value).alias("_v"))
+    hit = salted_join(cum.select(*keys, value, "_lo_rank", "_cum"), ranks, keys, value).filter(
+        "r >= _lo_rank AND r < _cum").select(*keys, "q", "frac", "side", F.col(value).alias("_v"))
     piv = hit.groupBy(*keys, "q", "frac").agg(
         F.max(F.when(F.col("side") == 0, F.col("_v"))).alias("v0"),
         F.max(F.when(F.col("side") == 1, F.col("_v"))).alias("v1"))

@@ -12,14 +12,18 @@ work partitioned:
    off the windowed rows (row 1 and the last row of each bucket), which are
    already partitioned by ``keys + bucket``: no extra shuffle, and the input
    is computed once (both branches share the window's exchange);
-3. ``lag``/``lead``/prefix sums over ``edges`` (one row per bucket; the
-   number of buckets is bounded by time span / bucket width) connect the
-   buckets;
+3. ``edges`` is chained the same way: its own windows run per ``keys + FAN
+   adjacent buckets``, and only the edges of those groups (one row per key and
+   ``FAN`` buckets) meet in a window per key;
 4. the edges are joined back on ``keys + bucket``.  The join side is left to
    AQE: it is broadcast when its runtime size is under
    ``spark.sql.autoBroadcastJoinThreshold`` and sort-merged otherwise, and the
    windowed side is already hash-partitioned on exactly these keys.
 
+Because two levels keep the last window small, the first buckets can be narrow
+(seconds), so that a log that grows denser, not longer, still spreads over
+many tasks: thirty days hold 259,200 ten-second buckets, 507 groups of 512.
+
 A hot key (one alarm code holding a third of all rows) is therefore split
 over its buckets as well.  The order must be total (add a unique tiebreak
 column), exactly as a deterministic global window requires; key columns must
@@ -34,18 +38,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Default bucket widths.  Windows over raw log rows without a key (or with a
-# handful of keys) use hours: a busy day is split 24 ways and the edge table
-# stays at most 24 rows per key and day.  Windows keyed by many values (one
-# sequence per alarm) use days so the edge table stays far below the row
-# count; windows over per-second rollups are bounded by 86400 rows a day.
-RAW_SPAN_S = 3600
-KEYED_SPAN_S = 86400
+# Default bucket widths: raw rows without a key (or with a handful of keys),
+# and windows keyed by many values (one sequence per alarm).
+RAW_SPAN_S = 10
+KEYED_SPAN_S = 60
+#: Buckets per group of the second level.
+FAN = 512
 
-_B = "_sq_bucket"
 _NULL_BUCKET = -(2 ** 63)
-_RN = "_sq_rn"
-_LAST = "_sq_last"
 
 
 def time_bucket(ts: Column | str, seconds: int = 3600) -> Column:
@@ -64,6 +64,11 @@ def _default_lit(value):
     return F.lit(value) if not isinstance(value, Column) else value
 
 
+def _add(a: Column, b: Column) -> Column:
+    """Sum of two running sums; NULL (no value yet) counts as nothing."""
+    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)
+
+
 def ordered_window(
     df: DataFrame,
     order: Sequence[str],
@@ -80,27 +85,30 @@ def ordered_window(
     exactly like ``lag(c, 1, default)``.  ``running_sums``: ``{out: col}``,
     cumulative sum with a ROWS frame (unbounded preceding .. current row).
     """
-    lags = dict(lags or {})
-    leads = dict(leads or {})
-    running_sums = dict(running_sums or {})
-    keys = list(keys)
-    order_cols = [F.col(c) for c in order]
+    return _chained(df, order, bucket, list(keys), dict(lags or {}), dict(leads or {}),
+                    dict(running_sums or {}), levels=2)
+
+
+def _chained(df: DataFrame, order: Sequence[str], bucket: Column, keys: list, lags: dict,
+             leads: dict, running_sums: dict, levels: int, before: bool = False) -> DataFrame:
+    """``ordered_window`` over ``levels`` levels of buckets; with ``before`` the
+    running sums stop at the previous row."""
+    sq = f"_sq{levels}_"
+    b, rn, is_last = sq + "bucket", sq + "rn", sq + "last"
 
     # A NULL order value gets the smallest bucket: such rows sort first, as
     # NULLs do in an ascending window, and are not lost by the equi-join.
-    d = df.withColumn(_B, F.coalesce(bucket.cast("bigint"), F.lit(_NULL_BUCKET)))
-    w = Window.partitionBy(*keys, _B).orderBy(*order_cols)
-    d = d.withColumn(_RN, F.row_number().over(w))
-    d = d.withColumn(_LAST, F.lead(F.lit(1)).over(w).isNull())
-    for out, (src, _dflt) in lags.items():
-        d = d.withColumn(f"_sq_in_{out}", F.lag(src).over(w))
-    for out, (src, _dflt) in leads.items():
-        d = d.withColumn(f"_sq_in_{out}", F.lead(src).over(w))
-    for out, src in running_sums.items():
-        d = d.withColumn(
-            f"_sq_in_{out}",
-            F.sum(src).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-        )
+    d = df.withColumn(b, F.coalesce(bucket.cast("bigint"), F.lit(_NULL_BUCKET)))
+    w = Window.partitionBy(*keys, b).orderBy(*[F.col(c) for c in order])
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = {rn: F.row_number().over(w), is_last: F.lead(F.lit(1)).over(w).isNull()}
+    inside |= {f"{sq}in_{out}": F.lag(src).over(w) for out, (src, _) in lags.items()}
+    inside |= {f"{sq}in_{out}": F.lead(src).over(w) for out, (src, _) in leads.items()}
+    inside |= {f"{sq}in_{out}": F.sum(src).over(upto) for out, src in running_sums.items()}
+    if before:
+        inside |= {f"{sq}ex_{out}": F.sum(src).over(w.rowsBetween(Window.unboundedPreceding, -1))
+                   for out, src in running_sums.items()}
+    d = d.withColumns(inside)
 
     # Edges: first / last row values and totals per bucket, taken from the
     # windowed rows themselves.  They are already hash-partitioned by
@@ -108,47 +116,51 @@ def ordered_window(
     # exchange is shared by both branches: the input is computed once.
     lag_src = sorted({src for src, _ in lags.values()})
     lead_src = sorted({src for src, _ in leads.values()})
-    first, last = F.col(_RN) == 1, F.col(_LAST)
+    prev, nxt = sq + "prev", sq + "next"
+    first, last = F.col(rn) == 1, F.col(is_last)
     aggs = []
     if lag_src:
-        aggs.append(F.max(F.when(last, F.struct(*[F.col(c).alias(c) for c in lag_src]))).alias("_sq_lastv"))
+        aggs.append(F.max(F.when(last, F.struct(*[F.col(c).alias(c) for c in lag_src]))).alias(sq + "lastv"))
     if lead_src:
-        aggs.append(F.max(F.when(first, F.struct(*[F.col(c).alias(c) for c in lead_src]))).alias("_sq_firstv"))
+        aggs.append(F.max(F.when(first, F.struct(*[F.col(c).alias(c) for c in lead_src]))).alias(sq + "firstv"))
     for out in running_sums:
-        aggs.append(F.max(F.when(last, F.col(f"_sq_in_{out}"))).alias(f"_sq_tot_{out}"))
+        aggs.append(F.max(F.when(last, F.col(f"{sq}in_{out}"))).alias(f"{sq}tot_{out}"))
     if not aggs:
-        return d.drop(_B, _RN, _LAST)
-    edges = d.filter(first | last).groupBy(*keys, _B).agg(*aggs)
-    we = Window.partitionBy(*keys).orderBy(_B)
-    sel = [*keys, _B]
-    if lag_src:
-        sel.append(F.lag("_sq_lastv").over(we).alias("_sq_prev"))
-    if lead_src:
-        sel.append(F.lead("_sq_firstv").over(we).alias("_sq_next"))
-    for out in running_sums:
-        sel.append(
-            F.coalesce(
-                F.sum(f"_sq_tot_{out}").over(
-                    we.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-            ).alias(f"_sq_off_{out}")
-        )
-    edges = edges.select(*sel)
-
-    d = d.join(edges, on=[*keys, _B], how="inner")
+        return d.drop(b, rn, is_last)
+    edges = d.filter(first | last).groupBy(*keys, b).agg(*aggs)
+    if levels > 1:
+        edges = _chained(edges, [b], F.floor(F.col(b) / F.lit(FAN)), keys,
+                         {prev: (sq + "lastv", None)} if lag_src else {},
+                         {nxt: (sq + "firstv", None)} if lead_src else {},
+                         {f"{sq}off_{out}": f"{sq}tot_{out}" for out in running_sums},
+                         levels - 1, before=True)
+    else:
+        we = Window.partitionBy(*keys).orderBy(b)
+        links = {}
+        if lag_src:
+            links[prev] = F.lag(sq + "lastv").over(we)
+        if lead_src:
+            links[nxt] = F.lead(sq + "firstv").over(we)
+        for out in running_sums:
+            links[f"{sq}off_{out}"] = F.sum(f"{sq}tot_{out}").over(we.rowsBetween(Window.unboundedPreceding, -1))
+        edges = edges.withColumns(links)
+    edges = edges.select(*keys, b, *([prev] if lag_src else []), *([nxt] if lead_src else []),
+                         *[f"{sq}off_{out}" for out in running_sums])
+
+    d = d.join(edges, on=[*keys, b], how="inner")
     out_cols = []
     for out, (src, dflt) in lags.items():
-        prev = F.col("_sq_prev")
         out_cols.append(
-            F.when(F.col(_RN) == 1,
-                   F.when(prev.isNull(), _default_lit(dflt)).otherwise(prev[src]))
-            .otherwise(F.col(f"_sq_in_{out}")).alias(out))
+            F.when(F.col(rn) == 1,
+                   F.when(F.col(prev).isNull(), _default_lit(dflt)).otherwise(F.col(prev)[src]))
+            .otherwise(F.col(f"{sq}in_{out}")).alias(out))
     for out, (src, dflt) in leads.items():
-        nxt = F.col("_sq_next")
         out_cols.append(
-            F.when(F.col(_LAST),
-                   F.when(nxt.isNull(), _default_lit(dflt)).otherwise(nxt[src]))
-            .otherwise(F.col(f"_sq_in_{out}")).alias(out))
+            F.when(F.col(is_last),
+                   F.when(F.col(nxt).isNull(), _default_lit(dflt)).otherwise(F.col(nxt)[src]))
+            .otherwise(F.col(f"{sq}in_{out}")).alias(out))
     for out in running_sums:
-        out_cols.append((F.col(f"_sq_in_{out}") + F.col(f"_sq_off_{out}")).alias(out))
+        own = F.col(f"{sq}{'ex' if before else 'in'}_{out}")
+        out_cols.append(_add(own, F.col(f"{sq}off_{out}")).alias(out))
     base = [c for c in df.columns if c not in lags and c not in leads and c not in running_sums]
     return d.select(*[F.col(c) for c in base], *out_cols)

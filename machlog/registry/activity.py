@@ -217,7 +217,21 @@ def a16(spark, sf):
     return A.count_distribution(A.distinct_vars_per_second(Tables(spark, sf).fl, B))
 
 
-@register("A17_kmeans_thresholds")
+#: Lloyd's rounds as recursion: every round joins the centroids with the histogram.
+KMEANS_SQL = f"""hist AS (SELECT CAST(distinct_vars_count AS DOUBLE) AS v, CAST(COUNT(*) AS DOUBLE) AS n FROM ({ROLLUP}) GROUP BY 1),
+km AS (SELECT 0 AS i, min(v) AS c1, sum(v * n) / sum(n) AS c2, max(v) AS c3 FROM hist
+  UNION ALL SELECT i + 1,
+    coalesce(sum(v * n) FILTER (v <= (c1 + c2) / 2) / sum(n) FILTER (v <= (c1 + c2) / 2), c1),
+    coalesce(sum(v * n) FILTER (v > (c1 + c2) / 2 AND v <= (c2 + c3) / 2) / sum(n) FILTER (v > (c1 + c2) / 2 AND v <= (c2 + c3) / 2), c2),
+    coalesce(sum(v * n) FILTER (v > (c2 + c3) / 2) / sum(n) FILTER (v > (c2 + c3) / 2), c3)
+  FROM km, hist WHERE i < 100 GROUP BY i, c1, c2, c3),
+cut AS (SELECT c1, c2, c3, (c1 + c2) / 2 AS t1, (c2 + c3) / 2 AS t2 FROM km WHERE i = 100)"""
+
+
+@register("A17_kmeans_thresholds", f"""
+WITH RECURSIVE {KMEANS_SQL}
+SELECT c1 AS centroid_1, c2 AS centroid_2, c3 AS centroid_3, t1 AS threshold_1, t2 AS threshold_2,
+  CAST(floor(t1) AS INTEGER) AS t1_int, CAST(floor(t2) AS INTEGER) AS t2_int FROM cut""")
 def a17(spark, sf):
     return A.kmeans_thresholds(A.count_distribution(A.distinct_vars_per_second(Tables(spark, sf).fl, B)))
 
@@ -266,6 +280,17 @@ def a20(spark, sf):
     return A.three_state_totals(Tables(spark, sf).fl, t1=T1, t2=T2, bucket_s=B)
 
 
+@register("A20_with_kmeans_thresholds", f"""
+WITH RECURSIVE {KMEANS_SQL}, """ + three_state_sql(
+        "", f"(SELECT max(ts) + INTERVAL {B} SECOND FROM level_at)")
+        .replace(f"n > {T2}", "n > (SELECT floor(t2) FROM cut)").replace(f"n > {T1}", "n > (SELECT floor(t1) FROM cut)"))
+def a20_kmeans(spark, sf):
+    """A16 -> A17 -> A20: the fitted thresholds enter as scalar subqueries."""
+    fl = Tables(spark, sf).fl
+    cut = A.kmeans_thresholds(A.count_distribution(A.distinct_vars_per_second(fl, B)))
+    return A.three_state_totals(fl, t1=cut.select("t1_int").scalar(), t2=cut.select("t2_int").scalar(), bucket_s=B)
+
+
 @register("A21_sample_days", f"""
 WITH {REP_DAYS}
 SELECT date, id_var, value, seq, CAST({bucket_ts('date')} AS DATE) AS day

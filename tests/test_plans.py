@@ -108,3 +108,50 @@ def test_bucket_width_does_not_change_results(spark):
     e1 = E.daily_energy(load).select("day", F.round("total_energy_kwh", 9).alias("k"))
     e2 = E.daily_energy(load, span_s=7 * 86400).select("day", F.round("total_energy_kwh", 9).alias("k"))
     assert e1.exceptAll(e2).count() == 0 and e2.exceptAll(e1).count() == 0
+
+
+def test_dense_log_spreads_over_window_tasks(spark):
+    """A hundred times the rows in the same days: no window bucket holds more
+    than a few times the mean, and the values are those of the narrow log."""
+    from machlog.plans.sequence import FAN, RAW_SPAN_S
+
+    fl = ad.float_log(ad.events(spark, "/root/testdata/sf0.001")).select("date", "seq", "value")
+    dense = fl.select("value", F.explode(F.sequence(F.lit(0), F.lit(99))).alias("k"), "date", "seq").select(
+        (F.col("date") + F.col("k") * 977).alias("date"), (F.col("seq") * 100 + F.col("k")).alias("seq"), "value")
+    per = dense.groupBy(F.pmod(F.hash(ms_bucket("date", RAW_SPAN_S)), F.lit(64))).count().select("count")
+    top, mean = per.agg(F.max("count"), F.avg("count")).first()
+    assert top < 3 * mean
+    groups = dense.select(F.floor(ms_bucket("date", RAW_SPAN_S) / FAN).alias("g")).distinct().count()
+    assert groups < dense.count() / 100
+    got = ordered_window(dense, order=["date", "seq"], bucket=ms_bucket("date", RAW_SPAN_S),
+                         lags={"prev": ("seq", None)}, leads={"nxt": ("seq", None)})
+    assert got.filter("prev IS NULL").count() == got.filter("nxt IS NULL").count() == 1
+    back = got.select("seq", "nxt").join(got.select(F.col("seq").alias("nxt"), "prev"), "nxt").filter("seq = prev")
+    assert back.count() == dense.count() - 1
+
+
+def test_running_sum_over_nulls_and_sparse_buckets(spark):
+    rows = [(i * 40_000_000, None if i % 3 else i) for i in range(60)] + [(None, 5)]
+    df = spark.createDataFrame(rows, "date bigint, v int")
+    got = ordered_window(df, order=["date"], bucket=ms_bucket("date", 10), running_sums={"s": "v"})
+    want = df.select("*", F.sum("v").over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_exact_quantiles_with_extreme_value(spark):
+    df = spark.range(2000).select(F.lit("g").alias("g"), F.when(F.col("id") == 7, 1e300).otherwise(
+        F.col("id").cast("double")).alias("v"))
+    got = exact_quantiles(df, ["g"], "v", [0.25, 0.5], names=["a", "b"]).first()
+    want = df.agg(F.percentile("v", [0.25, 0.5])).first()[0]
+    assert [got["a"], got["b"]] == want
+
+
+def test_kmeans_fixed_start(spark):
+    from machlog.operators import activity as A
+
+    hist = spark.createDataFrame([(1, 10), (2, 10), (10, 5), (11, 5), (30, 2)],
+                                 "distinct_vars_count bigint, number_of_seconds bigint")
+    r = A.kmeans_thresholds(hist).first()
+    assert (r["centroid_1"], r["centroid_2"], r["centroid_3"]) == (1.5, 10.5, 30.0)
+    assert (r["t1_int"], r["t2_int"]) == (6, 20)
+    assert A.kmeans_thresholds(hist.limit(0)).first()["threshold_1"] is None

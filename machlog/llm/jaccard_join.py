@@ -188,10 +188,10 @@ def _joined(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     more = _verified(pairs, classes, docs, doc_id, text)
     final = components(known.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more))
 
-    placed = classes.select("digest", "first_id").join(final, F.col("digest") == F.col("node"), "left").select(
-        "digest", "first_id", F.coalesce("comp", "digest").alias("comp"))
-    smallest = placed.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    # Written, so that a class with very many copies can be split in the last join.
+    placed = cut(classes.select("digest", "first_id").join(final, F.col("digest") == F.col("node"), "left").select(
+        "digest", "first_id", F.coalesce("comp", "digest").alias("comp")), "component-classes")
+    # Written, so that the next two joins can split a component of very many classes and a class of very many copies.
+    smallest = cut(placed.groupBy("comp").agg(F.min("first_id").alias("component_id")), "component-least")
     ids = cut(placed.join(smallest, "comp").select("digest", "component_id"), "component-ids")
     return rows.select("row", "id", F.col("key").alias("row_key"), F.col("n").alias("n_shingles"), F.col("digest").alias("of")).join(
         ids, F.col("of") == F.col("digest"), "left").select(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from machlog.session import ensure_checkpoint_dir
 
 #: The white space the contracts name, ``[\x20\x09-\x0D]``.
 ASCII_SPACE = " \t\n\x0b\f\r"
+#: Bits of the filter that lets candidates through before a join; others that pass are dropped by the join.
+FILTER_BITS = 1 << 22
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -62,6 +65,14 @@ def hash128(*cols: Column) -> list[Column]:
     return [F.xxhash64(*cols), F.xxhash64(F.lit(7), *cols)]
 
 
+def bits_of(keys: DataFrame):
+    """A broadcast filter of fixed size over the longs in column ``key``: no false negatives."""
+    places = keys.select(F.pmod("key", F.lit(FILTER_BITS)).alias("bit")).distinct().toPandas()["bit"].to_numpy(np.int64)
+    bits = np.zeros(FILTER_BITS, np.bool_)
+    bits[places] = True
+    return keys.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+
 def arrow_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Rows of Arrow batches, one at a time."""
     for batch in batches:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from machlog.llm.common import cut, fields, hash128, quoted, whole_row
+from machlog.llm.common import FILTER_BITS, bits_of, cut, fields, hash128, quoted, whole_row
 
 #: Distinct digests a bucket holds on average; the memory of a task depends on nothing else.
 BUCKET_KEYS = 50_000
@@ -221,6 +221,15 @@ def _equal_texts(pairs: DataFrame, incoming: DataFrame, snapshot: DataFrame, doc
         d = docs.select(F.col(quoted(doc_id)).alias("id"), F.sha2(body, 256).alias("d_sha"), body.alias("body"))
         p = pairs.select(F.col(sha).alias("p_sha"), F.col(first).alias("p_id"), F.col("sha").alias("pair"),
                          F.col("old_sha").alias("old_pair"))
+        # Only texts that a pair may ask for reach the exchange.
+        shipped = bits_of(p.select(F.xxhash64("p_sha", "p_id").alias("key")))
+
+        @F.pandas_udf("boolean")
+        def asked(at: pd.Series) -> pd.Series:
+            at = at.to_numpy()
+            return pd.Series((shipped.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
+
+        d = d.filter(asked(F.pmod(F.xxhash64("d_sha", "id"), F.lit(FILTER_BITS))))
         met = d.join(p, (F.col("d_sha") == F.col("p_sha")) & F.col("id").eqNullSafe(F.col("p_id")))
         return met.select("pair", "old_pair", F.col("body").alias(side))
     new = texts(incoming, "sha", "first_id", "new_body")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from machlog.llm.common import cut, fields, hash128, quoted, whole_row
+from machlog.llm.common import FILTER_BITS, bits_of, cut, fields, hash128, quoted, whole_row
 from machlog.llm.components import components
 
 SHINGLE = 5
@@ -39,9 +39,6 @@ COUNTERS = 1 << 20
 LANES = 32
 #: Rows of one shingle that meet at one pivot; a more frequent shingle has several.
 SALT_ROWS = 50_000
-#: Bits of the filter that lets the texts of candidate classes through; others that
-#: pass are dropped by the join after it.
-FILTER_BITS = 1 << 22
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _hash = xxhash.xxh3_64_intdigest
@@ -260,14 +257,6 @@ def _cross_pairs(index: DataFrame, members: DataFrame, known: DataFrame) -> Data
     return met.filter(_could_link("o_", "a_")).select(*_pair(F.col("o_digest"), F.col("digest"))).distinct()
 
 
-def _bits(keys: DataFrame, spark):
-    """A broadcast filter of fixed size over the longs in column ``key``: no false negatives."""
-    places = keys.select(F.pmod("key", F.lit(FILTER_BITS)).alias("bit")).distinct().toPandas()["bit"].to_numpy(np.int64)
-    bits = np.zeros(FILTER_BITS, np.bool_)
-    bits[places] = True
-    return spark.sparkContext.broadcast(np.packbits(bits))
-
-
 def _plausible(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs whose whole prefixes allow the similarity.
 
@@ -277,7 +266,7 @@ def _plausible(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """
     pairs = cut(pairs, "pairs")
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct(), "wanted")
-    shipped = _bits(wanted.select(F.xxhash64("digest").alias("key")), pairs.sparkSession)
+    shipped = bits_of(wanted.select(F.xxhash64("digest").alias("key")))
 
     def let_through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passes = np.unpackbits(shipped.value).astype(bool)
@@ -298,7 +287,7 @@ def _plausible(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets reach the similarity."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct().join(classes.select("digest", "key"), "digest")
-    shipped = _bits(wanted.select(F.col("key.a").alias("key")), docs.sparkSession)
+    shipped = bits_of(wanted.select(F.col("key.a").alias("key")))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passes = np.unpackbits(shipped.value).astype(bool)

@@ -133,7 +133,7 @@ def _prefix(s: np.ndarray, frequent: np.ndarray) -> tuple:
     if not n:
         return 0, None, None, [], []
     digest = xxhash.xxh3_128_digest(s.tobytes())
-    count = frequent[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]
+    count = frequent[(s & np.uint64(len(frequent) - 1)).astype(np.int64)]
     first = np.lexsort((s, count))[:n - needed(n) + 1]
     prefix = s[first]
     head = xxhash.xxh3_128_digest(n.to_bytes(8, "little") + prefix.tobytes())
@@ -208,14 +208,17 @@ def _lead() -> Column:
 
 def _index(rows: DataFrame) -> DataFrame:
     """token, salt, lead, n, pos and the pivot of the token (and salt): prefix
-    shingles of groups, those that occur once left out."""
-    groups = rows.groupBy("head", "n").agg(F.first("prefix").alias("prefix"), F.first("salts").alias("salts")).withColumn("lead", _lead())
-    each = groups.select("lead", "n", F.posexplode(F.arrays_zip("prefix", "salts")).alias("pos", "x")).select(
-        F.col("x.prefix").alias("token"), F.col("x.salts").alias("salt"), "lead", F.col("n").cast("int").alias("n"), "pos")
+    shingles of groups, those of one class alone left out.  A group of several
+    classes keeps its first shingle, at which they meet each other."""
+    groups = rows.groupBy("head", "n").agg(F.first("prefix").alias("prefix"), F.first("salts").alias("salts"),
+                                           (F.min("digest") != F.max("digest")).alias("several")).withColumn("lead", _lead())
+    each = groups.select("lead", "n", "several", F.posexplode(F.arrays_zip("prefix", "salts")).alias("pos", "x")).select(
+        F.col("x.prefix").alias("token"), F.col("x.salts").alias("salt"), "lead", F.col("n").cast("int").alias("n"), "pos",
+        (F.col("several") & (F.col("pos") == 0)).alias("meets"))
     one = Window.partitionBy("token", "salt")
     return (each.withColumn("rows", F.count(F.lit(1)).over(one))
             .withColumn("pivot", F.min(F.struct("pos", "lead", "n")).over(one))
-            .filter("rows > 1 or salt > 0").drop("rows"))
+            .filter("rows > 1 or salt > 0 or meets").drop("rows", "meets"))
 
 
 def _pair(a: Column, b: Column) -> list[Column]:

@@ -349,6 +349,19 @@ def test_jaccard_keeps_one(spark):
     assert jaccard_join.join(docs.limit(0)).count() == 0
 
 
+def test_jaccard_links_inside_a_group(spark, monkeypatch):
+    """Few counters: the order is not rare-first, so unlike sets share a whole prefix that no other group has."""
+    monkeypatch.setattr(jaccard_join, "COUNTERS", 32)
+    draw, texts = random.Random(21), []
+    for i in range(100):
+        base = [f"v{i}x{k}" for k in range(13)]
+        family = [["odd", *base[1:12], "a"], [*base[:12], "b"], [*base[:12], "c"], [*base[:6], "odd", *base[7:]]]
+        draw.shuffle(family)
+        texts += [(4 * i + k, " ".join(w)) for k, w in enumerate(family)]
+    got = jaccard_join.join(documents(spark, texts))
+    assert Counter(rows_of(got, "doc_id", "n_shingles", "component_id")) == brute_components(texts)
+
+
 def test_components(spark):
     draw = random.Random(9)
     pairs = [(f"{a:03}", f"{a + 1:03}") for a in range(0, 60)] + [(f"{draw.randint(100, 160)}", f"{draw.randint(100, 160)}") for _ in range(40)]

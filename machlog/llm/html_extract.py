@@ -4,7 +4,8 @@ Every run of text in a block is a paragraph.  It passes points for its length
 and commas to the container around it, half to the next one and a shrinking
 share further up; a container's points are discounted by its link density.  The
 best container and those of its siblings that score too, or read like
-paragraphs, are kept; boilerplate elements never count.
+paragraphs, are kept; boilerplate elements never count.  An element marked as
+boilerplate by a word of its class, id or role is judged when the page is read.
 """
 
 from __future__ import annotations
@@ -50,14 +51,18 @@ BOILERPLATE = frozenset(
     "related recommended widget widgets pagination pager copyright search contentinfo complementary".split())
 GOOD = frozenset("article body content entry main page post story text blog".split())
 SEMANTIC = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: A marked element with this share of the page's points is no boilerplate.
+LARGE = 0.5
 LEVELS = 5
 
 
 class _Node:
-    __slots__ = ("tag", "up", "gone", "kept", "points", "size", "linked", "link", "bonus")
+    __slots__ = ("tag", "up", "gone", "kept", "points", "size", "linked", "link", "bonus", "marked", "slug", "semantic")
 
-    def __init__(self, tag: str, up: _Node | None, gone: bool, link: bool, bonus: float):
+    def __init__(self, tag: str, up: _Node | None, gone: bool, link: bool, bonus: float, marked: bool = False, slug: tuple = ()):
         self.tag, self.up, self.gone, self.link, self.bonus = tag, up, gone, link, bonus
+        self.marked, self.slug, self.semantic = marked, slug, tag in SEMANTIC and not gone
         self.kept, self.points, self.size, self.linked = False, 0.0, 0, 0
 
     def score(self) -> float:
@@ -72,9 +77,11 @@ class _Page:
         self.nodes = [self.root]
         self.open = [self.root]
         self.counts: dict[str, int] = {}
-        self.blocks: list[tuple[_Node, str, int]] = []
-        self.pending: list[tuple[str, bool]] = []
+        self.marks = False
+        self.runs: list[tuple[_Node, list[tuple[str, _Node]]]] = []
+        self.pending: list[tuple[str, _Node]] = []
         self._read(source)
+        self.blocks = self._judged() if self.marks else self._blocks()
 
     def _read(self, s: str) -> None:
         at = 0
@@ -102,17 +109,53 @@ class _Page:
     def _text(self, text: str, plain: bool = False) -> None:
         top = self.open[-1]
         if text and not top.gone:
-            self.pending.append((text if plain or "&" not in text else html.unescape(text), top.link))
+            self.pending.append((text if plain or "&" not in text else html.unescape(text), top))
 
     def _flush(self) -> None:
         if not self.pending:
             return
-        text = " ".join("".join(t for t, _ in self.pending).split())
-        if text:
-            linked = sum(len(" ".join(t.split())) for t, link in self.pending if link)
-            owner = next(n for n in reversed(self.open) if n.tag in BLOCK or n is self.root)
-            self.blocks.append((owner, text, min(linked, len(text))))
-        self.pending.clear()
+        self.runs.append((next(n for n in reversed(self.open) if n.tag in BLOCK or n is self.root), self.pending))
+        self.pending = []
+
+    def _blocks(self) -> list[tuple[_Node, str, int]]:
+        """Owner, text and linked length of every block that has text in elements not gone."""
+        out = []
+        for owner, runs in self.runs:
+            runs = [(t, n.link) for t, n in runs if not n.gone]
+            text = " ".join("".join(t for t, _ in runs).split())
+            if text:
+                linked = sum(len(" ".join(t.split())) for t, link in runs if link)
+                out.append((owner, text, min(linked, len(text))))
+        return out
+
+    def _judged(self) -> list[tuple[_Node, str, int]]:
+        """The blocks without those of boilerplate.  A marked element is boilerplate if
+        it has no article or main inside, not the id of its own title and no large share
+        of the page's points; inner elements are judged first and then count no more."""
+        held = dict.fromkeys(self.nodes, 0.0)
+        titles: dict[_Node, tuple] = {}
+        for owner, runs in self.runs:
+            text = " ".join("".join(t for t, _ in runs).split())
+            size = len(text)
+            for t, n in runs:  # a block's points by the share of its runs
+                if size and not n.link:
+                    held[n] += _points(text, 0) * min(1.0, len(t.strip()) / size)
+            if owner.tag in HEADINGS and owner.up is not None:
+                titles.setdefault(owner.up, _slug(text))
+        for n in reversed(self.nodes):
+            if n.up is not None:
+                held[n.up] += held[n]
+                n.up.semantic |= n.semantic
+        total, taken = held[self.root], dict.fromkeys(self.nodes, 0.0)
+        for n in reversed(self.nodes):
+            own = held[n] - taken[n]
+            if n.marked and not n.semantic and not (n.slug and titles.get(n) == n.slug) and not own >= LARGE * total > 0:
+                n.gone, total, taken[n] = True, total - own, held[n]
+            if n.up is not None:
+                taken[n.up] += taken[n]
+        for n in self.nodes:
+            n.gone = n.gone or n.up is not None and n.up.gone
+        return self._blocks()
 
     def _start(self, tag: str, more: str) -> None:
         if tag == "br":
@@ -126,15 +169,22 @@ class _Page:
         if tag in VOID:
             return
         up = self.open[-1]
-        gone, bonus = up.gone, 0.0
+        gone, bonus, marked, slug = up.gone, 0.0, False, ()
         if not gone:
             attributes = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTRIBUTE.findall(more)} if more.strip() else {}
-            said = set(re.split(r"[^a-z]+", " ".join(attributes.get(k, "") for k in ("class", "id", "role")).lower()))
+            read = ("class", "role") if tag in HEADINGS else ("class", "id", "role")
+            said = set(re.split(r"[^a-z]+", " ".join(attributes.get(k, "") for k in read).lower()))
             inner = any(n.tag in SEMANTIC for n in self.open) if tag == "header" else False
-            gone = (tag in NEVER or tag == "header" and not inner or self._hidden(attributes, more)
-                    or tag not in ("html", "body", "article", "main") and bool(said & BOILERPLATE))
+            gone = tag in NEVER or tag == "header" and not inner or self._hidden(attributes, more)
+            marked = (not gone and tag not in ("html", "body", "article", "main", "hgroup") and tag not in HEADINGS
+                      and not said & GOOD and bool(said & BOILERPLATE))
+            if marked:
+                self.marks = True
+                other = set(re.split(r"[^a-z]+", f"{attributes.get('class', '')} {attributes.get('role', '')}".lower()))
+                own = _slug(attributes.get("id", ""))
+                slug = own if not other & BOILERPLATE and not BOILERPLATE.issuperset(own) else ()
             bonus = 10.0 * (tag in SEMANTIC) + 5.0 * bool(said & GOOD)
-        node = _Node(tag, up, gone, up.link or tag == "a", bonus)
+        node = _Node(tag, up, gone, up.link or tag == "a", bonus, marked, slug)
         self.nodes.append(node)
         self.open.append(node)
         self.counts[tag] = self.counts.get(tag, 0) + 1
@@ -174,7 +224,7 @@ def extract_text(source: str | None) -> str:
     for owner, text, linked in page.blocks:
         owner.size += len(text)
         owner.linked += linked
-        points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - linked / len(text))
+        points = _points(text, linked)
         node = owner.up if owner.tag in PARAGRAPH and owner.up else owner
         for level in range(LEVELS):
             node.points += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
@@ -207,6 +257,14 @@ def extract_text(source: str | None) -> str:
     return "\n".join(out)
 
 
+def _points(text: str, linked: int) -> float:
+    return (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - linked / len(text))
+
+
+def _slug(title: str) -> tuple:
+    return tuple(re.findall(r"[a-z]+", title.lower()))
+
+
 def _reads(text: str, linked: int) -> bool:
     """Whether a paragraph beside the best container reads like prose."""
     return linked < 0.25 * len(text) if len(text) > 80 else not linked and text.endswith((".", "!", "?"))

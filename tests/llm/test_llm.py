@@ -396,6 +396,19 @@ def test_html_scores_containers_without_semantics():
     assert html_extract.extract_text(page) == f"{text}\n{text}\nA closing remark."
 
 
+def test_html_marked_words_take_no_content():
+    text = "This is a sentence, with commas, and it goes on for a while so that it counts."
+    box = "<div class='sidebar'><p>Box, one, two.</p></div><p>Next line.</p>"
+    for wrapper in ("content has-sidebar", "layout no-comments", "page with-sidebar"):
+        assert html_extract.extract_text(f'<div class="{wrapper}"><article><p>{text}</p>{box}</article></div>') == f"{text}\nNext line."
+    plain = f'<body><div class="layout no-comments"><p>{text}</p><p>{text}</p>{box}</div></body>'
+    assert html_extract.extract_text(plain) == f"{text}\n{text}\nNext line."
+    parts = "".join(f'<section id="{s}"><h2 id="{s}">{t}</h2><p>{text}</p></section>' for s, t in (
+        ("related-work", "Related work"), ("search-algorithms", "Search algorithms"), ("social-history", "Social history")))
+    page = f'<article>{parts}<div id="comments"><h2>Comments</h2><p>{text}</p></div></article>'
+    assert html_extract.extract_text(page) == f"Related work\n{text}\nSearch algorithms\n{text}\nSocial history\n{text}"
+
+
 def test_html_odd_pages(spark):
     pages = [(None, None), (1, ""), (2, "<p>"), (3, "plain, text"), (3, "plain, text"), (4, "<div>" * 5000 + "deep, text"),
              (5, "<p>" + "long, " * 50_000), (6, "<a href=x>only links</a>"), (7, "<p a='"), (8, "</p></div>x < y & z")]

@@ -244,19 +244,43 @@ def extract_text(source: str | None) -> str:
             best = around
             break
         around = around.up
-    least = max(10.0, 0.2 * best.score())
+    if best.up is not None:
+        _keep_siblings(page, best)
     for node in page.nodes:
-        node.kept = node is best or (node.up is not None and node.up.kept)
-        if not node.kept and best.up is not None and node.up is best.up and not node.gone and node.tag in BLOCK and node.tag not in ("h1", "h2", "h3"):
-            node.kept = node.score() >= least
+        node.kept = node.kept or node is best or (node.up is not None and node.up.kept)
     out = []
     for owner, text, linked in page.blocks:
-        alone = owner.tag == "p" and owner.up is best.up and best.up is not None
+        alone = best.tag in SEMANTIC and owner.tag == "p" and owner.up is best.up and best.up is not None
         if owner.kept or alone and _reads(text, linked):
             out.append(text)
     return "\n".join(out)
 
 
+def _keep_siblings(page: _Page, best: _Node) -> None:
+    """Mark what is kept beside ``best``: containers that score too; beside a container
+    that is no article or main also whatever reads like prose, however short, and the
+    headings whose part, up to the next heading of their level, has a kept element."""
+    around = [n for n in page.nodes if n.up is best.up and (n is best or not n.gone and n.tag in BLOCK)]
+    if best.tag in SEMANTIC:
+        least = max(10.0, 0.2 * best.score())
+        for node in around:
+            node.kept = node.tag not in ("h1", "h2", "h3") and node.score() >= least
+        return
+    top = dict(zip(around, around))
+    for node in page.nodes:
+        if node.up in top:
+            top[node] = top[node.up]
+    last = {top[owner]: text for owner, text, _ in page.blocks if owner in top}
+    live = [False] * 7
+    for node in reversed(around):
+        if node.tag in HEADINGS:
+            level = int(node.tag[1])
+            node.kept, live[level:] = live[level], [False] * (7 - level)
+        elif node is best or node.size and (node.tag not in PARAGRAPH and node.score() >= 0.2 * best.score()
+                                            or _reads(last[node], node.linked, node.size)):
+            node.kept, live = True, [True] * 7
+
+
 def _points(text: str, linked: int) -> float:
     return (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - linked / len(text))
 
@@ -265,9 +289,10 @@ def _slug(title: str) -> tuple:
     return tuple(re.findall(r"[a-z]+", title.lower()))
 
 
-def _reads(text: str, linked: int) -> bool:
-    """Whether a paragraph beside the best container reads like prose."""
-    return linked < 0.25 * len(text) if len(text) > 80 else not linked and text.endswith((".", "!", "?"))
+def _reads(text: str, linked: int, size: int | None = None) -> bool:
+    """Whether what stands beside the best container reads like prose; ``text`` is the last of its ``size`` characters."""
+    size = len(text) if size is None else size
+    return linked < 0.25 * size if size > 80 else not linked and text.endswith((".", "!", "?"))
 
 
 def extract(pages: DataFrame, source: str = "html") -> DataFrame:

@@ -409,6 +409,15 @@ def test_html_marked_words_take_no_content():
     assert html_extract.extract_text(page) == f"Related work\n{text}\nSearch algorithms\n{text}\nSocial history\n{text}"
 
 
+def test_html_keeps_siblings_of_the_best_container():
+    text = "This is a sentence, with commas, and it goes on for a while so that it counts."
+    code, links = ("code line " * 500).strip(), "<ul>" + "".join(f"<li><a href=/{i}>link, {i}</a></li>" for i in range(9)) + "</ul>"
+    page = (f"<body><h1>Title</h1><div>{f'<p>{text}</p>' * 20}</div><h2>Code</h2><pre>{code}</pre><h2>See</h2>{links}"
+            "<blockquote>It was said.</blockquote><h3>End</h3><div><p>Two closing sentences. So short.</p></div><h2>Links</h2>" + links + "</body>")
+    assert html_extract.extract_text(page).split("\n") == [
+        "Title", *[text] * 20, "Code", code, "See", "It was said.", "End", "Two closing sentences. So short."]
+
+
 def test_html_odd_pages(spark):
     pages = [(None, None), (1, ""), (2, "<p>"), (3, "plain, text"), (3, "plain, text"), (4, "<div>" * 5000 + "deep, text"),
              (5, "<p>" + "long, " * 50_000), (6, "<a href=x>only links</a>"), (7, "<p a='"), (8, "</p></div>x < y & z")]

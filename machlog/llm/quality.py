@@ -3,8 +3,8 @@
 A labelled good document is preferred to a labelled bad one.  With features x
 and weights w the model says P(a over b) = sigmoid(w.(x_a - x_b)); w minimises
 the logistic loss of those feature differences.  A document's strength is w.x,
-and the accept threshold is a quantile of the training strengths: the share of
-bad labels.
+and the accept threshold is a quantile of the strengths of all learnable labelled
+documents: the share of bad labels.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from machlog.llm.common import fields, hash128, quoted, whole_row
+from machlog.llm.common import FILTER_BITS, bits_of, cut, fields, hash128, quoted, whole_row
 
 _LETTERS = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _CAPITALS = _LETTERS[26:]
@@ -128,13 +128,13 @@ class BradleyTerry:
 def learn(docs: DataFrame, labels: DataFrame, learnable: Callable[[Column], Column], doc_id: str = "doc_id",
           text: str = "text", label: str = "quality", sample: int = 12_000, pairs: int = 40_000) -> BradleyTerry:
     """Fit on at most ``sample`` labelled documents whose id is ``learnable``, those
-    with the smallest hashes of their ids (the bound is a parameter; scoring covers
-    every document).
+    with the smallest hashes of their ids (the bound is a parameter; the threshold
+    covers every learnable labelled document, scoring every document).
 
     Several labels of one id count by their mean (0.5 and more is good); null
     labels and ids are ignored; of rows that share an id the text with the smallest
     hash counts.  Without labels of both kinds all strengths are equal.  The driver
-    receives one feature row per sampled document.
+    receives one feature row per sampled document and the strengths next to the threshold.
     """
     known = (labels.select(F.col(quoted(doc_id)).alias("id"), F.col(quoted(label)).alias("y")).dropna()
              .filter(learnable(F.col("id"))).groupBy("id").agg((F.avg("y") >= 0.5).cast("int").alias("y")))
@@ -146,7 +146,41 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Callable[[Column], Colu
     found.sort(key=lambda r: r["id"])
     if not found:
         return BradleyTerry(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(4 * N_FEATURES), 0.0)
-    return BradleyTerry.fit(np.array([r["x"] for r in found]), np.array([r["y"] for r in found]), pairs)
+    model = BradleyTerry.fit(np.array([r["x"] for r in found]), np.array([r["y"] for r in found]), pairs)
+    if model.weights.any():
+        model.cut = _threshold(_strengths(docs, known, model, doc_id, text))
+    return model
+
+
+def _strengths(docs: DataFrame, known: DataFrame, model: BradleyTerry, doc_id: str, text: str) -> DataFrame:
+    """y, strength of every document of ``known``; numbers only are shuffled."""
+    shipped = bits_of(known.select(F.xxhash64(F.col("id").cast(docs.schema[doc_id].dataType)).alias("key")))
+    a, b = hash128(F.col(quoted(text)))
+    rows = docs.select(F.pmod(F.xxhash64(F.col(quoted(doc_id))), F.lit(FILTER_BITS)).alias("bit"), F.col(quoted(doc_id)).alias("id"),
+                       F.struct(a.alias("a"), b.alias("b")).alias("of"), F.col(quoted(text)).alias("text"))
+    schema = T.StructType([rows.schema["id"], rows.schema["of"], T.StructField("strength", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = np.unpackbits(shipped.value).astype(bool)
+        for batch in batches:
+            batch = batch.filter(pa.array(passes[batch.column(0).to_numpy()]))
+            x = np.array([features(t) for t in batch.column(3).to_pylist()]).reshape(-1, N_FEATURES)
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(model.strength(x))], ["id", "of", "strength"])
+
+    met = rows.mapInArrow(run, schema).join(known, "id")
+    return cut(met.groupBy("id", "y").agg(F.min_by("strength", "of").alias("strength")).select("y", "strength"), "quality-strengths")
+
+
+def _threshold(strengths: DataFrame) -> float:
+    """Between the two strengths that the share of bad labels separates: exact, from those in a narrow bracket around them."""
+    n, bad = strengths.agg(F.count(F.lit(1)), F.count_if(F.col("y") == 0)).first()
+    shares = [max(0.0, (bad - 1) / n - 3e-4), min(1.0, (bad + 1) / n + 3e-4)]
+    low, high = strengths.agg(F.percentile_approx("strength", shares, 10_000)).first()[0]
+    below = strengths.filter(F.col("strength") < low).count()
+    near = strengths.filter(F.col("strength").between(low, high)).groupBy("strength").count().orderBy("strength").collect()
+    ends = below + np.cumsum([r["count"] for r in near])
+    at = [min(int(np.searchsorted(ends, rank)), len(near) - 1) for rank in (bad, bad + 1)]
+    return sum(near[k]["strength"] for k in at) / 2
 
 
 def _featured(rows: DataFrame) -> DataFrame:

@@ -58,6 +58,18 @@ def test_quality_separates_and_takes_odd_rows(spark):
     assert odd.count() == len(ODD)
 
 
+def test_quality_threshold_covers_all_labels(spark):
+    texts, marks = labelled()
+    draw = random.Random(4)
+    marks = [(i, y if draw.random() < 0.8 else 1 - y) for i, y in marks]
+    learnable = lambda i: i % 5 != 0
+    model = quality.learn(documents(spark, texts), spark.createDataFrame(marks, "doc_id bigint, quality int"), learnable, sample=40)
+    of = dict(texts)
+    known = [(model.strength(np.array([quality.features(of[i])]))[0], y) for i, y in marks if learnable(i)]
+    bad, strengths = sum(y == 0 for _, y in known), sorted(s for s, _ in known)
+    assert abs(model.cut - (strengths[bad - 1] + strengths[bad]) / 2) < 1e-9
+
+
 def test_quality_without_labels(spark):
     docs = documents(spark, ODD)
     none = spark.createDataFrame([], "doc_id bigint, quality int")

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from machlog.llm import byte_bpe, decontaminate, exact_dedup, html_extract, jaccard_join, language_id, lattice_lm, line_dedup, quality, url_filter
+from machlog.llm import (byte_bpe, decontaminate, exact_dedup, filter_audit, html_extract, jaccard_join, language_id, lattice_lm,
+                         line_dedup, quality, suffix_dedup, token_align, url_filter)
 from machlog.llm.common import id_crc, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -206,3 +207,71 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's component of near duplicates."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard_join.join(docs).select("doc_id", "n_shingles", "component_id")
+
+
+_AUDIT_SQL = r"""
+WITH doc AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body FROM documents),
+worded AS (
+  SELECT *, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS w,
+         min(doc_id) OVER (PARTITION BY body) AS first_id FROM doc),
+failed AS (
+  SELECT part, w.doc_id, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+         100 * len(regexp_replace(body, '[^A-Z]', '', 'g')) > 2 * length(body) AS c,
+         regexp_matches(body, '[#$%&*|]') AS d, w.doc_id > first_id AS e,
+         coalesce(quality, 0) = 1 AS good, coalesce(toxic, 0) = 1 AS toxic
+  FROM worded w LEFT JOIN labels ON w.doc_id = labels.doc_id),
+letter(f) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+  SELECT v.f || w.f || x.f || y.f || z.f AS filter_order FROM letter v, letter w, letter x, letter y, letter z
+  WHERE len(list_distinct([v.f, w.f, x.f, y.f, z.f])) = 5),
+patterns AS (
+  SELECT part, concat(if(a, 'A', ''), if(b, 'B', ''), if(c, 'C', ''), if(d, 'D', ''), if(e, 'E', '')) AS fails,
+         count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM failed GROUP BY ALL),
+judged AS (
+  SELECT part, filter_order, step, n, good, toxic, fails, filter_order[step] AS f,
+         least(if(contains(fails, 'A'), instr(filter_order, 'A'), 9), if(contains(fails, 'B'), instr(filter_order, 'B'), 9),
+               if(contains(fails, 'C'), instr(filter_order, 'C'), 9), if(contains(fails, 'D'), instr(filter_order, 'D'), 9),
+               if(contains(fails, 'E'), instr(filter_order, 'E'), 9)) AS gone_at
+  FROM patterns, orders, range(1, 6) steps(step)),
+counted AS (
+  SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (gone_at > step), 0) AS kept,
+         coalesce(sum(n) FILTER (gone_at = step), 0) AS removed,
+         coalesce(sum(n) FILTER (gone_at < step AND contains(fails, f)), 0) AS redundant,
+         coalesce(sum(n) FILTER (fails = f), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (gone_at = step), 0) AS good_lost,
+         coalesce(sum(toxic) FILTER (gone_at = step), 0) AS toxic_lost
+  FROM judged GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM counted
+"""
+
+
+@query("op11_filter_audit", _AUDIT_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters in all their orders, per source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return filter_audit.audit(filter_audit.tabulate(docs, table(spark, sf_dir, "labels")), "ABCDE")
+
+
+BYTE_LEVEL = "byte_bpe_50k.json"
+
+
+@query("op12_token_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's groups and links between its tokens in two vocabularies."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = token_align.align_documents(docs, public_tokenizers.path(BYTE_LEVEL), public_tokenizers.path(PIECES), keep_groups=False)
+    return made.select("doc_id", *token_align.COUNTS, F.col("groups").alias("groups_sha256"))
+
+
+@query("op13_suffix_dedup")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the strings of 400 bytes that occur elsewhere."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = suffix_dedup.drop_repeats(docs)
+    return made.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

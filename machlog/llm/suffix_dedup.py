@@ -350,8 +350,10 @@ def drop_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> D
     met = cut(found.join(common, "anchor", "left_semi"), "suffix-met")
     shape = ["anchor", "s1", "s2"]
     classes = cut(met.groupBy(*shape).agg(F.sum("n").alias("copies"), F.min(F.struct("k1", "k2", "pos")).alias("first")), "suffix-classes")
-    anchors = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.count(F.when(F.col("copies") == 1, 1)).alias("single"))
-    classes = classes.join(anchors, "anchor").filter("copies > 1 or kinds > 1")
+    # Written, so that both sides of the join are plain exchanges: only then can a common anchor be split.
+    anchors = cut(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.count(F.when(F.col("copies") == 1, 1)).alias("single"))
+                  .filter("kinds > 1"), "suffix-anchors")
+    classes = classes.join(anchors, "anchor", "left").filter("copies > 1 or kinds > 1")
     classes = cut(classes.select(*shape, "copies", "first", F.when(F.col("single") > 0, F.col("kinds")).otherwise(F.lit(1)).alias("kinds")),
                   "suffix-shared")
     # What a text needs to be known for: whole runs that go, and runs to be sorted (of equal ones the first).

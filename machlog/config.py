@@ -10,11 +10,8 @@ plain data in their natural order.
 # utilisation, spindle rpm, rapid feed, contour feed, axis X/Y/Z moving,
 # axis X/Y/Z in position.
 A7_SENSORS = [544, 630, 537, 498, 620, 565, 584, 550, 587, 606, 601, 501, 458, 619, 609, 614]
-A8_SPINDLE = 544
-A8_AXES = [601, 501, 458]
 A8_LOAD_MIN = 3
 
-SCORE_THRESHOLD_FIRST = 12
 SCORE_THRESHOLD_FINAL = 4
 THREE_STATE_T1 = 17
 THREE_STATE_T2 = 24
@@ -32,13 +29,6 @@ ENERGY_VAR_NAME = "MANDRINO_CONSUMO_VISUALIZADO"
 ALARM_VAR = 447
 FILE_STATUS_VAR = 557
 PROGRAM_VARS = [828, 575]
-PREVIEW_LEN_B4 = 150
-PREVIEW_LEN_B5 = 180
-
-STOP_DAYS = ["2021-10-17", "2021-02-09", "2021-07-02", "2021-06-10", "2021-06-25",
-             "2021-08-05", "2021-03-23", "2022-02-18", "2022-01-05", "2021-12-30"]
-SAMPLE_DAYS = ["2022-01-07", "2021-10-27", "2022-02-02", "2021-07-07", "2021-11-26"]
-BUCKET_DAYS = ["2021-02-09", "2021-03-23"]
 
 # B1 keywords (case-insensitive contains)
 B1_KEYWORDS = ["error", "stop", "fail", "fault", "imposible", "BROCA", "PLC"]

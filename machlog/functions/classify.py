@@ -68,6 +68,18 @@ def location(var_name: Column, msg: Column | None = None) -> Column:
     return F.coalesce(tok, F.lit("UNK"))
 
 
+def by_distinct_text(df: DataFrame, text: str, **made: Column) -> DataFrame:
+    """``df`` with columns that depend on ``text`` alone, worked out once per distinct
+    text: a dictionary of the texts (NULL among them) is made, classified and
+    joined back by its key.  Alert texts repeat, so patterns run over a short table;
+    the planner broadcasts it where its size allows."""
+    key = F.xxhash64(F.col(text))
+    words = df.groupBy(key.alias("_key"), F.col(text).alias("_text")).agg(F.count(F.lit(1)).alias("_n"))
+    words = words.select("_key", F.col("_text").alias(text)).select("_key", F.col(text).alias("_text"), *(c.alias(n) for n, c in made.items()))
+    met = df.join(words, (key == F.col("_key")) & F.col(text).eqNullSafe(F.col("_text")))
+    return met.drop("_key", "_text")
+
+
 def literal_set_pattern(words: Sequence[str]) -> str:
     """A regex matching any of ``words`` as a substring, with shared
     prefixes factored out (a trie): the same language as ``(w1|w2|...)``

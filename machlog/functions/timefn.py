@@ -37,11 +37,6 @@ def day_text(ts: Column | str) -> Column:
     return F.date_format(col(ts), "yyyy-MM-dd")
 
 
-def epoch_s(ts: Column | str) -> Column:
-    """Seconds since epoch as double (keeps sub-second precision)."""
-    return F.unix_micros(col(ts)) / F.lit(1_000_000.0)
-
-
 def parse_period(from_date: str, until_date: str) -> tuple[int, int]:
     """I3 bounds: ``yyyy-MM-dd HH:mm:ss`` or date-only (extended to
     00:00:00 / 23:59:59), interpreted as UTC, whole seconds -> epoch ms."""

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from machlog import config as C
 from machlog.functions.timefn import day_of, day_text, ms_ts, period_filter, second_ts
 from machlog.plans.sequence import ordered_window, time_bucket
-from machlog.session import ensure_checkpoint_dir
 
 DAY_S = 86400
 
@@ -164,30 +163,45 @@ def score_state(scores: DataFrame, threshold: int = C.SCORE_THRESHOLD_FINAL) ->
 def segments(states: DataFrame, end: Column | str | None = None, ts: str = "ts",
              state: str = "state_num", label: Column | None = None,
              span_s: int = DAY_S, tail_s: int = 1) -> DataFrame:
-    """Change-point segmentation.
+    """Change-point segmentation in one pass.
 
-    Keeps rows whose state differs from the previous one (``lag`` default
-    -1), each period ends at the next kept row or at ``end``.  ``end`` may be
-    a timestamp literal/Column; by default it is the last timestamp +
-    ``tail_s`` seconds, which the last row itself carries: the input is not
-    read again for it.
+    A period starts where the state differs from the previous row's (-1 before
+    the first row) and ends at the next start or at ``end``: a timestamp or
+    Column, by default the last timestamp + ``tail_s`` seconds.
+
+    Rows are windowed once, per bucket of ``span_s``: each knows whether it
+    starts a run in its bucket and when the bucket's next run starts.  A bucket
+    is then summed up in one row (first and last state, first inner change, last
+    time); chained in order, these rows tell which buckets begin a new run, and
+    where the run open at a bucket's end is closed.  Only starts meet that table.
     """
     if label is None:
         label = F.when(F.col(state) == 1, F.lit("WORKING")).otherwise(F.lit("STOPPED"))
     if isinstance(end, str):
         end = F.lit(end).cast("timestamp")
-    s = ordered_window(states.withColumn("state", label), order=[ts], bucket=time_bucket(ts, span_s),
-                       lags={"_prev": (state, -1)}, leads={"_next": (ts, None)})
-    s = s.withColumn("_change", F.col(state) != F.col("_prev")).withColumn("_at", F.col(ts))
-    keep = F.col("_change")
-    if end is None:
-        end = F.col(ts) + F.make_interval(secs=F.lit(tail_s))
-        s = s.withColumn("_at", F.when(F.col("_change"), F.col(ts)).otherwise(end))
-        keep = keep | F.col("_next").isNull()
-    kept = ordered_window(s.filter(keep).drop("_prev", "_next"), order=[ts], bucket=time_bucket(ts, span_s),
-                          leads={"period_end": ("_at", end)}).filter("_change")
-    return kept.select("state", F.col(ts).alias("period_start"), "period_end",
-                       _secs_between(ts, "period_end").alias("duration_s"))
+    at = F.col(ts)
+    s = states.select(label.alias("state"), F.col(state).alias("_num"), at.alias("_ts"), time_bucket(ts, span_s).alias("_span"))
+    w = Window.partitionBy("_span").orderBy("_ts")
+    s = s.withColumns({"_first": F.row_number().over(w) == 1, "_inner": F.coalesce(F.col("_num") != F.lag("_num").over(w), F.lit(False))})
+    s = s.withColumn("_next", F.min(F.when(F.col("_inner"), F.col("_ts"))).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    # One row per bucket (a day of seconds by default), so their window is small.  The label is
+    # named with the first state so that this table and the starts share one exchange.
+    edge = s.groupBy("_span").agg(
+        F.min_by(F.struct(F.col("_num").alias("num"), F.col("state").alias("label")), "_ts").alias("_least"),
+        F.max_by("_num", "_ts").alias("_out"), F.min("_ts").alias("_from"),
+        F.max("_ts").alias("_to"), F.min(F.when(F.col("_inner"), F.col("_ts"))).alias("_change"))
+    edge = edge.withColumn("_in", F.col("_least.num"))
+    order = Window.orderBy("_span")
+    edge = edge.withColumn("_begins", F.coalesce(F.col("_in") != F.lag("_out").over(order), F.col("_in") != F.lit(-1)))
+    start = F.when(F.col("_begins"), F.col("_from")).otherwise(F.col("_change"))
+    tail = end if end is not None else F.max("_to").over(Window.partitionBy()) + F.make_interval(secs=F.lit(tail_s))
+    edge = edge.select(F.col("_span").alias("_of"), "_begins", F.min(start).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_later"),
+                       tail.alias("_end"))
+    # Null-safe: a filter on the key of one side alone would keep the two from sharing the exchange.
+    starts = s.filter(F.col("_inner") | F.col("_first")).join(edge, F.col("_span").eqNullSafe(F.col("_of")))
+    starts = starts.filter(F.col("_inner") | F.col("_begins"))
+    done = starts.select("state", F.col("_ts").alias("period_start"), F.coalesce("_next", "_later", "_end").alias("period_end"))
+    return done.withColumn("duration_s", _secs_between("period_start", "period_end"))
 
 
 def state_totals(segs: DataFrame) -> DataFrame:
@@ -212,36 +226,47 @@ def count_distribution(rollup: DataFrame) -> DataFrame:
             .orderBy(F.desc("distinct_vars_count")))
 
 
-def kmeans_thresholds(hist: DataFrame, rounds: int = 100, value: str = "distinct_vars_count",
-                      weight: str = "number_of_seconds") -> DataFrame:
-    """1-D k-means (k=3) on the weighted histogram; thresholds are the
-    midpoints of the sorted centroids, integer thresholds their floors.
+def kmeans_thresholds(hist: DataFrame, value: str = "distinct_vars_count", weight: str = "number_of_seconds") -> DataFrame:
+    """The optimal 1-D k-means (k=3) of the weighted histogram; thresholds are
+    the midpoints of the sorted centroids, integer thresholds their floors.
 
     Fitting on the histogram (one row per distinct value, so at most one per
-    variable) equals fitting on every second with the counts as weights.  The
-    start is fixed (least value, weighted mean, greatest value) and ``rounds``
-    of assignment and mean follow; a fixed point stays as it is.  A value
-    equally near two centroids goes to the lower one, a centroid without values
-    stays.  An empty histogram gives one row of NULLs."""
+    variable) equals fitting on every second with the counts as weights.  In one
+    dimension the clusters are stretches of the sorted values, and the squared
+    error of stretches is least where the sum of (weighted sum)^2 / weight is
+    greatest.  Prefix sums give every stretch at once: first the best split in two
+    of every prefix, then the best last stretch behind it.  Of equal splits the one
+    with the earlier cuts holds.
+
+    With two distinct values the middle centroid is their weighted mean, with one
+    all are that value.  An empty histogram gives one row of NULLs."""
     v, n = F.col(value).cast("double"), F.col(weight).cast("double")
-    one = hist.filter(v.isNotNull() & (n > 0)).agg(
-        F.sort_array(F.collect_list(F.struct(v.alias("v"), n.alias("n")))).alias("h"),
-        F.array(F.min(v), F.sum(v * n) / F.sum(n), F.max(v)).alias("c"))
-
-    def mean(rows, old):
-        total = F.aggregate(rows, F.lit(0.0), lambda a, r: a + r["n"])
-        return F.when(total > 0, F.aggregate(rows, F.lit(0.0), lambda a, r: a + r["v"] * r["n"]) / total).otherwise(old)
-
-    def step(c, _):
-        low, high = (c[0] + c[1]) / 2, (c[1] + c[2]) / 2
-        h = F.col("h")
-        return F.array(mean(F.filter(h, lambda r: r["v"] <= low), c[0]),
-                       mean(F.filter(h, lambda r: (r["v"] > low) & (r["v"] <= high)), c[1]),
-                       mean(F.filter(h, lambda r: r["v"] > high), c[2]))
-
-    c = one.select(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.col("c"), step).alias("c"))
-    out = c.select(*[F.col("c")[i].alias(f"centroid_{i + 1}") for i in range(3)],
-                   *[((F.col("c")[i] + F.col("c")[i + 1]) / 2).alias(f"threshold_{i + 1}") for i in range(2)])
+    rows = hist.filter(v.isNotNull() & (n > 0)).select(v.alias("v"), n.alias("n")).groupBy("v").agg(F.sum("n").alias("n"))
+    upto = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one row per distinct value
+    sums = rows.select("v", F.row_number().over(Window.orderBy("v")).alias("i"), F.sum("n").over(upto).alias("n"),
+                       F.sum(F.col("v") * F.col("n")).over(upto).alias("s"))
+    whole = sums.agg(F.sort_array(F.collect_list(F.struct("i", "n", "s"))).alias("h"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    h, size = F.col("h"), F.size("h")
+    # The second cut j (values up to the j-th lie in the first two stretches), with the best first cut i before it.
+    p = lambda k, c: h[k - 1][c]
+    part = lambda s, n: s * s / n
+    i, j = F.col("i"), F.col("j")
+    cuts = whole.select("h", F.explode(F.when(size > 2, F.sequence(F.lit(2), size - 1)).otherwise(F.array().cast("array<int>"))).alias("j"))
+    cuts = cuts.select("h", "j", F.explode(F.sequence(F.lit(1), F.col("j") - 1)).alias("i"))
+    two = part(p(i, "s"), p(i, "n")) + part(p(j, "s") - p(i, "s"), p(j, "n") - p(i, "n"))
+    last = part(p(size, "s") - p(j, "s"), p(size, "n") - p(j, "n"))
+    cuts = cuts.select("i", "j", two.alias("two"), last.alias("last"))
+    best = cuts.groupBy("j", "last").agg(F.min(F.struct((-F.col("two")).alias("two"), "i")).alias("b"))
+    three = -F.col("b.two") + F.col("last")
+    cut = best.agg(F.min(F.struct((-three).alias("three"), F.col("b.i").alias("i"), "j")).alias("cut"))
+    cut = cut.select(F.struct("cut.i", "cut.j")).scalar()
+    ci, cj = cut["i"], cut["j"]
+    mean = lambda s, n: F.when(n > 0, s / n)
+    middle = F.when(size > 2, mean(p(cj, "s") - p(ci, "s"), p(cj, "n") - p(ci, "n"))).otherwise(mean(p(size, "s"), p(size, "n")))
+    c = whole.select(F.when(size > 2, mean(p(ci, "s"), p(ci, "n"))).otherwise(F.col("lo")).alias("centroid_1"),
+                     F.when(size > 0, middle).alias("centroid_2"),
+                     F.when(size > 2, mean(p(size, "s") - p(cj, "s"), p(size, "n") - p(cj, "n"))).otherwise(F.col("hi")).alias("centroid_3"))
+    out = c.select("*", *[((F.col(f"centroid_{k}") + F.col(f"centroid_{k + 1}")) / 2).alias(f"threshold_{k}") for k in (1, 2)])
     return out.select("*", F.floor("threshold_1").cast("int").alias("t1_int"),
                       F.floor("threshold_2").cast("int").alias("t2_int"))
 
@@ -253,44 +278,32 @@ def multiotsu_thresholds(signal: DataFrame, value: str = "smoothed_count",
     ``[0..t1]``, ``(t1..t2]``, ``(t2..]``, first maximum in (t1, t2) order);
     thresholds are bin centres, integer thresholds their floors.
 
-    Candidate pairs are generated per bin with ``sequence`` + ``explode`` and
-    an equi-join on the bin index: ``nbins**2 / 2`` rows, independent of the
-    data size."""
-    spark = signal.sparkSession
-    # The signal feeds several scalar subqueries (range, totals) and the
-    # histogram: materialise it once in the shared checkpoint folder
-    # (reliable checkpoint, survives executor loss) instead of recomputing
-    # its lineage for each of them.
-    ensure_checkpoint_dir(spark)
-    signal = signal.select(F.col(value).alias(value)).checkpoint(eager=True)
-    v = F.col(value)
-    mm = signal.select(F.struct(F.min(v).alias("lo"), F.max(v).alias("hi"))).scalar()
+    The signal is counted per distinct value, once: its range and its bins are
+    both read off that aggregate (one shared exchange).  Cumulative bins are a
+    second aggregate, each bin added to all bins from it on, and the candidate
+    pairs come from one row that holds them: ``nbins**2 / 2`` rows, whatever the
+    data.  Nothing runs before the action."""
+    values = signal.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    mm = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).select(F.struct("lo", "hi")).scalar()
     lo, hi = mm["lo"], mm["hi"]
     width = (hi - lo) / F.lit(float(nbins))
     idx = F.when(hi == lo, F.lit(0)).otherwise(
-        F.least(F.floor((v - lo) / width), F.lit(nbins - 1))).cast("int")
-    hist = signal.groupBy(idx.alias("i")).agg(F.count("*").alias("n"))
-    bins = spark.range(nbins).select(F.col("id").cast("int").alias("i"))
-    cum_w = Window.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = (bins.join(hist, "i", "left").fillna(0, ["n"])
-           .select("i", F.sum("n").over(cum_w).cast("double").alias("p"),
-                   F.sum(F.col("n") * F.col("i")).over(cum_w).cast("double").alias("s")))
-    tot = cum.filter(F.col("i") == nbins - 1).select(F.struct("p", "s")).scalar()
-    pt, st = tot["p"], tot["s"]
-    c1 = cum.select(F.col("i").alias("t1"), F.col("p").alias("p1"), F.col("s").alias("s1"))
-    c2 = cum.select(F.col("i").alias("t2"), F.col("p").alias("p2"), F.col("s").alias("s2"))
-    # nbins rows per side: the candidate pairs are bounded by nbins^2 / 2
-    pairs = (c1.filter(F.col("t1") <= nbins - 3)
-             .withColumn("t2", F.explode(F.sequence(F.col("t1") + 1, F.lit(nbins - 2))))
-             .join(F.broadcast(c2), "t2")
-             .withColumn("pt", pt).withColumn("st", st))
+        F.least(F.floor((F.col("v") - lo) / width), F.lit(nbins - 1))).cast("int")
+    bins = values.groupBy(idx.alias("i")).agg(F.sum("n").alias("n"))
+    upto = bins.select(F.explode(F.sequence(F.col("i"), F.lit(nbins - 1))).alias("k"), "n", (F.col("n") * F.col("i")).alias("m"))
+    upto = upto.groupBy("k").agg(F.sum("n").cast("double").alias("p"), F.sum("m").cast("double").alias("s"))
+    # The least value lies in bin 0, so every bin has its cumulative row.
+    whole = upto.agg(F.sort_array(F.collect_list(F.struct("k", "p", "s"))).alias("h")).filter(F.size("h") > 0)
+    h = F.col("h")
+    pairs = whole.select("h", F.explode(F.sequence(F.lit(0), F.lit(nbins - 3))).alias("t1"))
+    pairs = pairs.select("h", "t1", F.explode(F.sequence(F.col("t1") + 1, F.lit(nbins - 2))).alias("t2"))
+    p1, s1, p2, s2 = (h[F.col(t)][c] for t in ("t1", "t2") for c in ("p", "s"))
+    pt, st = h[nbins - 1]["p"], h[nbins - 1]["s"]
 
     def term(p, s):
         return F.when(p > 0, s * s / p).otherwise(F.lit(0.0))
 
-    sigma = (term(F.col("p1"), F.col("s1"))
-             + term(F.col("p2") - F.col("p1"), F.col("s2") - F.col("s1"))
-             + term(F.col("pt") - F.col("p2"), F.col("st") - F.col("s2")))
+    sigma = term(p1, s1) + term(p2 - p1, s2 - s1) + term(pt - p2, st - s2)
     best = pairs.select("t1", "t2", sigma.alias("sigma")).orderBy(
         F.desc("sigma"), "t1", "t2").limit(1)
     centre = lambda t: F.lit(lo) + (F.col(t) + F.lit(0.5)) * width

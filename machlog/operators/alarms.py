@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from machlog import config as C
 from machlog.functions import classify as CL
 from machlog.functions.timefn import day_of, ms_ts, period_filter, second_ts
-from machlog.plans.sequence import KEYED_SPAN_S, RAW_SPAN_S, ms_bucket, ordered_window, time_bucket
+from machlog.plans.sequence import ROWS_PER_BUCKET, cut_by_density, ms_of, ordered_window
 
 
 
@@ -75,14 +75,15 @@ def shutdown_log(sl: DataFrame, ids: Sequence[int] = (C.ALARM_VAR, C.FILE_STATUS
     return out.select("id_var", "log_time", "value")
 
 
-def log_gaps(sl: DataFrame, ids: Sequence[int], span_s: int = RAW_SPAN_S) -> DataFrame:
-    """Previous log time per variable over the non-empty messages (``lag``
-    per ``id_var``, bucketed by ``span_s`` so one busy variable is split)."""
-    logs = valid_values(sl.filter(F.col("id_var").isin(list(ids)))).withColumn(
-        "log_time", second_ts("date"))
-    logs = ordered_window(logs, order=_order(logs), keys=["id_var"],
-                          bucket=ms_bucket("date", span_s),
-                          lags={"previous_log_time": ("log_time", None)})
+def log_gaps(sl: DataFrame, ids: Sequence[int], rows: int = ROWS_PER_BUCKET, keep: Sequence[str] = ("value",)) -> DataFrame:
+    """Previous log time per variable over the non-empty messages (``lag`` per
+    ``id_var``, in buckets of about ``rows`` rows, so one busy variable is split).
+    Only ``keep`` travels beside the time."""
+    logs = valid_values(sl.filter(F.col("id_var").isin(list(ids))))
+    logs = logs.select("id_var", *_order(sl), *keep, second_ts("date").alias("log_time"))
+    logs = cut_by_density(logs, F.col("date"), "_cut", rows, counted=sl.filter(F.col("id_var").isin(list(ids))))
+    logs = ordered_window(logs, order=_order(logs), keys=["id_var"], bucket=F.col("_cut"),
+                          lags={"previous_log_time": ("log_time", None)}).drop("_cut")
     return logs.withColumn(
         "gap_s", F.unix_seconds("log_time") - F.unix_seconds("previous_log_time"))
 
@@ -139,10 +140,17 @@ def stops_on_days(sl: DataFrame, days: DataFrame | Sequence[str],
     (``log_time`` in ``[day, day + 1)`` = equi-join on the log's date; the day
     list has one row per selected day, so it is broadcast), gap strictly
     above ``min_minutes``; whole messages, a preview column on request."""
-    g = log_gaps(sl, ids).withColumn("day", day_of("log_time"))
+    # The few stops are found on the times alone; their messages are joined then.
+    at = ["id_var", *_order(sl)]
+    g = log_gaps(sl, ids, keep=()).withColumn("day", day_of("log_time"))
     d = _days_frame(days, sl.sparkSession)
-    g = g.join(F.broadcast(d), "day", "inner")
-    g = g.filter(F.col("gap_s") > F.lit(min_minutes * 60))
+    g = g.filter(F.col("gap_s") > F.lit(min_minutes * 60)).join(F.broadcast(d), "day", "inner")
+    if "seq" in sl.columns:
+        texts = valid_values(sl.filter(F.col("id_var").isin(list(ids)))).select(*at, "value")
+        g = g.join(texts, at, "inner")
+    else:  # equal times cannot be told apart: the text travels
+        g = (log_gaps(sl, ids).withColumn("day", day_of("log_time")).filter(F.col("gap_s") > F.lit(min_minutes * 60))
+             .join(F.broadcast(d), "day", "inner"))
     cols = ["day", "id_var", "log_time",
             F.col("value").alias("message"), *_preview(preview),
             _minutes().alias("minutes_since_last_log"), _cents().alias("_cents")]
@@ -222,17 +230,22 @@ def explode_alarms(df: DataFrame, value: str = "value", pattern: str = C.B10_PAT
     """One row per ``["code","text",n1,n2,n3]`` entry (strict 5-field
     form); ``'[]'``/NULL rows yield none.  ``numbers=False`` extracts only
     code and text (two regex passes instead of five)."""
-    v = F.col(value)
-    n = 5 if numbers else 2
-    groups = [F.regexp_extract_all(v, F.lit(pattern), i) for i in range(1, n + 1)]
+    if not numbers:
+        return df.select(*[F.col(c) for c in df.columns], F.inline(alarm_entries(F.col(value), pattern)))
+    groups = [F.regexp_extract_all(F.col(value), F.lit(pattern), i) for i in range(1, 6)]
     z = F.arrays_zip(*[g.alias(nm) for g, nm in zip(groups, ["c", "t", "n1", "n2", "n3"])])
-    cols = [F.col("_m.c").alias("alarm_code"), F.col("_m.t").alias("alarm_text")]
-    if numbers:
-        cols += [F.col("_m.n1").cast("int").alias("n1"), F.col("_m.n2").cast("int").alias("n2"),
-                 F.col("_m.n3").cast("bigint").alias("n3")]
+    cols = [F.col("_m.c").alias("alarm_code"), F.col("_m.t").alias("alarm_text"),
+            F.col("_m.n1").cast("int").alias("n1"), F.col("_m.n2").cast("int").alias("n2"),
+            F.col("_m.n3").cast("bigint").alias("n3")]
     return df.withColumn("_m", F.explode(z)).select(*[c for c in df.columns], *cols)
 
 
+def alarm_entries(value: Column, pattern: str = C.B10_PATTERN) -> Column:
+    """Array of (alarm_code, alarm_text), one per entry of the value."""
+    return F.arrays_zip(F.regexp_extract_all(value, F.lit(pattern), 1).alias("alarm_code"),
+                        F.regexp_extract_all(value, F.lit(pattern), 2).alias("alarm_text"))
+
+
 def noise_filter(sl: DataFrame, codes: Sequence[str] = C.NOISE_CODES) -> DataFrame:
     """Drop every row whose value mentions a noise code (the whole row,
     also when real alarms share it); NULL values drop as well."""
@@ -240,29 +253,28 @@ def noise_filter(sl: DataFrame, codes: Sequence[str] = C.NOISE_CODES) -> DataFra
 
 
 def alarm_rows(sl: DataFrame, from_date: str | None = None, until_date: str | None = None,
-               var: int = C.ALARM_VAR, noise: Sequence[str] = C.NOISE_CODES,
-               span_s: int = RAW_SPAN_S) -> DataFrame:
+               var: int = C.ALARM_VAR, noise: Sequence[str] = C.NOISE_CODES, rows: int = ROWS_PER_BUCKET) -> DataFrame:
     """Rows of the alarm variable after the period and noise filters, each
-    with ``next_ts``: the next surviving row's second (global order).
-    ``'[]'`` rows stay: they end alarms."""
-    raw = noise_filter(period_filter(sl.filter(F.col("id_var") == var), from_date, until_date), noise)
-    raw = raw.withColumn("ts", second_ts("date"))
-    return ordered_window(raw, order=_order(raw), bucket=ms_bucket("date", span_s),
-                          leads={"next_ts": ("ts", None)})
+    with ``next_ts``: the next surviving row's second (global order), and the
+    entries (code, text) of its value in place of it.  ``'[]'`` rows stay: they
+    end alarms.  ``_cut`` is the row's bucket."""
+    log = period_filter(sl.filter(F.col("id_var") == var), from_date, until_date)
+    raw = noise_filter(log, noise).select(*_order(sl), second_ts("date").alias("ts"), alarm_entries(F.col("value")).alias("entries"))
+    raw = cut_by_density(raw, F.col("date"), "_cut", rows, counted=log)  # counted before the texts are searched
+    return ordered_window(raw, order=_order(raw), bucket=F.col("_cut"), leads={"next_ts": ("ts", None)})
 
 
 def alarm_incidents(sl: DataFrame, from_date: str | None = None, until_date: str | None = None,
-                    var: int = C.ALARM_VAR, noise: Sequence[str] = C.NOISE_CODES,
-                    span_s: int = RAW_SPAN_S, keyed_span_s: int = KEYED_SPAN_S) -> DataFrame:
+                    var: int = C.ALARM_VAR, noise: Sequence[str] = C.NOISE_CODES, rows: int = ROWS_PER_BUCKET) -> DataFrame:
     """Incidents (gaps and islands).  Each row is valid on
     ``[ts, next_ts)``; the last row is dropped.  Per (code, text), a new
     incident starts where the previous entry's end is NULL or before ``ts``.
-    Output: one row per incident with its start."""
-    raw = alarm_rows(sl, from_date, until_date, var, noise, span_s)
-    flat = explode_alarms(raw.filter(F.col("next_ts").isNotNull()), numbers=False)
+    Output: one row per incident with its start.  Both windows use one cut."""
+    raw = alarm_rows(sl, from_date, until_date, var, noise, rows).filter(F.col("next_ts").isNotNull())
+    flat = raw.select(*[c for c in raw.columns if c != "entries"], F.inline("entries"))
     order = ["ts"] + [c for c in ("date", "seq") if c in flat.columns]
-    seg = ordered_window(flat, order=order, keys=["alarm_code", "alarm_text"],
-                         bucket=time_bucket("ts", keyed_span_s), lags={"prev_end": ("next_ts", None)})
+    seg = ordered_window(flat, order=order, keys=["alarm_code", "alarm_text"], bucket=F.col("_cut"),
+                         lags={"prev_end": ("next_ts", None)})
     starts = seg.filter(F.col("prev_end").isNull() | (F.col("prev_end") < F.col("ts")))
     return starts.select("alarm_code", "alarm_text", F.col("ts").alias("start_time"))
 
@@ -360,6 +372,22 @@ def alert_variables(vars_df: DataFrame, name_pattern: str = C.ALERT_VAR_NAME) ->
                           & F.col("name").rlike(f"(?i){name_pattern}")).select("id", "name")
 
 
+def message_locations(msgs: DataFrame, vars_df: DataFrame) -> DataFrame:
+    """B24 on every message: ``location`` from the message, then the variable name,
+    and ``name_location`` from the name only; ``UNK`` where nothing matches.  Names
+    are searched once per variable, messages once per distinct text."""
+    token = CL.first_token([F.col("name")], C.B24_MSG_PATTERNS)
+    names = vars_df.select(F.col("id").alias("id_var"), token.alias("_name_token"), CL.location(F.col("name")).alias("name_location"))
+    found = CL.by_distinct_text(msgs, "value", _token=CL.first_token([F.col("value")], C.B24_MSG_PATTERNS))
+    return (found.join(names, "id_var")
+            .select(*msgs.columns, F.coalesce("_token", "_name_token", F.lit("UNK")).alias("location"), "name_location"))
+
+
+def message_classes(msgs: DataFrame, classes=C.B23_CLASSES) -> DataFrame:
+    """B22 / B23 on every message: ``alert_type``, decided once per distinct text."""
+    return CL.by_distinct_text(msgs, "value", alert_type=CL.classify(F.col("value"), classes))
+
+
 def alerts_per_day(msgs: DataFrame, vars_df: DataFrame, days: DataFrame) -> DataFrame:
     """Messages of alert variables on the selected days, classified
     (B22) and located from the variable name (B24), counted."""
@@ -390,8 +418,8 @@ def program_pieces(state: DataFrame, days: DataFrame) -> DataFrame:
     sample (over the selected days, global order), cut at the end of its
     day.  Consecutive 1-samples are separate pieces."""
     s = state.join(F.broadcast(days.select("day")), "day", "inner")
-    s = ordered_window(s, order=["ts_utc"], bucket=time_bucket("ts_utc", RAW_SPAN_S),
-                       leads={"next_ts": ("ts_utc", None)})
+    s = cut_by_density(s, ms_of("ts_utc"), "_cut")
+    s = ordered_window(s, order=["ts_utc"], bucket=F.col("_cut"), leads={"next_ts": ("ts_utc", None)})
     end = F.least(F.col("next_ts"), F.date_trunc("day", "ts_utc") + F.expr("INTERVAL 1 DAY"))
     return s.filter((F.col("state") == 1) & F.col("next_ts").isNotNull()).select(
         "day", F.col("ts_utc").alias("start_ts"), end.alias("end_ts"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from machlog import config as C
 from machlog.functions.classify import like_any
 from machlog.functions.timefn import day_of, ms_ts, period_filter, second_ts
-from machlog.plans.sequence import RAW_SPAN_S, ms_bucket, ordered_window
+from machlog.plans.sequence import ROWS_PER_BUCKET, cut_by_density, ordered_window
 
 
 
@@ -114,11 +114,11 @@ def load_samples(log: DataFrame, var_id: int | None = None, vars_df: DataFrame |
     return s.select(*keep, ms_ts("date").alias("ts"), clamp_pct(F.col("value")).alias("pct"))
 
 
-def with_next(samples: DataFrame, span_s: int = RAW_SPAN_S) -> DataFrame:
+def with_next(samples: DataFrame, rows: int = ROWS_PER_BUCKET) -> DataFrame:
     """``ts_next``: the next sample's time in global order (NULL for the
-    last); the window runs per ``span_s`` bucket of the sample time."""
-    return ordered_window(samples, order=_order(samples), bucket=ms_bucket("date", span_s),
-                          leads={"ts_next": ("ts", None)})
+    last); the window runs per bucket of about ``rows`` samples."""
+    cut = cut_by_density(samples, F.col("date"), "_cut", rows)
+    return ordered_window(cut, order=_order(samples), bucket=F.col("_cut"), leads={"ts_next": ("ts", None)}).drop("_cut")
 
 
 def split_days(iv: DataFrame) -> DataFrame:
@@ -160,7 +160,7 @@ def energy_per_day(log: DataFrame, vars_df: DataFrame, name: str = C.ENERGY_VAR_
         F.sum(_kwh(F.col("pct"), F.col("hours"), power_kw)).alias("total_energy_kwh"))
 
 
-def _runs(s: DataFrame, on_threshold: float, span_s: int = RAW_SPAN_S) -> DataFrame:
+def _runs(s: DataFrame, on_threshold: float, rows: int = ROWS_PER_BUCKET) -> DataFrame:
     """Valid intervals with ``is_on`` and ``run_id``: the number of off
     intervals before them, equal for consecutive on-intervals and different
     across any off interval.
@@ -172,8 +172,9 @@ def _runs(s: DataFrame, on_threshold: float, span_s: int = RAW_SPAN_S) -> DataFr
     s = s.filter(F.col("date").isNotNull()).groupBy("date").agg(pct.alias("pct"))
     s = s.select("date", ms_ts("date").alias("ts"), "pct", (F.col("pct") > F.lit(on_threshold)).alias("is_on"))
     s = s.withColumn("off", F.when(F.col("is_on"), F.lit(0)).otherwise(F.lit(1)))
-    s = ordered_window(s, order=["date"], bucket=ms_bucket("date", span_s),
-                       leads={"ts_next": ("ts", None)}, running_sums={"run_id": "off"})
+    s = cut_by_density(s, F.col("date"), "_cut", rows)
+    s = ordered_window(s, order=["date"], bucket=F.col("_cut"),
+                       leads={"ts_next": ("ts", None)}, running_sums={"run_id": "off"}).drop("_cut")
     return s.filter(F.col("ts_next").isNotNull())
 
 
@@ -207,12 +208,12 @@ def energy_runs_per_day(log: DataFrame, vars_df: DataFrame, days: DataFrame | Se
 
 def daily_energy(log: DataFrame, from_date: str | None = None, until_date: str | None = None,
                  var_id: int = C.ENERGY_VAR_FINAL, power_kw: float = C.RATED_POWER_KW,
-                 on_threshold: float = C.ON_THRESHOLD, span_s: int = RAW_SPAN_S) -> DataFrame:
+                 on_threshold: float = C.ON_THRESHOLD, rows: int = ROWS_PER_BUCKET) -> DataFrame:
     """E9 (final): kWh per day for a period; the period filter applies
     before ``lead`` (the last sample of the period has no interval).  Only
     the on-filter matters for kWh, so no run ids are built."""
     s = load_samples(period_filter(log, from_date, until_date), var_id=var_id)
-    s = with_next(s, span_s)
+    s = with_next(s, rows)
     iv = s.filter(F.col("ts_next").isNotNull() & (F.col("ts_next") > F.col("ts"))
                   & (F.col("pct") > F.lit(on_threshold)))
     p = split_days(iv)

@@ -5,24 +5,22 @@ over whole logs.  In Spark a window without ``PARTITION BY`` moves every row
 into one task.  ``ordered_window`` gives the same values while keeping the
 work partitioned:
 
-1. every row gets a bucket (a time bucket that is monotone in the order, e.g.
-   hour of ``ts``) and the window runs per ``keys + bucket``;
+1. every row gets a bucket that is monotone in the order and the window runs per
+   ``keys + bucket``.  Buckets are cut by row density (``cut_by_density``): they
+   hold about ``ROWS_PER_BUCKET`` rows each, whether the log is sparse or dense;
 2. a small ``edges`` frame holds, per non-empty bucket, the first and last
    row values and the bucket total of each running-sum column.  It is read
    off the windowed rows (row 1 and the last row of each bucket), which are
    already partitioned by ``keys + bucket``: no extra shuffle, and the input
    is computed once (both branches share the window's exchange);
-3. ``edges`` is chained the same way: its own windows run per ``keys + FAN
-   adjacent buckets``, and only the edges of those groups (one row per key and
-   ``FAN`` buckets) meet in a window per key;
+3. ``edges``, one row per key and bucket, is chained by a window per key;
 4. the edges are joined back on ``keys + bucket``.  The join side is left to
    AQE: it is broadcast when its runtime size is under
    ``spark.sql.autoBroadcastJoinThreshold`` and sort-merged otherwise, and the
    windowed side is already hash-partitioned on exactly these keys.
 
-Because two levels keep the last window small, the first buckets can be narrow
-(seconds), so that a log that grows denser, not longer, still spreads over
-many tasks: thirty days hold 259,200 ten-second buckets, 507 groups of 512.
+So edges are few (one per bucket and key), a log that grows denser in the same
+days gets more buckets, and a sparse one is not cut into buckets of one row.
 
 A hot key (one alarm code holding a third of all rows) is therefore split
 over its buckets as well.  The order must be total (add a unique tiebreak
@@ -38,12 +36,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Default bucket widths: raw rows without a key (or with a handful of keys),
-# and windows keyed by many values (one sequence per alarm).
-RAW_SPAN_S = 10
-KEYED_SPAN_S = 60
-#: Buckets per group of the second level.
-FAN = 512
+#: Rows a bucket holds, on average; the memory of a window task follows from it.
+ROWS_PER_BUCKET = 100_000
+#: Width of the cells whose rows are counted to cut the buckets: 52,560 a year.
+CELL_MS = 600_000
 
 _NULL_BUCKET = -(2 ** 63)
 
@@ -60,6 +56,35 @@ def ms_bucket(ms: Column | str, seconds: int = 3600) -> Column:
     return F.floor(ms / F.lit(1000 * seconds))
 
 
+def cut_by_density(df: DataFrame, at: Column, name: str, rows: int = ROWS_PER_BUCKET, cell_ms: int = CELL_MS,
+                   counted: DataFrame | None = None) -> DataFrame:
+    """``df`` with a bucket number in column ``name``, monotone in ``at`` (epoch ms)
+    and holding about ``rows`` rows; NULL where ``at`` is NULL.
+
+    The rows of every non-empty cell of ``cell_ms`` are counted (only ``at`` is read
+    for it; ``counted`` may name rows that include those of ``df`` and are cheaper
+    to make) and added up in order; a cell's rows are dealt evenly in time over as
+    many buckets as they fill, thin cells share one (a burst that fills only a part
+    of a cell is spread over that part of its buckets; ``cell_ms`` can be narrower).  Counts are exact, so the cut
+    is the same however often it is computed.  The cells are a small table of the
+    log's life, not of its rows; it is joined to the rows on the cell (broadcast by
+    the planner where its size allows)."""
+    cell = F.floor(at / F.lit(cell_ms)).cast("bigint")
+    before = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = ((df if counted is None else counted).select(cell.alias("_cell")).filter(F.col("_cell").isNotNull())
+             .groupBy("_cell").agg(F.count(F.lit(1)).alias("_rows"))
+             .select("_cell", "_rows", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before")))
+    within = F.pmod(at, F.lit(cell_ms)) * F.col("_rows") / F.lit(cell_ms * rows)
+    bucket = F.floor(F.col("_before") / F.lit(rows)) + F.floor(within)
+    return (df.withColumn("_cell", cell).join(cells, "_cell", "left")
+            .select(*[F.col(c) for c in df.columns], bucket.cast("bigint").alias(name)))
+
+
+def ms_of(ts: Column | str) -> Column:
+    """Epoch ms of a timestamp column."""
+    return F.unix_millis(F.col(ts) if isinstance(ts, str) else ts)
+
+
 def _default_lit(value):
     return F.lit(value) if not isinstance(value, Column) else value
 
@@ -85,15 +110,8 @@ def ordered_window(
     exactly like ``lag(c, 1, default)``.  ``running_sums``: ``{out: col}``,
     cumulative sum with a ROWS frame (unbounded preceding .. current row).
     """
-    return _chained(df, order, bucket, list(keys), dict(lags or {}), dict(leads or {}),
-                    dict(running_sums or {}), levels=2)
-
-
-def _chained(df: DataFrame, order: Sequence[str], bucket: Column, keys: list, lags: dict,
-             leads: dict, running_sums: dict, levels: int, before: bool = False) -> DataFrame:
-    """``ordered_window`` over ``levels`` levels of buckets; with ``before`` the
-    running sums stop at the previous row."""
-    sq = f"_sq{levels}_"
+    keys, lags, leads, running_sums = list(keys), dict(lags or {}), dict(leads or {}), dict(running_sums or {})
+    sq = "_sq_"
     b, rn, is_last = sq + "bucket", sq + "rn", sq + "last"
 
     # A NULL order value gets the smallest bucket: such rows sort first, as
@@ -105,45 +123,37 @@ def _chained(df: DataFrame, order: Sequence[str], bucket: Column, keys: list, la
     inside |= {f"{sq}in_{out}": F.lag(src).over(w) for out, (src, _) in lags.items()}
     inside |= {f"{sq}in_{out}": F.lead(src).over(w) for out, (src, _) in leads.items()}
     inside |= {f"{sq}in_{out}": F.sum(src).over(upto) for out, src in running_sums.items()}
-    if before:
-        inside |= {f"{sq}ex_{out}": F.sum(src).over(w.rowsBetween(Window.unboundedPreceding, -1))
-                   for out, src in running_sums.items()}
     d = d.withColumns(inside)
 
     # Edges: first / last row values and totals per bucket, taken from the
     # windowed rows themselves.  They are already hash-partitioned by
-    # (keys, bucket), so this aggregate adds no shuffle, and the window's
-    # exchange is shared by both branches: the input is computed once.
+    # (keys, bucket), so this aggregate adds no shuffle.  ``whole`` names every
+    # column of the first and last rows: with it the edges need the same exchange
+    # as the rows, which is then shared, and the input is computed once.
+    whole = F.xxhash64(*[F.col(c) for c in df.columns if not c.startswith("_")]).alias(sq + "whole")
     lag_src = sorted({src for src, _ in lags.values()})
     lead_src = sorted({src for src, _ in leads.values()})
     prev, nxt = sq + "prev", sq + "next"
     first, last = F.col(rn) == 1, F.col(is_last)
     aggs = []
     if lag_src:
-        aggs.append(F.max(F.when(last, F.struct(*[F.col(c).alias(c) for c in lag_src]))).alias(sq + "lastv"))
+        aggs.append(F.max(F.when(last, F.struct(*[F.col(c).alias(c) for c in lag_src], whole))).alias(sq + "lastv"))
     if lead_src:
-        aggs.append(F.max(F.when(first, F.struct(*[F.col(c).alias(c) for c in lead_src]))).alias(sq + "firstv"))
+        aggs.append(F.max(F.when(first, F.struct(*[F.col(c).alias(c) for c in lead_src], whole))).alias(sq + "firstv"))
     for out in running_sums:
         aggs.append(F.max(F.when(last, F.col(f"{sq}in_{out}"))).alias(f"{sq}tot_{out}"))
     if not aggs:
         return d.drop(b, rn, is_last)
     edges = d.filter(first | last).groupBy(*keys, b).agg(*aggs)
-    if levels > 1:
-        edges = _chained(edges, [b], F.floor(F.col(b) / F.lit(FAN)), keys,
-                         {prev: (sq + "lastv", None)} if lag_src else {},
-                         {nxt: (sq + "firstv", None)} if lead_src else {},
-                         {f"{sq}off_{out}": f"{sq}tot_{out}" for out in running_sums},
-                         levels - 1, before=True)
-    else:
-        we = Window.partitionBy(*keys).orderBy(b)
-        links = {}
-        if lag_src:
-            links[prev] = F.lag(sq + "lastv").over(we)
-        if lead_src:
-            links[nxt] = F.lead(sq + "firstv").over(we)
-        for out in running_sums:
-            links[f"{sq}off_{out}"] = F.sum(f"{sq}tot_{out}").over(we.rowsBetween(Window.unboundedPreceding, -1))
-        edges = edges.withColumns(links)
+    we = Window.partitionBy(*keys).orderBy(b)
+    links = {}
+    if lag_src:
+        links[prev] = F.lag(sq + "lastv").over(we)
+    if lead_src:
+        links[nxt] = F.lead(sq + "firstv").over(we)
+    for out in running_sums:
+        links[f"{sq}off_{out}"] = F.sum(f"{sq}tot_{out}").over(we.rowsBetween(Window.unboundedPreceding, -1))
+    edges = edges.withColumns(links)
     edges = edges.select(*keys, b, *([prev] if lag_src else []), *([nxt] if lead_src else []),
                          *[f"{sq}off_{out}" for out in running_sums])
 
@@ -160,7 +170,6 @@ def _chained(df: DataFrame, order: Sequence[str], bucket: Column, keys: list, la
                    F.when(F.col(nxt).isNull(), _default_lit(dflt)).otherwise(F.col(nxt)[src]))
             .otherwise(F.col(f"{sq}in_{out}")).alias(out))
     for out in running_sums:
-        own = F.col(f"{sq}{'ex' if before else 'in'}_{out}")
-        out_cols.append(_add(own, F.col(f"{sq}off_{out}")).alias(out))
+        out_cols.append(_add(F.col(f"{sq}in_{out}"), F.col(f"{sq}off_{out}")).alias(out))
     base = [c for c in df.columns if c not in lags and c not in leads and c not in running_sums]
     return d.select(*[F.col(c) for c in base], *out_cols)

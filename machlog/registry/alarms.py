@@ -312,17 +312,13 @@ def b21(spark, sf):
 @register("B22_alert_class_en", f"""
 SELECT seq, {classify_sql('value', C.B22_CLASSES)} AS alert_type FROM msgs""")
 def b22(spark, sf):
-    m = Tables(spark, sf).msgs
-    from machlog.functions.classify import classify
-    return m.select("seq", classify(F.col("value"), C.B22_CLASSES).alias("alert_type"))
+    return B.message_classes(Tables(spark, sf).msgs, C.B22_CLASSES).select("seq", "alert_type")
 
 
 @register("B23_alert_class_multilingual", f"""
 SELECT seq, {classify_sql('value', C.B23_CLASSES)} AS alert_type FROM msgs""")
 def b23(spark, sf):
-    m = Tables(spark, sf).msgs
-    from machlog.functions.classify import classify
-    return m.select("seq", classify(F.col("value"), C.B23_CLASSES).alias("alert_type"))
+    return B.message_classes(Tables(spark, sf).msgs, C.B23_CLASSES).select("seq", "alert_type")
 
 
 @register("B24_location_token", f"""
@@ -330,11 +326,8 @@ SELECT m.seq, coalesce({token_sql(['m.value', 'v.name'], C.B24_MSG_PATTERNS)}, '
   coalesce({token_sql(['v.name'], C.B24_NAME_PATTERNS)}, 'UNK') AS name_location
 FROM msgs m JOIN vars v ON v.id = m.id_var""")
 def b24(spark, sf):
-    from machlog.functions.classify import location
     t = Tables(spark, sf)
-    j = t.msgs.join(t.vars, F.col("id_var") == F.col("id"), "inner")
-    return j.select("seq", location(F.col("name"), F.col("value")).alias("location"),
-                    location(F.col("name")).alias("name_location"))
+    return B.message_locations(t.msgs, t.vars).select("seq", "location", "name_location")
 
 
 @register("B25_alerts_per_day", f"""

@@ -87,9 +87,11 @@ def e2(spark, sf):
 
 
 @register("E3_resolve_units", """
-SELECT v.name AS variable_name, coalesce(a.units, b.units) AS unit, coalesce(a.prettyname, b.prettyname) AS unit_label
-FROM vars v LEFT JOIN units a ON lower(a.name) = lower(v.name)
-LEFT JOIN units b ON lower(b.prettyname) = lower(v.name)""")
+WITH v AS MATERIALIZED (SELECT name, lower(name) AS k FROM vars),
+named AS MATERIALIZED (SELECT lower(name) AS k, units, prettyname FROM units),
+shown AS MATERIALIZED (SELECT lower(prettyname) AS k, units, prettyname FROM units)
+SELECT v.name AS variable_name, coalesce(named.units, shown.units) AS unit, coalesce(named.prettyname, shown.prettyname) AS unit_label
+FROM v LEFT JOIN named ON named.k = v.k LEFT JOIN shown ON shown.k = v.k""")
 def e3(spark, sf):
     t = Tables(spark, sf)
     return E.resolve_units(t.vars, t.units)

@@ -7,8 +7,10 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from machlog import config as C
+from machlog.functions import classify as CL
 from machlog.plans.quantiles import exact_quantiles
-from machlog.plans.sequence import ms_bucket, ordered_window, time_bucket
+from machlog.plans.sequence import cut_by_density, ms_bucket, ordered_window, time_bucket
 from machlog.sources import adapters as ad
 from machlog.sources import logs as L
 
@@ -103,31 +105,46 @@ def test_bucket_width_does_not_change_results(spark):
     ev = ad.events(spark, "/root/testdata/sf0.001")
     sl, load = ad.alarm_log(ev), ad.load_log(ev)
     a = B.alarm_statistics(B.alarm_incidents(sl))
-    b = B.alarm_statistics(B.alarm_incidents(sl, span_s=600, keyed_span_s=7 * 86400))
+    b = B.alarm_statistics(B.alarm_incidents(sl, rows=7))
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     e1 = E.daily_energy(load).select("day", F.round("total_energy_kwh", 9).alias("k"))
-    e2 = E.daily_energy(load, span_s=7 * 86400).select("day", F.round("total_energy_kwh", 9).alias("k"))
+    e2 = E.daily_energy(load, rows=5).select("day", F.round("total_energy_kwh", 9).alias("k"))
     assert e1.exceptAll(e2).count() == 0 and e2.exceptAll(e1).count() == 0
 
 
-def test_dense_log_spreads_over_window_tasks(spark):
-    """A hundred times the rows in the same days: no window bucket holds more
-    than a few times the mean, and the values are those of the narrow log."""
-    from machlog.plans.sequence import FAN, RAW_SPAN_S
-
+def test_buckets_follow_the_density(spark):
+    """Sparse, dense and bursting logs: buckets of about the wished size, values as in one window."""
     fl = ad.float_log(ad.events(spark, "/root/testdata/sf0.001")).select("date", "seq", "value")
-    dense = fl.select("value", F.explode(F.sequence(F.lit(0), F.lit(99))).alias("k"), "date", "seq").select(
-        (F.col("date") + F.col("k") * 977).alias("date"), (F.col("seq") * 100 + F.col("k")).alias("seq"), "value")
-    per = dense.groupBy(F.pmod(F.hash(ms_bucket("date", RAW_SPAN_S)), F.lit(64))).count().select("count")
-    top, mean = per.agg(F.max("count"), F.avg("count")).first()
-    assert top < 3 * mean
-    groups = dense.select(F.floor(ms_bucket("date", RAW_SPAN_S) / FAN).alias("g")).distinct().count()
-    assert groups < dense.count() / 100
-    got = ordered_window(dense, order=["date", "seq"], bucket=ms_bucket("date", RAW_SPAN_S),
-                         lags={"prev": ("seq", None)}, leads={"nxt": ("seq", None)})
-    assert got.filter("prev IS NULL").count() == got.filter("nxt IS NULL").count() == 1
-    back = got.select("seq", "nxt").join(got.select(F.col("seq").alias("nxt"), "prev"), "nxt").filter("seq = prev")
-    assert back.count() == dense.count() - 1
+    copies = fl.select("value", F.explode(F.sequence(F.lit(0), F.lit(99))).alias("k"), "date", "seq")
+    dense = copies.select((F.col("date") + F.col("k") * 977).alias("date"), (F.col("seq") * 100 + F.col("k")).alias("seq"), "value")
+    burst = dense.withColumn("date", F.when(F.col("seq") % 3 == 0, F.lit(1_704_500_400_000) + F.col("seq") * 7919 % 600_000).otherwise(F.col("date")))
+    for log, wished in ((fl, 100), (dense, 2000), (burst, 2000)):
+        cut = cut_by_density(log, F.col("date"), "b", wished).cache()
+        assert cut.columns == [*log.columns, "b"]
+        per = cut.groupBy("b").agg(F.count("*").alias("n"), F.min("date").alias("lo"), F.max("date").alias("hi")).orderBy("b").collect()
+        rows = log.count()
+        assert max(r["n"] for r in per) < 3 * wished + rows / 20 and len(per) < 3 * rows / wished + 2
+        assert all(a["hi"] <= b["lo"] for a, b in zip(per, per[1:]))  # monotone in time
+        got = ordered_window(cut, order=["date", "seq"], bucket=F.col("b"), lags={"prev": ("seq", None)}, leads={"nxt": ("seq", None)})
+        assert got.filter("prev IS NULL").count() == got.filter("nxt IS NULL").count() == 1
+        back = got.select("seq", "nxt").join(got.select(F.col("seq").alias("nxt"), "prev"), "nxt").filter("seq = prev")
+        assert back.count() == rows - 1
+        cut.unpersist()
+
+
+def test_cut_keeps_null_times(spark):
+    df = spark.createDataFrame([(None, 1), (5, 2), (None, 3), (700_000, 4)], "date bigint, seq int")
+    got = {r["seq"]: r["b"] for r in cut_by_density(df, F.col("date"), "b", 1).collect()}
+    assert got[1] is None and got[3] is None and got[2] < got[4]
+
+
+def test_window_shares_its_exchange_with_the_edges(spark):
+    from machlog.operators import alarms as B
+
+    out = B.time_since_previous(ad.alarm_log(ad.events(spark, "/root/testdata/sf0.001")))
+    out.collect()
+    final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in final and final.count("FileScan parquet") == 2, final  # the rows, and their times for the cut
 
 
 def test_running_sum_over_nulls_and_sparse_buckets(spark):
@@ -146,12 +163,105 @@ def test_exact_quantiles_with_extreme_value(spark):
     assert [got["a"], got["b"]] == want
 
 
-def test_kmeans_fixed_start(spark):
+def _squared_error(rows, groups):
+    total = 0.0
+    for g in groups:
+        n = sum(rows[v] for v in g)
+        if n:
+            mean = sum(v * rows[v] for v in g) / n
+            total += sum(rows[v] * (v - mean) ** 2 for v in g)
+    return total
+
+
+def test_kmeans_is_optimal(spark):
+    """Equal to the best of all cut pairs, and never worse than rounds of assignment from any start."""
     from machlog.operators import activity as A
 
-    hist = spark.createDataFrame([(1, 10), (2, 10), (10, 5), (11, 5), (30, 2)],
-                                 "distinct_vars_count bigint, number_of_seconds bigint")
-    r = A.kmeans_thresholds(hist).first()
+    schema = "distinct_vars_count bigint, number_of_seconds bigint"
+    r = A.kmeans_thresholds(spark.createDataFrame([(1, 10), (2, 10), (10, 5), (11, 5), (30, 2)], schema)).first()
     assert (r["centroid_1"], r["centroid_2"], r["centroid_3"]) == (1.5, 10.5, 30.0)
     assert (r["t1_int"], r["t2_int"]) == (6, 20)
-    assert A.kmeans_thresholds(hist.limit(0)).first()["threshold_1"] is None
+    draw = random.Random(9)
+    for _ in range(6):
+        rows = {draw.randint(0, 60): draw.randint(1, 40) for _ in range(draw.randint(3, 14))}
+        values = sorted(rows)
+        if len(values) < 3:
+            continue
+        r = A.kmeans_thresholds(spark.createDataFrame(list(rows.items()), schema)).first()
+        at = lambda t1, t2: [[v for v in values if v <= t1], [v for v in values if t1 < v <= t2], [v for v in values if v > t2]]
+        got = _squared_error(rows, at(r["threshold_1"], r["threshold_2"]))
+        best = min(_squared_error(rows, [values[:i], values[i:j], values[j:]]) for i in range(1, len(values)) for j in range(i + 1, len(values)))
+        assert abs(got - best) < 1e-6 * (1 + best)
+        for _ in range(10):
+            c = sorted(draw.sample(values, 3))
+            for _ in range(30):
+                groups = at((c[0] + c[1]) / 2, (c[1] + c[2]) / 2)
+                c = [sum(v * rows[v] for v in g) / sum(rows[v] for v in g) if g else old for g, old in zip(groups, c)]
+            assert got <= _squared_error(rows, groups) + 1e-6
+
+
+def test_kmeans_of_few_values(spark):
+    from machlog.operators import activity as A
+
+    hist = lambda rows: spark.createDataFrame(rows, "distinct_vars_count bigint, number_of_seconds bigint")
+    two = A.kmeans_thresholds(hist([(1, 3), (5, 1)])).first()
+    assert (two["centroid_1"], two["centroid_2"], two["centroid_3"]) == (1.0, 2.0, 5.0)
+    one = A.kmeans_thresholds(hist([(4, 3)])).first()
+    assert (one["centroid_1"], one["threshold_1"], one["t2_int"]) == (4.0, 4.0, 4)
+    assert A.kmeans_thresholds(hist([])).first()["threshold_1"] is None
+
+
+def test_segments_against_a_loop(spark):
+    """One pass over buckets of any width: runs that cross buckets, empty buckets, a state before the first row."""
+    from machlog.operators import activity as A
+
+    draw = random.Random(2)
+    start = 1_704_067_200
+    for first in (-1, 0, 1):
+        seconds = sorted(draw.sample(range(0, 4000), 300))
+        states = [first] * 3 + [draw.choice([0, 0, 0, 1]) for _ in seconds[3:]]
+        df = spark.createDataFrame([(start + t, x) for t, x in zip(seconds, states)], "s bigint, state_num int")
+        df = df.select(F.timestamp_seconds("s").alias("ts"), "state_num")
+        want, last = [], -1
+        for t, x in zip(seconds, states):
+            if x != last:
+                want.append([x, start + t])
+            last = x
+        ends = [w[1] for w in want[1:]] + [start + seconds[-1] + 1]
+        want = [(x == 1, t, e) for (x, t), e in zip(want, ends)]
+        for span in (60, 86400):
+            got = A.segments(df, span_s=span).select((F.col("state") == "WORKING").alias("on"), F.unix_seconds("period_start").alias("a"),
+                                                     F.unix_seconds("period_end").alias("b")).collect()
+            assert sorted(map(tuple, got), key=lambda r: r[1]) == want
+    assert A.segments(df.limit(0)).count() == 0
+
+
+def test_otsu_runs_nothing_before_the_action(spark):
+    from machlog.operators import activity as A
+
+    signal = spark.range(1000).select((F.col("id") % 97).cast("double").alias("smoothed_count"))
+    spark.sparkContext.setJobGroup("plan-only", "")
+    th = A.multiotsu_thresholds(signal)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("plan-only")
+    assert th.count() == 1
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert A.multiotsu_thresholds(signal.limit(0)).count() == 0
+
+
+def test_patterns_run_once_per_text(spark):
+    from machlog.operators import alarms as B
+
+    msgs = spark.createDataFrame([(i % 5, f"ZONE {i % 3} stop" if i % 7 else None, i) for i in range(200)], "id_var int, value string, seq int")
+    vars_df = spark.createDataFrame([(i, f"ALARMS_Z{i}") for i in range(5)], "id int, name string")
+    out = B.message_locations(msgs, vars_df)
+    assert out.count() == 200
+    logical = out._jdf.queryExecution().optimizedPlan().toString()
+    for line in logical.splitlines():  # patterns stand above an aggregate of the texts or over the variables, never on the rows
+        if "regexp_extract(value" in line:
+            assert "seq" not in line, line
+    direct = msgs.join(vars_df, F.col("id_var") == F.col("id")).select(
+        "seq", CL.location(F.col("name"), F.col("value")).alias("location"), CL.location(F.col("name")).alias("name_location"))
+    cols = ["seq", "location", "name_location"]
+    assert out.select(cols).exceptAll(direct).count() == 0 and direct.exceptAll(out.select(cols)).count() == 0
+    classes = B.message_classes(msgs)
+    assert classes.exceptAll(msgs.withColumn("alert_type", CL.classify(F.col("value"), C.B23_CLASSES))).count() == 0 and classes.count() == 200

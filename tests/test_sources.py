@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 
+import pytest
+
 from machlog.functions.timefn import period_filter
 from machlog.operators import activity as A
 from machlog.sources import logs as L
@@ -25,15 +27,23 @@ def test_period_filter_prunes_day_partitions(spark, tmp_path):
     assert [r["value"] for r in out.collect()] == [2.0]
 
 
-def test_rollup_refresh_rewrites_only_touched_days(spark, tmp_path):
-    base = float_log(spark, [("2024-01-01 10:00:00", 1, 1), ("2024-01-02 10:00:00", 1, 1)])
+def test_rollup_refresh_merges_touched_days_only(spark, tmp_path):
+    base = float_log(spark, [("2024-01-01 10:00:00", 1, 1), ("2024-01-02 10:00:00", 1, 1), ("2024-01-02 10:00:01", 7, 1)])
     path = str(tmp_path / "rollup")
     R.build_rollup(base, path=path)
-    new = float_log(spark, [("2024-01-02 10:00:00", 2, 1)])
-    everything = base.unionByName(new)
-    out = R.refresh_rollup(everything, new, path)
-    got = {(r["day"].day, r["distinct_vars_count"]) for r in out.collect()}
-    assert got == {(1, 1), (2, 2)}
+    before = {f.name for f in (tmp_path / "rollup" / "day=2024-01-01").iterdir()}
+    new = float_log(spark, [("2024-01-02 10:00:00", 2, 1), ("2024-01-02 10:00:00", 1, 5), ("2024-01-03 09:00:00", 4, 1)])
+    merged = R.merged_days(new, path, 1, R.touched_days(new))
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [day" in plan and plan.count("FileScan parquet") == 1  # the touched partitions and the new rows
+    for _ in range(2):  # a repeated batch changes nothing
+        out = R.refresh_rollup(new, path)
+        got = {(r["day"].day, r["ts"].second, r["distinct_vars_count"]) for r in out.collect()}
+        assert got == {(1, 0, 1), (2, 0, 2), (2, 1, 1), (3, 0, 1)}
+    assert {f.name for f in (tmp_path / "rollup" / "day=2024-01-01").iterdir()} == before  # not rewritten
+    assert R.refresh_rollup(new.limit(0), path).count() == 4
+    with pytest.raises(ValueError):
+        R.refresh_rollup(new, path, bucket_s=60)
 
 
 def test_ensure_rollup_builds_once(spark, tmp_path):
@@ -50,12 +60,9 @@ def test_rollup_refresh_stream(spark, tmp_path):
     base = float_log(spark, [("2024-01-01 10:00:00", 1, 1), ("2024-01-02 10:00:00", 1, 1)])
     path, src, ckpt = str(tmp_path / "rollup"), str(tmp_path / "incoming"), str(tmp_path / "ckpt")
     R.build_rollup(base, path=path)
-    log = str(tmp_path / "log")
-    base.write.parquet(log)
-    read_log = lambda: spark.read.schema(base.schema).parquet(log)
 
     def refreshed():
-        R.refresh_stream(stream, read_log, path, ckpt).awaitTermination(120)
+        R.refresh_stream(stream, path, ckpt).awaitTermination(120)
         return {(r["day"].day, r["distinct_vars_count"]) for r in spark.read.parquet(path).collect()}
 
     for variable, want in ((3, {(1, 1), (2, 2)}), (4, {(1, 1), (2, 3)})):
@@ -63,9 +70,8 @@ def test_rollup_refresh_stream(spark, tmp_path):
         if variable == 3:
             new.write.parquet(src)
             stream = spark.readStream.schema(new.schema).parquet(src)
-        else:  # written after the stream and the log reader were made
+        else:  # written after the stream was made
             new.write.mode("append").parquet(src)
-        new.write.mode("append").parquet(log)
         assert refreshed() == want
 
 

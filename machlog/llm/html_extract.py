@@ -5,7 +5,8 @@ and commas to the container around it, half to the next one and a shrinking
 share further up; a container's points are discounted by its link density.  The
 best container and those of its siblings that score too, or read like
 paragraphs, are kept; boilerplate elements never count.  An element marked as
-boilerplate by a word of its class, id or role is judged when the page is read.
+boilerplate by a word of its class, id or role, and a form, is judged when the
+page is read.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ _MARKUP = re.compile(
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _RAW = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")}
 
+_VALUE = re.compile(r"""=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)""")
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
@@ -41,7 +44,7 @@ CLOSES = {t: ("p",) for t in BLOCK} | {
 #: Ending an element does not reach beyond these.
 WALLS = frozenset("html body article main section div ul ol dl table blockquote aside nav header footer form".split())
 NEVER = frozenset(
-    "head title script style noscript template iframe object embed svg math canvas audio video map nav footer aside form button "
+    "head title script style noscript template iframe object embed svg math canvas audio video map nav footer aside button "
     "select option textarea input label fieldset menu dialog xmp noembed noframes".split())
 #: Words of class, id and role that mark boilerplate.
 BOILERPLATE = frozenset(
@@ -50,19 +53,26 @@ BOILERPLATE = frozenset(
     "consent notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login share sharing social "
     "related recommended widget widgets pagination pager copyright search contentinfo complementary".split())
 GOOD = frozenset("article body content entry main page post story text blog".split())
+#: A name that begins or ends with one of these says something of the element, not what it is.
+MODIFIERS = frozenset("has no with without not is category tag type format status".split())
+STATES = frozenset("open closed enabled disabled on off".split())
+#: Words that make an article element a reader's comment or an advert.
+NO_ARTICLE = frozenset("comment comments reply replies respond ad ads advert adverts advertisement sponsored".split())
 SEMANTIC = frozenset(("article", "main"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: A marked element with this share of the page's points is no boilerplate.
+#: A form with this share of the page's points is the page, not a form to fill in.
 LARGE = 0.5
 LEVELS = 5
 
 
 class _Node:
-    __slots__ = ("tag", "up", "gone", "kept", "points", "size", "linked", "link", "bonus", "marked", "slug", "semantic")
+    __slots__ = ("tag", "up", "gone", "kept", "points", "size", "linked", "link", "bonus", "marked", "certain", "slug", "semantic")
 
-    def __init__(self, tag: str, up: _Node | None, gone: bool, link: bool, bonus: float, marked: bool = False, slug: tuple = ()):
+    def __init__(self, tag: str, up: _Node | None, gone: bool, link: bool, bonus: float, marked: bool = False,
+                 certain: bool = False, slug: tuple = ()):
         self.tag, self.up, self.gone, self.link, self.bonus = tag, up, gone, link, bonus
-        self.marked, self.slug, self.semantic = marked, slug, tag in SEMANTIC and not gone
+        self.marked, self.certain, self.slug = marked, certain, slug
+        self.semantic = tag in SEMANTIC and not gone and not marked
         self.kept, self.points, self.size, self.linked = False, 0.0, 0, 0
 
     def score(self) -> float:
@@ -130,8 +140,9 @@ class _Page:
 
     def _judged(self) -> list[tuple[_Node, str, int]]:
         """The blocks without those of boilerplate.  A marked element is boilerplate if
-        it has no article or main inside, not the id of its own title and no large share
-        of the page's points; inner elements are judged first and then count no more."""
+        it has no article or main inside and not the id of its own title.  A name that
+        only mentions boilerplate (``search-results``) does not condemn all the page
+        has, nor a form half of it.  Inner elements are judged first and then count no more."""
         held = dict.fromkeys(self.nodes, 0.0)
         titles: dict[_Node, tuple] = {}
         for owner, runs in self.runs:
@@ -149,7 +160,9 @@ class _Page:
         total, taken = held[self.root], dict.fromkeys(self.nodes, 0.0)
         for n in reversed(self.nodes):
             own = held[n] - taken[n]
-            if n.marked and not n.semantic and not (n.slug and titles.get(n) == n.slug) and not own >= LARGE * total > 0:
+            share = 0.999 if n.tag != "form" else LARGE
+            spared = n.slug and titles.get(n) == n.slug or not n.certain and own >= share * total > 0
+            if n.marked and not n.semantic and not spared:
                 n.gone, total, taken[n] = True, total - own, held[n]
             if n.up is not None:
                 taken[n.up] += taken[n]
@@ -169,29 +182,31 @@ class _Page:
         if tag in VOID:
             return
         up = self.open[-1]
-        gone, bonus, marked, slug = up.gone, 0.0, False, ()
+        gone, bonus, marked, certain, slug = up.gone, 0.0, False, False, ()
         if not gone:
             attributes = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTRIBUTE.findall(more)} if more.strip() else {}
             read = ("class", "role") if tag in HEADINGS else ("class", "id", "role")
-            said = set(re.split(r"[^a-z]+", " ".join(attributes.get(k, "") for k in read).lower()))
+            names = _names(" ".join(attributes.get(k, "") for k in read))
             inner = any(n.tag in SEMANTIC for n in self.open) if tag == "header" else False
             gone = tag in NEVER or tag == "header" and not inner or self._hidden(attributes, more)
-            marked = (not gone and tag not in ("html", "body", "article", "main", "hgroup") and tag not in HEADINGS
-                      and not said & GOOD and bool(said & BOILERPLATE))
+            if not gone and names and tag not in ("html", "body", "main", "hgroup") and tag not in HEADINGS:
+                marked, certain = _marks(names, NO_ARTICLE if tag == "article" else BOILERPLATE)
+            if not gone and tag == "form":
+                marked, certain = True, certain
             if marked:
                 self.marks = True
-                other = set(re.split(r"[^a-z]+", f"{attributes.get('class', '')} {attributes.get('role', '')}".lower()))
+                other = _marks(_names(f"{attributes.get('class', '')} {attributes.get('role', '')}"), BOILERPLATE)[0]
                 own = _slug(attributes.get("id", ""))
-                slug = own if not other & BOILERPLATE and not BOILERPLATE.issuperset(own) else ()
-            bonus = 10.0 * (tag in SEMANTIC) + 5.0 * bool(said & GOOD)
-        node = _Node(tag, up, gone, up.link or tag == "a", bonus, marked, slug)
+                slug = own if not other and not BOILERPLATE.issuperset(own) else ()
+            bonus = 10.0 * (tag in SEMANTIC and not marked) + 5.0 * any(GOOD.intersection(n) for n in names)
+        node = _Node(tag, up, gone, up.link or tag == "a", bonus, marked, certain, slug)
         self.nodes.append(node)
         self.open.append(node)
         self.counts[tag] = self.counts.get(tag, 0) + 1
 
     @staticmethod
     def _hidden(attributes: dict[str, str], more: str) -> bool:
-        return (attributes.get("aria-hidden", "").lower() == "true" or re.search(r"(?:^|\s)hidden(?:\s|/|$)", more) is not None
+        return (attributes.get("aria-hidden", "").lower() == "true" or re.search(r"(?:^|\s)hidden(?=[\s/=]|$)", _VALUE.sub("", more).lower()) is not None
                 or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")) is not None)
 
     def _end(self, tag: str) -> None:
@@ -239,13 +254,16 @@ def extract_text(source: str | None) -> str:
     if not best.score():  # nothing but links
         return ""
     around = best
-    while around is not None:  # a part of an article or main element stands for all of it
-        if around.tag in SEMANTIC:
+    while around is not None:  # a part of an article or main element stands for all of the outermost one
+        if around.tag in SEMANTIC and not around.marked:
             best = around
-            break
         around = around.up
     if best.up is not None:
         _keep_siblings(page, best)
+    if best.tag in SEMANTIC:  # other articles, wherever they stand
+        least = max(10.0, 0.2 * best.score())
+        for node in page.nodes:
+            node.kept = node.kept or node.tag in SEMANTIC and not node.gone and not node.marked and node.score() >= least
     for node in page.nodes:
         node.kept = node.kept or node is best or (node.up is not None and node.up.kept)
     out = []
@@ -285,6 +303,22 @@ def _points(text: str, linked: int) -> float:
     return (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - linked / len(text))
 
 
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
+
+
+def _names(said: str) -> list[list[str]]:
+    """The words of every class, id or role name: cut at signs, digits and humps."""
+    found = [[w for w in re.split(r"[^a-z]+", _HUMP.sub("-", name).lower()) if w] for name in said.split()]
+    return [words for words in found if words and words[0] not in MODIFIERS and words[-1] not in STATES]
+
+
+def _marks(names: list[list[str]], boilerplate: frozenset) -> tuple[bool, bool]:
+    """Whether a name mentions boilerplate, and whether one is a name of boilerplate (its last word)."""
+    hits = [words for words in names if boilerplate.intersection(words)
+            and not (boilerplate.intersection(words) <= {"header"} and GOOD.intersection(words))]  # an entry-header holds the title
+    return bool(hits), any(words[-1] in boilerplate for words in hits)
+
+
 def _slug(title: str) -> tuple:
     return tuple(re.findall(r"[a-z]+", title.lower()))
 

@@ -198,20 +198,25 @@ def dedup(incoming: DataFrame, snapshot: DataFrame, doc_id: str = "doc_id", text
     o = old.select("key", F.col("sha").alias("old_sha"), F.col("first_id").alias("old_id"), F.col("rows").alias("old_n"))
     pairs = cut(positive.join(o, "key"), "pairs")
     checked = _equal_texts(pairs, incoming, snapshot, doc_id, text)
-    both = (new.select("sha", F.col("first_id").alias("id"), "rows")
-            .unionByName(old.select("sha", F.col("first_id").alias("id"), "rows"))
-            .join(checked, "sha", "left")
-            .withColumn("class", F.coalesce("joined_sha", "sha")))
-    # A group is its text in both batches once the byte check has joined them.
-    final = both.groupBy("class").agg(F.min("id").alias("keep_id"), F.sum("rows").alias("group_size"),
-                                      F.collect_set("sha").alias("shas"))
+    # A group of the batch and one of the snapshot are one class only where a pair was
+    # confirmed: what the filter rejects or the byte check refuses stays apart.
+    side = ["old", "sha"]
+    classes = (old.select(F.lit(True).alias("old"), "sha", F.col("first_id").alias("id"), "rows",
+                          F.struct(F.lit(True).alias("old"), F.col("sha").alias("sha")).alias("class"))
+               .unionByName(new.join(checked, "sha", "left").select(
+                   F.lit(False).alias("old"), "sha", F.col("first_id").alias("id"), "rows",
+                   F.struct(F.col("joined_sha").isNotNull().alias("old"), F.coalesce("joined_sha", "sha").alias("sha")).alias("class"))))
+    first = F.struct(F.col("id").isNull(), F.col("id").alias("id"), (~F.col("old")).alias("new"))
+    final = classes.groupBy("class").agg(F.min(first).alias("first"), F.sum("rows").alias("group_size"),
+                                         F.collect_set(F.struct("old", "sha")).alias("members"))
     # Written, so that both sides of the last join are plain exchanges: only then can a large group be split.
-    final = cut(final.select(F.explode("shas").alias("sha"), "keep_id", "group_size"), "groups")
-    rows = old_rows.unionByName(new_rows).groupBy("id", "sha").agg(F.sum("n").alias("n"))
-    return (rows.join(final, "sha")
+    final = cut(final.select(F.inline("members"), F.col("first.id").alias("keep_id"), F.col("first.new").alias("keep_new"), "group_size"), "groups")
+    rows = (old_rows.withColumn("old", F.lit(True)).unionByName(new_rows.withColumn("old", F.lit(False)))
+            .groupBy("id", *side).agg(F.sum("n").alias("n")))
+    return (rows.join(final, side)
             .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
             .select("id", "sha", "keep_id", "group_size",
-                    (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept")))
+                    (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1) & (F.col("old") != F.col("keep_new"))).alias("kept")))
 
 
 def _equal_texts(pairs: DataFrame, incoming: DataFrame, snapshot: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -240,9 +245,14 @@ def _equal_texts(pairs: DataFrame, incoming: DataFrame, snapshot: DataFrame, doc
 
 def halves(docs: DataFrame, doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """A table without a history of batches: the rows up to the median id are the
-    snapshot, later ones (and null ids) the incoming batch."""
-    middle = docs.agg(F.expr(f"approx_percentile({quoted(doc_id)}, 0.5)").alias("m")).first()["m"]
-    early = F.coalesce(F.col(quoted(doc_id)) <= F.lit(middle), F.lit(False))
+    snapshot, later ones (and null ids) the incoming batch.  Ids without a middle
+    (texts) are dealt by their hash."""
+    name = F.col(quoted(doc_id))
+    if isinstance(docs.schema[doc_id].dataType, (T.NumericType, T.DateType, T.TimestampType)):
+        middle = docs.agg(F.expr(f"approx_percentile({quoted(doc_id)}, 0.5)").alias("m")).first()["m"]
+        early = F.coalesce(name <= F.lit(middle), F.lit(False))
+    else:
+        early = name.isNotNull() & (F.pmod(F.xxhash64(name), F.lit(2)) == 0)
     return docs.filter(early), docs.filter(~early)
 
 

@@ -172,15 +172,32 @@ def _strengths(docs: DataFrame, known: DataFrame, model: BradleyTerry, doc_id: s
 
 
 def _threshold(strengths: DataFrame) -> float:
-    """Between the two strengths that the share of bad labels separates: exact, from those in a narrow bracket around them."""
+    """Between the two strengths that the share of bad labels separates, exactly."""
     n, bad = strengths.agg(F.count(F.lit(1)), F.count_if(F.col("y") == 0)).first()
-    shares = [max(0.0, (bad - 1) / n - 3e-4), min(1.0, (bad + 1) / n + 3e-4)]
-    low, high = strengths.agg(F.percentile_approx("strength", shares, 10_000)).first()[0]
-    below = strengths.filter(F.col("strength") < low).count()
-    near = strengths.filter(F.col("strength").between(low, high)).groupBy("strength").count().orderBy("strength").collect()
-    ends = below + np.cumsum([r["count"] for r in near])
-    at = [min(int(np.searchsorted(ends, rank)), len(near) - 1) for rank in (bad, bad + 1)]
-    return sum(near[k]["strength"] for k in at) / 2
+    return sum(_at_rank(strengths, min(max(rank, 1), n)) for rank in (bad, bad + 1)) / 2
+
+
+#: Strengths the driver takes at once; counting rounds narrow the search until so few are left.
+NEAR = 5000
+
+
+def _at_rank(strengths: DataFrame, rank: int) -> float:
+    """The ``rank``-th least strength: rounds of counts over NEAR equal steps of what is left."""
+    left = strengths.select("strength")
+    while True:
+        low, high, n = left.agg(F.min("strength"), F.max("strength"), F.count(F.lit(1))).first()
+        if low == high:
+            return low
+        if n <= NEAR:
+            return sorted(r["strength"] for r in left.collect())[rank - 1]
+        step = F.floor((F.col("strength") - low) / ((high - low) / NEAR))
+        counted = left.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n"), F.min("strength").alias("low"),
+                                                       F.max("strength").alias("high")).orderBy("step").collect()
+        for r in counted:
+            if rank <= r["n"]:
+                break
+            rank -= r["n"]
+        left = left.filter(F.col("strength").between(r["low"], r["high"]))
 
 
 def _featured(rows: DataFrame) -> DataFrame:

@@ -21,7 +21,10 @@ ORACLE_SQL = None
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     model = quality_model(spark, docs.select("doc_id", "text"), sf_dir)
-    return quality.score(docs, model, QUALITY_CUT).filter("predicted = 1").select(*map(quoted, docs.columns))
+    packed = docs.select(whole_row(docs, {"text"}).alias("row"), "text")  # columns called like the score stay what they are
+    good = quality.score(packed, model, QUALITY_CUT).filter("predicted = 1")
+    other = fields("row", docs, {"text"})
+    return good.select(*other, "text").select(*map(quoted, docs.columns))
 
 
 def one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,6 +44,20 @@ def labelled(n=200):
     return texts, marks
 
 
+def test_quality_threshold_by_counting_rounds(spark, monkeypatch):
+    """The exact ranks, however few strengths the driver takes at once."""
+    draw = random.Random(8)
+    rows = [(int(draw.random() < 0.6), draw.choice([1.5, draw.gauss(0, 1), draw.gauss(0, 1) ** 9])) for _ in range(3000)]
+    strengths = spark.createDataFrame(rows, "y int, strength double")
+    ordered, bad = sorted(s for _, s in rows), sum(y == 0 for y, _ in rows)
+    want = (ordered[bad - 1] + ordered[bad]) / 2
+    for near in (5000, 20):
+        monkeypatch.setattr(quality, "NEAR", near)
+        assert quality._threshold(strengths) == want
+    one_kind = spark.createDataFrame([(1, 0.5), (1, 0.25)], "y int, strength double")
+    assert quality._threshold(one_kind) == 0.25
+
+
 def test_quality_separates_and_takes_odd_rows(spark):
     texts, marks = labelled()
     docs = documents(spark, texts + [(i, t) for i, t in ODD if i is None])
@@ -305,6 +319,30 @@ def test_exact_dedup_against_brute_force(spark, monkeypatch, share):
     assert Counter(norm(t) for (t,) in rows_of(rest, "text")) == Counter(groups.keys()) and rest.columns == documents(spark, []).columns
 
 
+def test_exact_dedup_goes_through_filter_and_byte_check(spark, monkeypatch):
+    """A filter that rejects everything, and a byte check that refuses, leave batch and snapshot apart."""
+    snapshot, incoming = documents(spark, [(1, "same"), (2, "x")]), documents(spark, [(3, "same"), (4, "same"), (5, "y")])
+    whole = Counter([(1, 1, 3, True), (3, 1, 3, False), (4, 1, 3, False), (2, 2, 1, True), (5, 5, 1, True)])
+    apart = Counter([(1, 1, 1, True), (3, 3, 2, True), (4, 3, 2, False), (2, 2, 1, True), (5, 5, 1, True)])
+    seen = lambda: Counter(rows_of(exact_dedup.dedup(incoming, snapshot), "id", "keep_id", "group_size", "kept"))
+    assert seen() == whole
+    real = exact_dedup.screen
+    with monkeypatch.context() as m:
+        m.setattr(exact_dedup, "screen", lambda *a: real(*a).withColumn("maybe", F.lit(False)))
+        assert seen() == apart
+    with monkeypatch.context() as m:
+        m.setattr(exact_dedup, "_equal_texts", lambda pairs, *a: pairs.select("sha", F.col("old_sha").alias("joined_sha")).limit(0))
+        assert seen() == apart
+
+
+def test_exact_dedup_with_text_ids(spark):
+    rows = [(f"id-{i:03d}", t) for i, t in enumerate(["a", "b", "a", None, "", "b  c", "b c"] * 4)] + [(None, "a"), (None, "new")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    kept = {r["text"]: r["doc_id"] for r in exact_dedup.keep_first(docs).collect()}
+    assert {(t or ""): i for t, i in kept.items()} == {"a": "id-000", "b": "id-001", "": "id-003", "b  c": "id-005", "new": None}
+    assert exact_dedup.keep_first(docs.limit(0)).count() == 0
+
+
 # --- 8 ---------------------------------------------------------------------
 
 def near_copies():
@@ -421,6 +459,72 @@ def test_html_marked_words_take_no_content():
     assert html_extract.extract_text(page) == f"Related work\n{text}\nSearch algorithms\n{text}\nSocial history\n{text}"
 
 
+PROSE = "A sentence of the article, with commas, that is long enough to count as a paragraph of prose. " * 2
+
+
+@pytest.mark.parametrize("name", [
+    "article-comments", "comment-body", "comments-body", "post-comments", "main-menu", "page-sidebar", "blog-sidebar",
+    "entry-share social", "text-ads", "page-footer", "cookie-text", "mainMenu", "commentList"])
+def test_html_compound_names_of_boilerplate_go(name):
+    article = f"<p>{PROSE}</p><p>{PROSE}</p>"
+    want = "\n".join([PROSE.strip()] * 2)
+    box = f'<div class="{name}"><p>Something else, by a reader, of some length. It is not the article.</p></div>'
+    for page in (f"<article>{article}{box}</article>", f"<div>{article}{box}</div>", f"<main><article>{article}</article>{box}</main>"):
+        assert html_extract.extract_text(page) == want, (name, page)
+
+
+def test_html_comment_threads_of_any_size_go():
+    thread = "".join(f"<p>Comment {i}, by somebody, which is much longer than the article itself, with commas. {PROSE}</p>" for i in range(30))
+    for box in (f'<div id="comments">{thread}</div>', f'<section class="comments"><article class="comment">{thread}</article></section>'):
+        assert html_extract.extract_text(f"<body><article><h1>Title</h1><p>{PROSE}</p></article>{box}</body>") == f"Title\n{PROSE.strip()}"
+        assert html_extract.extract_text(f"<article><h1>Title</h1><p>{PROSE}</p>{box}</article>") == f"Title\n{PROSE.strip()}"
+
+
+def test_html_hidden_is_an_attribute():
+    text = PROSE.strip()
+    for tag in ('<article title="the hidden coast">', '<article class="md hidden lg">', "<article data-x='a hidden b'>"):
+        assert html_extract.extract_text(f"{tag}<p>{PROSE}</p></article>") == text
+    for tag in ("<div hidden>", '<div class=a hidden>', '<div hidden="">', "<div id=x hidden/>"):
+        assert html_extract.extract_text(f"<article><p>{PROSE}</p>{tag}<p>Not shown, at all.</p></div></article>") == text
+
+
+def test_html_page_wide_forms_and_wrappers_stay():
+    text = PROSE.strip()
+    assert html_extract.extract_text(f'<body><form id="aspnetForm"><input name=x><div><p>{PROSE}</p><p>{PROSE}</p></div></form></body>') == f"{text}\n{text}"
+    assert html_extract.extract_text(f"<article><p>{PROSE}</p><form><p>Your name, please.</p><input></form></article>") == text
+    for name in ("content has-sidebar", "layout no-comments", "post comments-open category-advertising", "search-results", "entry-header-wrap"):
+        assert html_extract.extract_text(f'<body><div class="{name}"><p>{PROSE}</p><p>{PROSE}</p></div></body>') == f"{text}\n{text}", name
+
+
+def test_html_keeps_all_articles():
+    text = PROSE.strip()
+    one = lambda t: f"<div><article><h2>{t}</h2><p>{PROSE}</p></article></div>"
+    for page in (f"<main>{one('First')}{one('Second')}</main>", f"<body>{one('First')}{one('Second')}</body>"):
+        assert html_extract.extract_text(page) == f"First\n{text}\nSecond\n{text}"
+    header = f'<article><div class="entry-header"><h1>Title</h1></div><p>{PROSE}</p></article>'
+    assert html_extract.extract_text(header) == f"Title\n{text}"
+
+
+def test_html_against_the_template_of_the_tables(spark):
+    """The driver's pages: what stands in the article, block by block, cut out by another way."""
+    import html as entities
+    import re
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+        found = re.search(r"<article>(.*?)</article>", r["html"] or "", re.S)
+        body = re.sub(r"<script.*?</script>|<style.*?</style>|<!--.*?-->|<aside.*?</aside>|<(nav|form|footer).*?</\1>|<div class=\"ad\">.*?</div>", "",
+                      found[1] if found else "", flags=re.S)
+        blocks = re.split(r"</?(?:h[1-6]|p|ul|ol|li|div|blockquote|pre|table|tr|td|th|section)\b[^>]*>", body)
+        blocks = [" ".join(entities.unescape(re.sub(r"<br\s*/?>", " ", b)).split()) if "<" not in re.sub(r"<br\s*/?>", "", b) else
+                  " ".join(entities.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br\s*/?>", " ", b))).split()) for b in blocks]
+        assert html_extract.extract_text(r["html"]) == "\n".join(b for b in blocks if b), r["page_id"]
+
+
+def test_html_empty_table_and_equal_scores(spark):
+    assert html_extract.extract(spark.createDataFrame([], "page_id int, html string")).count() == 0
+    text = PROSE.strip()
+    assert html_extract.extract_text(f"<body><div><p>{PROSE}</p></div><div><p>{PROSE}</p></div></body>") == f"{text}\n{text}"
+
+
 def test_html_keeps_siblings_of_the_best_container():
     text = "This is a sentence, with commas, and it goes on for a while so that it counts."
     code, links = ("code line " * 500).strip(), "<ul>" + "".join(f"<li><a href=/{i}>link, {i}</a></li>" for i in range(9)) + "</ul>"

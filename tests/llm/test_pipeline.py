@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from machlog.llm import decontaminate, quality
 from machlog.llm.common import cut
@@ -72,3 +73,22 @@ def test_each_stage_against_brute_force(spark, stages):
     assert set(final) == set(clean)
     assert all(final[i]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest() for i, t in clean.items())
     assert all(hashlib.sha256(final[i]["ids"]).hexdigest() == final[i]["ids_sha256"] for i in clean)
+
+
+def test_stages_keep_foreign_columns_and_take_odd_rows(spark):
+    """Columns called like a helper's output stay what they are; nulls, empty texts, repeated rows and text ids run through."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    raw = spark.read.parquet(f"{DIR}/documents.parquet").limit(60)
+    extra = {"score": "mine", "predicted": "mine", "n_words": "mine", "row": "mine", "sha": "mine", "kept": "mine", "spans": "mine", "items": "mine"}
+    odd = spark.createDataFrame([(100_001, None), (100_002, ""), (100_003, "short"), (100_003, "short"), (None, "no id")], "doc_id bigint, text string")
+    docs = raw.unionByName(odd, allowMissingColumns=True).withColumns({c: F.lit(v) for c, v in extra.items()}).withColumn("ids", F.col("doc_id"))
+    for name, stage in pipeline.STAGES[:4]:
+        out = cut(stage(spark, docs, DIR), f"odd-{name}")
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+        rows = out.collect()
+        assert all(r[c] == v for r in rows for c, v in extra.items()) and all(r["ids"] == r["doc_id"] for r in rows), name
+    assert pipeline.STAGES[4][1](spark, docs, DIR).count() == docs.count()
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    assert pipeline.one_of_equal(spark, named, DIR).count() == pipeline.one_of_equal(spark, docs, DIR).count()
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, docs.limit(0), DIR).count() == 0, name

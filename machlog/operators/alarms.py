@@ -440,28 +440,34 @@ def classified_messages(msgs: DataFrame, vars_df: DataFrame, days: DataFrame,
                     CL.location(F.col("var_name"), F.col("msg")).alias("location"))
 
 
-def alerts_during_runs(classified: DataFrame, pieces: DataFrame, bucket_s: int = 60) -> DataFrame:
+def alerts_during_runs(classified: DataFrame, pieces: DataFrame, rows: int = ROWS_PER_BUCKET) -> DataFrame:
     """Left interval join of alerts with program pieces (same day,
     ``start <= ts <= end``, closed at both ends: an alert on a shared boundary
     matches two pieces and is counted twice, as in the original), then total
     and in-program counts.
 
-    The range join is made an equi-join on (day, time bucket): each piece is
-    exploded to the ``bucket_s`` buckets it covers (pieces never exceed one
-    day), each alert falls into one bucket, and the range is checked as a
-    residual.  A day with very many pieces therefore does not produce a
-    day-sized nested loop.  Alerts are summed per (time, type, location)
-    before the join, so a busy tick reaches it as a few rows."""
-    pb = F.floor(F.unix_seconds("start_ts") / bucket_s)
-    pe = F.floor(F.unix_seconds("end_ts") / bucket_s)
-    p = pieces.select(F.col("day").alias("p_day"), "start_ts", "end_ts",
-                      F.explode(F.sequence(pb, pe)).alias("p_bucket"))
+    A sorted sweep instead of a join: starts, alerts and ends of a day are one
+    sequence (at one moment in this order), and the pieces open at an alert are
+    the running sum of starts less ends.  A piece costs two rows however long it
+    is; equal starts, alerts and ends are counted before the sequence is made.
+    It runs in buckets cut by density, so a busy day is split as well."""
     n = F.sum("n") if "n" in classified.columns else F.count("*")  # counted rows or single ones
-    a = classified.groupBy("day", "ts_utc", "alert_type", "location").agg(n.alias("n"))
-    a = a.withColumn("a_bucket", F.floor(F.unix_seconds("ts_utc") / bucket_s))
-    cond = ((F.col("day") == F.col("p_day")) & (F.col("a_bucket") == F.col("p_bucket"))
-            & (F.col("ts_utc") >= F.col("start_ts")) & (F.col("ts_utc") <= F.col("end_ts")))
-    j = a.join(p, cond, "left")
-    return j.groupBy("day", "alert_type", "location").agg(
-        F.sum("n").alias("events_total"),
-        F.coalesce(F.sum(F.when(F.col("start_ts").isNotNull(), F.col("n"))), F.lit(0)).alias("events_during_program"))
+    alerts = classified.groupBy("day", F.col("ts_utc").alias("at"), "alert_type", "location").agg(n.cast("bigint").alias("n"))
+    none = F.lit(None).cast("string")
+
+    def ends(moment: str, step: int, order: int) -> DataFrame:
+        counted = pieces.groupBy("day", F.col(moment).alias("at")).agg((F.count("*") * step).alias("step"))
+        return counted.select("day", "at", F.lit(order).alias("kind"), none.alias("alert_type"), none.alias("location"),
+                              F.lit(0).cast("bigint").alias("n"), "step")
+
+    inside = F.col("start_ts") <= F.col("end_ts")  # a piece without length at its end matches nothing
+    pieces = pieces.filter(inside)
+    sweep = (ends("start_ts", 1, 0).unionByName(ends("end_ts", -1, 2))
+             .unionByName(alerts.select("day", "at", F.lit(1).alias("kind"), "alert_type", "location", "n", F.lit(0).cast("bigint").alias("step")))
+             .filter(F.col("day").isNotNull()))
+    sweep = cut_by_density(sweep, ms_of("at"), "_cut", rows)
+    order = ["at", "kind", "alert_type", "location"]
+    swept = ordered_window(sweep, order=order, keys=["day"], bucket=F.col("_cut"), running_sums={"open": "step"}).filter("kind = 1")
+    counted = swept.groupBy("day", "alert_type", "location").agg(
+        F.sum(F.col("n") * F.greatest("open", F.lit(1))).alias("events_total"), F.sum(F.col("n") * F.col("open")).alias("events_during_program"))
+    return counted

@@ -34,6 +34,46 @@ def i1(spark, sf):
     return L.read_log(spark, path)
 
 
+@register("I1_load_all_tables", f"""
+SELECT 'fl' AS log, id_var AS id, COUNT(*) AS n, CAST(MIN({SECS}) AS DATE) AS first_day, CAST(MAX({SECS}) AS DATE) AS last_day FROM fl GROUP BY id_var
+UNION ALL SELECT 'sl', id_var, COUNT(*), CAST(MIN({SECS}) AS DATE), CAST(MAX({SECS}) AS DATE) FROM sl GROUP BY id_var
+UNION ALL SELECT 'vars', id, COUNT(*), NULL, NULL FROM vars GROUP BY id
+UNION ALL SELECT 'units', NULL, COUNT(*), NULL, NULL FROM units""")
+def i1_all(spark, sf):
+    """All four tables stored and loaded again; logs summed up per variable."""
+    t = Tables(spark, sf)
+    path = L.scratch_path(spark, "machine")
+    L.write_log(t.fl.select("date", "id_var", "value"), f"{path}/variable_log_float")
+    L.write_log(t.sl.select("date", "id_var", "value"), f"{path}/variable_log_string")
+    t.vars.write.mode("overwrite").parquet(f"{path}/variable")
+    t.units.write.mode("overwrite").parquet(f"{path}/units")
+    got = L.load_logs(spark, path)
+    day = F.lit(None).cast("date")
+    logs = [got[k].groupBy(F.col("id_var").alias("id")).agg(F.count("*").alias("n"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+            .select(F.lit(k).alias("log"), "id", "n", "first_day", "last_day") for k in ("fl", "sl")]
+    names = got["vars"].groupBy("id").agg(F.count("*").alias("n")).select(F.lit("vars").alias("log"), "id", "n", day.alias("first_day"), day.alias("last_day"))
+    units = got["units"].agg(F.count("*").alias("n")).select(F.lit("units").alias("log"), F.lit(None).cast("int").alias("id"), "n",
+                                                             day.alias("first_day"), day.alias("last_day"))
+    return logs[0].unionByName(logs[1]).unionByName(names).unionByName(units)
+
+
+@register("I2_malformed_lines", """
+SELECT CASE seq % 50 WHEN 1 THEN 'no quoted row' WHEN 2 THEN 'wrong number of fields' WHEN 3 THEN 'no time' WHEN 4 THEN 'no variable' ELSE 'row' END AS problem,
+  COUNT(*) AS n FROM sl GROUP BY 1""")
+def i2_bad(spark, sf):
+    """The string log exported with every 50th line broken in each of four ways: all lines are accounted for."""
+    sl = Tables(spark, sf).sl
+    whole, path = L.scratch_path(spark, "export-whole"), L.scratch_path(spark, "export-broken")
+    k = F.col("seq") % 50
+    L.write_string_export(sl.filter(~k.isin(1, 2, 3, 4)), whole)
+    broken = (F.when(k == 1, F.concat(F.lit("not quoted "), "seq")).when(k == 2, F.lit('"2021-03-18 03:27:10";;;'))
+              .when(k == 3, F.lit('"no time,""447"",""v""";;;')).otherwise(F.lit('"2021-03-18 03:27:10,""x"",""v""";;;')))
+    sl.filter(k.isin(1, 2, 3, 4)).select(broken.alias("line")).write.option("lineSep", "\r\n").text(path)
+    rows, bad = L.split_string_export(spark, [whole, path])
+    return (rows.select(F.lit("row").alias("problem")).unionByName(bad.select("problem"))
+            .groupBy("problem").agg(F.count("*").alias("n")))
+
+
 @register("I2_string_export_roundtrip", f"""
 SELECT {SECS} AS ts, id_var, coalesce(value, '') AS value FROM sl""")
 def i2(spark, sf):

@@ -118,6 +118,32 @@ def read_string_export(spark: SparkSession, path: str) -> DataFrame:
                        F.coalesce(F.col("value"), F.lit("")).alias("value"))
 
 
+def split_string_export(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """I2 with a channel for malformed lines: (rows, rejects).
+
+    ``rows`` are the well-formed lines as ``read_string_export`` gives them;
+    ``rejects`` hold every other line whole, with its ``problem``: no quoted inner
+    row, a wrong number of fields, no time, no variable.  Header lines are neither;
+    each other line of the files is in exactly one of the two.  Empty lines are
+    rejects as well."""
+    lines = spark.read.option("lineSep", "\r\n").text(path).withColumnRenamed("value", "line")
+    outer = F.from_csv(F.col("line"), "inner string, a string, b string, c string, more string", {"sep": ";", "quote": '"', "escape": '"'})
+    cut = lines.withColumn("inner", outer["inner"])
+    cut = cut.filter(~F.coalesce(F.col("inner").startswith("timestamp,"), F.lit(False)))
+    fields = F.from_csv(F.col("inner"), _EXPORT_INNER + ", more string", {"quote": '"', "escape": '"'})
+    cut = cut.withColumn("r", fields)
+    ts = F.try_to_timestamp(F.col("r.timestamp"), F.lit("yyyy-MM-dd HH:mm:ss"))
+    made = cut.select("line", "inner", "r", ts.alias("ts"), F.col("r.id_var").try_cast("int").alias("id_var"))
+    quoted = F.col("line").startswith('"') & F.rtrim("line").endswith('";;;')
+    problem = (F.when(~quoted | F.col("inner").isNull(), F.lit("no quoted row"))
+               .when(F.col("r.id_var").isNull() | F.col("r.more").isNotNull(), F.lit("wrong number of fields"))
+               .when(F.col("ts").isNull(), F.lit("no time"))
+               .when(F.col("id_var").isNull(), F.lit("no variable")))
+    made = made.withColumn("problem", problem)
+    rows = made.filter("problem IS NULL").select("ts", "id_var", F.coalesce("r.value", F.lit("")).alias("value"))
+    return rows, made.filter("problem IS NOT NULL").select("line", "problem")
+
+
 # ------------------------------------------------------------------ I5 - I9
 
 def extract_day(sl: DataFrame, day: str | None = None) -> DataFrame:

@@ -265,3 +265,52 @@ def test_patterns_run_once_per_text(spark):
     assert out.select(cols).exceptAll(direct).count() == 0 and direct.exceptAll(out.select(cols)).count() == 0
     classes = B.message_classes(msgs)
     assert classes.exceptAll(msgs.withColumn("alert_type", CL.classify(F.col("value"), C.B23_CLASSES))).count() == 0 and classes.count() == 200
+
+
+def test_sketches_of_days_merge_within_their_error(spark):
+    from machlog.plans.quantiles import day_sketches, merged_quantiles
+
+    df = spark.range(60_000).select((F.col("id") % 3).alias("machine"), (F.col("id") % 20).alias("day"),
+                                    (F.pow(F.rand(5), 3) * 1000).alias("v")).cache()
+    sketches = day_sketches(df, ["machine"], "day", "v").cache()
+    assert sketches.count() == 60
+    qs, names = [0.1, 0.5, 0.9], ["a", "b", "c"]
+    for days in (range(20), range(5)):
+        some = sketches.filter(F.col("day").isin(list(days)))
+        rows = df.filter(F.col("day").isin(list(days)))
+        exact = {r["machine"]: r for r in exact_quantiles(rows, ["machine"], "v", qs, names=names).collect()}
+        got = merged_quantiles(some, ["machine"], qs, names).collect()
+        assert {r["machine"] for r in got} == set(exact)
+        for r in got:
+            values = sorted(x["v"] for x in rows.filter(F.col("machine") == r["machine"]).select("v").collect())
+            for q, name in zip(qs, names):
+                rank = sum(v <= r[name] for v in values) / len(values)
+                true = sum(v <= exact[r["machine"]][name] for v in values) / len(values)
+                assert abs(rank - true) < 0.03
+
+
+def test_sweep_equals_the_interval_join(spark):
+    from machlog.operators import alarms as B
+
+    draw = random.Random(11)
+    at = lambda d, m: f"2024-01-{d:02d} {m // 60:02d}:{m % 60:02d}:00"
+    pieces = []
+    for d in (1, 2):
+        for _ in range(12):
+            a = draw.randint(0, 1300)
+            pieces.append((d, a, draw.choice([a, a + 10, a + 120])))
+    pieces += [(3, 0, 1439)]  # a day-long piece
+    alerts = [(draw.randint(1, 4), draw.choice([p[1] for p in pieces] + [p[2] for p in pieces] + list(range(0, 1400, 40))),
+               draw.choice(["X", "Y"]), draw.choice(["L", None])) for _ in range(150)]
+    p = spark.createDataFrame([(d, at(d, a), at(d, b)) for d, a, b in pieces], "d int, a string, b string").select(
+        F.to_date("a").alias("day"), F.col("a").cast("timestamp").alias("start_ts"), F.col("b").cast("timestamp").alias("end_ts"))
+    c = spark.createDataFrame([(at(d, m), t, x) for d, m, t, x in alerts], "a string, alert_type string, location string").select(
+        F.to_date("a").alias("day"), F.col("a").cast("timestamp").alias("ts_utc"), "alert_type", "location")
+    want = {}
+    for d, m, t, x in alerts:
+        n = sum(1 for e, a, b in pieces if e == d and a <= m <= b)
+        total, during = want.get((d, t, x), (0, 0))
+        want[d, t, x] = (total + max(n, 1), during + n)
+    for rows in (100_000, 5):
+        got = B.alerts_during_runs(c, p, rows=rows)
+        assert {(r["day"].day, r["alert_type"], r["location"]): (r["events_total"], r["events_during_program"]) for r in got.collect()} == want

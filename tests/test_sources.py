@@ -90,6 +90,19 @@ def test_json_lines(spark):
     assert [x["status"] for x in empty] == ["no_data"]
 
 
+def test_malformed_lines_are_kept_and_counted(spark, tmp_path):
+    good = ['"2021-03-18 03:27:10,""447"",""[[""""PLC00051"""",""""Stop, conditional"""",3,3,50331699]]""";;;',
+            '"2021-03-18 05:08:35,""557"",""""";;;']
+    bad = {"plain text": "no quoted row", "": "no quoted row", '"2021-03-18 03:27:10,""447""': "no quoted row", '"2021-03-18 03:27:10";;;': "wrong number of fields",
+           '"2021-03-18 03:27:10,""1"",""v"",""more""";;;': "wrong number of fields", '"not a time,""447"",""v""";;;': "no time",
+           '"2021-03-18 03:27:10,""x"",""v""";;;': "no variable"}
+    path = tmp_path / "export.csv"
+    path.write_bytes("".join(line + "\r\n" for line in ['"timestamp,""id_var"",""value""";;;', *good, *bad]).encode())
+    rows, rejects = L.split_string_export(spark, str(path))
+    assert sorted((r["id_var"], r["value"]) for r in rows.collect()) == [(447, '[["PLC00051","Stop, conditional",3,3,50331699]]'), (557, "")]
+    assert {r["line"]: r["problem"] for r in rejects.collect()} == bad
+
+
 def test_envelopes(spark):
     st = spark.createDataFrame([("High Activity", 1.234567), ("True Idle (Off)", None)],
                                "state string, total_hours double")

@@ -7,8 +7,13 @@ not cross white space, so a document's log probability is the sum over its words
 and the end of the text.
 
 The vocabulary's scores are merge ranks.  By Zipf's law they are read as first
-probabilities, 1 / (rank + 1); one expectation step over the training words then
-gives the unigram probabilities that weight the segmentations.
+probabilities, 1 / (rank + 1); expectation steps over the distinct training words
+then give the unigram probabilities that weight the segmentations.
+
+A word of the training texts has one edge more, from its begin to its end: its
+corpus-wide count less a discount.  What the discounts hold back goes to the
+segmentations into pieces, so words never seen keep their share, and what is
+learned grows with the corpus.
 
 Texts are dealt into blocks of bounded size as they are read.  A block is a list
 of its distinct words and, per document, places in that list; words meet their
@@ -38,6 +43,10 @@ START = "▁"
 END = "</s>"
 #: Weight of the first probabilities, in pieces, against the expected counts.
 PRIOR = 1000.0
+#: Expectation steps; a third gains 0.01 log10 per held-out token, for one more pass over the words.
+ROUNDS = 2
+#: Discount where the corpus has no words of one or two occurrences to take it from.
+DISCOUNT = 0.5
 #: Expected counts are added up as whole millionths: sums do not depend on the order of the rows.
 MILLION = 1_000_000
 
@@ -207,6 +216,21 @@ class Pieces:
         return Pieces({p: math.log((counts.get(p, 0) / MILLION + PRIOR * math.exp(w)) / total) for p, w in self.log_p.items()})
 
 
+def discount(once: int, twice: int) -> float:
+    """What each seen word gives away, from the number of words seen once and twice."""
+    return once / (once + 2 * twice) if once and twice else DISCOUNT
+
+
+def with_whole_words(spelt: np.ndarray, c: np.ndarray, total: int, kinds: int, less: float) -> np.ndarray:
+    """Log probabilities of words of counts ``c`` whose pieces give ``spelt``: the whole
+    word (its count less the discount) or its pieces (the share of all discounts)."""
+    if not total:
+        return spelt
+    with np.errstate(divide="ignore"):
+        whole = np.log(np.maximum(c - less, 0.0) / total)
+    return np.logaddexp(whole, math.log(less * kinds / total) + spelt)
+
+
 def _hash_of(piece: str) -> int:
     h = 0
     for c in piece:
@@ -294,6 +318,23 @@ def blocks(docs: DataFrame, learn: Column, text: str) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def _expected_pieces(seen: DataFrame, model: Pieces) -> dict[str, int]:
+    """Expected pieces (millionths) of the distinct words in column ``word``, each once:
+    every word leaves the pieces the same discount."""
+    shipped = seen.sparkSession.sparkContext.broadcast(model)
+
+    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use, into = shipped.value, {}
+        for batch in batches:
+            found = [w.decode("utf-8", "surrogatepass") for w in batch.column(0).to_pylist()]
+            use.many(found, [1] * len(found), into)
+        yield pa.RecordBatch.from_arrays([pa.array(list(into), pa.string()), pa.array(list(into.values()), pa.int64())], ["piece", "n"])
+
+    parts = seen.mapInArrow(expect, "piece string, n bigint")
+    summed = parts.groupBy("piece").agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("n"))
+    return {r["piece"]: int(r["n"]) for r in summed.collect()}
+
+
 def score(docs: DataFrame, vocabulary: Pieces, learn: Column, text: str = "text") -> DataFrame:
     """``docs`` without ``text``, with ``n_tokens``, ``n_known``, ``train_tokens``,
     ``base_score`` and ``score``, both log10 probabilities.
@@ -303,40 +344,37 @@ def score(docs: DataFrame, vocabulary: Pieces, learn: Column, text: str = "text"
     from the rows for which ``learn`` holds; ``n_known`` counts tokens with c > 0.
 
     * Null text counts as empty: the end alone.
+    ``score`` sums, for each word, the whole word's edge and all segmentations.
+
     * Without training rows N and V are 0, every count is 0 and the vocabulary's
-      first probabilities hold.
+      first probabilities hold, without whole words.
     * Repeated rows are scored (and learned) each on its own; input columns called
       like an output are replaced; an empty table gives an empty table.
     * A document larger than a block is a block of its own.
 
-    What reaches the driver: three totals and one number per vocabulary piece.
+    What reaches the driver: five totals and, per step, one number per vocabulary piece.
     """
     spark = docs.sparkSession
     dealt = cut(blocks(docs, learn, text), "lm-blocks")
     place = dealt.filter("word is not null").select("block", "place", "word", "learned")
     counts = cut(place.groupBy("word").agg(F.sum("learned").alias("c")), "lm-counts")
-    known = counts.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
+    known = counts.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v"),
+                       F.count(F.when(F.col("c") == 1, 1)).alias("once"), F.count(F.when(F.col("c") == 2, 1)).alias("twice")).first()
     ends_known = docs.filter(F.coalesce(learn, F.lit(False))).count()
     total, distinct = (known["n"] or 0) + ends_known, known["v"] + (ends_known > 0)
 
-    first = spark.sparkContext.broadcast(vocabulary)
-
-    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use, into = first.value, {}
-        for batch in batches:
-            found = [w.decode("utf-8", "surrogatepass") for w in batch.column(0).to_pylist()]
-            use.many(found, batch.column(1).to_pylist(), into)
-        yield pa.RecordBatch.from_arrays([pa.array(list(into), pa.string()), pa.array(list(into.values()), pa.int64())], ["piece", "n"])
-
-    parts = counts.filter("c > 0").mapInArrow(expect, "piece string, n bigint")
-    found = {r["piece"]: int(r["n"]) for r in parts.groupBy("piece").agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("n")).collect()}
-    model = vocabulary.trained(found | {END: ends_known * MILLION}) if ends_known else vocabulary
+    less = discount(known["once"], known["twice"])
+    model = vocabulary
+    for _ in range(ROUNDS if ends_known else 0):
+        found = _expected_pieces(counts.filter("c > 0").select("word"), model)
+        model = model.trained(found | {END: MILLION})
     shipped = spark.sparkContext.broadcast(model)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = shipped.value
         for batch in batches:
             p = use.many([w.decode("utf-8", "surrogatepass") for w in batch.column(0).to_pylist()])
+            p = with_whole_words(p, batch.column(1).to_numpy(), total, distinct, less)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p, pa.float64())], ["word", "c", "log_p"])
 
     weighed = counts.mapInArrow(weigh, "word binary, c bigint, log_p double")
@@ -347,7 +385,8 @@ def score(docs: DataFrame, vocabulary: Pieces, learn: Column, text: str = "text"
     schema = T.StructType([T.StructField("row", dealt.schema["row"].dataType),
                            *(T.StructField(c, doubles if "score" in c else longs) for c in out)])
     below = math.log10(total + distinct + 1)
-    end_p, end_base = model.log_p[END], math.log10(ends_known + 1) - below
+    end_p = float(with_whole_words(np.float64(model.log_p[END]), np.float64(ends_known), total, distinct, less))
+    end_base = math.log10(ends_known + 1) - below
 
     def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
         order = np.argsort(right.column("place").to_numpy())

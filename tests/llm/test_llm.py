@@ -258,7 +258,7 @@ def test_lattice_sums_all_segmentations():
 
 def test_lm_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(lattice_lm, "BLOCK_BYTES", 300)
-    texts = [*ODD[:7], (10, "A b c"), (11, "b\x0bb d"), (12, "new words"), (13, "a b é")]
+    texts = [*ODD[:7], (10, "A b c"), (11, "b\x0bb d twice Twice"), (12, "new words"), (13, "a b é")]
     docs = documents(spark, texts)
     pieces = lattice_lm.Pieces.of_model(public_tokenizers.path("piece_bpe_32k.model"))
     learn = F.coalesce(F.col("doc_id"), F.lit(0)) % 7 != 2
@@ -268,17 +268,28 @@ def test_lm_against_brute_force(spark, monkeypatch):
         if (i or 0) % 7 != 2:
             counts.update([*lattice_lm.words(t), None])
     total, kinds = sum(counts.values()), len(counts)
-    expected = {}
-    for w, c in counts.items():
-        if w is not None:
-            pieces.expected(w.decode(), c, expected)
-    model = pieces.trained(expected | {lattice_lm.END: counts[None] * lattice_lm.MILLION})
+    model = pieces
+    for _ in range(lattice_lm.ROUNDS):
+        expected = {lattice_lm.END: lattice_lm.MILLION}
+        for w in counts:
+            if w is not None:
+                model.expected(w.decode(), 1, expected)
+        model = model.trained(expected)
+    seen = [c for w, c in counts.items() if w is not None]
+    once, twice = seen.count(1), seen.count(2)
+    assert once and twice
+    held = once / (once + 2 * twice)
+
+    def probability(w):
+        spelt = math.exp(model.log_p[lattice_lm.END] if w is None else model.word(w.decode()))
+        return max(counts[w] - held, 0) / total + held * kinds / total * spelt
+
     assert got.count() == len(texts)
     want = Counter()
     for i, t in texts:
         tokens = [*lattice_lm.words(t), None]
         base = sum(math.log10((counts[w] + 1) / (total + kinds + 1)) for w in tokens)
-        score = sum(model.log_p[lattice_lm.END] if w is None else model.word(w.decode()) for w in tokens) / math.log(10)
+        score = sum(math.log10(probability(w)) for w in tokens)
         want[(i, len(tokens), sum(counts[w] > 0 for w in tokens), total, round(base, 6), round(score, 6))] += 1
     have = Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in got.collect())
     assert have == want
@@ -287,6 +298,17 @@ def test_lm_against_brute_force(spark, monkeypatch):
     assert lattice_lm.score(docs.limit(0), pieces, learn).count() == 0
 
 
+def test_lm_held_out_gain(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    pieces = lattice_lm.Pieces.of_model(public_tokenizers.path("piece_bpe_32k.model"))
+    rate = F.sum("score") / F.sum("n_tokens")
+
+    def held_out(learn):
+        return lattice_lm.score(docs, pieces, learn).filter("doc_id % 7 = 2").agg(rate).first()[0]
+
+    assert held_out(F.col("doc_id") % 7 != 2) > held_out(F.lit(False)) + 2
+
+
 # --- 7 ---------------------------------------------------------------------
 
 def test_fuse_filter_has_no_false_negatives():

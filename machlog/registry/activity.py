@@ -19,11 +19,12 @@ WIN_START, WIN_END = "2024-01-04 06:00:00", "2024-01-27 18:00:00"
 
 ROLLUP = (f"SELECT {bucket_ts('date', B)} AS ts, COUNT(DISTINCT id_var) AS distinct_vars_count "
           "FROM fl GROUP BY 1")
-SMOOTH = ("SELECT CAST(ts AS DATE) AS day, ts, distinct_vars_count, "
-          "AVG(distinct_vars_count) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts "
-          "ROWS BETWEEN 14 PRECEDING AND CURRENT ROW) AS smoothed_count, "
-          "CAST(ROW_NUMBER() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts) AS INTEGER) AS row_num_per_day "
-          "FROM rollup")
+# The rows of a day by place; each meets itself and the 14 places before it.
+SMOOTH = """WITH row_of_day AS (SELECT CAST(ts AS DATE) AS day, ts, distinct_vars_count AS n,
+    row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts) AS place FROM rollup),
+  reach AS (SELECT day, ts, n, place, unnest(range(place - 14, place + 1)) AS met FROM row_of_day)
+SELECT r.day, r.ts, r.n, r.place, SUM(o.n) / COUNT(o.n) AS mean
+FROM reach r JOIN row_of_day o ON o.day = r.day AND o.place = r.met GROUP BY r.day, r.ts, r.n, r.place"""
 PIVOT = (f"SELECT {bucket_ts('date', PB)} AS ts, "
          + ", ".join(f"MAX(CASE WHEN id_var = {s} THEN value END) AS {n}"
                      for s, n in zip(A7_SENSORS, A.SENSOR_NAMES))
@@ -240,7 +241,7 @@ def a17(spark, sf):
 
 OTSU_SQL = f"""
 WITH rollup AS ({ROLLUP}), sm AS ({SMOOTH}),
-sig AS (SELECT smoothed_count AS v FROM sm WHERE row_num_per_day > 14),
+sig AS (SELECT mean AS v FROM sm WHERE place >= 15),
 mm AS (SELECT min(v) AS lo, max(v) AS hi FROM sig),
 hist AS (SELECT CASE WHEN hi = lo THEN 0 ELSE least(CAST(floor((v - lo) / ((hi - lo) / 256.0)) AS BIGINT), 255) END AS i,
          COUNT(*) AS n FROM sig, mm GROUP BY 1),
@@ -304,8 +305,8 @@ def a21(spark, sf):
 
 @register("A22_smoothed_signal", f"""
 WITH rollup AS ({ROLLUP}), sm AS ({SMOOTH})
-SELECT day, ts, distinct_vars_count, round(smoothed_count, 6) AS smoothed_count, row_num_per_day
-FROM sm WHERE row_num_per_day > 14""")
+SELECT day, ts, n AS distinct_vars_count, round(mean, 6) AS smoothed_count, CAST(place AS INTEGER) AS row_num_per_day
+FROM sm WHERE place >= 15""")
 def a22(spark, sf):
     return A.smoothed_signal(A.distinct_vars_per_second(Tables(spark, sf).fl, B))
 
@@ -322,13 +323,17 @@ def a23(spark, sf):
     return A.idle_gaps(A.distinct_vars_per_second(Tables(spark, sf).fl, B), B)
 
 
-FOUR_STATE_SQL = f"""rollup AS ({ROLLUP}), {IDLE_SQL}, sm AS ({SMOOTH}),
-active AS (SELECT CASE WHEN smoothed_count <= {LOW} THEN 'Low Activity'
-                       WHEN smoothed_count <= {MID} THEN 'Intermediate Activity'
-                       ELSE 'High Activity' END AS state,
-                  COUNT(*) * {B} / 3600.0 AS total_hours
-           FROM sm WHERE row_num_per_day > 14 GROUP BY 1),
-states AS (SELECT state, total_hours FROM idle UNION ALL SELECT state, total_hours FROM active)"""
+def four_state_sql(low, mid) -> str:
+    """states (state, total_hours): each full mean meets the band of levels it lies in."""
+    return f"""rollup AS ({ROLLUP}), {IDLE_SQL}, sm AS ({SMOOTH}),
+band AS (SELECT 'Low Activity' AS state, -1.0::DOUBLE AS above, {low}::DOUBLE AS upto
+  UNION ALL SELECT 'Intermediate Activity', {low}::DOUBLE, {mid}::DOUBLE
+  UNION ALL SELECT 'High Activity', {mid}::DOUBLE, 'inf'::DOUBLE),
+states AS (FROM idle UNION ALL SELECT state, COUNT(*) * {B} / 3600.0
+  FROM band JOIN sm ON mean > above AND mean <= upto WHERE place >= 15 GROUP BY state)"""
+
+
+FOUR_STATE_SQL = four_state_sql(LOW, MID)
 
 
 @register("A24_four_state_totals", f"""
@@ -355,7 +360,7 @@ def a25_refresh(spark, sf):
 
 
 @register("A24_with_otsu_thresholds", f"""
-WITH otsu AS ({OTSU_SQL.strip()}), {FOUR_STATE_SQL.replace(f"<= {LOW}", "<= (SELECT t1_int FROM otsu)").replace(f"<= {MID}", "<= (SELECT t2_int FROM otsu)")}
+WITH otsu AS ({OTSU_SQL.strip()}), {four_state_sql("(SELECT t1_int FROM otsu)", "(SELECT t2_int FROM otsu)")}
 SELECT state, round(total_hours, 6) AS total_hours FROM states""")
 def a24_chain(spark, sf):
     """A22 -> A18 -> A24: the floored multi-Otsu thresholds of the smoothed

@@ -49,15 +49,25 @@ def token_sql(texts, patterns) -> str:
                                    for t in texts for p in patterns) + ")"
 
 
-LOGS = f"""logs AS (SELECT id_var, date, seq, value, {SECS} AS log_time FROM sl
-  WHERE id_var IN (447, 557) AND value IS NOT NULL AND value <> '[]'),
-gaps AS (SELECT *, LAG(log_time) OVER (PARTITION BY id_var ORDER BY date, seq) AS previous_log_time FROM logs),
-g2 AS (SELECT *, (epoch_us(log_time) - epoch_us(previous_log_time)) // 1000000 AS gap_s FROM gaps),
-g3 AS (SELECT *, (200 * gap_s + 60) // 120 AS cents FROM g2)"""
+# A message's silence lasts from the message at the place before it, of the same variable.
+SPOKEN = f"""spoken AS (SELECT id_var, value AS message, {SECS} AS moment, date // 1000 AS second,
+  row_number() OVER (PARTITION BY id_var ORDER BY date, seq) AS place
+  FROM sl WHERE value <> '[]' AND (id_var = 447 OR id_var = 557)),
+silence AS (SELECT late.id_var, late.message, late.moment, early.moment AS since, late.second - early.second AS lasted,
+  (200 * (late.second - early.second) + 60) // 120 AS cents
+  FROM spoken late LEFT JOIN spoken early ON early.id_var = late.id_var AND early.place + 1 = late.place)"""
+
+STOPS = f"""{REP_DAYS}, {SPOKEN},
+stop AS (SELECT CAST(moment AS DATE) AS day, id_var, moment, message, cents FROM silence
+  WHERE lasted > 300 AND CAST(moment AS DATE) IN (SELECT day FROM rep))"""
+
+
+def usual_message(keys: str) -> str:
+    """told: stops, their length and the most frequent message per ``keys``; of equally frequent ones the least."""
+    return f"""same AS (SELECT {keys}, message, COUNT(*) AS n, SUM(cents) AS cents FROM stop GROUP BY {keys}, message),
+told AS (SELECT {keys}, CAST(SUM(n) AS BIGINT) AS n, CAST(SUM(cents) AS BIGINT) AS cents,
+  arg_min(message, (-n, message)) AS usual FROM same GROUP BY {keys})"""
 
-STOPS = f"""{REP_DAYS}, {LOGS},
-stops AS (SELECT CAST(g3.log_time AS DATE) AS day, id_var, log_time, value AS message, cents / 100.0 AS minutes_since_last_log, cents
-  FROM g3 JOIN rep ON CAST(g3.log_time AS DATE) = rep.day WHERE gap_s > 300)"""
 
 B10P = C.B10_PATTERN
 # An alarm shown by a log holds until the next log; an incident is a showing that no
@@ -77,8 +87,10 @@ s AS (SELECT CAST({SECS} AS DATE) AS day, COUNT(*) AS string_count FROM sl GROUP
 scores AS (SELECT day, float_count + string_count AS interesting_score FROM f JOIN s USING (day)),
 days AS (SELECT day FROM scores ORDER BY interesting_score DESC NULLS LAST, day DESC LIMIT 30)"""
 
-ALERT_VARS = """alert_vars AS (SELECT id, name FROM vars
-  WHERE regexp_matches(datatype, 'String', 'i') AND regexp_matches(name, '(ALARM|ALERT|FAULT|ERROR)', 'i'))"""
+# Text variables whose name holds a word of trouble, upper or lower case.
+TROUBLE = f"""trouble AS (SELECT id, name, {token_sql(['name'], C.B24_NAME_PATTERNS)} AS place FROM vars
+  WHERE contains(lower(datatype), 'string')
+    AND list_bool_or([contains(upper(name), word) FOR word IN ['ALARM', 'ALERT', 'FAULT', 'ERROR']]))"""
 
 # A program runs from an instant with any signal at 1 to the next instant on the listed days.
 PROG = f"""{TOP_DAYS},
@@ -113,62 +125,58 @@ def b2(spark, sf):
 
 
 @register("B3_time_since_previous", f"""
-WITH {LOGS}
-SELECT id_var, log_time, value, previous_log_time, CAST(gap_s AS DOUBLE) AS seconds_since_last_log
-FROM g2 WHERE id_var = 447""")
+WITH {SPOKEN}
+SELECT id_var, moment AS log_time, message AS value, since AS previous_log_time, CAST(lasted AS DOUBLE) AS seconds_since_last_log
+FROM silence WHERE id_var = 447""")
 def b3(spark, sf):
     return B.time_since_previous(Tables(spark, sf).sl)
 
 
 @register("B4_significant_stops", f"""
-WITH {LOGS}
-SELECT id_var, log_time, value AS message, previous_log_time, cents / 100.0 AS minutes_since_last_log
-FROM g3 WHERE id_var = 447 AND cents > 500""")
+WITH {SPOKEN}
+SELECT id_var, moment AS log_time, message, since AS previous_log_time, cents / 100.0 AS minutes_since_last_log
+FROM silence WHERE id_var = 447 AND cents > 500""")
 def b4(spark, sf):
     return B.significant_stops(Tables(spark, sf).sl)
 
 
 @register("B4_stop_previews", f"""
-WITH {LOGS}
-SELECT log_time, value AS message, cents / 100.0 AS minutes_since_last_log
-FROM g3 WHERE id_var = 447""")
+WITH {SPOKEN}
+SELECT moment AS log_time, message, cents / 100.0 AS minutes_since_last_log
+FROM silence WHERE id_var = 447""")
 def b4b(spark, sf):
     return B.stop_previews(Tables(spark, sf).sl)
 
 
 @register("B5_stops_on_days", f"""
 WITH {STOPS}
-SELECT day, id_var, log_time, message, minutes_since_last_log FROM stops""")
+SELECT day, id_var, moment AS log_time, message, cents / 100.0 AS minutes_since_last_log FROM stop""")
 def b5(spark, sf):
     t = Tables(spark, sf)
     return B.stops_on_days(t.sl, _rep_days(t))
 
 
 @register("B6_stops_per_day", f"""
-WITH {STOPS}
-SELECT day, COUNT(*) AS nb_arrets, SUM(cents) / 100.0 AS total_minutes_arret,
-  split_part(mode() WITHIN GROUP (ORDER BY message), ',', 1) AS raison_typique
-FROM stops GROUP BY day""")
+WITH {STOPS}, {usual_message("day")}
+SELECT day, n AS nb_arrets, cents / 100.0 AS total_minutes_arret, split_part(usual, ',', 1) AS raison_typique FROM told""")
 def b6(spark, sf):
     t = Tables(spark, sf)
     return B.stops_per_day(t.sl, _rep_days(t))
 
 
 @register("B7_stops_per_day_variable", f"""
-WITH {STOPS}
-SELECT day, id_var, COUNT(*) AS nb_arrets, SUM(cents) / 100.0 AS total_minutes_arret,
-  ((2 * SUM(cents) + COUNT(*)) // (2 * COUNT(*))) / 100.0 AS duree_moyenne_arret,
-  split_part(mode() WITHIN GROUP (ORDER BY message), ',', 1) AS raison_typique
-FROM stops GROUP BY day, id_var""")
+WITH {STOPS}, {usual_message("day, id_var")}
+SELECT day, id_var, n AS nb_arrets, cents / 100.0 AS total_minutes_arret, ((2 * cents + n) // (2 * n)) / 100.0 AS duree_moyenne_arret,
+  split_part(usual, ',', 1) AS raison_typique FROM told""")
 def b7(spark, sf):
     t = Tables(spark, sf)
     return B.stops_per_day_variable(t.sl, _rep_days(t))
 
 
 @register("B8_alarm_dictionary", f"""
-WITH {REP_DAYS}, {LOGS},
-found AS (SELECT unnest(list_zip(regexp_extract_all(value, '{C.B8_PATTERN}', 1), regexp_extract_all(value, '{C.B8_PATTERN}', 2))) AS pair
-  FROM logs WHERE CAST(log_time AS DATE) IN (SELECT day FROM rep)),
+WITH {REP_DAYS}, {SPOKEN},
+found AS (SELECT unnest(list_zip(regexp_extract_all(message, '{C.B8_PATTERN}', 1), regexp_extract_all(message, '{C.B8_PATTERN}', 2))) AS pair
+  FROM spoken WHERE CAST(moment AS DATE) IN (SELECT day FROM rep)),
 pairs AS (SELECT pair[1] AS code, pair[2] AS libelle FROM found),
 labels_of AS (SELECT code, libelle, COUNT(*) AS n FROM pairs GROUP BY code, libelle)
 SELECT code, arg_min(libelle, (-n, libelle)) AS libelle_dominant, max(n) AS occurrences FROM labels_of GROUP BY code""")
@@ -304,7 +312,7 @@ def b20(spark, sf):
     return _top_days(Tables(spark, sf))
 
 
-@register("B21_alert_variables", f"WITH {ALERT_VARS} SELECT id, name FROM alert_vars")
+@register("B21_alert_variables", f"WITH {TROUBLE} SELECT id, name FROM trouble")
 def b21(spark, sf):
     return B.alert_variables(Tables(spark, sf).vars)
 
@@ -331,12 +339,11 @@ def b24(spark, sf):
 
 
 @register("B25_alerts_per_day", f"""
-WITH {TOP_DAYS}, {ALERT_VARS},
-alerts AS (SELECT {ms_ts('m.date')} AS ts_utc, m.value AS msg, CAST({ms_ts('m.date')} AS DATE) AS day, v.name AS var_name
-  FROM msgs m JOIN alert_vars v ON v.id = m.id_var JOIN days d ON d.day = CAST({ms_ts('m.date')} AS DATE))
-SELECT day, {classify_sql('msg', C.B22_CLASSES)} AS alert_type,
-  coalesce({token_sql(['var_name'], C.B24_NAME_PATTERNS)}, 'UNK') AS location, COUNT(*) AS events
-FROM alerts GROUP BY 1, 2, 3""")
+WITH {TOP_DAYS}, {TROUBLE},
+text_of_day AS (SELECT CAST({ms_ts('date')} AS DATE) AS day, id_var, value, COUNT(*) AS n FROM msgs GROUP BY ALL)
+SELECT t.day, {classify_sql('t.value', C.B22_CLASSES)} AS alert_type, coalesce(v.place, 'UNK') AS location,
+  CAST(SUM(t.n) AS BIGINT) AS events
+FROM text_of_day t JOIN trouble v ON v.id = t.id_var WHERE t.day IN (SELECT day FROM days) GROUP BY ALL""")
 def b25(spark, sf):
     t = Tables(spark, sf)
     return B.alerts_per_day(t.msgs, t.vars, _top_days(t))

@@ -127,8 +127,8 @@ dstates AS (
   SELECT CAST(b.ts AS DATE) AS date, 'True Idle (Off)' AS state, SUM(epoch(b.ts) - epoch(a.ts) - {BUCKET_S}) / 3600.0 AS total_hours
   FROM seen a JOIN seen b ON b.place = a.place + 1 WHERE epoch(b.ts) - epoch(a.ts) > {BUCKET_S} GROUP BY 1
   UNION ALL
-  SELECT day, CASE WHEN smoothed_count > {MID} THEN 'High Activity' WHEN smoothed_count > {LOW} THEN 'Intermediate Activity'
-    ELSE 'Low Activity' END, COUNT(*) * {BUCKET_S} / 3600.0 FROM sm WHERE row_num_per_day > 14 GROUP BY 1, 2)"""
+  SELECT day, list_extract(['Low Activity', 'Intermediate Activity', 'High Activity'], 1 + (mean > {LOW})::INT + (mean > {MID})::INT),
+    COUNT(*) * {BUCKET_S} / 3600.0 FROM sm WHERE place >= 15 GROUP BY 1, 2)"""
 
 _piv_cols = ", ".join(
     f"round(coalesce(SUM(CASE WHEN state = '{s}' THEN total_hours END), 0), 6) AS "

@@ -323,6 +323,60 @@ def _similar(x: bytes, y: bytes) -> bool:
     return 100 * common >= PERCENT * (len(a) + len(b) - common)
 
 
+def link_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without ``text``, with ``n_shingles``, ``class_key`` (equal for equal sets)
+    and ``n_links``, the number of other rows that link with the row.
+
+    The whole join: every pair of classes that share a prefix shingle and pass the
+    filters is verified, also within a component, so a group of m unlike near copies
+    costs m * (m - 1) / 2 pairs; ``join`` needs about m.  Copies are not expanded: a
+    row links with the rest of its class and with the whole of each linked class.
+
+    * Null, empty and blank texts have an empty set, no class and no links.
+    * Repeated rows link with one another.  Input columns called like an output are
+      replaced; an empty table gives an empty table.
+    """
+    out = ["n_shingles", "class_key", "n_links"]
+    counts = docs.sparkSession.sparkContext.broadcast(frequencies(docs.select(F.col(quoted(text)).alias("text"))))
+    rows = cut(_features(docs, doc_id, text, counts), "shingle-prefixes")
+    classes = cut(rows.filter("n > 0").groupBy("digest", "head", "n")
+                  .agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("copies")), "shingle-classes")
+    pairs = cut(class_pairs(rows, classes, docs, doc_id, text), "class-pairs")
+    # A class and the classes it links with, its own copies but one first.
+    size = classes.select(F.col("digest").alias("other"), "copies")
+    ends = pairs.select(F.col("a").alias("digest"), F.col("b").alias("other")).unionByName(
+        pairs.select(F.col("b").alias("digest"), F.col("a").alias("other")))
+    met = classes.select("digest", (F.col("copies") - 1).alias("copies")).unionByName(
+        ends.join(size, "other").select("digest", "copies"))
+    linked = cut(met.groupBy("digest").agg(F.sum("copies").alias("n_links")), "class-links")
+    found = rows.select("row", "n", F.col("digest").alias("of")).join(linked, F.col("of") == F.col("digest"), "left")
+    return found.select(*fields("row", docs, {text, *out}), F.col("n").alias("n_shingles"), F.col("of").alias("class_key"),
+                        F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def class_pairs(rows: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Every verified pair (a, b), a < b, of classes of different sets.
+
+    Groups meet at (shingle, bits of the size): sizes that may link differ by at
+    most one bit, so a common shingle is split by size before the shuffle.
+    """
+    members = cut(_members(classes), "shingle-groups")
+    each = _index(rows.filter("n > 0")).select("token", "lead", "n", "pos", F.length(F.bin("n")).alias("bits"))
+    each = cut(each, "shingle-index")
+    left = each.select("token", "bits", *(F.col(c).alias(f"l_{c}") for c in ("lead", "n", "pos", "bits")))
+    right = each.select("token", F.explode(F.array("bits", F.col("bits") + 1)).alias("bits"),
+                        *(F.col(c).alias(f"r_{c}") for c in ("lead", "n", "pos", "bits")))
+    once = (F.col("l_lead") < F.col("r_lead")) | (F.col("l_bits") != F.col("r_bits"))
+    groups = (left.join(right, ["token", "bits"]).filter(once & _could_link("l_", "r_"))
+              .select(*_pair(F.col("l_lead"), F.col("r_lead"))).distinct())
+    a, b = (members.select(F.col("lead").alias(c), F.col("digest").alias(f"{c}_digest")) for c in "ab")
+    between = groups.join(a, "a").join(b, "b").select(*_pair(F.col("a_digest"), F.col("b_digest")))
+    inside = a.join(b, (F.col("a") == F.col("b")) & (F.col("a_digest") < F.col("b_digest"))).select(
+        F.col("a_digest").alias("a"), F.col("b_digest").alias("b"))
+    close = cut(_plausible(between.unionByName(inside), rows), "plausible-pairs")
+    return _verified(close, classes, docs, doc_id, text)
+
+
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` with the smallest id of their component, all columns as they
     are.  Rows without words, or whose component has no id, all stay; of rows that share

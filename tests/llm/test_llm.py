@@ -381,11 +381,16 @@ def near_copies():
     return texts
 
 
-def brute_components(texts):
+def brute_sets(texts):
     sets = []
     for _, t in texts:
         w = (t or "").encode().lower().split()
         sets.append({tuple(w[k:k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
+    return sets
+
+
+def brute_components(texts):
+    sets = brute_sets(texts)
     up = list(range(len(texts)))
 
     def find(x):
@@ -434,6 +439,23 @@ def test_jaccard_links_inside_a_group(spark, monkeypatch):
     assert Counter(rows_of(got, "doc_id", "n_shingles", "component_id")) == brute_components(texts)
 
 
+@pytest.mark.parametrize("salt, counters", [(50_000, 1 << 20), (4, 32)])
+def test_jaccard_link_counts_against_brute_force(spark, monkeypatch, salt, counters):
+    """Copies, repeated rows, sets of sizes on both sides of a bit and unlike sets of one group."""
+    monkeypatch.setattr(jaccard_join, "SALT_ROWS", salt)
+    monkeypatch.setattr(jaccard_join, "COUNTERS", counters)
+    long = [f"s{k}" for k in range(80)]
+    texts = near_copies() + [(400 + n, " ".join(long[:n])) for n in (30, 35, 36, 40, 66, 67, 68, 69, 80)]
+    texts += [(400 + 66, " ".join(long[:66]))] * 2
+    sets = brute_sets(texts)
+    want = Counter((i, len(x), sum(bool(x) and 100 * len(x & y) >= 80 * len(x | y) for b, y in enumerate(sets) if b != a))
+                   for a, ((i, _), x) in enumerate(zip(texts, sets)))
+    docs = documents(spark, texts)
+    got = jaccard_join.link_counts(docs)
+    assert Counter(rows_of(got, "doc_id", "n_shingles", "n_links")) == want
+    assert jaccard_join.link_counts(docs.limit(0)).count() == 0
+
+
 def test_components(spark):
     draw = random.Random(9)
     pairs = [(f"{a:03}", f"{a + 1:03}") for a in range(0, 60)] + [(f"{draw.randint(100, 160)}", f"{draw.randint(100, 160)}") for _ in range(40)]

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from machlog import config as C
@@ -78,12 +78,15 @@ def shutdown_log(sl: DataFrame, ids: Sequence[int] = (C.ALARM_VAR, C.FILE_STATUS
 def log_gaps(sl: DataFrame, ids: Sequence[int], rows: int = ROWS_PER_BUCKET, keep: Sequence[str] = ("value",)) -> DataFrame:
     """Previous log time per variable over the non-empty messages (``lag`` per
     ``id_var``, in buckets of about ``rows`` rows, so one busy variable is split).
-    Only ``keep`` travels beside the time."""
+    Only ``keep`` travels beside the time.  A log stored by variable
+    (``sources.logs.open_variable_log``) brings its own buckets and is not exchanged."""
+    stored = "chunk" in sl.columns
     logs = valid_values(sl.filter(F.col("id_var").isin(list(ids))))
-    logs = logs.select("id_var", *_order(sl), *keep, second_ts("date").alias("log_time"))
-    logs = cut_by_density(logs, F.col("date"), "_cut", rows, counted=sl.filter(F.col("id_var").isin(list(ids))))
-    logs = ordered_window(logs, order=_order(logs), keys=["id_var"], bucket=F.col("_cut"),
-                          lags={"previous_log_time": ("log_time", None)}).drop("_cut")
+    logs = logs.select("id_var", *_order(sl), *keep, second_ts("date").alias("log_time"), *(["chunk"] if stored else []))
+    if not stored:
+        logs = cut_by_density(logs, F.col("date"), "_cut", rows, counted=sl.filter(F.col("id_var").isin(list(ids))))
+    logs = ordered_window(logs, order=_order(logs), keys=["id_var"], bucket="chunk" if stored else F.col("_cut"),
+                          lags={"previous_log_time": ("log_time", None)}).drop("_cut", "chunk")
     return logs.withColumn(
         "gap_s", F.unix_seconds("log_time") - F.unix_seconds("previous_log_time"))
 
@@ -254,14 +257,17 @@ def noise_filter(sl: DataFrame, codes: Sequence[str] = C.NOISE_CODES) -> DataFra
 
 def alarm_rows(sl: DataFrame, from_date: str | None = None, until_date: str | None = None,
                var: int = C.ALARM_VAR, noise: Sequence[str] = C.NOISE_CODES, rows: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Rows of the alarm variable after the period and noise filters, each
-    with ``next_ts``: the next surviving row's second (global order), and the
-    entries (code, text) of its value in place of it.  ``'[]'`` rows stay: they
-    end alarms.  ``_cut`` is the row's bucket."""
-    log = period_filter(sl.filter(F.col("id_var") == var), from_date, until_date)
+    """Rows of the alarm variable after the period and noise filters, each with the
+    entries (code, text) of its value in place of it, ``next_ts`` (the next surviving
+    row's second), ``shown_ts`` and ``shown`` (the previous one's second and entries).
+    ``'[]'`` rows stay: they end alarms.  ``_cut`` is the row's bucket; no second is
+    split between buckets.  Rows without a time are left out."""
+    log = period_filter(sl.filter(F.col("id_var") == var), from_date, until_date).filter(F.col("date").isNotNull())
     raw = noise_filter(log, noise).select(*_order(sl), second_ts("date").alias("ts"), alarm_entries(F.col("value")).alias("entries"))
-    raw = cut_by_density(raw, F.col("date"), "_cut", rows, counted=log)  # counted before the texts are searched
-    return ordered_window(raw, order=_order(raw), bucket=F.col("_cut"), leads={"next_ts": ("ts", None)})
+    second = F.col("date") - F.pmod(F.col("date"), F.lit(1000))
+    raw = cut_by_density(raw, second, "_cut", rows, counted=log)  # counted before the texts are searched
+    return ordered_window(raw, order=_order(raw), bucket="_cut", leads={"next_ts": ("ts", None)},
+                          lags={"shown_ts": ("ts", None), "shown": ("entries", None)})
 
 
 def alarm_incidents(sl: DataFrame, from_date: str | None = None, until_date: str | None = None,
@@ -269,14 +275,20 @@ def alarm_incidents(sl: DataFrame, from_date: str | None = None, until_date: str
     """Incidents (gaps and islands).  Each row is valid on
     ``[ts, next_ts)``; the last row is dropped.  Per (code, text), a new
     incident starts where the previous entry's end is NULL or before ``ts``.
-    Output: one row per incident with its start.  Both windows use one cut."""
-    raw = alarm_rows(sl, from_date, until_date, var, noise, rows).filter(F.col("next_ts").isNotNull())
-    flat = raw.select(*[c for c in raw.columns if c != "entries"], F.inline("entries"))
-    order = ["ts"] + [c for c in ("date", "seq") if c in flat.columns]
-    seg = ordered_window(flat, order=order, keys=["alarm_code", "alarm_text"], bucket=F.col("_cut"),
-                         lags={"prev_end": ("next_ts", None)})
-    starts = seg.filter(F.col("prev_end").isNull() | (F.col("prev_end") < F.col("ts")))
-    return starts.select("alarm_code", "alarm_text", F.col("ts").alias("start_time"))
+    Output: one row per incident with its start.
+
+    An entry's end is the next row's second, so it reaches ``ts`` only if the entry was in
+    the last row of the second before, or earlier in this second.  A row is therefore
+    compared with one array, the last one of the second before, and equal starts within a
+    second are one: only starts leave the array, and no window per alarm is needed."""
+    raw = alarm_rows(sl, from_date, until_date, var, noise, rows)
+    # Set by the first row of every second and carried over the second's other rows.
+    turn = (F.when(F.col("shown_ts").isNull(), F.slice("entries", 1, 0))
+            .when(F.col("shown_ts") < F.col("ts"), F.col("shown")))
+    w = Window.partitionBy("_cut").orderBy(*_order(sl)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    new = raw.withColumn("_before", F.last(turn, ignorenulls=True).over(w)).filter(F.col("next_ts").isNotNull())
+    starts = new.select(F.col("ts").alias("start_time"), F.inline(F.array_except("entries", "_before")))
+    return starts.select("alarm_code", "alarm_text", "start_time").distinct()
 
 
 def alarm_statistics(incidents: DataFrame) -> DataFrame:

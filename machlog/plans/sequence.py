@@ -57,7 +57,7 @@ def ms_bucket(ms: Column | str, seconds: int = 3600) -> Column:
 
 
 def cut_by_density(df: DataFrame, at: Column, name: str, rows: int = ROWS_PER_BUCKET, cell_ms: int = CELL_MS,
-                   counted: DataFrame | None = None) -> DataFrame:
+                   counted: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """``df`` with a bucket number in column ``name``, monotone in ``at`` (epoch ms)
     and holding about ``rows`` rows; NULL where ``at`` is NULL.
 
@@ -66,17 +66,18 @@ def cut_by_density(df: DataFrame, at: Column, name: str, rows: int = ROWS_PER_BU
     to make) and added up in order; a cell's rows are dealt evenly in time over as
     many buckets as they fill, thin cells share one (a burst that fills only a part
     of a cell is spread over that part of its buckets; ``cell_ms`` can be narrower).  Counts are exact, so the cut
-    is the same however often it is computed.  The cells are a small table of the
+    is the same however often it is computed.  With ``keys`` each key is cut on its
+    own, from bucket 0.  The cells are a small table of the
     log's life, not of its rows; it is joined to the rows on the cell (broadcast by
     the planner where its size allows)."""
     cell = F.floor(at / F.lit(cell_ms)).cast("bigint")
-    before = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = ((df if counted is None else counted).select(cell.alias("_cell")).filter(F.col("_cell").isNotNull())
-             .groupBy("_cell").agg(F.count(F.lit(1)).alias("_rows"))
-             .select("_cell", "_rows", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before")))
+    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = ((df if counted is None else counted).select(*keys, cell.alias("_cell")).filter(F.col("_cell").isNotNull())
+             .groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_rows"))
+             .select(*keys, "_cell", "_rows", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before")))
     within = F.pmod(at, F.lit(cell_ms)) * F.col("_rows") / F.lit(cell_ms * rows)
     bucket = F.floor(F.col("_before") / F.lit(rows)) + F.floor(within)
-    return (df.withColumn("_cell", cell).join(cells, "_cell", "left")
+    return (df.withColumn("_cell", cell).join(cells, [*keys, "_cell"], "left")
             .select(*[F.col(c) for c in df.columns], bucket.cast("bigint").alias(name)))
 
 
@@ -97,7 +98,7 @@ def _add(a: Column, b: Column) -> Column:
 def ordered_window(
     df: DataFrame,
     order: Sequence[str],
-    bucket: Column,
+    bucket: Column | str,
     keys: Sequence[str] = (),
     lags: Mapping[str, tuple] | None = None,
     leads: Mapping[str, tuple] | None = None,
@@ -109,14 +110,18 @@ def ordered_window(
     only where there is no previous/next row in the whole ``keys`` group,
     exactly like ``lag(c, 1, default)``.  ``running_sums``: ``{out: col}``,
     cumulative sum with a ROWS frame (unbounded preceding .. current row).
+
+    ``bucket`` as a string names a bigint column of ``df`` without NULLs; it is used as
+    it is and kept, so rows that already lie by ``keys`` and that column (a stored log,
+    an earlier window) are not exchanged again.
     """
     keys, lags, leads, running_sums = list(keys), dict(lags or {}), dict(leads or {}), dict(running_sums or {})
     sq = "_sq_"
-    b, rn, is_last = sq + "bucket", sq + "rn", sq + "last"
+    b, rn, is_last = bucket if isinstance(bucket, str) else sq + "bucket", sq + "rn", sq + "last"
 
     # A NULL order value gets the smallest bucket: such rows sort first, as
     # NULLs do in an ascending window, and are not lost by the equi-join.
-    d = df.withColumn(b, F.coalesce(bucket.cast("bigint"), F.lit(_NULL_BUCKET)))
+    d = df if isinstance(bucket, str) else df.withColumn(b, F.coalesce(bucket.cast("bigint"), F.lit(_NULL_BUCKET)))
     w = Window.partitionBy(*keys, b).orderBy(*[F.col(c) for c in order])
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = {rn: F.row_number().over(w), is_last: F.lead(F.lit(1)).over(w).isNull()}
@@ -143,7 +148,7 @@ def ordered_window(
     for out in running_sums:
         aggs.append(F.max(F.when(last, F.col(f"{sq}in_{out}"))).alias(f"{sq}tot_{out}"))
     if not aggs:
-        return d.drop(b, rn, is_last)
+        return d.drop(rn, is_last, *([] if isinstance(bucket, str) else [b]))
     edges = d.filter(first | last).groupBy(*keys, b).agg(*aggs)
     we = Window.partitionBy(*keys).orderBy(b)
     links = {}

@@ -15,7 +15,7 @@ from machlog.operators import activity as A
 from machlog.operators import alarms as B
 from machlog.oracle import bucket_ts, ms_ts, sec_ts
 from machlog.registry.activity import FOUR_STATE_SQL, LEVEL_ROWS, numbered
-from machlog.registry.alarms import CATALOGUE
+from machlog.registry.alarms import CATALOGUE, SPOKEN
 from machlog.sources import logs as L
 
 #: I3's period; it cuts rows off at both ends of the test log.
@@ -23,6 +23,8 @@ PERIOD = ("2024-01-03", "2024-01-27")
 #: The period that I6 and I7 print: their states come from the whole log.
 WHOLE = ("", "")
 SECS = sec_ts("date // 1000")
+#: Rows of a chunk of the logs stored by variable; small, so that the test logs have several per variable.
+STORED_ROWS = 2_000
 
 
 @register("I1_load_logs", f"""
@@ -57,6 +59,29 @@ def i1_all(spark, sf):
     return logs[0].unionByName(logs[1]).unionByName(names).unionByName(units)
 
 
+@register("I1_variable_buckets", f"""
+WITH timed AS (SELECT id_var, date, date - lag(date) OVER (PARTITION BY id_var ORDER BY date) AS gap FROM fl WHERE date IS NOT NULL AND id_var IS NOT NULL)
+SELECT id_var, COUNT(*) AS readings, {sec_ts('MIN(date) // 1000')} AS first_ts, {sec_ts('MAX(date) // 1000')} AS last_ts,
+  MAX(gap) AS longest_gap_ms, COUNT(*) FILTER (WHERE gap > 60000) AS pauses
+FROM timed GROUP BY id_var""")
+def i1_by_variable(spark, sf):
+    """The float log stored by variable, opened again, and its gaps read without an exchange of the rows."""
+    path = L.scratch_path(spark, "variable_log_by_variable")
+    L.write_variable_log(Tables(spark, sf).fl, path, rows=STORED_ROWS)
+    return L.reading_gaps(L.open_variable_log(spark, path))
+
+
+@register("B3_time_since_previous_stored", f"""
+WITH {SPOKEN}
+SELECT id_var, moment AS log_time, message AS value, since AS previous_log_time, CAST(lasted AS DOUBLE) AS seconds_since_last_log
+FROM silence WHERE id_var = 447""")
+def b3_stored(spark, sf):
+    """B3 over the string log stored by variable: the same rows without an exchange of the log."""
+    path = L.scratch_path(spark, "string_log_by_variable")
+    L.write_variable_log(Tables(spark, sf).sl, path, rows=STORED_ROWS)
+    return B.time_since_previous(L.open_variable_log(spark, path))
+
+
 @register("I2_malformed_lines", """
 SELECT CASE seq % 50 WHEN 1 THEN 'no quoted row' WHEN 2 THEN 'wrong number of fields' WHEN 3 THEN 'no time' WHEN 4 THEN 'no variable' ELSE 'row' END AS problem,
   COUNT(*) AS n FROM sl GROUP BY 1""")

@@ -3,20 +3,24 @@
 Logs are stored as Parquet partitioned by ``day`` (the per-day partition is
 the access path that replaces the database index); ``load_logs`` reads them
 with fixed schemas, so no inference job runs and column pruning reaches the
-scan.  A JDBC source with a partitioned read is accepted as well.
+scan.  A second layout (``write_variable_log``) stores a log in buckets by
+variable, for queries per variable.  A JDBC source with a partitioned read is accepted as well.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from machlog import config as C
 from machlog.functions.timefn import day_of, second_ts
+from machlog.plans.sequence import ROWS_PER_BUCKET, cut_by_density
 from machlog.session import ensure_checkpoint_dir
 
 FLOAT_LOG = T.StructType([T.StructField("date", T.LongType()), T.StructField("id_var", T.IntegerType()),
@@ -75,6 +79,75 @@ def read_log(spark: SparkSession, path: str, schema: T.StructType = FLOAT_LOG) -
     return _with_schema(spark.read.schema(full).parquet(path), schema)
 
 
+#: Cells in which ``write_variable_log`` counts a variable's rows: days.
+DAY_MS = 86_400_000
+#: Chunk of the rows without a time or a variable; they sort first.
+NO_CHUNK = -1
+
+
+def write_variable_log(log: DataFrame, path: str, buckets: int | None = None, rows: int = ROWS_PER_BUCKET) -> None:
+    """I1, second layout: a log stored once by variable and in time order.
+
+    Every variable's rows are cut in time into chunks of about ``rows`` rows (column
+    ``chunk``, from 0, monotone in ``date``), and the table is bucketed on (id_var,
+    chunk) and sorted by them and the time: a sparse variable lies in one bucket, one that
+    holds a third of the log is spread over all of them.  Windows and sums per (id_var,
+    chunk) read it without an exchange; only one edge row per chunk travels.  Rows without a time
+    or a variable keep the chunk -1.  Each bucket is one file of one task, so ``buckets``
+    (default: the shuffle partitions) should make them 128 to 256 MB.
+
+    ``path`` gets ``rows`` and ``layout`` (the number of buckets and the columns), from
+    which another session opens the table again."""
+    spark = log.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = _variable_table(path)
+    cut = cut_by_density(log, F.col("date"), "chunk", rows, DAY_MS, keys=["id_var"])
+    cut = cut.withColumn("chunk", F.coalesce("chunk", F.lit(NO_CHUNK).cast("bigint")))
+    order = ["id_var", "chunk", "date"] + (["seq"] if "seq" in log.columns else [])
+    spark.sql(f"DROP TABLE IF EXISTS {name}")  # external: only a former entry of the catalogue goes
+    (cut.repartition(n, "id_var", "chunk").write.mode("overwrite").format("parquet").option("path", f"{path}/rows")
+     .bucketBy(n, "id_var", "chunk").sortBy(*order).saveAsTable(name))
+    (spark.createDataFrame([(n, cut.schema.json(), order)], "buckets int, columns string, sorted array<string>")
+     .write.mode("overwrite").parquet(f"{path}/layout"))
+
+
+def open_variable_log(spark: SparkSession, path: str) -> DataFrame:
+    """The log that ``write_variable_log`` stored, with its buckets known to the planner
+    (the session's catalogue gets an entry for it where it has none).  Filters on ``id_var``
+    and ``date`` skip row groups by their ranges; queries that need no buckets are
+    read in splits of any size."""
+    name = _variable_table(path)
+    if not spark.catalog.tableExists(name):
+        kept = spark.read.parquet(f"{path}/layout").first()
+        fields = T.StructType.fromJson(json.loads(kept["columns"])).fields
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (id_var, chunk) "
+                  f"SORTED BY ({', '.join(kept['sorted'])}) INTO {kept['buckets']} BUCKETS LOCATION '{path}/rows'")
+    return spark.table(name)
+
+
+def _variable_table(path: str) -> str:
+    return "variable_log_" + hashlib.sha256(path.rstrip("/").encode()).hexdigest()[:16]
+
+
+def reading_gaps(stored: DataFrame) -> DataFrame:
+    """Per variable of a stored log: timed readings, first and last second, longest gap
+    between readings that follow each other (ms; NULL with one reading) and readings
+    after a gap of more than a minute.  Chunks are windowed where they lie."""
+    timed = stored.filter(F.col("chunk") != NO_CHUNK).select("id_var", "chunk", "date")
+    w = Window.partitionBy("id_var", "chunk").orderBy("date")
+    inside = F.col("date") - F.lag("date").over(w)
+    chunks = (timed.withColumn("gap", inside).groupBy("id_var", "chunk")
+              .agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("lo"), F.max("date").alias("hi"), F.max("gap").alias("gap"),
+                   F.count_if(F.col("gap") > 60_000).alias("pauses")))
+    between = F.col("lo") - F.lag("hi").over(Window.partitionBy("id_var").orderBy("chunk"))  # one row per chunk
+    joined = chunks.withColumn("between", between)
+    return joined.groupBy("id_var").agg(
+        F.sum("n").alias("readings"), second_ts(F.min("lo")).alias("first_ts"), second_ts(F.max("hi")).alias("last_ts"),
+        F.greatest(F.max("gap"), F.max("between")).alias("longest_gap_ms"),
+        (F.sum("pauses") + F.count_if(F.col("between") > 60_000)).alias("pauses"))
+
+
 def read_jdbc_log(spark: SparkSession, url: str, table: str, lower: int, upper: int,
                   partitions: int, properties: Mapping[str, str] | None = None) -> DataFrame:
     """I1 from a database: a partitioned read on the epoch-ms ``date``

@@ -314,3 +314,37 @@ def test_sweep_equals_the_interval_join(spark):
     for rows in (100_000, 5):
         got = B.alerts_during_runs(c, p, rows=rows)
         assert {(r["day"].day, r["alert_type"], r["location"]): (r["events_total"], r["events_during_program"]) for r in got.collect()} == want
+
+
+def test_incidents_against_a_loop(spark):
+    """Ties within a second, several entries per row, buckets of a few rows: one start wherever an entry's last end is before the row."""
+    from machlog.operators import alarms as B
+
+    draw = random.Random(4)
+    for span, rows in ((40, 100_000), (40, 3), (300, 7)):
+        log = []
+        for seq in range(120):
+            codes = [draw.choice("ABC") for _ in range(draw.randint(0, 3))]
+            log.append((1_704_067_200_000 + draw.randint(0, span * 1000), 447, "[" + ",".join(f'["{c}","t",3,3,1]' for c in codes) + "]", seq))
+        log.append((None, 447, '[["A","t",3,3,1]]', 999))  # no time: left out
+        got = B.alarm_incidents(spark.createDataFrame(log, "date bigint, id_var int, value string, seq bigint"), rows=rows)
+        got = sorted((r["alarm_code"], r["s"]) for r in got.select("alarm_code", F.unix_seconds("start_time").alias("s")).collect())
+        timed = sorted((r for r in log if r[0] is not None), key=lambda r: (r[0], r[3]))
+        want, ends = [], {}
+        for row, after in zip(timed, timed[1:]):
+            for c in sorted({c for c in "ABC" if f'"{c}"' in row[2]}):
+                if c not in ends or ends[c] < row[0] // 1000:
+                    want.append((c, row[0] // 1000))
+                ends[c] = after[0] // 1000
+        assert got == sorted(want)
+
+
+def test_incidents_need_one_exchange_of_the_rows(spark):
+    from machlog.operators import alarms as B
+
+    out = B.alarm_incidents(ad.alarm_log(ad.events(spark, "/root/testdata/sf0.001")))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    rows = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    # the times' cells, the rows by bucket (once more for the edges, shared at run time), the starts
+    assert len({line.split("hashpartitioning(")[1].split("#")[0] for line in rows}) == 3, plan
+    assert plan.count("Generate inline") == 1

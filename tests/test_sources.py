@@ -46,6 +46,53 @@ def test_rollup_refresh_merges_touched_days_only(spark, tmp_path):
         R.refresh_rollup(new, path, bucket_s=60)
 
 
+def test_log_by_variable_is_read_without_exchange(spark, tmp_path):
+    """A variable with most of the rows is split; windows per variable take the stored buckets; another session's catalogue opens it."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from machlog.operators import alarms as B
+
+    day = 86_400_000
+    rows = [(1_704_067_200_000 + i * 977_000, 447, f"m{i % 7}", i) for i in range(900)]
+    rows += [(1_704_067_200_000 + i * day, 557, "[]" if i % 4 == 0 else "x", 1000 + i) for i in range(12)]
+    rows += [(None, 447, "no time", 2000), (1_704_067_200_000, None, "no variable", 2001)]
+    log = spark.createDataFrame(rows, "date bigint, id_var int, value string, seq bigint")
+    path = str(tmp_path / "by-variable")
+    L.write_variable_log(log, path, buckets=4, rows=100)
+    spark.sql(f"DROP TABLE {L._variable_table(path)}")  # as in a session that has not seen it
+    stored = L.open_variable_log(spark, path)
+    assert stored.drop("chunk").exceptAll(log).count() == 0 and stored.count() == len(rows)
+    per = {(r["id_var"], r["chunk"]): r["n"] for r in stored.groupBy("id_var", "chunk").agg(F.count("*").alias("n")).collect()}
+    assert per[447, -1] == per[None, -1] == 1 and per[557, 0] == 12
+    hot = [n for (v, c), n in per.items() if v == 447 and c >= 0]
+    assert len(hot) >= 9 and max(hot) <= 200
+    spans = stored.filter("chunk >= 0 AND id_var = 447").groupBy("chunk").agg(F.min("date").alias("a"), F.max("date").alias("b")).orderBy("chunk").collect()
+    assert all(p["b"] < q["a"] for p, q in zip(spans, spans[1:]))
+
+    timed = stored.filter("chunk >= 0")
+    got = B.log_gaps(timed, [447, 557])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and "hashpartitioning(id_var" in plan  # the edges
+    assert not any("hashpartitioning(id_var" in line and "chunk" in line for line in plan.splitlines()), plan
+    valid = log.filter("value <> '[]' AND date IS NOT NULL AND id_var IS NOT NULL")
+    ts = F.timestamp_seconds(F.expr("date div 1000"))
+    want = valid.select("seq", F.lag(ts).over(Window.partitionBy("id_var").orderBy("date", "seq")).alias("p"))
+    found = got.select("seq", F.col("previous_log_time").alias("p"))
+    assert found.exceptAll(want).count() == 0 and want.exceptAll(found).count() == 0
+
+    gaps = L.reading_gaps(stored)
+    plan = gaps._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # one row per chunk
+    by_var = {r["id_var"]: r for r in gaps.collect()}
+    assert by_var.keys() == {447, 557}
+    assert (by_var[447]["readings"], by_var[447]["longest_gap_ms"], by_var[447]["pauses"]) == (900, 977_000, 899)
+    assert (by_var[557]["readings"], by_var[557]["longest_gap_ms"], by_var[557]["pauses"]) == (12, day, 11)
+    empty = str(tmp_path / "empty")
+    L.write_variable_log(log.limit(0), empty, buckets=2)
+    assert L.reading_gaps(L.open_variable_log(spark, empty)).count() == 0
+
+
 def test_ensure_rollup_builds_once(spark, tmp_path):
     base = float_log(spark, [("2024-01-01 10:00:00", 1, 1), ("2024-01-01 10:00:00", 2, 1)])
     path = str(tmp_path / "rollup")

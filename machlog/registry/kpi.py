@@ -6,9 +6,12 @@ three-state segments of A20 (K7); E7 runs (K8); program runs (K9-K12).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from machlog import config as C
+from machlog import services
 from machlog.catalog import BUCKET_S, LOW, MID, T1, T2, Tables, register
 from machlog.operators import activity as A
 from machlog.operators import alarms as B
@@ -17,7 +20,7 @@ from machlog.operators import kpi as K
 from machlog.oracle import bucket_ts
 from machlog.registry.activity import FOUR_STATE_SQL, LEVEL_ROWS, ROLLUP, SMOOTH, spans
 from machlog.registry.alarms import RAW
-from machlog.registry.energy import E9_SQL, REP_DAYS, RUN_ON, RUNS
+from machlog.registry.energy import E9_SQL, IN_PERIOD, MS0, MS1, PERIOD, REP_DAYS, RUN_ON, RUNS, day_energy
 from machlog.sources import adapters as ad
 
 PERF, QUAL = 0.9, 0.95
@@ -45,7 +48,8 @@ K1_SQL = f"""SELECT round(coalesce(SUM(total_hours), 0), 6) AS total_hours,
     THEN total_hours END), 0) / SUM(total_hours) * 100.0 ELSE 0 END, 6) AS availability_pct
 FROM states"""
 
-K2_CTE = f"""{FOUR_STATE_SQL}, {E9_SQL}, {RAW},
+def k2_cte(energy: str) -> str:
+    return f"""{FOUR_STATE_SQL}, {energy}, {RAW},
 core AS (SELECT * FROM states WHERE state IN ({_in(C.K2_CORE_STATES)})),
 k2 AS (SELECT coalesce(SUM(total_hours), 0) AS total_h,
   coalesce(SUM(CASE WHEN upper(state) IN ({_in([s.upper() for s in C.K2_CORE_STATES[:3]])}) THEN total_hours END), 0) AS active_h,
@@ -53,6 +57,15 @@ k2 AS (SELECT coalesce(SUM(total_hours), 0) AS total_h,
   (SELECT CAST(coalesce(SUM(occurrence_count), 0) AS BIGINT) FROM stats) AS alarms FROM core)"""
 
 
+K2_CTE = k2_cte(E9_SQL)
+K2_ROW = """SELECT round(total_h, 6) AS total_h, round(active_h, 6) AS active_h, round(total_h - active_h, 6) AS idle_h,
+  round(energy, 6) AS energy, alarms, round(CASE WHEN total_h > 0 THEN active_h / total_h * 100.0 ELSE 0 END, 6) AS avail
+FROM k2"""
+# Both logs are cut to the period before anything else reads them.
+K2_IN_PERIOD = (f"fl_in AS (SELECT * FROM fl WHERE date BETWEEN {MS0} AND {MS1}), sl_in AS (SELECT * FROM sl WHERE date BETWEEN {MS0} AND {MS1}),\n"
+                + re.sub(r"\bFROM (fl|sl)\b", r"FROM \1_in", k2_cte(day_energy(IN_PERIOD))))
+
+
 @register("K1_state_kpis", f"WITH {FOUR_STATE_SQL} {K1_SQL}")
 def k1(spark, sf):
     return K.state_kpis(_states(Tables(spark, sf)))
@@ -60,15 +73,22 @@ def k1(spark, sf):
 
 @register("K2_core_state_kpis", f"""
 WITH {K2_CTE}
-SELECT round(total_h, 6) AS total_h, round(active_h, 6) AS active_h, round(total_h - active_h, 6) AS idle_h,
-  round(energy, 6) AS energy, alarms, round(CASE WHEN total_h > 0 THEN active_h / total_h * 100.0 ELSE 0 END, 6) AS avail
-FROM k2""")
+{K2_ROW}""")
 def k2(spark, sf):
     t = Tables(spark, sf)
     return K.core_state_kpis(_states(t), E.daily_energy(t.load),
                              B.alarm_statistics(B.alarm_incidents(t.sl)))
 
 
+@register("K2_services_one_period", f"""
+WITH {K2_IN_PERIOD}
+{K2_ROW}""")
+def k2_services(spark, sf):
+    """The three services over one common period, combined."""
+    t = Tables(spark, sf)
+    return services.dashboard_kpis(t.fl, t.sl, *PERIOD, bucket_s=BUCKET_S, low=LOW, mid=MID, load=t.load)
+
+
 @register("K3_idle_by_substring", f"""
 WITH {FOUR_STATE_SQL}
 SELECT round(coalesce(SUM(total_hours), 0), 6) AS total_hours,

@@ -37,11 +37,13 @@ def energy_consumption(fl: DataFrame, from_date: str, until_date: str,
     return E.daily_energy(fl, from_date, until_date, var_id=var_id)
 
 
-def dashboard_kpis(fl: DataFrame, sl: DataFrame, from_date: str, until_date: str,
-                   bucket_s: int = 1) -> DataFrame:
-    """Total / active / idle hours, availability, kWh and alarm occurrences."""
-    return K.core_state_kpis(state_times(fl, from_date, until_date, bucket_s),
-                             energy_consumption(fl, from_date, until_date),
+def dashboard_kpis(fl: DataFrame, sl: DataFrame, from_date: str, until_date: str, bucket_s: int = 1,
+                   low: float = C.FOUR_STATE_LOW, mid: float = C.FOUR_STATE_INTERMEDIATE,
+                   load: DataFrame | None = None) -> DataFrame:
+    """Total / active / idle hours, availability, kWh and alarm occurrences of one period.
+    ``load`` is the log that holds the load-percent variable (default: ``fl``)."""
+    return K.core_state_kpis(state_times(fl, from_date, until_date, bucket_s, low, mid),
+                             energy_consumption(fl if load is None else load, from_date, until_date),
                              machine_alarms(sl, from_date, until_date))
 
 

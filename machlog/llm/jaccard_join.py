@@ -17,6 +17,7 @@ pair per member instead of all pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -253,13 +254,22 @@ def _cross_pairs(index: DataFrame, members: DataFrame, known: DataFrame) -> Data
             .groupBy("token").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("rows", "comp")).alias("most"))
             .filter("comps > 1").select("token", F.col("most.comp").alias("main")))
     most = cut(most, "shingle-main")
-    outside = cut(placed.join(most, "token").filter("comp <> main").select(
-        "token", F.col("digest").alias("o_digest"), F.col("n").alias("o_n"), F.col("pos").alias("o_pos"), F.col("comp").alias("o_comp")),
-        "shingle-outside")
-    met = outside.join(placed, "token").filter(F.col("o_comp") != F.col("comp")).withColumnsRenamed({"n": "a_n", "pos": "a_pos"})
+    # Only shingles of several components go on; both sides of their join are split by size before the shuffle.
+    shared = cut(placed.join(most, "token").withColumn("band", _band(F.col("n"))), "shingle-shared")
+    outside = shared.filter("comp <> main").select("token", "band", F.col("digest").alias("o_digest"), F.col("n").alias("o_n"),
+                                                   F.col("pos").alias("o_pos"), F.col("comp").alias("o_comp"))
+    around = shared.select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"),
+                           "digest", F.col("n").alias("a_n"), F.col("pos").alias("a_pos"), "comp")
+    met = outside.join(around, ["token", "band"]).filter(F.col("o_comp") != F.col("comp"))
     return met.filter(_could_link("o_", "a_")).select(*_pair(F.col("o_digest"), F.col("digest"))).distinct()
 
 
+def _band(n: Column) -> Column:
+    """Band of a set's size: sizes that may link lie in one band or in neighbours, as a band's
+    ends differ by more than 100 / PERCENT (the margin outweighs rounding)."""
+    return F.floor(F.log(n.cast("double")) / F.lit(math.log(1.01 * 100 / PERCENT))).cast("int")
+
+
 def _plausible(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs whose whole prefixes allow the similarity.
 

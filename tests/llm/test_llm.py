@@ -417,6 +417,14 @@ def test_jaccard_against_brute_force(spark, monkeypatch, salt):
     assert Counter(rows_of(got, "doc_id", "n_shingles", "component_id")) == brute_components(texts)
 
 
+def test_jaccard_bands_hold_all_linked_sizes(spark):
+    """The largest set a set may link with lies in its band or the next one; a band is not everything."""
+    n = spark.range(1, 300_000).select(F.col("id").alias("n"), F.expr("id * 100 div 80").alias("largest"))
+    step = n.select((jaccard_join._band(F.col("largest")) - jaccard_join._band(F.col("n"))).alias("d"))
+    assert {r["d"] for r in step.distinct().collect()} <= {0, 1}
+    assert n.select(jaccard_join._band(F.col("n"))).distinct().count() > 40
+
+
 def test_jaccard_keeps_one(spark):
     texts = [(i, t) for i, t in near_copies() if i is None or i > 4]
     docs = documents(spark, texts)

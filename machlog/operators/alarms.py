@@ -6,9 +6,8 @@ cells hold arrays like ``[["PLC00010","Door open",3,3,50331658], ...]`` and
 are cut with regular expressions (``regexp_extract_all`` + ``arrays_zip`` +
 ``explode``), never parsed row by row in Python.
 
-Windows per variable or per alarm go through ``ordered_window`` with the
-key plus a day bucket, so a hot variable or alarm code is still spread over
-many tasks.
+Windows over the alarm log or per variable go through ``ordered_window`` with
+buckets cut by row density, so a hot variable is still spread over many tasks.
 """
 
 from __future__ import annotations

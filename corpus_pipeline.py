@@ -7,17 +7,29 @@ All stages but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from machlog.llm import byte_bpe, decontaminate, exact_dedup, jaccard_join, quality
 from machlog.llm.common import cut, fields, quoted, table, whole_row
 from machlog.llm.queries import BYTE_BPE, QUALITY_CUT, quality_model
+from machlog.session import configure
 
 #: No SQL: the first stage is a learned model.
 ORACLE_SQL = None
 
 
+def _configured(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage with the session's settings, also where it is called on its own."""
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return stage(configure(spark), docs, sf_dir)
+    return run
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     model = quality_model(spark, docs.select("doc_id", "text"), sf_dir)
@@ -55,6 +67,7 @@ STAGES = [
     ("decontamination", without_benchmark),
     ("byte_bpe", encoded),
 ]
+STAGES = [(name, _configured(stage)) for name, stage in STAGES]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,7 +87,7 @@ def frequencies(texts: DataFrame) -> np.ndarray:
                     s = _rolled(np.fromiter(map(_hash, w), np.uint64, len(w)))
                     held.append((s & np.uint64(COUNTERS - 1)).astype(np.int64))
                     size += len(s)
-                    if size > 4_000_000:
+                    if size > 1_000_000:
                         total += np.bincount(np.concatenate(held), minlength=COUNTERS)
                         held, size = [], 0
         if held:

@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,6 +32,25 @@ def test_stages_keep_the_columns(stages):
     assert len(stages) == 6 and all(df.columns == stages[0].columns for df in stages[1:5])
 
 
+def test_stages_send_texts_in_small_batches(spark, stages):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    wide = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["size"])
+
+    try:
+        for _, stage in pipeline.STAGES:
+            spark.conf.unset(key)
+            stage(spark, stages[0].limit(20), DIR)
+            assert wide.mapInArrow(sizes, "size bigint").agg({"size": "max"}).first()[0] < 6_000_000
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
 def test_each_stage_against_brute_force(spark, stages):
     raw, good, unique, distinct, clean = map(texts, stages[:5])
     model = quality_model(spark, stages[0].select("doc_id", "text"), DIR)

@@ -1,11 +1,10 @@
 """Byte-level BPE encoding and decoding with a given rank file.
 
-Each match of the split pattern is merged by a segment tree over its byte
-positions: a leaf holds (rank, position) of the pair that starts there, the
-root the leftmost pair of least rank.  A merge updates the leaves of its live
-neighbours, a logarithmic number of nodes each.  The trees of many short
-matches are columns of one array and advance together; a long match has a tree
-of its own.
+Short matches of the split pattern are merged side by side: a column of
+(rank, position) numbers for each, whose least is the leftmost pair of least
+rank; a merge changes the two numbers beside it.  A long match has a segment
+tree of its own over such numbers, in which a merge updates a logarithmic number
+of nodes.
 """
 
 from __future__ import annotations
@@ -26,9 +25,12 @@ from machlog.llm.common import fields, quoted, whole_row
 
 #: A match of more bytes gets a tree of its own.
 WIDE = 64
+#: Matches that are merged together.
+TOGETHER = 8_000
 #: Entries of each cache of a worker; a full cache is emptied, results do not depend on it.
-CACHE = 250_000
+CACHE = 150_000
 NO_PAIR = np.int64(1) << 62
+_PLACE_BITS, _PLACES = 7, 127
 
 
 class BytePairCoder:
@@ -37,7 +39,11 @@ class BytePairCoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
-        self.tokens = {i: t for t, i in ranks.items()}
+        by_id = sorted((i, t) for t, i in ranks.items())
+        self.token_size = np.zeros(by_id[-1][0] + 1, np.int64)
+        self.token_size[[i for i, _ in by_id]] = [len(t) for _, t in by_id]
+        self.token_begin = np.cumsum(self.token_size) - self.token_size
+        self.token_bytes = np.frombuffer(b"".join(t for _, t in by_id), np.uint8)
         pairs = {}
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
@@ -50,8 +56,11 @@ class BytePairCoder:
         self.pair_keys = np.append(keys[order], NO_PAIR)
         self.pair_ranks = np.append(np.fromiter(pairs.values(), np.int64, len(pairs))[order], -1)
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        two = np.arange(1 << 16)
+        self.byte_pairs = self._pair(self.byte_ids[two >> 8], self.byte_ids[two & 255], 0)
         self.matches: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}  # by what follows a space
+        self.loose: set[str] = set()  # chunks that are empty, or begin or end with white space
         self.irregular = regex.compile(r"\s | \s")
 
     # Ids are kept as little-endian unsigned 32-bit integers.
@@ -64,102 +73,93 @@ class BytePairCoder:
         what follows a space is split and encoded once.  A text in which a
         space touches other white space is split by the pattern as a whole.
         """
-        cut = [None if self.irregular.search(t) else t.split(" ") for t in texts]
-        if len(self.chunks) > CACHE:
-            self.chunks.clear()
-        known = self.chunks
-        fresh = {" " + p for parts in cut if parts for p in parts[1:]}
-        fresh.update(parts[0] for parts in cut if parts)
-        fresh = [p for p in fresh if p not in known]
-        split = [self.pattern.findall(p) for p in fresh]
-        whole = [self.pattern.findall(t) if parts is None else () for t, parts in zip(texts, cut)]
-        self._learn({m for found in (*split, *whole) for m in found})
+        if max(len(self.chunks), len(self.matches)) > CACHE:
+            self.forget()
+        cut = [t.split(" ") for t in texts]
+        first = [parts.pop(0) for parts in cut]
+        fresh = list(set().union(*cut).difference(self.chunks))
+        self.loose.update(p for p in fresh if not p or p.strip() != p)
+        odd = [(p.strip() != p or not p or not self.loose.isdisjoint(parts)) and bool(self.irregular.search(t))
+               for t, p, parts in zip(texts, first, cut)]
+        find = self.pattern.findall
+        split = [find(" " + p) for p in fresh]
+        begun = [find(t if whole else p) for t, p, whole in zip(texts, first, odd)]
+        self._learn(set().union(*split, *begun))
         ids = self.matches.__getitem__
-        for p, found in zip(fresh, split):
-            known[p] = b"".join(map(ids, found))
-        get = known.__getitem__
-        return [b"".join(map(ids, found)) if parts is None
-                else get(parts[0]) + b"".join([get(" " + p) for p in parts[1:]])
-                for parts, found in zip(cut, whole)]
+        self.chunks.update(zip(fresh, [ids(found[0]) if len(found) == 1 else b"".join(map(ids, found)) for found in split]))
+        get = self.chunks.__getitem__
+        return [b"".join(map(ids, found)) if whole else b"".join([*map(ids, found), *map(get, parts)])
+                for found, parts, whole in zip(begun, cut, odd)]
+
+    def forget(self) -> None:
+        """Empty the caches."""
+        self.matches.clear()
+        self.chunks.clear()
+        self.loose.clear()
 
     def _learn(self, wanted: set[str]) -> None:
         """Encode the matches that are not cached yet."""
-        if len(self.matches) > CACHE:
-            self.matches.clear()
-        by_width: dict[int, list[tuple[str, bytes]]] = {}
-        for m in wanted - self.matches.keys():
-            data = m.encode("utf-8", "surrogatepass")
-            whole = self.ranks.get(data)
-            if whole is not None:
-                self.matches[m] = whole.to_bytes(4, "little")
-            else:
-                by_width.setdefault(1 << (len(data) - 1).bit_length(), []).append((m, data))
-        for width, items in by_width.items():
-            if width > WIDE:
-                for m, data in items:
-                    self.matches[m] = self._merge_long(data)
-            else:
-                for at in range(0, len(items), 20_000):
-                    part = items[at:at + 20_000]
-                    for (m, _), ids in zip(part, self._merge_many([d for _, d in part], width)):
-                        self.matches[m] = ids
-
-    def _merge_many(self, words: list[bytes], width: int) -> list[bytes]:
-        """Merge words of at most ``width`` bytes (a power of two) side by side."""
-        count, depth = len(words), width.bit_length() - 1
+        names = list(wanted.difference(self.matches))
+        data = [m.encode("utf-8", "surrogatepass") for m in names]
+        self.matches.update((m, rank.to_bytes(4, "little")) for m, rank in zip(names, map(self.ranks.get, data)) if rank is not None)
+        size = np.fromiter(map(len, data), np.int64, len(data))
+        order = np.argsort(size, kind="stable").tolist()
+        short = int(np.count_nonzero(size <= WIDE))
+        for at in range(0, short, TOGETHER):
+            part = [i for i in order[at:min(at + TOGETHER, short)] if names[i] not in self.matches]
+            if part:
+                self.matches.update(zip([names[i] for i in part], self._merge_many([data[i] for i in part])))
+        for i in order[short:]:
+            if names[i] not in self.matches:
+                self.matches[names[i]] = self._merge_long(data[i])
+
+    def _merge_many(self, words: list[bytes]) -> list[bytes]:
+        """Merge short words side by side.
+
+        Arrays have a column for each word and a row for each byte, with an empty row before and after."""
+        count = len(words)
+        width = max(map(len, words))
+        raw = np.frombuffer(b"".join([w.ljust(width, b"\0") for w in words]), np.uint8).reshape(count, width)
         size = np.fromiter(map(len, words), np.int64, count)
-        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(count, width)
-        token = self.byte_ids[raw]
-        place = np.arange(width)
-        token[place >= size[:, None]] = -1
-        after = np.tile(place + 1, (count, 1))
-        before = np.tile(place - 1, (count, 1))
-        tree = np.full((count, 2 * width), NO_PAIR)
-        tree[:, width:2 * width - 1] = self._leaf(token[:, :-1], token[:, 1:], place[:-1], depth)
-        for level in range(depth - 1, -1, -1):
-            first = 1 << level
-            tree[:, first:2 * first] = np.minimum(tree[:, 2 * first:4 * first:2], tree[:, 2 * first + 1:4 * first:2])
-        live = np.flatnonzero(tree[:, 1] < NO_PAIR)
-
-        def put(rows, at, value):
-            node = at + width
-            tree[rows, node] = value
-            for _ in range(depth):
-                node = node >> 1
-                tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
-
-        def at_or_none(rows, at):
-            """Token at a place; -1 beyond either end."""
-            inside = (at >= 0) & (at < size[rows])
-            return np.where(inside, token[rows, np.clip(at, 0, width - 1)], -1)
-
-        while len(live):
-            best = tree[live, 1]
-            here = best & (width - 1)
-            gone = after[live, here]
-            token[live, here] = best >> depth
-            following = after[live, gone]
-            after[live, here] = following
-            inside = following < width
-            before[live[inside], following[inside]] = here[inside]
-            token[live, gone] = -1
-            put(live, gone, NO_PAIR)
-            put(live, here, self._leaf(token[live, here], at_or_none(live, following), here, depth))
-            prior = before[live, here]
-            has = prior >= 0
-            rows = live[has]
-            put(rows, prior[has], self._leaf(token[rows, prior[has]], token[rows, here[has]], prior[has], depth))
-            live = live[tree[live, 1] < NO_PAIR]
+        token = np.full((width + 2, count), -1)
+        token[1:-1] = self.byte_ids[raw.T]
+        token[1:-1][np.arange(width)[:, None] >= size] = -1
+        pair = np.full((width + 2, count), NO_PAIR)
+        place = np.arange(width + 2)[:, None]
+        pair[1:width] = self.byte_pairs[raw[:, :-1].T.astype(np.int64) << 8 | raw[:, 1:].T] | place[1:width]
+        pair[1:width][token[2:width + 1] < 0] = NO_PAIR
+        after = np.repeat(np.minimum(place + 1, width + 1), count, axis=1).ravel()
+        before = np.repeat(np.maximum(place - 1, 0), count, axis=1).ravel()
+        least, token, flat = pair, token.ravel(), pair.ravel()
+        while True:
+            best = least.min(axis=0)
+            word = np.flatnonzero(best < NO_PAIR)
+            if not len(word):
+                break
+            best = best[word]
+            place = best & _PLACES
+            here = place * count + word
+            gone = after[here] * count + word
+            following = after[gone]
+            beyond = following * count + word
+            prior = before[here]
+            ahead = prior * count + word
+            rank = best >> _PLACE_BITS
+            token[here], token[gone], flat[gone] = rank, -1, NO_PAIR
+            after[here], before[beyond] = following, place
+            flat[here] = self._pair(rank, token[beyond], place)
+            flat[ahead] = self._pair(token[ahead], rank, prior)
+        token = token.reshape(width + 2, count).T
         stays = token >= 0
         ids = token[stays].astype("<u4").tobytes()
         ends = np.cumsum(stays.sum(axis=1)) * 4
         return [ids[a:b] for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist())]
 
-    def _leaf(self, left: np.ndarray, right: np.ndarray, place: np.ndarray, depth: int) -> np.ndarray:
-        """(rank, place) of pairs as one number; NO_PAIR where they do not merge."""
-        key = np.where((left >= 0) & (right >= 0), left << 32 | right, -1)
+    def _pair(self, left: np.ndarray, right: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """(rank, place) of pairs as one number; NO_PAIR where they do not merge, as with -1 for no token."""
+        key = left << 32 | right
         at = np.searchsorted(self.pair_keys, key)
-        return np.where(self.pair_keys[at] == key, self.pair_ranks[at] << depth | place, NO_PAIR)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at] << _PLACE_BITS | place, NO_PAIR)
 
     def _merge_long(self, word: bytes) -> bytes:
         """One long match with a tree of Python numbers."""
@@ -202,7 +202,15 @@ class BytePairCoder:
         return np.array([t for t in token if t >= 0], dtype="<u4").tobytes()
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        ids = np.frombuffer(ids, "<u4")
+        found = []
+        for at in range(0, len(ids), 100_000):
+            part = ids[at:at + 100_000]
+            if part.max() >= len(self.token_size) or not (size := self.token_size[part]).all():
+                raise KeyError("an id without a token")
+            ends = np.cumsum(size)
+            found.append(self.token_bytes[np.repeat(self.token_begin[part] - ends + size, size) + np.arange(ends[-1])].tobytes())
+        return b"".join(found)
 
 
 @functools.lru_cache(maxsize=2)
@@ -237,15 +245,18 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", ke
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = coder(shipped.value, pattern)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                codes = use.encode([t or "" for t in part.column(1).to_pylist()])
-                cols = {"n_tokens": pa.array([len(c) // 4 for c in codes], pa.int64()),
-                        "ids": pa.array(codes, pa.binary()) if keep_ids else None,
-                        "ids_sha256": pa.array([hashlib.sha256(c).hexdigest() for c in codes], pa.string()),
-                        "decoded_sha256": pa.array([hashlib.sha256(use.decode(c)).hexdigest() for c in codes], pa.string())}
-                yield pa.RecordBatch.from_arrays([part.column(0), *(cols[c] for c in made)], ["row", *made])
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 500):
+                    part = batch.slice(at, 500)
+                    codes = use.encode([t or "" for t in part.column(1).to_pylist()])
+                    cols = {"n_tokens": pa.array([len(c) // 4 for c in codes], pa.int64()),
+                            "ids": pa.array(codes, pa.binary()) if keep_ids else None,
+                            "ids_sha256": pa.array([hashlib.sha256(c).hexdigest() for c in codes], pa.string()),
+                            "decoded_sha256": pa.array([hashlib.sha256(use.decode(c)).hexdigest() for c in codes], pa.string())}
+                    yield pa.RecordBatch.from_arrays([part.column(0), *(cols[c] for c in made)], ["row", *made])
+        finally:
+            use.forget()  # the worker goes on to other stages
 
     return rows.mapInArrow(run, schema).select(*fields("row", docs, out), *made)
 

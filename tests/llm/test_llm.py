@@ -1,13 +1,16 @@
 """Small tests of the training-data operators: brute force, round trips, odd input."""
 
 import base64
+import gc
 import hashlib
 import math
 import random
+import sys
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,6 +150,32 @@ def test_bpe_equals_the_library(coders):
     assert [ours.decode(c).decode() for c in codes] == texts
 
 
+def test_bpe_known_words_cost_no_call_each(coders):
+    ours, _ = coders
+    text = " ".join(f"word{i % 50}," for i in range(5000))
+    first = ours.encode([text])
+    calls = Counter()
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        again = ours.encode([text])
+    finally:
+        sys.setprofile(None)
+    assert again == first and calls["c_call"] < 500
+
+
+def test_bpe_workers_hold_no_cache_after_their_task(spark):
+    docs = documents(spark, [(i, f"aqz{i} zq{i}x bq{i}") for i in range(400)])
+    assert byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN).agg({"n_tokens": "sum"}).first()[0] > 0
+
+    def held(batches):
+        for batch in batches:
+            coders = [x for x in gc.get_objects() if type(x).__name__ == "BytePairCoder"]
+            yield pa.RecordBatch.from_arrays([pa.array([len(coders)]), pa.array([sum(len(c.matches) + len(c.chunks) for c in coders)])], ["n", "kept"])
+
+    seen = docs.select("doc_id").mapInArrow(held, "n bigint, kept bigint").collect()
+    assert sum(r["n"] for r in seen) > 0 and sum(r["kept"] for r in seen) == 0
+
+
 def test_bpe_rows_and_round_trip(spark):
     docs = documents(spark, ODD)
     made = byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
